@@ -22,9 +22,9 @@ from .textkernel import slices
 
 CAPACITY = 2048
 #: Lengths of at least this share of the capacity are large; the smaller ones fill what they leave.
-LARGE = 0.125
+LARGE = 0.4
 #: Groups of equal cardinality that large lengths are rounded up in, so distinct sizes of the configuration problem.
-GROUPS = 24
+GROUPS = 160
 #: Hash blocks per length for ranking pieces of equal length.
 BLOCKS = 256
 #: Words remembered by a task's tokenizer; beyond that the memory starts anew.
