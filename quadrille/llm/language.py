@@ -150,7 +150,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", lang: str = "lang_
     """
     names = list(df.columns if keep is None else keep)
     kept = [n for n in names if n not in (lang, score, rejected)]
-    hidden = fresh(names + [lang, score, rejected], "text_read")[0]
+    hidden = text if text in kept else fresh(names + [lang, score, rejected], "text_read")[0]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema)
     model_sent = df.sparkSession.sparkContext.broadcast(model)
 
@@ -160,7 +160,8 @@ def identify(df: DataFrame, model: Model, text: str = "text", lang: str = "lang_
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(found, pa.string()), pa.array(sure, pa.float64()), pa.array(out, pa.bool_())], [*kept, lang, score, rejected])
 
     comma = ", " if schema else ""
-    return df.select(*kept, F.col(text).alias(hidden)).mapInArrow(run, f"{schema}{comma}`{lang}` string, `{score}` double, `{rejected}` boolean")
+    read = df.select(*kept) if hidden in kept else df.select(*kept, F.col(text).alias(hidden))
+    return read.mapInArrow(run, f"{schema}{comma}`{lang}` string, `{score}` double, `{rejected}` boolean")
 
 
 def held_out(key: str = "doc_id") -> Column:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import op4_decontamination
 from .language import op5_language_id
 from .packing import op9_packing
 from .sharding import op1_sharding
@@ -14,6 +15,7 @@ from .sharding import op1_sharding
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
+        "op4_decontamination": op4_decontamination,
         "op5_language_id": op5_language_id,
         "op9_packing": op9_packing,
     }
