@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op4_decontamination
+from .jaccard import op2_jaccard_join
 from .language import op5_language_id
 from .packing import op9_packing
 from .sharding import op1_sharding
@@ -15,6 +16,7 @@ from .sharding import op1_sharding
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
+        "op2_jaccard_join": op2_jaccard_join,
         "op4_decontamination": op4_decontamination,
         "op5_language_id": op5_language_id,
         "op9_packing": op9_packing,
