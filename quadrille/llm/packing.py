@@ -7,18 +7,21 @@ runs: stretches of sequences that hold the same lengths. Executors place pieces
 from __future__ import annotations
 
 import bisect
+import itertools
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import ranked, saved, table
-from .textkernel import slices
+from .textkernel import byte_class, slices, words
 
 CAPACITY = 2048
 #: Lengths of at least this share of the capacity are large; the smaller ones fill what they leave.
@@ -27,9 +30,13 @@ LARGE = 0.4
 GROUPS = 160
 #: Hash blocks per length for ranking pieces of equal length.
 BLOCKS = 256
-#: Words remembered by a task's tokenizer; beyond that the memory starts anew.
-WORDS_KEPT = 300_000
+#: Words remembered by a worker's tokenizer; beyond that the memory starts anew.
+WORDS_KEPT = 1_000_000
 TOKENIZER = "word_bpe_49k.json"
+BLANKS = byte_class(b"\t\n\r ")
+AS_IT_IS = np.arange(256, dtype=np.uint8)
+#: A letter or digit, then ASCII marks (no apostrophe) up to white space.
+WORD_THEN_MARKS = r"([\p{L}\p{N}])([!-&(-/:-@\[-`{-~]+)(\s|$)"
 
 
 # --- the plan, on the driver -------------------------------------------------------------------------------------
@@ -272,48 +279,77 @@ class WordCoder:
     """Token ids of whole texts by way of their blank-separated words, each distinct word being encoded once.
 
     The vocabulary's normaliser and splitter never join across white space, so a text's ids are those of its words
-    in turn. Only ASCII white space separates here; the tokenizer sees any other within its word.
+    in turn. Only ASCII white space separates here; the tokenizer sees any other within its word. Case of ASCII
+    letters and punctuation at a word's end are taken apart first, which changes no ids, as the splitter parts them
+    too; texts with combining marks or what may be a special token are left as they are.
     """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.ids: list[list[int]] = []
-        self.sizes = np.zeros(0, np.int64)
-        self.starts = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        self.number: dict[int, int] = {}
+        self.known = 0
+        self.sizes, self.starts, self.flat = Grown(np.int64), Grown(np.int64), Grown(np.uint32)
+
+    def learn(self, hashes: list[int], new: list[str]) -> None:
+        made = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        added = np.fromiter(map(len, made), np.int64, len(made))
+        self.starts.add(self.flat.size + np.cumsum(added) - added)
+        self.sizes.add(added)
+        self.flat.add(np.fromiter(itertools.chain.from_iterable(made), np.uint32, int(added.sum())))
+        self.number.update(zip(hashes, range(self.known, self.known + len(made)), strict=True))
+        self.known += len(made)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text's begin (one more at the end)."""
-        split = pc.split_pattern_regex(texts.cast(pa.large_string()), r"[\t\n\r ]+")
-        per_text = split.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        coded = pc.dictionary_encode(split.flatten())
-        distinct = coded.dictionary.to_pylist()
-        if len(self.number) > WORDS_KEPT:
+        plain = pc.replace_substring_regex(pc.ascii_lower(texts), WORD_THEN_MARKS, r"\1 \2\3")
+        w = words(pc.if_else(pc.match_substring_regex(texts, r"\p{M}|<\|"), texts, plain), BLANKS, AS_IT_IS)
+        code, distinct = pd.factorize(w.hashes())
+        if self.known > WORDS_KEPT:
             self.forget()
-        new = [w for w in distinct if w not in self.number]
+        distinct = distinct.tolist()
+        new = [k for k, h in enumerate(distinct) if h not in self.number]
         if new:
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.number[w] = len(self.number)
-                self.ids.append(e.ids)
-            fresh = self.ids[len(self.sizes) :]
-            added = np.fromiter(map(len, fresh), np.int64, len(fresh))
-            self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(added) - added))
-            self.sizes = np.concatenate((self.sizes, added))
-            self.flat = np.concatenate((self.flat, np.fromiter((i for e in fresh for i in e), np.uint32, int(added.sum()))))
-            self.ids[len(self.ids) - len(fresh) :] = [[]] * len(fresh)
-        word = np.fromiter((self.number[w] for w in distinct), np.int64, len(distinct))[coded.indices.to_numpy(zero_copy_only=False)]
-        sizes = self.sizes[word]
+            first = np.empty(len(distinct), np.int64)
+            first[code[::-1]] = np.arange(len(code))[::-1]
+            data = w.data.tobytes()
+            self.learn([distinct[k] for k in new], [data[w.starts[i] : w.ends[i]].decode() for i in first[new]])
+        word = np.fromiter((self.number[h] for h in distinct), np.int64, len(distinct))[code]
+        sizes = self.sizes.all()[word]
         ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        source = np.repeat(self.starts[word] - (ends - sizes), sizes) + np.arange(total)
-        bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(per_text)))]
-        return self.flat[source], bounds
+        source = np.repeat(self.starts.all()[word] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+        return self.flat.all()[source], np.concatenate(([0], ends))[w.of]
+
+
+class Grown:
+    """An array with room to grow."""
+
+    def __init__(self, kind: type) -> None:
+        self.data, self.size = np.zeros(1024, kind), 0
+
+    def add(self, more: np.ndarray) -> None:
+        if self.size + len(more) > len(self.data):
+            self.data = np.concatenate((self.data, np.zeros(self.size + len(more), self.data.dtype)))
+        self.data[self.size : self.size + len(more)] = more
+        self.size += len(more)
+
+    def all(self) -> np.ndarray:
+        return self.data[: self.size]
+
+
+_coders: dict[str, WordCoder] = {}
+
+
+def coder_of(path: str) -> WordCoder:
+    """The worker process's coder; tasks that follow in it find their words known."""
+    if path not in _coders:
+        _coders[path] = WordCoder(path)
+    return _coders[path]
 
 
 def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -321,7 +357,7 @@ def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0, key
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordCoder(path)
+        coder = coder_of(path)
         for part, texts in slices(batches, "text"):
             ids, bounds = coder.encode(texts)
             rows, number, start, length, crc = [], [], [], [], []
