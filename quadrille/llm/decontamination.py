@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import fresh, table
-from .textkernel import NOT_ALNUM, U, grams, mix, slices, words
+from .textkernel import NOT_ALNUM, U, coded, grams, mix, slices, table_of, words
 
 #: Share of an item's words that may be inserted, deleted or replaced.
 EDITS = 0.2
@@ -61,22 +61,6 @@ class Index:
     walks: int
 
 
-def table_of(hashes: np.ndarray) -> np.ndarray:
-    out = np.zeros(1 << 20, bool)
-    out[(hashes >> U(44)).astype(np.int64)] = True
-    return out
-
-
-def coded(vocabulary: np.ndarray, coarse: np.ndarray, h: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(h), np.int32)
-    at = np.flatnonzero(coarse[(h >> U(44)).astype(np.int64)])
-    if len(at) and len(vocabulary):
-        i = np.minimum(np.searchsorted(vocabulary, h[at]), len(vocabulary) - 1)
-        same = vocabulary[i] == h[at]
-        out[at[same]] = i[same] + 1
-    return out
-
-
 def walk(codes: np.ndarray, lengths: np.ndarray, number: int, steps: int) -> np.ndarray:
     """CGK embedding of rows of codes, which are followed by padding: at each step the symbol under the cursor is
     written, and a random bit of step and symbol moves the cursor on or not, until it stands behind the row."""

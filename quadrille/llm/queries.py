@@ -11,12 +11,14 @@ from .jaccard import op2_jaccard_join
 from .language import op5_language_id
 from .packing import op9_packing
 from .sharding import op1_sharding
+from .toxicity import op3_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
         "op2_jaccard_join": op2_jaccard_join,
+        "op3_toxicity": op3_toxicity,
         "op4_decontamination": op4_decontamination,
         "op5_language_id": op5_language_id,
         "op9_packing": op9_packing,

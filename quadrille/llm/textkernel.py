@@ -110,6 +110,24 @@ def words(texts: pa.Array, separators: np.ndarray, fold: np.ndarray = LOWER) ->
     return Words(folded, starts, ends, np.searchsorted(starts, offsets), running)
 
 
+def table_of(hashes: np.ndarray) -> np.ndarray:
+    """By the top 20 bits, whether any of the hashes has them."""
+    out = np.zeros(1 << 20, bool)
+    out[(hashes >> U(44)).astype(np.int64)] = True
+    return out
+
+
+def coded(vocabulary: np.ndarray, coarse: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The place, from 1, of each hash in the sorted vocabulary; 0 for others. ``coarse`` is its table_of()."""
+    out = np.zeros(len(h), np.int32)
+    at = np.flatnonzero(coarse[(h >> U(44)).astype(np.int64)])
+    if len(at) and len(vocabulary):
+        i = np.minimum(np.searchsorted(vocabulary, h[at]), len(vocabulary) - 1)
+        same = vocabulary[i] == h[at]
+        out[at[same]] = i[same] + 1
+    return out
+
+
 def grams(h: np.ndarray, size: int) -> np.ndarray:
     """Hash of every ``size`` neighbouring word hashes; those across two texts are there too."""
     n = len(h) - size + 1
