@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontamination import op4_decontamination
 from .jaccard import op2_jaccard_join
 from .language import op5_language_id
+from .licenses import OP7_SQL, op7_license_scan
 from .packing import op9_packing
 from .sharding import op1_sharding
 from .toxicity import op3_toxicity
@@ -21,9 +22,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": op3_toxicity,
         "op4_decontamination": op4_decontamination,
         "op5_language_id": op5_language_id,
+        "op7_license_scan": op7_license_scan,
         "op9_packing": op9_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op7_license_scan": OP7_SQL,
+    }
