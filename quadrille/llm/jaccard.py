@@ -16,6 +16,8 @@ from .textkernel import SPACES, sequence_keys, shingles, slices, words
 
 #: Cells of the table of shingle counts that orders shingles, whatever the corpus; it decides cost, never results.
 CELLS = 1 << 17
+#: Bits of a shingle's hash that place it in the bitmap of shared ones (2**26 bits: 8 MB).
+BITS = 26
 QUARTERS = np.array([1 << 62, 2 << 62, 3 << 62], np.uint64)
 
 
@@ -42,41 +44,66 @@ def keyed(docs: DataFrame, words_per: int = WORDS) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, c long, c2 long, cell boolean")
 
 
-def indexed(docs: DataFrame, counts: np.ndarray, words_per: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Prefix index rows (h, c, n, pos, rest), of each content once per task. ``rest`` holds how many of the shingles
-    behind pos lie in each quarter of the hashes, 16 bits each, for the suffix filter."""
+def _prefixes(batches: Iterator[pa.RecordBatch], counts: np.ndarray, words_per: int, percent: int) -> Iterator[tuple]:
+    """Key, sorted set and rare-first prefix of each content, once per task, in lists by slice."""
+    seen: set[int] = set()
+    for _, texts in slices(batches, "text"):
+        w = words(texts, SPACES)
+        keys, _ = sequence_keys(w)
+        found: tuple[list, list, list] = ([], [], [])
+        for key, s in zip(keys.tolist(), shingles(w, words_per), strict=True):
+            if key in seen or not len(s):
+                continue
+            seen.add(key)
+            length = len(s) + (-len(s) * percent // 100) + 1
+            rare = np.lexsort((s, counts[(s >> np.uint64(40)).astype(np.int64) % CELLS]))[:length]
+            for column, x in zip(found, (key, s, s[rare]), strict=True):
+                column.append(x)
+        if found[0]:
+            yield found
+
+
+def shared_bits(docs: DataFrame, counts: np.ndarray, words_per: int = WORDS, percent: int = PERCENT) -> np.ndarray:
+    """A bitmap of the prefix shingles that two contents or more have. Its size is fixed, so it may say yes to others
+    as well, which only costs. Only shingle and content are shuffled for it."""
     sent = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        order_of = sent.value
-        for _, texts in slices(batches, "text"):
-            w = words(texts, SPACES)
-            keys, _ = sequence_keys(w)
-            rows: list[np.ndarray] = []
-            whose: list[tuple[int, int, int]] = []
-            cells: list[np.ndarray] = []
-            for key, s in zip(keys.tolist(), shingles(w, words_per), strict=True):
-                if key in seen or not len(s):
-                    continue
-                seen.add(key)
-                length = len(s) + (-len(s) * percent // 100) + 1
-                rare = np.lexsort((s, order_of[(s >> np.uint64(40)).astype(np.int64) % CELLS]))[:length]
-                rows.append(s[rare])
-                whose.append((key, len(s), length))
-                cells.append(np.searchsorted(s, QUARTERS))
-            if rows:
-                key = np.array([k for k, _, _ in whose], np.uint64)
-                n, length = (np.array([x[i] for x in whose], np.int64) for i in (1, 2))
-                all_rows, first = np.concatenate(rows), np.cumsum(length) - length
-                whole = np.diff(np.column_stack((np.zeros(len(n), np.int64), np.array(cells), n)), axis=1)
-                quarter, rest = (all_rows >> np.uint64(62)).astype(np.int64), np.zeros(len(all_rows), np.int64)
-                for k in range(4):
-                    up = np.cumsum(quarter == k)
-                    used = up - np.repeat(up[first] - (quarter[first] == k), length)
-                    rest |= np.minimum(np.repeat(whole[:, k], length) - used, 0x7FFF) << (16 * k)
-                pos = np.arange(length.sum()) - np.repeat(first, length)
-                yield pa.RecordBatch.from_arrays([_long(all_rows), _long(np.repeat(key, length)), pa.array(np.repeat(n, length).astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(rest)], ["h", "c", "n", "pos", "rest"])
+        for keys, _, rows in _prefixes(batches, sent.value, words_per, percent):
+            length = np.array([len(r) for r in rows])
+            yield pa.RecordBatch.from_arrays([_long(np.concatenate(rows)), _long(np.repeat(np.array(keys, np.uint64), length))], ["h", "c"])
+
+    shared = docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high")
+    word = F.shiftrightunsigned("h", 64 - BITS).cast("long")
+    rows = shared.groupBy(F.shiftrightunsigned(word, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - BITS}) & 63 as int))")).alias("bits"))
+    out = np.zeros(1 << (BITS - 6), np.int64)
+    for part in rows.toArrow().to_batches():
+        out[part.column("word").to_numpy()] = part.column("bits").to_numpy()
+    return out
+
+
+def indexed(docs: DataFrame, counts: np.ndarray, bits: np.ndarray, words_per: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Index rows (h, c, n, pos, rest) of the shingles in ``bits``. ``rest`` holds how many of the shingles behind pos
+    lie in each quarter of the hashes, 16 bits each, for the suffix filter."""
+    sent = docs.sparkSession.sparkContext.broadcast((counts, bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, bits = sent.value
+        for keys, sets, prefixes in _prefixes(batches, counts, words_per, percent):
+            n, length = (np.array([len(x) for x in column], np.int64) for column in (sets, prefixes))
+            rows, first = np.concatenate(prefixes), np.cumsum(length) - length
+            cuts = np.array([np.searchsorted(s, QUARTERS) for s in sets])
+            whole = np.diff(np.column_stack((np.zeros(len(n), np.int64), cuts, n)), axis=1)
+            quarter, rest = (rows >> np.uint64(62)).astype(np.int64), np.zeros(len(rows), np.int64)
+            for k in range(4):
+                up = np.cumsum(quarter == k)
+                used = up - np.repeat(up[first] - (quarter[first] == k), length)
+                rest |= np.minimum(np.repeat(whole[:, k], length) - used, 0x7FFF) << (16 * k)
+            pos = np.arange(len(rows)) - np.repeat(first, length)
+            place = (rows >> np.uint64(64 - BITS)).astype(np.int64)
+            at = np.flatnonzero((bits[place >> 6] >> (place & 63)) & 1)
+            whose = np.repeat(np.arange(len(n)), length)[at]
+            yield pa.RecordBatch.from_arrays([_long(rows[at]), _long(np.array(keys, np.uint64)[whose]), pa.array(n[whose].astype(np.int32)), pa.array(pos[at].astype(np.int32)), pa.array(rest[at])], ["h", "c", "n", "pos", "rest"])
 
     return docs.select("text").mapInArrow(run, "h long, c long, n int, pos int, rest long")
 
@@ -108,7 +135,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     Keys are integers; rows of one key count as one document linked with itself. Null and wordless texts have no
     shingles and no links; equal texts are one set, met once; extra columns are not read; no rows give no rows.
 
-    Every text is shingled twice, to count and to index. Sets in a shingle's bucket first meet its hub only; then
+    Every text is shingled three times: to count, to find shared shingles, and to index those. Sets in a shingle's bucket first meet its hub only; then
     those of different components so far meet each other, so a large group of copies costs about its size. Pairs in
     one component need no test, so no link between components is lost.
     """
@@ -118,18 +145,22 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     for r in first.filter("cell").groupBy("c").agg(F.sum("n").alias("n")).collect():  # CELLS rows at most
         counts[r["c"]] = r["n"]
     own = first.filter("not cell")
-    index = saved(indexed(rows, counts, words_per, percent), "index")
+    bits = shared_bits(rows, counts, words_per, percent)
+    index = saved(indexed(rows, counts, bits, words_per, percent), "index")
     shared = buckets(index)
     entries = saved(live(index, shared, percent).dropDuplicates(["h", "c"]), "entries")
 
     hubs = entries.filter("c <> hub").filter(_may("", "hub_", percent))
     pairs = saved(hubs.select(F.least("c", "hub").alias("a"), F.greatest("c", "hub").alias("b")).distinct(), "pairs")
-    # Sets of whatever lives in a bucket: read again from one document of each content.
-    wanted = entries.select("c").distinct()
-    heads = own.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id")).join(wanted, "c", "left_semi")
-    heads = saved(heads.select("doc_id"), "heads")
-    sets = saved(sets_of(rows.join(sized(heads), "doc_id", "left_semi")).dropDuplicates(["c"]), "sets")
-    links = saved(verified(pairs, sets, percent), "links")
+    heads = saved(own.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id")), "heads")
+
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        """Verify pairs on the sets of their ends, read again from one document of each content."""
+        ends = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
+        wanted = saved(heads.join(ends, "c", "left_semi").select("doc_id"), "wanted")
+        return saved(verified(pairs, sets_of(rows.join(sized(wanted), "doc_id", "left_semi"), words_per), percent).distinct(), name)
+
+    links = linked(pairs, "links")
     roots = saved(components(links), "roots")
 
     # Buckets that hold several components: the members outside its most common one meet all the others.
@@ -142,7 +173,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     meet = (F.col("x.h") == F.col("y.h")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.c") < F.col("y.c")))
     rest = x.join(y, meet & _may("x.", "y.", percent))
     rest = rest.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = verified(saved(rest, "rest"), sets, percent)
+    more = linked(saved(rest, "rest"), "more")
     roots = saved(components(links.union(more)), "roots")
 
     # Back from contents to documents: the least key of each component, then each document's own.

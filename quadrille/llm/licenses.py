@@ -131,7 +131,7 @@ def _oracle() -> str:
     values = ", ".join(f"({_literal(a)}, {b}, {n}, {_literal(g)})" for a, b, n, g in rows)
     return f"""
 WITH notices(license, notice, size, shingle) AS (VALUES {values}),
-w AS (SELECT doc_id, text, list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), x -> x <> '') AS t FROM documents),
+w AS (SELECT doc_id, text, list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '') AS t FROM documents),
 s AS (SELECT doc_id, hash(text) AS k, t, unnest(range(len(t) - {WORDS - 1})) AS pos_at FROM w WHERE len(t) >= {WORDS}),
 h AS (SELECT doc_id, k, pos_at, array_to_string(list_slice(t, pos_at + 1, pos_at + {WORDS}), ' ') AS shingle FROM s),
 m AS (SELECT DISTINCT doc_id, k, license, notice, size, pos_at, shingle FROM h JOIN notices USING (shingle)),

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import op8_chat_formatting
 from .decontamination import op4_decontamination
 from .jaccard import op2_jaccard_join
 from .language import op5_language_id
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_decontamination": op4_decontamination,
         "op5_language_id": op5_language_id,
         "op7_license_scan": op7_license_scan,
+        "op8_chat_formatting": op8_chat_formatting,
         "op9_packing": op9_packing,
     }
 
