@@ -74,7 +74,11 @@ def word_array(text: Column) -> Column:
 
 def minhash(items: Column, bands: int) -> Column:
     """Array of (band, least hash of the items under the band's seed)."""
-    return F.array(*[F.struct(F.lit(b).alias("band"), F.array_min(F.transform(items, lambda x, b=b: F.xxhash64(x, F.lit(b * 7919 + 17)))).alias("value")) for b in range(bands)])
+
+    def least(band: int) -> Column:
+        return F.array_min(F.transform(items, lambda x: F.xxhash64(x, F.lit(band * 7919 + 17))))
+
+    return F.array(*[F.struct(F.lit(b).alias("band"), least(b).alias("value")) for b in range(bands)])
 
 
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text", notices: dict[str, list[str]] | None = None, containment: float = CONTAINMENT) -> DataFrame:
