@@ -11,6 +11,7 @@ from .decontamination import op4_decontamination
 from .jaccard import op2_jaccard_join
 from .language import op5_language_id
 from .licenses import OP7_SQL, op7_license_scan
+from .neighbours import op10_nearest_neighbours
 from .packing import op9_packing
 from .sharding import op1_sharding
 from .toxicity import op3_toxicity
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_license_scan": op7_license_scan,
         "op8_chat_formatting": op8_chat_formatting,
         "op9_packing": op9_packing,
+        "op10_nearest_neighbours": op10_nearest_neighbours,
     }
 
 
