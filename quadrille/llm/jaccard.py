@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +17,9 @@ from .shared import saved, sized, table
 from .textkernel import SPACES, sequence_keys, shingles, slices, words
 
 #: Cells of the table of shingle counts that orders shingles, whatever the corpus; it decides cost, never results.
-CELLS = 1 << 17
+CELLS = 1 << 20
+#: Cells whose counts of one task are a row together.
+BLOCK = 1 << 13
 #: Bits of a shingle's hash that place it in the bitmap of shared ones (2**26 bits: 8 MB).
 BITS = 26
 QUARTERS = np.array([1 << 62, 2 << 62, 3 << 62], np.uint64)
@@ -26,7 +30,7 @@ def _long(x: np.ndarray) -> pa.Array:
 
 
 def keyed(docs: DataFrame, words_per: int = WORDS) -> DataFrame:
-    """doc_id, number of shingles and a content key of each text; in rows without doc_id, counts by cell."""
+    """doc_id, number of shingles and a content key of each text; in rows with a block, a task's counts of its cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, np.int64)
@@ -36,12 +40,28 @@ def keyed(docs: DataFrame, words_per: int = WORDS) -> DataFrame:
             if sets:
                 cells += np.bincount((np.concatenate(sets) >> np.uint64(40)).astype(np.int64) % CELLS, minlength=CELLS)
             first, second = sequence_keys(w)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), _long(first), _long(second), pa.array(np.zeros(len(sets), bool))], names)
-        used = np.flatnonzero(cells)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(used), pa.int64()), pa.array(cells[used]), pa.array(used), pa.array(used), pa.array(np.ones(len(used), bool))], names)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), _long(first), _long(second), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names)
+        used = [k for k in range(CELLS // BLOCK) if cells[k * BLOCK : (k + 1) * BLOCK].any()]
+        counts = pa.array([zlib.compress(cells[k * BLOCK : (k + 1) * BLOCK].tobytes(), 1) for k in used], pa.binary())
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(used), pa.int64()) for _ in range(4)), pa.array(used, pa.int32()), counts], names)
 
-    names = ["doc_id", "n", "c", "c2", "cell"]
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, c long, c2 long, cell boolean")
+    names = ["doc_id", "n", "c", "c2", "block", "counts"]
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, c long, c2 long, block int, counts binary")
+
+
+def cell_counts(rows: DataFrame) -> np.ndarray:
+    """The sum of the tasks' counts, CELLS numbers."""
+
+    def add(part: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(BLOCK, np.int64)
+        for c in part["counts"]:
+            total += np.frombuffer(zlib.decompress(c), np.int64)
+        return pd.DataFrame({"block": part["block"].iloc[:1], "counts": [total.tobytes()]})
+
+    out = np.zeros(CELLS, np.int64)
+    for r in rows.filter("block is not null").select("block", "counts").groupBy("block").applyInPandas(add, "block int, counts binary").collect():
+        out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["counts"], np.int64)
+    return out
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], counts: np.ndarray, words_per: int, percent: int) -> Iterator[tuple]:
@@ -141,10 +161,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     first = saved(keyed(rows, words_per), "keys")
-    counts = np.zeros(CELLS, np.int64)
-    for r in first.filter("cell").groupBy("c").agg(F.sum("n").alias("n")).collect():  # CELLS rows at most
-        counts[r["c"]] = r["n"]
-    own = first.filter("not cell")
+    counts = cell_counts(first)
+    own = first.filter("block is null")
     bits = shared_bits(rows, counts, words_per, percent)
     index = saved(indexed(rows, counts, bits, words_per, percent), "index")
     shared = buckets(index)
