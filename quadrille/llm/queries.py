@@ -11,6 +11,7 @@ from .decontamination import op4_decontamination
 from .jaccard import op2_jaccard_join
 from .language import op5_language_id
 from .licenses import OP7_SQL, op7_license_scan
+from .linededup import OP6_SQL, op6_line_dedup
 from .neighbours import op10_nearest_neighbours
 from .packing import op9_packing
 from .sharding import op1_sharding
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": op3_toxicity,
         "op4_decontamination": op4_decontamination,
         "op5_language_id": op5_language_id,
+        "op6_line_dedup": op6_line_dedup,
         "op7_license_scan": op7_license_scan,
         "op8_chat_formatting": op8_chat_formatting,
         "op9_packing": op9_packing,
@@ -33,5 +35,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_line_dedup": OP6_SQL,
         "op7_license_scan": OP7_SQL,
     }
