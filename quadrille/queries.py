@@ -371,8 +371,7 @@ def largest_changes(spark, d):
     return top.select(F.col("rank").cast("long").alias("rank"), "label", "pixels")
 
 
-_FILL = f"{_LABELS}, fn AS (SELECT tk.label, count(*) AS filled FROM tk JOIN lb ON y >= ymin AND y < ymax AND x >= xmin AND x < xmax GROUP BY tk.label),
-fd AS (SELECT tk.*, filled / ((ymax - ymin) * (xmax - xmin))::DOUBLE AS fill FROM tk JOIN fn USING (label))"
+_FILL = f"{_LABELS}, fn AS (SELECT tk.label, count(*) AS filled FROM tk JOIN lb ON y >= ymin AND y < ymax AND x >= xmin AND x < xmax GROUP BY tk.label), fd AS (SELECT tk.*, filled / ((ymax - ymin) * (xmax - xmin))::DOUBLE AS fill FROM tk JOIN fn USING (label))"
 
 
 @query("fill_density", f"{_FILL} SELECT label, round(fill, 4) AS fill FROM fd")
