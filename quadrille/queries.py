@@ -422,12 +422,12 @@ def grounding_stats(spark, d):
 
 
 @query("cluster_counts", f"""{_LABELS}, an2 AS (SELECT label, g1.red > 40 AS hi, g1.nir > 200 AS bright, g1.sar FROM lb JOIN g1 USING (y, x))
-SELECT label, count(*) FILTER (hi) AS loss, count(*) FILTER (bright) AS built, round(avg(sar), 2) AS mean_sar FROM an2 GROUP BY label""")
+SELECT label, count(*) FILTER (hi) AS loss, count(*) FILTER (bright) AS built, round(avg(sar), 6) AS mean_sar FROM an2 GROUP BY label""")
 def cluster_counts(spark, d):
     """Conditional counts and means over the pixels of each component."""
     g = grids.grid_t1(spark, d)
     rows = _labels(spark, d).join(g.select(*KEY, (F.col("red") > 40).alias("hi"), (F.col("nir") > 200).alias("bright"), "sar"), KEY)
-    return rows.groupBy("label").agg(F.count_if("hi").alias("loss"), F.count_if("bright").alias("built"), _r(F.avg("sar"), 2).alias("mean_sar"))
+    return rows.groupBy("label").agg(F.count_if("hi").alias("loss"), F.count_if("bright").alias("built"), _r(F.avg("sar"), 6).alias("mean_sar"))
 
 
 # --- whole analyses, held against numpy in the tests ---------------------------------------------------------------

@@ -38,8 +38,8 @@ class UnsupportedRaster(ValueError):
 # --- expressions -------------------------------------------------------------------------------------------------
 
 
-def sniffed(content: Column, path: Column) -> Column:
-    """The format by its first bytes, else the extension in capitals, else UNKNOWN."""
+def by_content(content: Column) -> Column:
+    """The format by the first bytes; NULL for others."""
     out = None
     for name, heads in MAGIC.items():
         hit = None
@@ -47,8 +47,13 @@ def sniffed(content: Column, path: Column) -> Column:
             one = F.startswith(content, F.unhex(F.lit(h)))
             hit = one if hit is None else hit | one
         out = F.when(hit, name) if out is None else out.when(hit, name)
+    return out
+
+
+def sniffed(content: Column, path: Column) -> Column:
+    """The format by its first bytes, else the extension in capitals, else UNKNOWN."""
     ext = F.upper(F.regexp_extract(path, r"\.([^./\\]+)$", 1))
-    return out.when(ext != "", ext).otherwise("UNKNOWN")
+    return F.coalesce(by_content(content), F.when(ext != "", ext).otherwise("UNKNOWN"))
 
 
 def modality(name: Column, channels: Column) -> Column:
@@ -309,7 +314,7 @@ def uploads(listed: DataFrame, most_bytes: int = 100 << 20) -> tuple[DataFrame,
     or too large."""
     ext = F.lower(F.regexp_extract("path", r"\.([^./\\]+)$", 1))
     want = F.element_at(F.create_map(*[F.lit(x) for k, v in EXTENSIONS.items() for x in (k, v)]), ext)
-    reason = F.when(want.isNull(), "extension").when(F.col("length") > most_bytes, "size").when(want != F.col("format"), "content")
+    reason = F.when(want.isNull(), "extension").when(F.col("length") > most_bytes, "size").when(~by_content(F.col("content")).eqNullSafe(want), "content")
     judged = listed.withColumn("reason", reason)
     taken = judged.filter("reason is null").withColumn("id", F.concat(F.lit("img_"), F.substring(F.sha2("path", 256), 1, 10))).drop("reason")
     return taken, judged.filter("reason is not null").select("path", "length", "format", "reason")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .schema import RESULT
 
@@ -20,7 +21,8 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 
 def bootstrap(spark: SparkSession, path: str) -> DataFrame:
     """Results kept as JSON documents, a file each; documents that cannot be read are left out."""
-    rows = spark.read.schema(RESULT.add("_broken", "string") if "_broken" not in RESULT.fieldNames() else RESULT).option("multiLine", "true").option("columnNameOfCorruptRecord", "_broken").json(path)
+    schema = StructType([*RESULT.fields, StructField("_broken", StringType())])
+    rows = spark.read.schema(schema).option("multiLine", "true").option("columnNameOfCorruptRecord", "_broken").json(path)
     return rows.filter("_broken is null").drop("_broken")
 
 
@@ -32,7 +34,7 @@ def lookup(results: DataFrame, analysis_id: str) -> DataFrame:
 def recent(results: DataFrame, by: str = "execution_time_ms", most: int = MOST, id: str = "analysis_id") -> DataFrame:
     """The first ``most`` by run time, longest first, or by another column such as created_at; missing counts as
     least, ties go by id."""
-    return results.orderBy(F.coalesce(F.col(by), F.lit(0) if by == "execution_time_ms" else F.lit("")).desc() if by in ("execution_time_ms", "created_at") else F.col(by).desc_nulls_last(), id).limit(most)
+    return results.orderBy(F.col(by).desc_nulls_last(), id).limit(most)
 
 
 def dossier(results: DataFrame) -> DataFrame:
