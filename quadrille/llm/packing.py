@@ -281,7 +281,8 @@ class WordCoder:
     The vocabulary's normaliser and splitter never join across white space, so a text's ids are those of its words
     in turn. Only ASCII white space separates here; the tokenizer sees any other within its word. Case of ASCII
     letters and punctuation at a word's end are taken apart first, which changes no ids, as the splitter parts them
-    too; texts with combining marks or what may be a special token are left as they are.
+    too; texts with combining marks (or the one letter that lower case turns into some) or what may be a special token
+    are left as they are.
     """
 
     def __init__(self, path: str) -> None:
@@ -308,7 +309,7 @@ class WordCoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text's begin (one more at the end)."""
         plain = pc.replace_substring_regex(pc.ascii_lower(texts), WORD_THEN_MARKS, r"\1 \2\3")
-        w = words(pc.if_else(pc.match_substring_regex(texts, r"\p{M}|<\|"), texts, plain), BLANKS, AS_IT_IS)
+        w = words(pc.if_else(pc.match_substring_regex(texts, r"\p{M}|\x{130}|<\|"), texts, plain), BLANKS, AS_IT_IS)
         code, distinct = pd.factorize(w.hashes())
         if self.known > WORDS_KEPT:
             self.forget()
