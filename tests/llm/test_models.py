@@ -7,19 +7,20 @@ from quadrille.llm.language import fit, identify, op5_language_id
 from quadrille.llm.toxicity import op3_toxicity
 
 DATA = "/root/testdata/sf0.01"
+#: The smaller tables hold 45 toxic texts to learn from in four languages; this one holds some hundred.
+LARGER = "/root/testdata/sf0.1"
 
 
 def test_held_out_toxicity(spark):
-    got = op3_toxicity(spark, DATA).toPandas()
-    labels = spark.read.parquet(f"{DATA}/labels.parquet").toPandas()
-    assert len(got) == spark.read.parquet(f"{DATA}/documents.parquet").count()
+    got = op3_toxicity(spark, LARGER).toPandas()
+    labels = spark.read.parquet(f"{LARGER}/labels.parquet").toPandas()
+    assert len(got) == spark.read.parquet(f"{LARGER}/documents.parquet").count()
     assert got["score"].between(0, 1).all() and ((got["score"] >= 0.5) == (got["predicted"] == 1)).all()
     both = got.merge(labels, on="doc_id")
     held = both[both["held_out"]]
     good, bad = held[held["toxic"] == 0]["score"].to_numpy(), held[held["toxic"] == 1]["score"].to_numpy()
-    if len(good) and len(bad):
-        auc = np.mean([(b > good).mean() + 0.5 * (b == good).mean() for b in bad])
-        assert auc >= 0.9
+    auc = np.mean([(b > good).mean() + 0.5 * (b == good).mean() for b in bad])
+    assert len(bad) > 20 and auc >= 0.95
 
 
 def test_grammar():
@@ -31,7 +32,7 @@ def test_grammar():
 
 
 def test_toxicity_edges(spark, make):
-    docs = make([(i, "you are a grumblefrotz" if i % 2 else "a calm day by the river") for i in range(60)] + [(100, None), (101, ""), (102, "fine " * 40_000)])
+    docs = make([(i, f"you are a grumblefrotz {i}" if i % 2 else f"a calm day by the river {i}") for i in range(60)] + [(100, None), (101, ""), (102, "fine " * 40_000)])
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(None, 1), (7, None)], "doc_id long, toxic int")
     model = tox.fit(docs, labels)
     made = tox.toxicity(docs, model)
