@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.intent import parse_one
-from ..operators import bands, change, indices, masks, radar
+from ..operators import bands, change, indices, radar
 from ..operators.features import response_confidence
 from ..operators.scenes import extents, few_scenes
 from ..operators.storage import written
@@ -62,7 +62,6 @@ def _metadata(pixels: DataFrame, extent: DataFrame, modality: str) -> DataFrame:
 
 
 def _result(kind: str, prefix: str, scenes: DataFrame, parsed: dict, task: str, metrics: DataFrame, features: DataFrame, confidence: DataFrame, limitation: str | None, done: set[str], insights: DataFrame | None, started: float) -> DataFrame:
-    spark = scenes.sparkSession
     rows = scenes.join(metrics.select("scene_id", F.to_json(F.struct(*[c for c in metrics.columns if c != "scene_id"])).alias("metrics")), "scene_id", "left")
     rows = rows.join(_gathered(features), "scene_id", "left").join(confidence, "scene_id", "left")
     rows = rows.join(insights, "scene_id", "left") if insights is not None else rows.withColumn("insights", F.lit(None).cast("array<string>"))
@@ -76,7 +75,6 @@ def _result(kind: str, prefix: str, scenes: DataFrame, parsed: dict, task: str,
         "tools_planned": F.array(*[F.lit(TOOLS[s]) for s in steps]), "tools_used": F.array(*[F.lit(TOOLS[s]) for s in TOOLS if s in done]), "features": F.col("features"), "trace": _trace(steps, done, ms),
         "metrics": F.col("metrics"), "insights": F.col("insights"), "limitations": F.col("limitations"), "execution_time_ms": F.lit(ms), "created_at": F.lit(time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())),
     }
-    del spark
     return rows.select("scene_id", *[made[f.name].cast(f.dataType).alias(f.name) for f in RESULT])
 
 
@@ -127,5 +125,3 @@ def fuse(spark: SparkSession, optical: DataFrame, radar_raw: DataFrame, query: s
     scenes = _metadata(optical, extents(optical), "SAR")
     return _result("fusion", "sar_", scenes, p, "OPTICAL_SAR", got["metrics"], got["features"], response_confidence(got["features"]), None, set(p["steps"]), got["insights"], started)
 
-
-__all__ = ["analyze", "detect_change", "fuse", "masks"]

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import intent
@@ -14,6 +13,8 @@ from .operators import bands, change, features, indices, masks, neighbours, rada
 from .operators.components import components, largest, numbered, sizes
 from .operators.resample import resample
 from .operators.scenes import attach, extents, quantiles
+from .plans.engine import analyze
+from .plans.registry import ground
 from .schema import KEY
 from .sources import datasets, grids, raster
 
@@ -319,7 +320,7 @@ def radar_regimes(spark, d):
     return radar.radar_stats(radar.filtered(grids.radar(grids.grid_t1(spark, d)), few=True)).drop("scene_id")
 
 
-@query("fusion_mask", f"""{VIEWS.replace("WITH RECURSIVE", "WITH RECURSIVE", 1)}, {_DB.split(grids.GRID_SQL + ", ", 1)[1]} SELECT y, x FROM lf JOIN v1 USING (y, x) WHERE f > -7 AND (red + green + blue) / 765.0::DOUBLE > 0.35""")
+@query("fusion_mask", f"""{VIEWS}, {_DB.split(grids.GRID_SQL + ", ", 1)[1]} SELECT y, x FROM lf JOIN v1 USING (y, x) WHERE f > -7 AND (red + green + blue) / 765.0::DOUBLE > 0.35""")
 def fusion_mask(spark, d):
     g = grids.grid_t1(spark, d)
     return radar.fusion_pixels(grids.optical(g), radar.filtered(grids.radar(g), few=True), True).filter("mask").select("y", "x")
@@ -435,8 +436,6 @@ def cluster_counts(spark, d):
 
 @query("ground_features")
 def ground_features(spark, d):
-    from .plans.registry import ground
-
     return ground(t1(spark, d), "vegetation", few=True)["features"]
 
 
@@ -458,8 +457,6 @@ def fusion_features(spark, d):
 
 @query("analyze_scene")
 def analyze_scene(spark, d):
-    from .plans.engine import analyze
-
     return analyze(spark, t1(spark, d), "Describe the vegetation and the water of this scene").select("scene_id", "task_type", "answer", "confidence", "tools_used", "metrics")
 
 
@@ -471,10 +468,10 @@ def _like(q: str, words: list[str]) -> str:
 
 
 _Q = "lower(trim(coalesce(text, '')))"
-_PARSED = f"""WITH q AS (SELECT conv_id, turn, text, {', '.join(f'{_like(_Q, w)} AS {n}' for n, w in (('tm', intent.TEMPORAL), ('gr', intent.GREEN), ('bu', intent.BUILT), ('ra', intent.RADAR), ('lo', intent.LOCATE), ('ve', intent.VEGETATION), ('wa', intent.WATER), ('to', intent.BUILT_FEATURE), ('de', intent.DESCRIBE), ('co', intent.COVER)))} FROM conversations),
+_PARSED = f"""WITH q AS (SELECT conv_id, turn, text, {', '.join(f'{_like(_Q, w)} AS {n}' for n, w in (('tm', intent.TEMPORAL), ('gr', intent.GREEN), ('bu', intent.BUILT), ('ra', intent.RADAR), ('lo', intent.LOCATE), ('ve', intent.VEGETATION), ('wa', intent.WATER), ('tw', intent.BUILT_FEATURE), ('de', intent.DESCRIBE), ('co', intent.COVER)))} FROM conversations),
 p AS (SELECT *, list_filter([CASE WHEN tm AND gr AND bu THEN 'COMPOUND_CHANGE' END, CASE WHEN tm THEN 'CHANGE_DETECTION' END, CASE WHEN ra THEN 'OPTICAL_SAR' END, CASE WHEN lo THEN 'SPATIAL_GROUNDING' END, CASE WHEN ve THEN 'SPECTRAL_VEGETATION' END, CASE WHEN wa THEN 'SPECTRAL_WATER' END, CASE WHEN de THEN 'SCENE_DESCRIPTION' END, CASE WHEN co THEN 'LAND_COVER' END], lambda x: x IS NOT NULL) AS i0,
- list_filter([CASE WHEN tm AND gr AND bu THEN 'vegetation_loss' END, CASE WHEN tm AND gr AND bu THEN 'builtup_gain' END, CASE WHEN ve THEN 'vegetation' END, CASE WHEN wa THEN 'water' END, CASE WHEN to THEN 'built_up' END], lambda x: x IS NOT NULL) AS tf FROM q),
-r AS (SELECT *, CASE WHEN len(i0) > 0 THEN i0 WHEN len(tf) > 0 THEN ['SPATIAL_GROUNDING'] ELSE ['SCENE_DESCRIPTION'] END AS it FROM p)""".replace(" AS to ", " AS tw ").replace(" to THEN", " tw THEN").replace(" AS to FROM", " AS tw FROM").replace(" AS to,", " AS tw,")
+ list_filter([CASE WHEN tm AND gr AND bu THEN 'vegetation_loss' END, CASE WHEN tm AND gr AND bu THEN 'builtup_gain' END, CASE WHEN ve THEN 'vegetation' END, CASE WHEN wa THEN 'water' END, CASE WHEN tw THEN 'built_up' END], lambda x: x IS NOT NULL) AS tf FROM q),
+r AS (SELECT *, CASE WHEN len(i0) > 0 THEN i0 WHEN len(tf) > 0 THEN ['SPATIAL_GROUNDING'] ELSE ['SCENE_DESCRIPTION'] END AS it FROM p)"""
 
 
 @query("intent_classify", f"{_PARSED} SELECT conv_id, turn, it[1] AS primary_intent, array_to_string(it, ',') AS intents, array_to_string(tf, ',') AS targets, list_contains(it, 'SPATIAL_GROUNDING') OR len(tf) > 0 AS requires_grounding, list_contains(it, 'SPECTRAL_VEGETATION') OR list_contains(it, 'SPECTRAL_WATER') AS requires_spectral, list_contains(it, 'CHANGE_DETECTION') AS requires_change, list_contains(it, 'OPTICAL_SAR') AS requires_sar FROM r")
@@ -633,5 +630,3 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return dict(_sql)
 
-
-__all__ = ["W", "oracle_sql", "queries"]
