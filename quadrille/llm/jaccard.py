@@ -20,8 +20,6 @@ from .textkernel import SPACES, sequence_keys, shingles, slices, words
 CELLS = 1 << 20
 #: Cells whose counts of one task are a row together.
 BLOCK = 1 << 13
-#: Bits of a shingle's hash that place it in the bitmap of shared ones (2**26 bits: 8 MB).
-BITS = 26
 QUARTERS = np.array([1 << 62, 2 << 62, 3 << 62], np.uint64)
 
 
@@ -83,33 +81,13 @@ def _prefixes(batches: Iterator[pa.RecordBatch], counts: np.ndarray, words_per:
             yield found
 
 
-def shared_bits(docs: DataFrame, counts: np.ndarray, words_per: int = WORDS, percent: int = PERCENT) -> np.ndarray:
-    """A bitmap of the prefix shingles that two contents or more have. Its size is fixed, so it may say yes to others
-    as well, which only costs. Only shingle and content are shuffled for it."""
+def indexed(docs: DataFrame, counts: np.ndarray, words_per: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Index rows (h, c, n, pos, rest) of all prefixes. ``rest`` holds how many of the shingles behind pos lie in each
+    quarter of the hashes, 16 bits each, for the suffix filter."""
     sent = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, _, rows in _prefixes(batches, sent.value, words_per, percent):
-            length = np.array([len(r) for r in rows])
-            yield pa.RecordBatch.from_arrays([_long(np.concatenate(rows)), _long(np.repeat(np.array(keys, np.uint64), length))], ["h", "c"])
-
-    shared = docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high")
-    word = F.shiftrightunsigned("h", 64 - BITS).cast("long")
-    rows = shared.groupBy(F.shiftrightunsigned(word, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - BITS}) & 63 as int))")).alias("bits"))
-    out = np.zeros(1 << (BITS - 6), np.int64)
-    for part in rows.toArrow().to_batches():
-        out[part.column("word").to_numpy()] = part.column("bits").to_numpy()
-    return out
-
-
-def indexed(docs: DataFrame, counts: np.ndarray, bits: np.ndarray, words_per: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Index rows (h, c, n, pos, rest) of the shingles in ``bits``. ``rest`` holds how many of the shingles behind pos
-    lie in each quarter of the hashes, 16 bits each, for the suffix filter."""
-    sent = docs.sparkSession.sparkContext.broadcast((counts, bits))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, bits = sent.value
-        for keys, sets, prefixes in _prefixes(batches, counts, words_per, percent):
+        for keys, sets, prefixes in _prefixes(batches, sent.value, words_per, percent):
             n, length = (np.array([len(x) for x in column], np.int64) for column in (sets, prefixes))
             rows, first = np.concatenate(prefixes), np.cumsum(length) - length
             cuts = np.array([np.searchsorted(s, QUARTERS) for s in sets])
@@ -120,14 +98,19 @@ def indexed(docs: DataFrame, counts: np.ndarray, bits: np.ndarray, words_per: in
                 used = up - np.repeat(up[first] - (quarter[first] == k), length)
                 rest |= np.minimum(np.repeat(whole[:, k], length) - used, 0x7FFF) << (16 * k)
             pos = np.arange(len(rows)) - np.repeat(first, length)
-            place = (rows >> np.uint64(64 - BITS)).astype(np.int64)
-            at = np.flatnonzero((bits[place >> 6] >> (place & 63)) & 1)
-            whose = np.repeat(np.arange(len(n)), length)[at]
-            yield pa.RecordBatch.from_arrays([_long(rows[at]), _long(np.array(keys, np.uint64)[whose]), pa.array(n[whose].astype(np.int32)), pa.array(pos[at].astype(np.int32)), pa.array(rest[at])], ["h", "c", "n", "pos", "rest"])
+            yield pa.RecordBatch.from_arrays([_long(rows), _long(np.repeat(np.array(keys, np.uint64), length)), pa.array(np.repeat(n, length).astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(rest)], ["h", "c", "n", "pos", "rest"])
 
     return docs.select("text").mapInArrow(run, "h long, c long, n int, pos int, rest long")
 
 
+def shared_index(docs: DataFrame, counts: np.ndarray, words_per: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The index rows whose shingle is in the prefixes of two contents or more. Only shingle and content are shuffled to
+    find those shingles; the whole rows, read again, then meet them. Both grow as the texts do."""
+    rows = indexed(docs, counts, words_per, percent)
+    shared = rows.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("h")
+    return rows.join(sized(saved(shared, "shared")), "h", "left_semi")
+
+
 def sets_of(docs: DataFrame, words_per: int = WORDS) -> DataFrame:
     """c and the shingles (items) of each row of ``docs``."""
 
@@ -163,8 +146,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     first = saved(keyed(rows, words_per), "keys")
     counts = cell_counts(first)
     own = first.filter("block is null")
-    bits = shared_bits(rows, counts, words_per, percent)
-    index = saved(indexed(rows, counts, bits, words_per, percent), "index")
+    index = saved(shared_index(rows, counts, words_per, percent), "index")
     shared = buckets(index)
     entries = saved(live(index, shared, percent).dropDuplicates(["h", "c"]), "entries")
 
