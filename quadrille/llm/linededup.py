@@ -7,6 +7,8 @@ meet the rest of it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,11 @@ HASH_BITS = 48
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x evaluated once, however often f names it: as the one element of an array."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
 def lines_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each line: k (the key, null least of all), t (which of several texts of one key), line_no and line."""
     k = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
@@ -27,15 +34,24 @@ def lines_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return rows.select("k", "t", F.posexplode(F.split("x", "\n")).alias("line_no", "line"))
 
 
+def folded(line: Column) -> Column:
+    """A-Z in lower case; the other letters keep theirs. Where lower() would change no other letter it does just that,
+    many times as fast as translate()."""
+    same = (F.length(line) == F.octet_length(line)) | ~F.rlike(line, F.lit(r"[\p{Lu}\p{Lt}\p{Nl}\p{So}&&[^A-Z]]"))
+    return F.when(same, F.lower(line)).otherwise(F.translate(line, UPPER, LOWER))
+
+
 def words_of(line: Column) -> Column:
-    """Runs of other than white space, with A-Z folded; the other letters keep their case."""
-    return F.array_remove(F.split(F.translate(line, UPPER, LOWER), "[ \\t\\r\\f\\x0B]+"), "")
+    """Runs of other than white space, with A-Z folded. Blanks part words; other white space, rare, becomes blanks."""
+    odd = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\f")) | F.contains(line, F.lit("\x0b"))
+    plain = F.when(odd, F.translate(line, "\t\r\f\x0b", "    ")).otherwise(line)
+    return F.array_remove(F.split(folded(plain), " "), "")
 
 
 def hashed(words: Column, size: int = WORDS) -> Column:
-    """Hashes of the distinct shingles; fewer words are one shingle as they are, no words none."""
+    """Hashes of the shingles; fewer words are one shingle as they are, no words none."""
     n = F.size(words)
-    many = F.transform(F.sequence(F.lit(1), n - (size - 1)), lambda i: F.xxhash64(F.slice(words, i, size)))
+    many = F.transform(F.sequence(F.lit(0), n - size), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(size)]))
     return F.when(n >= size, many).when(n > 0, F.array(F.xxhash64(words)))
 
 
@@ -45,7 +61,11 @@ def cell(h: Column) -> Column:
 
 def ranks(lines: DataFrame, size: int = WORDS) -> Column:
     """How often each cell of tokens occurs in all lines, as a constant array: CELLS numbers, whatever the corpus."""
-    tokens = lines.select(F.explode(hashed(words_of(F.col("line")), size)).alias("h"))
+    # Words beside those that follow them, as columns: so every step is compiled. One-token lines need no order.
+    names = [f"w{j}" for j in range(size)]
+    shifted = [F.slice("w", F.lit(j + 1), F.greatest(F.size("w") - j, F.lit(0))) for j in range(size)]
+    rows = lines.select(words_of(F.col("line")).alias("w")).select(F.inline(F.arrays_zip(*shifted))).toDF(*names)
+    tokens = rows.filter(F.col(names[-1]).isNotNull()).select(F.xxhash64(*names).alias("h"))
     counts = {r["cell"]: r["n"] for r in tokens.groupBy(cell(F.col("h")).alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()}
     # Only the order of the counts matters: ranks of at most 16 bits, and one literal instead of CELLS.
     place = {n: i for i, n in enumerate(sorted(set(counts.values())))}
@@ -56,13 +76,13 @@ def ranks(lines: DataFrame, size: int = WORDS) -> Column:
 def tokens_of(words: Column, rank: Column, size: int = WORDS) -> Column:
     """The line's set as sorted numbers, its rarest token first: rank above HASH_BITS bits of the shingle's hash."""
     low = (1 << HASH_BITS) - 1
-    place = lambda h: F.shiftleft(F.element_at(rank, cell(h) + 1), HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit(low)))
-    return F.array_sort(F.array_distinct(F.transform(hashed(words, size), place)))
+    place = lambda h: F.coalesce(F.shiftleft(F.get(rank, cell(h)), HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit(low))), F.lit(0))
+    return F.sort_array(F.array_distinct(F.transform(hashed(words, size), place)))
 
 
 def prefixes(lines: DataFrame, rank: Column, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Index rows (k, t, line_no, c, n, pos, h): tokens of each line's prefix; c is a key of the line's words."""
-    made = lines.select("k", "t", "line_no", words_of(F.col("line")).alias("w")).filter(F.size("w") > 0)
+    made = lines.select("k", "t", "line_no", words_of(F.col("line")).alias("w"))
     made = made.select("k", "t", "line_no", F.xxhash64("w").alias("c"), tokens_of(F.col("w"), rank, size).alias("s"))
     made = made.select("k", "t", "line_no", "c", F.size("s").alias("n"), F.posexplode(F.slice("s", F.lit(1), prefix(F.size("s"), percent))).alias("pos", "h"))
     return made
@@ -73,7 +93,7 @@ def verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, rank: Column,
     ends = pairs.select("c").union(pairs.select(F.col("b"))).distinct()
     wanted = saved(firsts.join(ends, "c", "left_semi").select("c", "f.*"), "wanted")
     lines = lines_of(docs, key, text).join(sized(wanted), ["k", "t", "line_no"])
-    sets = saved(lines.select("c", tokens_of(words_of(F.col("line")), rank, size).alias("s")), "sets")
+    sets = saved(lines.select("c", once(words_of(F.col("line")), lambda w: tokens_of(w, rank, size)).alias("s")), "sets")
     both = pairs.join(sets, "c").join(sets.select(F.col("c").alias("b"), F.col("s").alias("z")), "b")
     common, total = F.size(F.array_intersect("s", "z")), F.size("s") + F.size("z")
     return both.withColumn("common", common).filter(F.col("common") * 100 >= (total - F.col("common")) * percent).select("c", "b")
@@ -99,7 +119,7 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     shared = index.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("n").alias("least")).filter("low <> high").select("h", "least")
     shared = saved(shared, "shared")
     least = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / F.lit(100.0) - F.lit(1e-9)).cast("int"))
-    live = index.select("h", "c", "n", "pos").join(sized(shared), "h").filter(F.col("n") - F.col("pos") >= overlap(F.col("n"), least, percent))
+    live = index.select("h", "c", "n", "pos").join(shared.hint("merge"), "h").filter(F.col("n") - F.col("pos") >= overlap(F.col("n"), least, percent))
     entries = saved(live.select("h", "c", "n", "pos").distinct().join(firsts, "c"), "entries")
 
     # Everything in a bucket meets its earliest line.
