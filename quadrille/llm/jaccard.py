@@ -105,10 +105,10 @@ def indexed(docs: DataFrame, counts: np.ndarray, words_per: int = WORDS, percent
 
 def shared_index(docs: DataFrame, counts: np.ndarray, words_per: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The index rows whose shingle is in the prefixes of two contents or more. Only shingle and content are shuffled to
-    find those shingles; the whole rows, read again, then meet them. Both grow as the texts do."""
+    find those shingles; the whole rows, read again, then meet them, at every size by the same kind of join."""
     rows = indexed(docs, counts, words_per, percent)
     shared = rows.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("h")
-    return rows.join(sized(saved(shared, "shared")), "h", "left_semi")
+    return rows.join(saved(shared, "shared").hint("merge"), "h", "left_semi")
 
 
 def sets_of(docs: DataFrame, words_per: int = WORDS) -> DataFrame:
