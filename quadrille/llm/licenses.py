@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,9 +40,11 @@ WORDS = 5
 CONTAINMENT = 0.8
 #: Windows of so many shingles begin at every half of it. Notices are cut into segments that fit in half a window.
 WINDOW = 32
-#: MinHash: one hash a band. A segment of which a window holds a share s, among other notices' shingles, has
-#: Jaccard similarity j >= s / 3 when windows hold at most two segments more; 1 - (1 - j)**BANDS is over 0.999 then.
+#: MinHash: one hash a band, over a segment's own shingles alone. A band meets where the segment's least shingle is
+#: held, so a segment held to a share s is met but for (1 - s)**BANDS, and of a notice that is found some segment is
+#: held to the wanted containment. More bands are taken where that is low.
 BANDS = 24
+LOSS = 1e-12
 #: Shingles of all notices that may travel inside the plan.
 MOST_SHINGLES = 100_000
 
@@ -101,22 +104,21 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", notices: dict[s
     built = F.transform(begins, lambda i: F.struct(i.alias("at"), F.array_join(F.slice(F.col(tokens), i + 1, WORDS), " ").alias("shingle")))
     hits = F.filter(built, lambda s: s["shingle"].isin(vocabulary))
     hit = rows.select(k, text_key, F.inline(hits)).withColumn("h", F.xxhash64("shingle")).drop("shingle")
-    half = WINDOW // 2
-    spread = hit.withColumn("window", F.explode(F.array(F.floor(F.col("at") / half), F.floor(F.col("at") / half) - 1)))
-    windows = spread.groupBy(k, text_key, "window").agg(F.collect_set("h").alias("items"), F.collect_set(F.struct("h", "at")).alias("places"))
-    banded = windows.withColumn("b", F.explode(minhash(F.col("items"), BANDS))).select(k, text_key, "window", "items", "places", "b.*")
-
     listed = spark.createDataFrame([(a, b, n, s, g) for a, b, n, s, own in cut for g in own], "license string, notice int, size int, segment int, shingle string")
-    known = listed.groupBy("license", "notice", "size", "segment").agg(F.collect_set(F.xxhash64("shingle")).alias("own"))
-    bands = known.withColumn("b", F.explode(minhash(F.col("own"), BANDS))).select("license", "notice", "size", "segment", "own", "b.*")
-    met = banded.join(sized(bands), ["band", "value"]).dropDuplicates([k, text_key, "window", "license", "notice", "segment"])
-    held = met.withColumn("got", F.array_intersect("items", "own")).filter(F.size("got") > 0)
-    # Segments of a notice are put together where they follow each other: places of its shingles less gaps over a window.
-    one = held.select(k, text_key, "license", "notice", "size", F.explode(F.filter("places", lambda p: F.array_contains(F.col("got"), p["h"]))).alias("p")).select(k, text_key, "license", "notice", "size", "p.*").distinct()
+    listed = listed.select("license", "notice", "size", "segment", F.xxhash64("shingle").alias("h"))
+    segment = ["license", "notice", "size", "segment"]
+    bands = max(BANDS, math.ceil(math.log(LOSS) / math.log(1 - min(containment, 0.9))))
+    known = listed.groupBy(*segment).agg(F.collect_set("h").alias("own")).select(*segment, minhash(F.col("own"), bands).alias("bands"))
+    half = WINDOW // 2
+    spread = hit.join(sized(listed), "h").withColumn("window", F.explode(F.array(F.floor(F.col("at") / half), F.floor(F.col("at") / half) - 1)))
+    windows = spread.groupBy(k, text_key, "window", *segment).agg(F.collect_set("h").alias("items"), F.collect_set(F.struct("h", "at")).alias("places"))
+    met = windows.join(sized(known), segment).withColumn("met", F.arrays_overlap(minhash(F.col("items"), bands), F.col("bands")))
+    # All places of a notice count, those of segments and windows that did not meet too; places follow each other less gaps over half a window.
+    one = met.select(k, text_key, "license", "notice", "size", "met", F.explode("places").alias("p")).groupBy(k, text_key, "license", "notice", "size", "p.h", "p.at").agg(F.max("met").alias("met"))
     order = W.partitionBy(k, text_key, "license", "notice").orderBy("at")
     gap = F.col("at") - F.lag("at").over(order) > WINDOW // 2
     runs = one.withColumn("run", F.sum(F.when(gap, 1).otherwise(0)).over(order))
-    found = runs.groupBy(k, text_key, "license", "notice", "size", "run").agg(F.min("at").alias("position"), F.size(F.collect_set("h")).alias("n"))
+    found = runs.groupBy(k, text_key, "license", "notice", "size", "run").agg(F.min("at").alias("position"), F.size(F.collect_set("h")).alias("n"), F.max("met").alias("met")).filter("met")
     found = found.withColumn("contained", F.col("n") / F.col("size")).filter(F.col("contained") >= containment)
     return found.select(F.col(k).alias(key), "license", "notice", F.col("position").cast("int").alias("position"), "contained")
 

@@ -81,6 +81,22 @@ def test_notice_query(spark):
     assert got == want and got
 
 
+def test_short_notices_beside_long_ones(spark, make):
+    short = ["Licensed under the MIT License.", "Released under the MIT License.", "Licensed under CC BY 4.0."]
+    long = [NOTICES["MIT"][2], NOTICES["GPL-3.0"][1], NOTICES["Apache-2.0"][1], NOTICES["BSD-3-Clause"][0]]
+    texts = [" ".join(["word"] * shift + parts) for shift in range(16) for s in short for a, b in zip(long, long[1:] + long[:1], strict=True) for parts in ([s, a], [a, s], [a, s, b])]
+    spread = NOTICES["GPL-3.0"][1].split()
+    spread[20] = spread[33] = "changed"
+    texts += [" ".join(spread[:8] + ["more"] * 9 + spread[8:])]
+    docs = make(list(enumerate(texts)))
+    con = duckdb.connect()
+    con.register("listed", docs.select("doc_id", "text").toPandas())
+    con.execute("CREATE VIEW documents AS SELECT * FROM listed")
+    want = sorted((*r[:4], round(r[4], 9)) for r in con.execute(OP7_SQL).fetchall())
+    got = sorted((r["doc_id"], r["license"], r["notice"], r["position"], round(r["contained"], 9)) for r in license_scan(docs).collect())
+    assert got == want and {r[0] for r in want} >= set(range(len(texts) - 1))
+
+
 def exact_nearest(ids, v, asked, k):
     out = {}
     for q in asked:
