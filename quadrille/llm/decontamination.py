@@ -3,7 +3,8 @@
 Windows of an item's size are embedded by CGK random walks, which turn edit distance into Hamming distance, and
 looked up by repeated bit sampling; what is found is verified by the exact word edit distance. Before that, windows
 that hold too few word pairs of the items of their size are passed over. That loses nothing: each edit breaks two
-pairs at most, so within k edits of an item of n words a window has n - 1 - 2k of its pairs or more.
+pairs at most, so within k edits of an item of n words a window has n - 1 - 2k of its pairs or more. Items too short
+for an edit are looked up by the hash of all their words. In scripts without blanks each character is a word.
 """
 
 from __future__ import annotations
@@ -19,11 +20,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import fresh, table
-from .textkernel import NOT_ALNUM, U, coded, grams, mix, slices, table_of, words
+from .textkernel import NOT_ALNUM, U, Words, coded, grams, mix, slices, table_of, words
 
 #: Share of an item's words that may be inserted, deleted or replaced.
 EDITS = 0.2
-#: Shorter items would occur by chance and are not searched; longer ones are searched in parts of at most MAX_WORDS.
+#: Shorter items are searched without edits, of which they may have none; longer ones in parts of at most MAX_WORDS.
 MIN_WORDS = 5
 MAX_WORDS = 128
 #: Items whose index is sent to the tasks at once; more are searched in further passes.
@@ -59,6 +60,11 @@ class Index:
     key_size: np.ndarray
     key_item: np.ndarray
     walks: int
+    short: dict[int, tuple[np.ndarray, np.ndarray, list[list]]]  # by words: sorted hashes of whole items, their table, and ids
+
+
+def read(texts: pa.Array) -> Words:
+    return words(pc.utf8_lower(texts), NOT_ALNUM, apart=True)
 
 
 def walk(codes: np.ndarray, lengths: np.ndarray, number: int, steps: int) -> np.ndarray:
@@ -126,9 +132,9 @@ def walks_for(groups: dict[int, list[np.ndarray]], edits: float, recall: float)
 
 
 def index(items: list[tuple], edits: float = EDITS, recall: float = RECALL) -> Index:
-    """Index (id, text) pairs. Null or short texts are left out; of parts of one item, each is searched."""
+    """Index (id, text) pairs. Null and wordless texts are left out; of parts of one item, each is searched."""
     held = [(i, t) for i, t in items if t]
-    w = words(pc.utf8_lower(pa.array([t for _, t in held], pa.string())), NOT_ALNUM)
+    w = read(pa.array([t for _, t in held], pa.string()))
     h = w.hashes()
     vocabulary = np.unique(h)
     coarse = table_of(vocabulary)
@@ -140,6 +146,7 @@ def index(items: list[tuple], edits: float = EDITS, recall: float = RECALL) -> I
     groups: dict[int, list[np.ndarray]] = defaultdict(list)
     own_pairs: dict[int, list[np.ndarray]] = defaultdict(list)
     ids: dict[int, list] = defaultdict(list)
+    brief: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
     for k, (i, _) in enumerate(held):
         bounds = np.linspace(w.of[k], w.of[k + 1], max(1, -(-int(w.of[k + 1] - w.of[k]) // MAX_WORDS)) + 1).astype(int)
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
@@ -147,6 +154,10 @@ def index(items: list[tuple], edits: float = EDITS, recall: float = RECALL) -> I
                 groups[b - a].append(codes[a:b])
                 own_pairs[b - a].append(pair_codes[a : b - 1])
                 ids[b - a].append(i)
+            elif b > a:
+                if int((b - a) * edits):
+                    raise ValueError(f"items under {MIN_WORDS} words are searched without edits; with {edits} one of {b - a} words may have some")
+                brief[int(b - a)][int(grams(h[a:b], int(b - a))[0])].append(i)
     walks = walks_for(groups, edits, recall) if groups else 1
     sizes, member, found = [], np.zeros((len(pairs) + 1, len(groups)), bool), [(np.zeros((0, 1), U), 0)]
     for n, length in enumerate(sorted(groups)):
@@ -158,7 +169,11 @@ def index(items: list[tuple], edits: float = EDITS, recall: float = RECALL) -> I
     order = np.argsort(key, kind="stable")
     key_size = np.concatenate([np.full(k.size, n) for k, n in found])[order]
     key_item = np.concatenate([np.repeat(np.arange(len(k)), k.shape[1]) for k, _ in found])[order]
-    return Index(vocabulary, coarse, pairs, coarse_pairs, member, sizes, key[order], key_size, key_item, walks)
+    short = {}
+    for length, own in sorted(brief.items()):
+        whole = np.array(sorted(own), U)
+        short[length] = whole, table_of(whole), [own[x] for x in sorted(own)]
+    return Index(vocabulary, coarse, pairs, coarse_pairs, member, sizes, key[order], key_size, key_item, walks, short)
 
 
 def near_ends(item: np.ndarray, text: np.ndarray, limit: int) -> list[tuple[int, int, int]]:
@@ -193,7 +208,7 @@ def near_ends(item: np.ndarray, text: np.ndarray, limit: int) -> list[tuple[int,
 
 def search(x: Index, texts: pa.Array) -> list[list[tuple]]:
     """For each text the places found, as (item id, start, end, edits, item words) by words of the text."""
-    w = words(pc.utf8_lower(texts), NOT_ALNUM)
+    w = read(texts)
     h = w.hashes()
     code = coded(x.vocabulary, x.coarse, h)
     total = len(code)
@@ -242,6 +257,14 @@ def search(x: Index, texts: pa.Array) -> list[list[tuple]]:
             high = min(int(w.of[d + 1]), at[b - 1] + size.length + size.limit)
             for s, e, edits in near_ends(size.codes[item], code[low:high], size.limit):
                 found[d].append((size.ids[item], int(low + s - w.of[d]), int(low + e - w.of[d]), edits, size.length))
+    for length, (whole, coarse, ids) in x.short.items():
+        which = coded(whole, coarse, grams(h, length))
+        free: dict[tuple[int, int], int] = {}
+        for at in np.flatnonzero(which):
+            d, item = int(text_of[at]), int(which[at]) - 1
+            if text_of[at + length - 1] == d and at >= free.get((d, item), 0):
+                free[d, item] = int(at) + length
+                found[d] += [(i, int(at - w.of[d]), int(at + length - w.of[d]), 0, length) for i in ids[item]]
     return [sorted(set(f), key=lambda p: (p[1], p[2], str(p[0]))) for f in found]
 
 
@@ -249,7 +272,8 @@ def scan(df: DataFrame, items: DataFrame, text: str = "text", leaks: str = "leak
     """Add to each row the list ``leaks`` of structs item_id, start, end, edits, item_words. No shuffle.
 
     Items come to the driver in blocks of about BLOCK_ITEMS, each block one pass over the rows, so the index that
-    travels is bounded. Null and empty texts have no leaks; whole texts are searched; null items are left out.
+    travels is bounded. Null and empty texts have no leaks; whole texts are searched; null and wordless items
+    are left out. An item of one common word is found wherever that word is.
     """
     names = [n for n in (df.columns if keep is None else keep) if n != leaks]
     hidden = text if text in names else fresh(names + [leaks], "text_read")[0]

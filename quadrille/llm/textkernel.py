@@ -58,6 +58,14 @@ def lower_ascii() -> np.ndarray:
 SPACES = byte_class(bytes([0x20, *range(0x09, 0x0E)]))
 NOT_ALNUM = byte_class(bytes(b for b in range(128) if not chr(b).isalnum()))
 LOWER = lower_ascii()
+#: First code points of stretches by kind: 0 others, 1 characters of scripts that put no blanks between words, 2 their
+#: punctuation. Thai, Lao, Tibetan, Myanmar, Khmer and other scripts of South East Asia; Chinese and Japanese.
+STRETCHES = np.array([
+    (0x0000, 0), (0x0E00, 1), (0x0F0B, 2), (0x0F15, 1), (0x1000, 1), (0x104A, 2), (0x1050, 1), (0x10A0, 0), (0x1780, 1), (0x17D4, 2), (0x17D7, 1), (0x17D8, 2), (0x17DB, 1), (0x1800, 0),
+    (0x1950, 1), (0x1AB0, 0), (0x1B00, 1), (0x1B80, 0), (0x2E80, 1), (0x2FF0, 2), (0x3005, 1), (0x3008, 2), (0x3021, 1), (0x3030, 2), (0x3031, 1), (0x303D, 2), (0x3041, 1), (0x30A0, 2), (0x30A1, 1), (0x30FB, 2), (0x30FC, 1), (0x3130, 0),
+    (0x31A0, 1), (0x3200, 0), (0x3400, 1), (0x4DC0, 0), (0x4E00, 1), (0xA000, 0), (0xA980, 1), (0xAA00, 0), (0xAA60, 1), (0xAAE0, 0), (0xF900, 1), (0xFB00, 0), (0xFE30, 2), (0xFE50, 0),
+    (0xFF01, 2), (0xFF10, 0), (0xFF1A, 2), (0xFF21, 0), (0xFF3B, 2), (0xFF41, 0), (0xFF5B, 2), (0xFF66, 1), (0xFFA0, 0), (0x1B000, 1), (0x1B170, 0), (0x20000, 1), (0x40000, 0),
+])
 
 
 @dataclass
@@ -87,12 +95,33 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(texts: pa.Array, separators: np.ndarray, fold: np.ndarray = LOWER) -> Words:
+def without_blanks(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, byte length and kind of the characters of STRETCHES in UTF-8 bytes."""
+    at = np.flatnonzero(data >= 0xE0)
+    if not len(at):
+        return at, at, at
+    size = np.where(data[at] >= 0xF0, 4, 3)
+    b = [data[at + j].astype(np.int64) & 63 for j in range(1, 3)]
+    point = (data[at].astype(np.int64) & 15) << 12 | b[0] << 6 | b[1]
+    four = np.flatnonzero(size == 4)
+    point[four] = (point[four] & 0x7FFF) << 6 | data[at[four] + 3] & 63
+    kind = STRETCHES[np.searchsorted(STRETCHES[:, 0], point, side="right") - 1, 1]
+    return at[kind > 0], size[kind > 0], kind[kind > 0]
+
+
+def words(texts: pa.Array, separators: np.ndarray, fold: np.ndarray = LOWER, apart: bool = False) -> Words:
+    """With ``apart``, characters of scripts without blanks are words each, and their punctuation parts words."""
     data, offsets = buffers(texts)
     n = len(data)
+    alone = without_blanks(data) if apart else None
     apart = separators[data]
     first = np.zeros(n + 1, bool)
     first[offsets] = True
+    if alone is not None and len(alone[0]):
+        at, size, kind = alone
+        first[at] = first[at + size] = True
+        for j in range(4):
+            apart[at[(kind == 2) & (size > j)] + j] = True
     inside = ~apart
     before = np.ones(n, bool)
     if n:

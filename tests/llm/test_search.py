@@ -63,6 +63,17 @@ def test_leaks(spark, make):
     assert scan(make([]), none).count() == 0
 
 
+def test_short_items_and_scripts_without_blanks(spark, make):
+    items = [(1, "Zürich"), (2, "blue whale"), (3, "a b a b"), (4, "东京在哪里"), (5, "ประเทศไทย"), (6, "日本の首都は東京であり、人口は約千四百万人である。"), (7, "𠀀𠀁"), (8, "blue whale"), (9, "?!")]
+    docs = [
+        (1, "From ZÜRICH on"), (2, "The Blue-Whale! blue whales"), (3, "a b a b a b a"), (4, "请问，东京在哪里？谢谢。"), (5, "อยู่ในประเทศไทยครับ"), (6, "昔、日本の首都は京都であり、人口は約千四百万人であるという。"),
+        (7, "x𠀀𠀁y"), (8, "blue"), (9, "whale"), (10, "东京在那里"), (11, "zürichs blue b a b"), (12, None),
+    ]
+    got = {(x["doc_id"], leak["item_id"], leak["start"], leak["end"]) for x in scan(make(docs), spark.createDataFrame(items, "item_id long, text string")).collect() for leak in x["leaks"]}
+    assert {g for g in got if g[1] != 6} == {(1, 1, 1, 2), (2, 2, 1, 3), (2, 8, 1, 3), (3, 3, 0, 4), (4, 4, 2, 7), (5, 5, 6, 15), (7, 7, 1, 3)} | {g for g in got if g[:2] == (10, 4)}
+    assert {g[:2] for g in got if g[1] == 6} == {(6, 6)}
+
+
 def test_notices(spark, make):
     notice = NOTICES["MIT"][2]
     words = notice.split()
