@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,14 +12,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fold, fresh, table
+from .shared import fold, fresh, saved, table
 from .textkernel import U, mix, slices
 
 #: Hash buckets of character bigrams and trigrams together.
 DIMS = 4096
 #: Labelled texts per language that the centroids are fitted on, about; the rest only counts for IDF.
 SAMPLE_PER_LANGUAGE = 400
-MAX_LANGUAGES = 200
+#: More languages raise an error; the model then takes 260 MB. Samples come to the driver by so many languages at once.
+MOST_LANGUAGES = 4000
+LANGUAGES_AT_ONCE = 16
 CENTROIDS = 4
 #: A text is rejected below this share of the similarity that the sample's least typical texts of its size reach.
 REJECT_SHARE = 0.5
@@ -80,9 +83,11 @@ def clustered(v: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """Learn from rows whose language is not null. Document frequencies count all of them; centroids come from a
-    hash sample of about SAMPLE_PER_LANGUAGE texts per language, which bounds what reaches the driver."""
+    hash sample of about SAMPLE_PER_LANGUAGE distinct texts per language, which reach the driver by LANGUAGES_AT_ONCE."""
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than MOST_LANGUAGES = {MOST_LANGUAGES} languages")
     languages = sorted(sizes)
     if not languages:
         return Model([], np.ones(DIMS, np.float32), np.zeros((0, DIMS), np.float32), np.zeros(40, np.float32))
@@ -99,11 +104,11 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     n[df["bucket"]] = df["n"]
     idf = np.log((1 + n[-1]) / (1 + n[:-1])).astype(np.float32) + 1
 
-    # A share of each language's hashes, and a hard cap well above its expected yield. Whole texts are counted by
-    # the executors; the driver gets a vector of DIMS numbers for each sampled text.
-    share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, SAMPLE_PER_LANGUAGE / sizes[k])))])
-    drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30)
-    sample = rows.filter(F.col("lang").isin(languages)).filter(drawn).dropDuplicates(["text"])
+    # A share of each language's distinct texts, and a hard cap well above its expected yield. Whole texts are counted
+    # by the executors; the driver gets a vector of DIMS numbers for each sampled text.
+    shares = rows.sparkSession.createDataFrame([(k, min(1.0, SAMPLE_PER_LANGUAGE / max(sizes[k], 1))) for k in languages], "lang string, share double")
+    drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.col("share") * (1 << 30)
+    sample = rows.join(F.broadcast(shares), "lang").filter(drawn).select("text", "lang").dropDuplicates(["lang", "text"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, "text"):
@@ -111,16 +116,25 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
             yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("key"), pa.array([r.tobytes() for r in made], pa.binary())], ["lang", "key", "counts"])
 
     sample = sample.select("lang", F.xxhash64("text").alias("key"), "text").mapInArrow(counted, "lang string, key long, counts binary")
-    taken = sample.limit(2 * SAMPLE_PER_LANGUAGE * len(languages) + 1000).toPandas().sort_values(["lang", "key"])
-    c = np.frombuffer(b"".join(taken["counts"]), np.float32).reshape(-1, DIMS)
-    v = vectors(c, idf)
-    own = taken["lang"].to_numpy()
-    centroids = []
-    for k in languages:
-        mine = v[own == k]
-        centroids.append(clustered(mine, CENTROIDS) if len(mine) else np.zeros((CENTROIDS, DIMS), np.float32))
-    centroids = np.concatenate(centroids).astype(np.float32)
-    near, bins, floors, low = (v @ centroids.T).max(axis=1), size_bin(c), np.zeros(40, np.float32), 0.0
+    blocks = [languages[i : i + LANGUAGES_AT_ONCE] for i in range(0, len(languages), LANGUAGES_AT_ONCE)]
+    if len(blocks) > 1:
+        sample = saved(sample, "languages")
+
+    @lru_cache(maxsize=1)
+    def read(block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        own = sample.filter(F.col("lang").isin(blocks[block])) if len(blocks) > 1 else sample
+        taken = own.limit(2 * SAMPLE_PER_LANGUAGE * len(blocks[block]) + 1000).toPandas().sort_values(["lang", "key"])
+        c = np.frombuffer(b"".join(taken["counts"]), np.float32).reshape(-1, DIMS)
+        return taken["lang"].to_numpy(), vectors(c, idf), size_bin(c)
+
+    centroids = np.zeros((len(languages) * CENTROIDS, DIMS), np.float32)
+    for i, k in enumerate(languages):
+        own, v, _ = read(i // LANGUAGES_AT_ONCE)
+        if (own == k).any():
+            centroids[i * CENTROIDS : (i + 1) * CENTROIDS] = clustered(v[own == k], CENTROIDS)
+    seen = [((v @ centroids.T).max(axis=1), b) for _, v, b in map(read, reversed(range(len(blocks))))]
+    near, bins = (np.concatenate(x) for x in zip(*seen, strict=True))
+    floors, low = np.zeros(40, np.float32), 0.0
     for b in range(40):
         if (bins == b).sum() >= 5:
             low = REJECT_SHARE * float(np.quantile(near[bins == b], 0.01))
@@ -146,7 +160,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", lang: str = "lang_
     """Add language, score and rejection to the rows of ``df``, of which ``keep`` (all) columns stay. No shuffle.
 
     Null and letterless texts are ``und``; whole texts are read however long; empty tables stay empty. The
-    model is of fixed size (DIMS by languages) and travels with the tasks.
+    model (DIMS by languages, of which MOST_LANGUAGES are allowed) travels with the tasks.
     """
     names = list(df.columns if keep is None else keep)
     kept = [n for n in names if n not in (lang, score, rejected)]

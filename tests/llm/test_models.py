@@ -64,3 +64,18 @@ def test_language_edges(spark, make):
     blank = fit(labelled.limit(0))
     assert {r["lang_pred"] for r in identify(docs, blank).collect()} == {"und"}
     assert identify(docs.limit(0), model).count() == 0
+
+
+def test_many_languages_and_a_language_of_copies(spark, make):
+    rows = [(f"{chr(0x4E00 + 9 * i)}{chr(0x4E01 + 9 * i)}{chr(0x4E02 + 9 * i)} {j * 'x'}", f"l{i:03}") for i in range(210) for j in range(1 + (i < 209))]
+    model = fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert len(model.languages) == 210
+    got = identify(spark.createDataFrame(rows, "text string, lang string"), model).select("lang", "lang_pred").toPandas()
+    assert (got["lang"] == got["lang_pred"]).mean() >= 0.99
+    copies = spark.range(100_000).selectExpr("'the house on the hill' as text", "'en' as lang")
+    letters = "translate(cast(1000 + id as string), '0123456789', 'abcdefghij')"
+    others = spark.range(1000).selectExpr(f"concat('zwölf große flüsse ', {letters}) as text", "'en' as lang")
+    german = spark.range(50).selectExpr(f"concat('das haus auf dem berg ', {letters}) as text", "'de' as lang")
+    model = fit(copies.union(others).union(german))
+    docs = make([(1, "zwölf große flüsse"), (2, "das haus auf dem berg")])
+    assert [r["lang_pred"] for r in identify(docs, model).orderBy("doc_id").collect()] == ["en", "de"]
