@@ -1,8 +1,10 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Small transducers for negation, reported speech and targets are composed into one that reads the classes of a
-clause's words and writes what each insult or threat was: negated, reported, and at the clause's end aimed at
-someone or not. Insulting words and stems are learned from labels, and so are the weights of what is written.
+Five transducers, for negation, reported speech, targets, insults and threats, are composed into one that reads the
+classes of a clause's words. It writes where an insult or a threat is complete, and whether it is negated, reported
+or aimed at someone. A clause counts once for the plainest match of each kind, and a text's score is the sum of the
+arcs that its clauses took. Insulting words are a short list and what labels teach besides; labels teach the weights
+too, within bounds that keep a negated or reported match below a plain one, and that below one aimed at someone.
 """
 
 from __future__ import annotations
@@ -35,14 +37,18 @@ RATIO = 40.0
 SURPRISE = 4.0
 CLAUSE_ENDS = byte_class(b".!?;\n")
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
-#: Words of the grammar, by class (fixed values).
+OTHER, INSULT, VIOLENCE, INTENT, PERSON, TARGET, NEGATION, REPORT = SYMBOLS = range(8)
+#: Words of the grammar, by class (fixed values). A target may be addressed or be what a verb is done to.
 WORDS = {
-    THREAT: "kill hurt destroy beat shoot stab strangle murder töten schlagen tuer frapper matar golpear",
-    TARGET: "you your yours yourself he she him her they them du dich dir dein ihr euch sie tu te toi ton vous votre usted tú ti él ella ellos",
+    INSULT: "idiot idiots moron morons stupid loser losers scum trash pathetic worthless disgusting clown dumb fool imbecile jerk dummkopf blöd blöde dumm abschaum versager erbärmlich wertlos connard crétin imbécile stupide minable déchet idiota estúpido estúpida imbécil escoria basura patético",
+    VIOLENCE: "kill hurt destroy beat shoot stab strangle murder töten schlagen umbringen tuer frapper détruire matar golpear destruir",
+    INTENT: "will going gonna shall ll werde werden wird vais va allons voy vamos va",
+    PERSON: "he she they ihr sie du tu él ella ellos",
+    TARGET: "you your yours yourself him her them dich dir dein euch ihn ihnen te toi ton vous votre usted tú ti",
     NEGATION: "not no never neither nor nicht kein keine nie niemals ne pas jamais aucun nunca jamás ningún",
     REPORT: "said says say wrote writes quoted quote called claims claimed reported according sagte sagt schrieb dit écrit dijo dice escribió",
 }
+NEGATED, REPORTED, AIMED, INSULTED, THREATENED = 1, 2, 4, 8, 16
 
 
 # --- the grammar -------------------------------------------------------------------------------------------------
@@ -50,59 +56,84 @@ WORDS = {
 
 @dataclass(frozen=True)
 class Transducer:
-    """``moves[state][symbol]`` is the next state; ``writes[state]`` what a hit read in it is marked with."""
+    """``moves[state][symbol]`` is the next state; ``writes[state][symbol]`` are the marks put out on the way."""
 
     moves: tuple[tuple[int, ...], ...]
-    writes: tuple[int, ...]
+    writes: tuple[tuple[int, ...], ...]
 
 
-def _everywhere(state: int) -> list[int]:
-    return [state] * 6
+def negation(reach: int = 3) -> Transducer:
+    """A negation marks the ``reach`` words behind it."""
+    moves = [[reach if a == NEGATION else max(0, s - 1) for a in SYMBOLS] for s in range(reach + 1)]
+    return Transducer(tuple(map(tuple, moves)), tuple(tuple(NEGATED * (s > 0) for _ in SYMBOLS) for s in range(reach + 1)))
 
 
-def negation(reach: int = 3) -> Transducer:
-    """A negation marks hits among the ``reach`` words behind it."""
-    moves = []
-    for s in range(reach + 1):
-        row = _everywhere(max(0, s - 1))
-        row[NEGATION] = reach
-        moves.append(tuple(row))
-    return Transducer(tuple(moves), (0, *[1] * reach))
+def latch(symbols: set[int], mark: int) -> Transducer:
+    """Once one of the symbols is read, it and all that follows in the clause is marked."""
+    idle = tuple(int(a in symbols) for a in SYMBOLS)
+    return Transducer((idle, (1,) * len(SYMBOLS)), (tuple(mark * x for x in idle), (mark,) * len(SYMBOLS)))
+
 
+def insult(reach: int = 2) -> Transducer:
+    """An insulting word is a match; those close behind it belong to the same phrase."""
+    moves = [[reach if a == INSULT else max(0, s - 1) for a in SYMBOLS] for s in range(reach + 1)]
+    return Transducer(tuple(map(tuple, moves)), tuple(tuple(INSULTED * (a == INSULT and s == 0) for a in SYMBOLS) for s in range(reach + 1)))
 
-def latch(symbol: int) -> Transducer:
-    """Once the symbol is read, all that follows in the clause is marked."""
-    idle = _everywhere(0)
-    idle[symbol] = 1
-    return Transducer((tuple(idle), tuple(_everywhere(1))), (0, 1))
+
+def threat(reach: int = 4) -> Transducer:
+    """A match is complete with the last of intent, violence and target, in any order, none farther than ``reach``
+    words from the one before. Any of them alone, or two, are none."""
+    parts = (INTENT, VIOLENCE, TARGET)
+    states = [(frozenset(), 0)] + [(frozenset(c), left) for k in (1, 2) for c in itertools.combinations(parts, k) for left in range(1, reach + 1)]
+    place = {s: i for i, s in enumerate(states)}
+    moves, writes = [], []
+    for seen, left in states:
+        row, out = [], []
+        for a in SYMBOLS:
+            now = seen | {a} if a in parts else seen
+            done = len(now) == len(parts)
+            after = (frozenset(), 0) if done or (a not in parts and left <= 1) else (now, reach if a in parts else left - 1)
+            row.append(place[after])
+            out.append(THREATENED * done)
+        moves.append(tuple(row))
+        writes.append(tuple(out))
+    return Transducer(tuple(moves), tuple(writes))
 
 
 def compose(*parts: Transducer) -> Transducer:
-    """The product: it moves in all parts at once and writes one bit for each."""
+    """The product: it moves in all parts at once and writes what any of them writes."""
     states = list(itertools.product(*(range(len(p.moves)) for p in parts)))
     place = {s: i for i, s in enumerate(states)}
-    moves = tuple(tuple(place[tuple(p.moves[x][a] for p, x in zip(parts, s, strict=True))] for a in range(6)) for s in states)
-    writes = tuple(sum(p.writes[x] << b for b, (p, x) in enumerate(zip(parts, s, strict=True))) for s in states)
+    moves = tuple(tuple(place[tuple(p.moves[x][a] for p, x in zip(parts, s, strict=True))] for a in SYMBOLS) for s in states)
+    writes = tuple(tuple(sum(p.writes[x][a] for p, x in zip(parts, s, strict=True)) for a in SYMBOLS) for s in states)
     return Transducer(moves, writes)
 
 
-GRAMMAR = compose(negation(), latch(REPORT), latch(TARGET))
-#: Insult or threat, by negated, reported, aimed; then hits and hits per hundred words.
-FEATURES = 16 + 2
+GRAMMAR = compose(negation(), latch({REPORT}, REPORTED), latch({PERSON, TARGET}, AIMED), insult(), threat())
+#: Words of no class after which every part is where it began, or latched.
+REST = 4
+#: For insults, then threats: clauses with a match, and those whose match is aimed, negated or reported; then the
+#: share of a text's clauses with a match neither negated nor reported, in hundredths. All as log(1 + x).
+FEATURES = 2 * 4 + 1
+#: What the weights are without labels, and their bounds: a match says toxic, a target more so, the rest less so.
+PRIOR = np.array([2.0, 1.0, -1.5, -1.5, 3.0, 1.0, -2.0, -2.0, 0.2])
+LEAST = np.array([0.5, 0.1, -np.inf, -np.inf, 0.5, 0.1, -np.inf, -np.inf, 0.0])
+MOST = np.array([np.inf, np.inf, -0.1, -0.1, np.inf, np.inf, -0.1, -0.1, np.inf])
 
 
-def clause(symbols: list[tuple[int, int]]) -> list[int]:
-    """What the grammar writes for the (place, class) pairs of a clause's words; words of no class may be left out.
-    Hits before the target are aimed as well, which the state at the clause's end tells."""
-    state, last, hits = 0, -1, []
+def clause(symbols: list[tuple[int, int]]) -> tuple[int, int]:
+    """The marks of the plainest insult and of the plainest threat among the (place, class) pairs of a clause's words,
+    0 where there is none; words of no class may be left out. A target behind the match aims it as well."""
+    state, last, found, aimed = 0, -1, {INSULTED: [], THREATENED: []}, 0
     for place, symbol in symbols:
-        for _ in range(min(place - last - 1, len(GRAMMAR.moves))):
+        for _ in range(min(place - last - 1, REST)):
             state = GRAMMAR.moves[state][OTHER]
-        if symbol in (INSULT, THREAT):
-            hits.append((symbol == THREAT, GRAMMAR.writes[state]))
-        state, last = GRAMMAR.moves[state][symbol], place
-    aimed = GRAMMAR.writes[state] & 4
-    return [8 * threat + (marks & 3) + aimed for threat, marks in hits]
+        marks = GRAMMAR.writes[state][symbol]
+        state, last, aimed = GRAMMAR.moves[state][symbol], place, aimed | marks & AIMED
+        for kind, held in found.items():
+            if marks & kind:
+                held.append(marks & (NEGATED | REPORTED))
+    return tuple(kind | min(held, key=lambda m: (m.bit_count(), m)) | aimed if held else 0 for kind, held in found.items())
 
 
 # --- words and features ------------------------------------------------------------------------------------------
@@ -125,7 +156,7 @@ def word_features(w: Words) -> np.ndarray:
 
 @dataclass
 class Model:
-    lexicon: np.ndarray  # sorted feature hashes
+    lexicon: np.ndarray  # sorted hashes of learned insults
     coarse: np.ndarray
     grammar: np.ndarray  # sorted hashes of the grammar's words
     classes: np.ndarray  # and their classes, behind that of no word
@@ -133,14 +164,14 @@ class Model:
 
 
 def grammar_words() -> tuple[np.ndarray, np.ndarray]:
-    listed = [(c, w) for c, line in WORDS.items() for w in line.split()]
-    h = words(pa.array([w for _, w in listed]), NOT_ALNUM).hashes()
+    listed = {w: c for c, line in WORDS.items() for w in line.split()}
+    h = words(pa.array(list(listed)), NOT_ALNUM).hashes()
     order = np.argsort(h)
-    return h[order], np.concatenate(([OTHER], np.array([c for c, _ in listed])[order]))
+    return h[order], np.concatenate(([OTHER], np.array(list(listed.values()))[order]))
 
 
 def features(m: Model, texts: pa.Array) -> np.ndarray:
-    """FEATURES numbers for each text, from the clauses that hold a hit."""
+    """FEATURES numbers for each text, from the clauses that match the grammar."""
     w = read(texts)
     out = np.zeros((len(texts), FEATURES))
     if not len(w.starts):
@@ -148,22 +179,25 @@ def features(m: Model, texts: pa.Array) -> np.ndarray:
     h = word_features(w)
     symbol = m.classes[coded(m.grammar, table_of(m.grammar), h[:, 0])]
     for k in range(h.shape[1]):
-        symbol[coded(m.lexicon, m.coarse, h[:, k]) > 0] = INSULT
+        symbol[(coded(m.lexicon, m.coarse, h[:, k]) > 0) & (symbol == OTHER)] = INSULT
     text_of = np.repeat(np.arange(len(texts)), np.diff(w.of))
     ends = np.cumsum(CLAUSE_ENDS[w.data])[w.starts]
     new = np.concatenate(([True], (ends[1:] != ends[:-1]) | (text_of[1:] != text_of[:-1])))
     number = np.cumsum(new) - 1
-    hit = np.zeros(number[-1] + 1, bool)
-    hit[number[(symbol == INSULT) | (symbol == THREAT)]] = True
+    may = np.zeros(number[-1] + 1, bool)
+    may[number[(symbol == INSULT) | (symbol == VIOLENCE)]] = True
     begin = np.flatnonzero(new)
-    at = np.flatnonzero((symbol != OTHER) & hit[number])
+    at = np.flatnonzero((symbol != OTHER) & may[number])
+    matched = np.zeros(len(texts))
     for _, group in itertools.groupby(at.tolist(), key=lambda i: number[i]):
         group = list(group)
-        for f in clause([(i - int(begin[number[i]]), int(symbol[i])) for i in group]):
-            out[text_of[group[0]], f] += 1
-    hits = out[:, :16].sum(axis=1)
-    out[:, 16] = hits
-    out[:, 17] = 100 * hits / np.maximum(np.diff(w.of), 1)
+        text = text_of[group[0]]
+        marks = clause([(i - int(begin[number[i]]), int(symbol[i])) for i in group])
+        matched[text] += any(x and not x & (NEGATED | REPORTED) for x in marks)
+        for k, x in enumerate(marks):
+            if x:
+                out[text, 4 * k : 4 * k + 4] += (1, bool(x & AIMED), bool(x & NEGATED), bool(x & REPORTED))
+    out[:, 8] = 100 * matched / np.maximum(np.bincount(text_of[begin], minlength=len(texts)), 1)
     return np.log1p(out)
 
 
@@ -184,15 +218,25 @@ def counted(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, sweeps: int = 200) -> np.ndarray:
+    """Weights drawn to PRIOR, within LEAST and MOST, and the constant: one after the other goes to where a Newton step
+    and its bounds lead, until none moves."""
     x = np.hstack((x, np.ones((len(x), 1))))
-    w, keep = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
-    keep[-1] = 1e-3
-    for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x.T * (p * (1 - p) + 1e-9)) @ x + np.diag(keep), x.T @ (y - p) - keep * w)
-        w += step
-        if np.abs(step).max() < 1e-8:
+    prior, low, high = np.append(PRIOR, 0.0), np.append(LEAST, -np.inf), np.append(MOST, np.inf)
+    keep = np.append(np.full(FEATURES, ridge), 1e-3)
+    w = prior.copy()
+    z = x @ w
+    for _ in range(sweeps):
+        most = 0.0
+        for j in range(len(w)):
+            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            slope = x[:, j] @ (p - y) + keep[j] * (w[j] - prior[j])
+            # The curvature is bounded below, so that no step overshoots where all is certain.
+            bend = (x[:, j] ** 2) @ np.maximum(p * (1 - p), 0.02) + keep[j]
+            to = float(np.clip(w[j] - slope / bend, low[j], high[j]))
+            z += x[:, j] * (to - w[j])
+            most, w[j] = max(most, abs(to - w[j])), to
+        if most < 1e-6:
             break
     return w
 
@@ -203,7 +247,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     lexicon, grammar, classes = np.zeros(0, U), *grammar_words()
     known = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("y"))
     sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    blank = np.append(np.zeros(FEATURES), np.log((sizes.get(1, 0) + 0.5) / (sizes.get(0, 0) + 0.5)))
+    # Without both labels the grammar scores by itself: a lone insult is no proof, one aimed at someone is.
+    blank = np.append(PRIOR, -2.5)
     model = Model(lexicon, table_of(lexicon), grammar, classes, blank)
     if not sizes.get(0) or not sizes.get(1):
         return model
@@ -233,7 +278,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         made = rows.mapInArrow(run, "y int, x binary").toPandas()
         if made["y"].nunique() == 2:
             x = np.frombuffer(b"".join(made["x"]), float).reshape(-1, FEATURES)
-            model.weights = logistic(x, made["y"].to_numpy(float))
+            y = made["y"].to_numpy(float)
+            model.weights = logistic(x, y)
+            # The samples' odds give way to those of all labels, so the size of a table moves no prediction.
+            model.weights[-1] += np.log(sizes[1] / sizes[0]) - np.log(y.sum() / (1 - y).sum())
     finally:
         rows.unpersist()
     return model
@@ -242,8 +290,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 def toxicity(df: DataFrame, model: Model, text: str = "text", score: str = "score", predicted: str = "predicted", keep: list[str] | None = None) -> DataFrame:
     """Add score (0 to 1) and prediction to the rows of ``df``, of which ``keep`` (all) columns stay. No shuffle.
 
-    Null and empty texts score as texts without hits; equal texts score alike; whole texts are read; an empty table
-    stays empty. Columns named like the new ones are replaced.
+    Null and empty texts score as texts without a match; equal texts, and so repeated rows, score alike; a score of
+    just 0.5 is predicted toxic; whole texts are read, however long; an empty table stays empty. Columns named like
+    the new ones are replaced.
     """
     kept = [n for n in (df.columns if keep is None else keep) if n not in (score, predicted)]
     hidden = text if text in kept else fresh(kept + [score, predicted], "text_read")[0]

@@ -1,6 +1,7 @@
 """Toxicity and language identification on held-out rows."""
 
 import numpy as np
+import pyarrow as pa
 
 from quadrille.llm import toxicity as tox
 from quadrille.llm.language import fit, identify, op5_language_id
@@ -24,11 +25,31 @@ def test_held_out_toxicity(spark):
 
 
 def test_grammar():
-    assert tox.clause([(0, tox.TARGET), (2, tox.INSULT)]) == [4]
-    assert tox.clause([(0, tox.NEGATION), (1, tox.INSULT)]) == [1]
-    assert tox.clause([(0, tox.NEGATION), (9, tox.INSULT)]) == [0]
-    assert tox.clause([(0, tox.REPORT), (5, tox.THREAT), (6, tox.TARGET)]) == [14]
-    assert tox.clause([]) == []
+    insult, threat = tox.INSULTED, tox.THREATENED
+    assert tox.clause([(0, tox.TARGET), (2, tox.INSULT)]) == (insult | tox.AIMED, 0)
+    assert tox.clause([(2, tox.INSULT), (4, tox.TARGET)]) == (insult | tox.AIMED, 0)
+    assert tox.clause([(0, tox.NEGATION), (1, tox.INSULT)]) == (insult | tox.NEGATED, 0)
+    assert tox.clause([(0, tox.NEGATION), (9, tox.INSULT)]) == (insult, 0)
+    assert tox.clause([(0, tox.NEGATION), (1, tox.INSULT), (2, tox.INSULT), (9, tox.INSULT)]) == (insult, 0)
+    assert tox.clause([(0, tox.REPORT), (4, tox.INTENT), (5, tox.VIOLENCE), (6, tox.TARGET)]) == (0, threat | tox.REPORTED | tox.AIMED)
+    assert tox.clause([(0, tox.INTENT), (1, tox.VIOLENCE), (6, tox.TARGET)]) == (0, 0)
+    assert tox.clause([(0, tox.TARGET), (1, tox.INTENT), (3, tox.VIOLENCE)]) == (0, threat | tox.AIMED)
+    assert tox.clause([(0, tox.PERSON), (1, tox.INTENT), (2, tox.VIOLENCE)]) == (0, 0)
+    assert tox.clause([(0, tox.VIOLENCE)]) == tox.clause([]) == (0, 0)
+
+
+def scores(model, *texts):
+    x = tox.features(model, pa.array(texts))
+    return (1 / (1 + np.exp(-(x @ model.weights[:-1] + model.weights[-1])))).tolist()
+
+
+def test_clauses_not_words_decide(spark):
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    for model in (tox.fit(docs, labels.limit(0)), tox.fit(docs, labels)):
+        aimed, plain, negated, reported, calm = scores(model, "You are an idiot.", "What an idiot.", "You are not an idiot.", "They said you are an idiot.", "A calm day.")
+        assert aimed > plain > max(negated, reported) > calm and aimed >= 0.5 > max(negated, reported)
+        threat, negated, reported, server, time = scores(model, "I will kill you.", "I will not kill you.", "They wrote I will kill you.", "The process will kill the server.", "We kill time, you see.")
+        assert threat >= 0.5 > max(negated, reported) and server == time == calm
 
 
 def test_toxicity_edges(spark, make):
@@ -37,6 +58,8 @@ def test_toxicity_edges(spark, make):
     model = tox.fit(docs, labels)
     made = tox.toxicity(docs, model)
     got = {r["doc_id"]: r for r in made.collect()}
+    twice = tox.toxicity(docs.union(docs), model).groupBy("doc_id").agg({"score": "min", "predicted": "max", "*": "count"}).collect()
+    assert all(r["min(score)"] == got[r["doc_id"]]["score"] and r["count(1)"] == 2 for r in twice)
     assert len(got) == 63 and got[1]["score"] > 0.5 > got[0]["score"] and got[100]["predicted"] == 0
     assert made.columns.count("score") == 1
     none = tox.fit(docs, labels.limit(0))
