@@ -28,7 +28,7 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(pairs: DataFrame) -> DataFrame:
-    """Rows (node, root) for all ends of ``pairs`` (a, b) of longs; root is the least node of the component.
+    """Rows (node, root) for all ends of ``pairs`` (a, b) of any type with an order; root is the component's least node.
 
     Each round ends in a saved table; the stars have converged when a round changes nothing, by count and checksum.
     """

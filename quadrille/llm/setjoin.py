@@ -64,9 +64,9 @@ def intersection(a: str, b: str) -> Column:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Of distinct pairs (a, b) those whose sets (c, items) are similar enough."""
-    left = sets.select(F.col("c").alias("a"), F.col("items").alias("items_a"))
-    right = sets.select(F.col("c").alias("b"), F.col("items").alias("items_b"))
+    """Of distinct pairs (a, b) of first keys those whose sets (c, c2, items) are similar enough, as pairs of structs
+    of both keys; sets that share the first key alone are judged each by itself."""
+    left, right = (sets.select(F.col("c").alias(x), F.struct("c", "c2").alias(f"of_{x}"), F.col("items").alias(f"items_{x}")) for x in "ab")
     both = pairs.join(left, "a").join(right, "b")
     common, union = intersection("items_a", "items_b"), F.size("items_a") + F.size("items_b")
-    return both.withColumn("common", common).filter(F.col("common") * 100 >= (union - F.col("common")) * percent).select("a", "b")
+    return both.withColumn("common", common).filter(F.col("common") * 100 >= (union - F.col("common")) * percent).select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))

@@ -76,6 +76,16 @@ def test_one_of_each(make):
     assert {r["doc_id"] for r in kept.collect()} == want and kept.columns == make(docs).columns
 
 
+def test_null_and_repeated_keys(make):
+    base = [f"b{i}" for i in range(60)]
+    text = lambda i: " ".join(base[i : i + 50])
+    rows = [(0, text(0)), (None, text(1)), (5, text(2)), (7, text(3)), (7, "quite another text of its own"), (7, "quite another text of its own"), (9, "Quite another TEXT of its own"), (None, "no key at all"), (None, "no key at all"), (8, None), (8, "")]
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in jaccard_components(make(rows)).collect())
+    assert got == sorted([("0", 46, "0"), ("None", 46, "0"), ("5", 46, "0"), ("7", 46, "0"), ("7", 2, "7"), ("7", 2, "7"), ("9", 2, "7"), ("None", 1, "None"), ("None", 1, "None"), ("8", 0, "8"), ("8", 0, "8")])
+    kept = sorted((str(r["doc_id"]), str(r["text"])) for r in one_of_each(make(rows)).collect())
+    assert kept == sorted([("0", text(0)), ("7", rows[4][1]), ("None", "no key at all"), ("8", "None"), ("8", "")])
+
+
 def test_query(spark):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in op2_jaccard_join(spark, DATA).collect()}
@@ -131,6 +141,16 @@ def test_lines_of_repeated_rows_and_null_keys(make):
     assert line_dedup(make([])).count() == 0
 
 
+def test_lines_with_common_passages(make):
+    r = random.Random(4)
+    passage, footer = " ".join(f"p{i}" for i in range(12)), " ".join(f"f{i}" for i in range(25))
+    docs = []
+    for i in range(40):
+        own = " ".join(f"w{r.randrange(500)}" for _ in range(r.choice([2, 6, 12])))
+        docs.append((i, f"{own} {passage}\n{footer} {i}\n{passage} {own} x{i}" + "\nVery long " * (i == 3) + "z " * 40_000 * (i == 3)))
+    assert {r["doc_id"]: r["text"] for r in line_dedup(make(docs)).collect()} == plain_lines(docs)
+
+
 def test_line_query(spark):
     import duckdb
 
