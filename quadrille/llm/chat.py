@@ -17,11 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import table
+from .textkernel import slices
 
 START, MIDDLE, END = b"<|im_start|>", b"\n", b"<|im_end|>\n"
 #: Bytes of text in one output row, about; longer conversations go on in further parts.
 PART_BYTES = 16 << 20
 LEARNED = "assistant"
+#: Segments from this size on are copied by themselves, the others of a slice by one scatter.
+LONG = 1 << 12
 
 
 def escaped(texts: pa.Array) -> pa.Array:
@@ -79,9 +82,13 @@ def assemble(roles: pa.Array, texts: pa.Array, learned: np.ndarray, first: np.nd
             buffer[to[:, None] + np.arange(len(p))] = p
         else:
             data, offsets = p
-            # Source bytes lie in a row; each segment's shift from source to target is repeated over its bytes.
-            source = data[offsets[0] : offsets[-1]]
-            buffer[np.arange(len(source)) + np.repeat(to - (offsets[:-1] - offsets[0]), size)] = source
+            # Each short segment's places in the source and in the target are its begins, repeated over its bytes.
+            for i in np.flatnonzero(size >= LONG):
+                buffer[to[i] : to[i] + size[i]] = data[offsets[i] : offsets[i + 1]]
+            short = np.flatnonzero(size < LONG)
+            n_bytes = size[short]
+            within = np.arange(int(n_bytes.sum())) - np.repeat(np.cumsum(n_bytes) - n_bytes, n_bytes)
+            buffer[np.repeat(to[short], n_bytes) + within] = data[np.repeat(offsets[:-1][short], n_bytes) + within]
     row_of = np.flatnonzero(first)
     row_offsets = np.concatenate((at[row_of, 0] if n else np.zeros(0, np.int64), [total]))
     out = pa.LargeStringArray.from_buffers(len(row_of), pa.py_buffer(row_offsets.astype(np.int64)), pa.py_buffer(buffer))
@@ -104,15 +111,14 @@ def formatted(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
 
     Turns are ordered by turn, ties by role and text; repeated rows are turns of their own; null roles and texts are
     empty; a null conversation is one of its own; no rows give no rows. The rows of a conversation come sorted in
-    one stream and are let go by PART_BYTES, so a conversation of any length needs no more memory than that.
+    one stream, are formatted by slices of some MB or one text, and go on in further parts, so a conversation of any
+    length needs no more memory than that. As its turns follow each other, a conversation is one task's.
     """
     kind = turns.schema[conv].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, last, used = 0, (), 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch, _ in slices(batches, "text"):
             ids = batch.column("conv_id")
             keys = ids.to_pylist()
             size = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)

@@ -27,15 +27,17 @@ EDITS = 0.2
 #: Shorter items are searched without edits, of which they may have none; longer ones in parts of at most MAX_WORDS.
 MIN_WORDS = 5
 MAX_WORDS = 128
-#: Items whose index is sent to the tasks at once; more are searched in further passes.
-BLOCK_ITEMS = 20_000
+#: Items, and MB of their texts, whose index is sent to the tasks at once; more are searched in further passes.
+BLOCK_ITEMS = 4_000
+BLOCK_BYTES = 2 << 20
 #: Windows that are embedded at once.
 WINDOWS = 20_000
 #: Positions sampled for one key, keys taken of one walk, and the recall that sets the number of walks.
 SAMPLED = 2
 KEYS_PER_WALK = 8
 RECALL = 0.995
-MAX_WALKS = 32
+#: Walks that are simulated, and if they are too few, simulated next; beyond them there is an error.
+MAX_WALKS = (32, 160)
 
 
 @dataclass
@@ -119,16 +121,21 @@ def padded(rows: list[np.ndarray], width: int) -> np.ndarray:
 
 def walks_for(groups: dict[int, list[np.ndarray]], edits: float, recall: float) -> int:
     """Walks after which items with as many random edits as allowed are found with the wanted recall. They are
-    counted on simulated edits of a few items, as agreement after an edit depends on the words."""
-    rng = np.random.Generator(np.random.PCG64(11))
-    hit = np.zeros((0, MAX_WALKS), bool)
-    for length in sorted(groups)[:: max(1, len(groups) // 8)]:
-        own = groups[length][:8]
-        pairs = [(c, edited(c, int(length * edits), 0, rng)) for c in own for _ in range(6)]
-        a, b = (keys(padded([p[k] for p in pairs], length), np.full(len(pairs), length), MAX_WALKS) for k in (0, 1))
-        hit = np.concatenate((hit, (a == b).reshape(len(pairs), MAX_WALKS, -1).any(axis=2)))
-    found = np.logical_or.accumulate(hit, axis=1).mean(axis=0)
-    return next((i + 1 for i, x in enumerate(found) if x >= recall), MAX_WALKS)
+    counted on simulated edits of a few items, as agreement after an edit depends on the words; where no number up to
+    the last of MAX_WALKS is enough, that is an error."""
+    for most in MAX_WALKS:
+        rng = np.random.Generator(np.random.PCG64(11))
+        hit = np.zeros((0, most), bool)
+        for length in sorted(groups)[:: max(1, len(groups) // 8)]:
+            own = groups[length][:8]
+            pairs = [(c, edited(c, int(length * edits), 0, rng)) for c in own for _ in range(6)]
+            a, b = (keys(padded([p[k] for p in pairs], length), np.full(len(pairs), length), most) for k in (0, 1))
+            hit = np.concatenate((hit, (a == b).reshape(len(pairs), most, -1).any(axis=2)))
+        found = np.logical_or.accumulate(hit, axis=1).mean(axis=0)
+        enough = np.flatnonzero(found >= recall)
+        if len(enough):
+            return int(enough[0]) + 1
+    raise ValueError(f"{MAX_WALKS[-1]} walks find {found[-1]:.3f} of items with a share of {edits} edited words; {recall} are wanted")
 
 
 def index(items: list[tuple], edits: float = EDITS, recall: float = RECALL) -> Index:
@@ -271,16 +278,19 @@ def search(x: Index, texts: pa.Array) -> list[list[tuple]]:
 def scan(df: DataFrame, items: DataFrame, text: str = "text", leaks: str = "leaks", keep: list[str] | None = None, item_id: str = "item_id", item_text: str = "text", edits: float = EDITS) -> DataFrame:
     """Add to each row the list ``leaks`` of structs item_id, start, end, edits, item_words. No shuffle.
 
-    Items come to the driver in blocks of about BLOCK_ITEMS, each block one pass over the rows, so the index that
-    travels is bounded. Null and empty texts have no leaks; whole texts are searched; null and wordless items
-    are left out. An item of one common word is found wherever that word is.
+    Items come to the driver in blocks of about BLOCK_ITEMS and BLOCK_BYTES, each block one pass over the rows, so the
+    index that travels is bounded. Null and empty texts have no leaks; whole texts are searched; null and wordless
+    items are left out. Items under MIN_WORDS words are found without edits; one of one common word is found wherever
+    that word is. Repeated rows and items are searched each by itself; of equally near places that overlap the
+    first is told.
     """
     names = [n for n in (df.columns if keep is None else keep) if n != leaks]
     hidden = text if text in names else fresh(names + [leaks], "text_read")[0]
     read = df.select(*names) if hidden in names else df.select(*names, F.col(text).alias(hidden))
     kind = items.schema[item_id].dataType.simpleString()
     listed = f"array<struct<item_id:{kind},start:int,end:int,edits:int,item_words:int>>"
-    blocks = max(1, -(-items.count() // BLOCK_ITEMS))
+    n, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(item_text)), F.lit(0))).first()
+    blocks = max(1, -(-n // BLOCK_ITEMS), -(-size // BLOCK_BYTES))
     out = read.withColumn(leaks, F.array().cast(listed))
     for b in range(blocks):
         own = items.filter(F.pmod(F.xxhash64(item_id), F.lit(blocks)) == b).select(item_id, item_text).collect()

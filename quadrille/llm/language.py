@@ -23,6 +23,8 @@ SAMPLE_PER_LANGUAGE = 400
 MOST_LANGUAGES = 4000
 LANGUAGES_AT_ONCE = 16
 CENTROIDS = 4
+#: Texts whose counts, DIMS numbers each, are held at once.
+ROWS_AT_ONCE = 256
 #: A text is rejected below this share of the similarity that the sample's least typical texts of its size reach.
 REJECT_SHARE = 0.5
 UNKNOWN = "und"
@@ -94,7 +96,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seen = np.zeros(DIMS, np.int64), 0
-        for part, texts in slices(batches, "text"):
+        for part, texts in slices(batches, "text", rows=ROWS_AT_ONCE):
             total += (counts(texts) > 0).sum(axis=0)
             seen += part.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIMS + 1)), pa.array(np.append(total, seen))], ["bucket", "n"])
@@ -111,7 +113,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     sample = rows.join(F.broadcast(shares), "lang").filter(drawn).select("text", "lang").dropDuplicates(["lang", "text"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches, "text"):
+        for part, texts in slices(batches, "text", rows=ROWS_AT_ONCE):
             made = counts(texts)
             yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("key"), pa.array([r.tobytes() for r in made], pa.binary())], ["lang", "key", "counts"])
 
@@ -143,11 +145,12 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
 
 
 def predict(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Language, score and whether it is rejected. Texts without a letter are UNKNOWN, with score 0, and rejected."""
+    """Language, score and whether it is rejected. Texts without a letter are UNKNOWN, with score 0, and rejected; of
+    a model without languages all are UNKNOWN, and no others are rejected, for want of anything to be unlike."""
     c = counts(texts)
     lettered = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False)
     if not model.languages:
-        return np.full(len(texts), UNKNOWN, object), np.zeros(len(texts)), np.ones(len(texts), bool)
+        return np.full(len(texts), UNKNOWN, object), np.zeros(len(texts)), ~lettered
     near = (vectors(c, model.idf) @ model.centroids.T).reshape(len(texts), -1, CENTROIDS).max(axis=2)
     p = np.exp(20 * (near - near.max(axis=1, keepdims=True)).astype(float))
     best = near.argmax(axis=1)
@@ -159,7 +162,8 @@ def predict(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.n
 def identify(df: DataFrame, model: Model, text: str = "text", lang: str = "lang_pred", score: str = "score", rejected: str = "rejected", keep: list[str] | None = None) -> DataFrame:
     """Add language, score and rejection to the rows of ``df``, of which ``keep`` (all) columns stay. No shuffle.
 
-    Null and letterless texts are ``und``; whole texts are read however long; empty tables stay empty. The
+    Null and letterless texts are ``und``; whole texts are read however long; equal texts, and so repeated rows, get
+    the same; of equally near languages the first by name is taken; empty tables stay empty. The
     model (DIMS by languages, of which MOST_LANGUAGES are allowed) travels with the tasks.
     """
     names = list(df.columns if keep is None else keep)
@@ -169,7 +173,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", lang: str = "lang_
     model_sent = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches, hidden):
+        for part, texts in slices(batches, hidden, rows=ROWS_AT_ONCE):
             found, sure, out = predict(model_sent.value, texts)
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(found, pa.string()), pa.array(sure, pa.float64()), pa.array(out, pa.bool_())], [*kept, lang, score, rejected])
 

@@ -15,10 +15,13 @@ _own: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; an own one only where none is set."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; an own one only where none is set, in local
+    mode. Elsewhere an own folder would be on the driver's disk alone, so that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="spark-quadrille-")

@@ -196,14 +196,15 @@ def sequence_keys(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return keys[0], keys[1]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-    """Cut batches so that their texts hold at most ``limit`` bytes together; null texts come as empty."""
+def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES, rows: int = 1 << 31) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Cut batches so that their texts hold at most ``limit`` bytes together, a longer text being a slice by itself, and
+    are at most ``rows``; null texts come as empty."""
     for batch in batches:
         sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
         at = 0
         while at < batch.num_rows:
             base = sizes[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(sizes, base + limit, side="right")))
+            to = min(at + rows, max(at + 1, int(np.searchsorted(sizes, base + limit, side="right"))))
             part = batch.slice(at, to - at)
             yield part, pc.fill_null(part.column(text), "")
             at = to

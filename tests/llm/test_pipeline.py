@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from test_search import least_edits
 from test_similar import plain_components, plain_lines
 
@@ -55,5 +56,19 @@ def test_stages(spark, data, tmp_path):
 
 
 def test_run(spark, data):
-    rows = pipeline.run(spark, data[0])
-    assert {"doc_id", "piece", "sequence_id", "offset"} <= set(rows.columns) and rows.count() > 0
+    rows = pipeline.run(spark, data[0]).collect()
+    assert {"doc_id", "piece", "sequence_id", "offset"} <= set(rows[0].asDict())
+    kept = {r["doc_id"] for r in rows}
+    assert not kept & {11, 20, 200, 201, 202} and len(kept) > 60 and len(rows) == len({(r["doc_id"], r["piece"]) for r in rows})
+
+
+def test_language_stage_without_labels_and_odd_tables(spark, data):
+    docs = spark.read.parquet(f"{data[0]}/documents.parquet").selectExpr("*", "'x' as block", "1 as k", "2 as score", "3 as row")
+    kept = pipeline.language_id(spark, docs.withColumn("lang", F.lit(None).cast("string")), data[0])
+    assert kept.columns == docs.columns and kept.count() == docs.count() - 3
+    long = spark.createDataFrame([(900, "river stone " * 60_000, "en", "s", 720_000), (900, "river stone " * 60_000, "en", "s", 720_000), (None, "das haus und der fluss", None, None, None)], docs.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    for rows in (docs.limit(0), docs.unionByName(long, allowMissingColumns=True)):
+        for _, stage in pipeline.STAGES[:-1]:
+            made = stage(spark, rows, data[0])
+            assert made.columns == docs.columns and (made.count() > 60) == (rows.count() > 0)
+    assert pipeline.packing(spark, docs.limit(0), data[0]).count() == 0
