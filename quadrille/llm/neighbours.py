@@ -7,17 +7,17 @@ of their summed distance, by a heap, until its cells hold enough rows, and the r
 from __future__ import annotations
 
 import heapq
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import saved, table
+from .shared import saved, scratch, table
 
 #: Vectors that the centroids are fitted on, about, drawn by hash; every row is indexed.
 SAMPLE = 8_000
@@ -27,10 +27,10 @@ CENTROIDS = 128
 VISIT_SHARE = 0.42
 VISIT_LEAST = 1_000
 NEAREST = 20
-#: Rows in one block of the search; cells are dealt to blocks by hash, larger cells to several.
-BLOCK_ROWS = 8_192
-#: Queries that meet a block at once.
-QUERY_ROWS = 2_048
+#: Queries that are sent to the tasks at once, as vectors and a bit for each cell.
+QUERY_ROWS = 4_096
+#: Candidates of a query that a task holds before it keeps the nearest of them.
+HELD = 256
 
 
 @dataclass
@@ -104,14 +104,45 @@ def fit(rows: DataFrame, dims: int, total: int) -> Index:
     return Index(split, kmeans(v[:, :split], k), kmeans(v[:, split:], k), np.zeros((k, k), np.int64))
 
 
+class Nearest:
+    """The ``k`` nearest candidates of each of ``n`` queries among those added so far."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.least = k, np.full(n, -np.inf)
+        self.score, self.id = np.full((n, max(HELD, 2 * k)), -np.inf), np.zeros((n, max(HELD, 2 * k)), np.int64)
+        self.used = np.zeros(n, np.int64)
+
+    def add(self, query: int, score: np.ndarray, ids: np.ndarray) -> None:
+        at = 0
+        while at < len(score):
+            free = self.score.shape[1] - self.used[query]
+            part = slice(at, at + free)
+            to = slice(self.used[query], self.used[query] + len(score[part]))
+            self.score[query, to], self.id[query, to] = score[part], ids[part]
+            self.used[query] += len(score[part])
+            at += free
+            if self.used[query] == self.score.shape[1]:
+                self.shrink(query)
+
+    def shrink(self, query: int) -> None:
+        n = self.used[query]
+        best = np.lexsort((self.id[query, :n], -self.score[query, :n]))[: self.k]
+        self.score[query, : len(best)], self.id[query, : len(best)] = self.score[query, best], self.id[query, best]
+        self.used[query] = len(best)
+        if len(best) == self.k:
+            self.least[query] = self.score[query, self.k - 1]
+
+
 def search(df: DataFrame, queries: Column, k: int = NEAREST, key: str = "vec_id", vector: str = "embedding", share: float = VISIT_SHARE, least: int = VISIT_LEAST) -> DataFrame:
     """Rows (query_id, rank, vec_id, score) of the nearest ``k`` found for each row of ``df`` that ``queries`` selects,
     itself excepted; ties to the smaller key; scores are inner products of the original vectors in double precision.
 
     Vectors that are null, zero, of another size than most, or hold null or non-finite components take no part, nor
-    do null keys; of rows with one key, each is a candidate. An empty table gives no rows. Cells are dealt to blocks of
-    about BLOCK_ROWS, a cell's rows spread by hash over as many as it needs, so no cell, however common its
-    vector, meets in one task; each block returns k rows for a query at most.
+    do null keys; of rows with one key, each is a candidate, and the first by vector asks. An empty table gives no
+    rows; other columns are not read. Queries go to the tasks in blocks of about QUERY_ROWS, each with the cells it
+    visits; the rows stay where they are, and a task reads those of each cell once for the queries that visit it. So
+    only queries and found rows travel, k for a query and task, and no cell, however common its vector, meets in one
+    task.
     """
     spark = df.sparkSession
     named = df.filter(F.col(key).isNotNull() & usable(F.col(vector)))
@@ -129,64 +160,60 @@ def search(df: DataFrame, queries: Column, k: int = NEAREST, key: str = "vec_id"
             cell = nearest(v[:, : x.split], x.first) * len(x.second) + nearest(v[:, x.split :], x.second)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32))], ["id", "v", "asks", "cell"])
 
-    placed = saved(rows.mapInArrow(place, "id long, v array<double>, asks boolean, cell int"), "placed")
+    placed = rows.mapInArrow(place, "id long, v array<double>, asks boolean, cell int")
+    placed = saved(placed.sortWithinPartitions("cell"), "placed")
     for r in placed.groupBy("cell").count().collect():  # CENTROIDS squared rows at most
         x.sizes.flat[r["cell"]] = r["count"]
-    parts = np.maximum(1, -(-x.sizes.ravel() // BLOCK_ROWS))
-    blocks = max(1, -(-total // BLOCK_ROWS))
     wanted = int(min(total, max(least, share * total)))
 
-    def block_of(cell: int, part: int) -> int:
-        return (cell * 2654435761 + part * 40503) % (1 << 32) % blocks
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cell, ids = b.column("cell").to_numpy(), b.column("id").to_numpy()
-            own = [block_of(int(c), int(i) % int(parts[c])) for c, i in zip(cell, ids, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), b.column("cell"), b.column("id"), b.column("v")], ["block", "cell", "id", "v"])
-
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v, ids = matrix(b.column("v"), dims), b.column("id").to_numpy()
-            at, block, cells = [], [], []
-            for i in range(len(ids)):
-                met: dict[int, list[int]] = {}
-                for cell in traversed(v[i], x, wanted):
-                    for block_id in {block_of(cell, p) for p in range(int(parts[cell]))}:
-                        met.setdefault(block_id, []).append(cell)
-                at += [i] * len(met)
-                block += list(met)
-                cells += list(met.values())
-            at = pa.array(at, pa.int64())
-            group = [int(ids[i.as_py()]) // 7 % groups for i in at]
-            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(group, pa.int32()), b.column("id").take(at), b.column("v").take(at), pa.array(cells, pa.list_(pa.int32()))], ["block", "part", "id", "v", "cells"])
-
-    asking = placed.filter("asks")
-    groups = max(1, -(-asking.count() // QUERY_ROWS))
-    entries = placed.select("cell", "id", "v").mapInArrow(deal, "block int, cell int, id long, v array<double>")
-    # Queries come in parts of about QUERY_ROWS, and a block meets each part by itself.
-    entries = entries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    visits = asking.select("id", "v").mapInArrow(visit, "block int, part int, id long, v array<double>, cells array<int>")
-
-    def rank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        q, e = np.stack(left["v"].to_list()), np.stack(right["v"].to_list())
-        near, ids, cell = q @ e.T, right["id"].to_numpy(), right["cell"].to_numpy()
-        out = []
-        for i, (asker, cells) in enumerate(zip(left["id"], left["cells"], strict=True)):
-            may = np.flatnonzero(np.isin(cell, cells) & (ids != asker))
-            score = near[i, may]
-            if len(may) > k:
-                may = may[score >= np.partition(score, len(score) - k)[len(score) - k] - 1e-12]
-            exact = (e[may] * q[i]).sum(axis=1)
-            best = np.lexsort((ids[may], -exact))[:k]
-            out.append(pd.DataFrame({"query_id": asker, "vec_id": ids[may][best], "score": exact[best]}))
-        return pd.concat(out)
-
-    found = visits.groupBy("block", "part").cogroup(entries.groupBy("block", "part")).applyInPandas(rank, "query_id long, vec_id long, score double")
+            bits = np.zeros((b.num_rows, x.sizes.size), bool)
+            for i, q in enumerate(matrix(b.column("v"), dims)):
+                bits[i, traversed(q, x, wanted)] = True
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r.tobytes() for r in np.packbits(bits, axis=1)], pa.binary())], ["block", "id", "v", "cells"])
+
+    asking = placed.filter("asks").groupBy("id").agg(F.min("v").alias("v"))
+    n_queries = asking.count()
+    if not n_queries:
+        return empty
+    blocks = -(-n_queries // QUERY_ROWS)
+    asking = asking.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "id", "v")
+    visits = saved(asking.mapInArrow(visit, "block int, id long, v array<double>, cells binary"), "visits")
+    found = f"{scratch(spark)}/quadrille/{uuid.uuid4().hex}/found"
+    schema = "query_id long, vec_id long, score double"
+    for block in range(blocks):
+        own = visits.filter(F.col("block") == block).drop("block").toPandas().sort_values("id")
+        if not len(own):
+            continue
+        cells = np.unpackbits(np.stack([np.frombuffer(c, np.uint8) for c in own["cells"]]), axis=1)[:, : x.sizes.size]
+        sent = spark.sparkContext.broadcast((own["id"].to_numpy(np.int64), np.stack(own["v"].to_list()), np.packbits(cells.T, axis=1)))
+
+        def rank(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            askers, q, visiting = sent.value
+            best = Nearest(len(askers), k)
+            for b in batches:
+                e, ids, cell = matrix(b.column("v"), dims), b.column("id").to_numpy(), b.column("cell").to_numpy()
+                cuts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True]))) if len(cell) else []
+                for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                    who = np.flatnonzero(np.unpackbits(visiting[cell[low]], count=len(askers)))
+                    near = q[who] @ e[low:high].T
+                    # What may be among the nearest is measured once more, one product after the other.
+                    may = (near >= best.least[who, None] - 1e-9 * (1 + np.abs(near))) & (ids[low:high] != askers[who, None])
+                    for i in np.flatnonzero(may.any(axis=1)):
+                        at = low + np.flatnonzero(may[i])
+                        best.add(who[i], (e[at] * q[who[i]]).sum(axis=1), ids[at])
+            for i in range(len(askers)):
+                best.shrink(i)
+            n = best.used
+            held = np.arange(best.score.shape[1]) < n[:, None]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(askers, n)), pa.array(best.id[held]), pa.array(best.score[held])], ["query_id", "vec_id", "score"])
+
+        placed.select("cell", "id", "v").mapInArrow(rank, schema).write.mode("append").parquet(found)
+        sent.unpersist()
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = spark.read.schema(schema).parquet(found).withColumn("rank", F.row_number().over(order))
+    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

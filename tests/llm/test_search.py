@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quadrille.llm.decontamination import decontaminated, scan
 from quadrille.llm.licenses import NOTICES, OP7_SQL, op7_license_scan
 from quadrille.llm.licenses import scan as license_scan
-from quadrille.llm.neighbours import search
+from quadrille.llm.neighbours import op10_nearest_neighbours, search
 
 DATA = "/root/testdata/sf0.001"
 
@@ -134,6 +134,28 @@ def test_recall_and_scores(spark):
         assert rows == sorted(rows, key=lambda p: (-p[1], p[0]))
 
 
+def test_recall_of_the_query(spark, monkeypatch):
+    monkeypatch.setattr("quadrille.llm.neighbours.QUERY_ROWS", 20)
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").orderBy("vec_id").collect()
+    rows = [r for r in rows if r["embedding"] is not None and None not in r["embedding"] and np.isfinite(r["embedding"]).all() and np.any(r["embedding"])]
+    ids, v = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
+    want = exact_nearest(ids, v, np.flatnonzero(ids % 20 == 0), 20)
+    got: dict[int, list] = {}
+    for r in op10_nearest_neighbours(spark, "/root/testdata/sf0.01").orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+        assert r["rank"] == len(got[r["query_id"]])
+    assert got.keys() == want.keys()
+    recall = np.mean([len({a for a, _ in got[q]} & {a for a, _ in want[q]}) / len(want[q]) for q in want])
+    assert recall >= 0.9, recall
+
+
+def test_repeated_keys_and_clashing_columns(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [3.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as id", "2 as cell", "'x' as score", "3 as v")
+    got = [tuple(r) for r in search(df, F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert got == [(0, 1, 1, 3.0), (0, 2, 1, 2.0)]
+
+
 def test_few_odd_and_equal_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (3, [1.0, 0.0]), (4, [0.0, 0.0]), (5, None), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (9, [0.5, 0.5]), (None, [1.0, 1.0]), (10, [1.0, 2.0, 3.0])]
