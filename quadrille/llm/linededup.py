@@ -7,8 +7,6 @@ meet the rest of it.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,40 +17,45 @@ from .shared import saved, sized, table
 CELLS = 1 << 16
 #: Bits of a token below its rank.
 HASH_BITS = 48
+#: Rows of keys and line numbers, and lines to go, that may be broadcast.
+FEW = 200_000
+MANY = 2_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def once(x: Column, f: Callable[[Column], Column]) -> Column:
-    """f(x) with x evaluated once, however often f names it: as the one element of an array."""
-    return F.get(F.transform(F.array(x), f), 0)
-
-
 def lines_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each line: k (the key, null least of all), t (which of several texts of one key), line_no and line."""
-    k = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
-    rows = docs.select(k.alias("k"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("t"), F.coalesce(text, F.lit("")).alias("x"))
+    rows = docs.select(_key(key).alias("k"), _text_key(text).alias("t"), F.coalesce(text, F.lit("")).alias("x"))
     return rows.select("k", "t", F.posexplode(F.split("x", "\n")).alias("line_no", "line"))
 
 
-def folded(line: Column) -> Column:
-    """A-Z in lower case; the other letters keep theirs. Where lower() would change no other letter it does just that,
-    many times as fast as translate()."""
-    same = (F.length(line) == F.octet_length(line)) | ~F.rlike(line, F.lit(r"[\p{Lu}\p{Lt}\p{Nl}\p{So}&&[^A-Z]]"))
-    return F.when(same, F.lower(line)).otherwise(F.translate(line, UPPER, LOWER))
+def _key(key: str) -> Column:
+    return F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
 
 
-def words_of(line: Column) -> Column:
-    """Runs of other than white space, with A-Z folded. Blanks part words; other white space, rare, becomes blanks."""
+def words_of(line: Column, exact: bool = True) -> Column:
+    """Runs of other than white space, with A-Z folded. Blanks part words; other white space, rare, becomes blanks.
+    ASCII lines, in which lower() folds nothing but A-Z, take it; the others the slower translate(), if it has to be
+    ``exact``."""
     odd = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\f")) | F.contains(line, F.lit("\x0b"))
-    plain = F.when(odd, F.translate(line, "\t\r\f\x0b", "    ")).otherwise(line)
-    return F.array_remove(F.split(folded(plain), " "), "")
+    plain = ~odd & (F.length(line) == F.octet_length(line)) if exact else ~odd
+    folded = F.when(plain, F.lower(line)).otherwise(F.translate(line, f"{UPPER}\t\r\f\x0b", f"{LOWER}    "))
+    return F.array_remove(F.split(folded, " "), "")
+
 
+def shifted(words: Column, size: int) -> list[Column]:
+    """The first words of all shingles, their second words, and so on."""
+    return [F.slice(words, F.lit(j + 1), F.greatest(F.size(words) - (size - 1), F.lit(0))) for j in range(size)]
 
-def hashed(words: Column, size: int = WORDS) -> Column:
-    """Hashes of the shingles; fewer words are one shingle as they are, no words none."""
-    n = F.size(words)
-    many = F.transform(F.sequence(F.lit(0), n - size), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(size)]))
-    return F.when(n >= size, many).when(n > 0, F.array(F.xxhash64(words)))
+
+def with_shingles(lines: DataFrame, size: int = WORDS) -> DataFrame:
+    """Lines (k, t, line_no, line) with their words w and the hashes x of their shingles; fewer words are one shingle as
+    they are, no words none. Words are hashed first: numbers are cheaper to combine."""
+    made = lines.withColumn("w", words_of(F.col("line"))).drop("line").withColumn("x", F.transform("w", lambda x: F.xxhash64(x)))
+    begins = shifted(F.col("x"), size)[0]
+    many = F.transform(begins, lambda x, i: F.xxhash64(x, *[F.get("x", i + j) for j in range(1, size)]))
+    few = F.when(F.size("w") > 0, F.array(F.xxhash64("x"))).otherwise(F.array().cast("array<bigint>"))
+    return made.withColumn("x", F.when(F.size("w") >= size, many).otherwise(few))
 
 
 def cell(h: Column) -> Column:
@@ -60,12 +63,12 @@ def cell(h: Column) -> Column:
 
 
 def ranks(lines: DataFrame, size: int = WORDS) -> Column:
-    """How often each cell of tokens occurs in all lines, as a constant array: CELLS numbers, whatever the corpus."""
+    """How often each cell of tokens occurs in all lines, as a constant array: CELLS numbers, whatever the corpus.
+    Letters other than A-Z are folded as well, which is faster and only moves counts."""
     # Words beside those that follow them, as columns: so every step is compiled. One-token lines need no order.
     names = [f"w{j}" for j in range(size)]
-    shifted = [F.slice("w", F.lit(j + 1), F.greatest(F.size("w") - j, F.lit(0))) for j in range(size)]
-    rows = lines.select(words_of(F.col("line")).alias("w")).select(F.inline(F.arrays_zip(*shifted))).toDF(*names)
-    tokens = rows.filter(F.col(names[-1]).isNotNull()).select(F.xxhash64(*names).alias("h"))
+    rows = lines.select(words_of(F.col("line"), exact=False).alias("w")).select(F.inline(F.arrays_zip(*shifted(F.col("w"), size)))).toDF(*names)
+    tokens = rows.select(F.xxhash64(*[F.xxhash64(n) for n in names]).alias("h"))
     counts = {r["cell"]: r["n"] for r in tokens.groupBy(cell(F.col("h")).alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()}
     # Only the order of the counts matters: ranks of at most 16 bits, and one literal instead of CELLS.
     place = {n: i for i, n in enumerate(sorted(set(counts.values())))}
@@ -73,30 +76,39 @@ def ranks(lines: DataFrame, size: int = WORDS) -> Column:
     return F.split(F.lit(listed), ",").cast("array<bigint>")
 
 
-def tokens_of(words: Column, rank: Column, size: int = WORDS) -> Column:
-    """The line's set as sorted numbers, its rarest token first: rank above HASH_BITS bits of the shingle's hash."""
+def prefixes(lines: DataFrame, rank: Column, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Rows (k, t, line_no, c, c2, n, tokens) of the lines: two keys of the words, the number of tokens and the first of
+    them, the rarest first: a token's rank above HASH_BITS bits of its hash. Save them before you filter: a filter
+    would be pushed below the arrays and work them out twice."""
     low = (1 << HASH_BITS) - 1
     place = lambda h: F.coalesce(F.shiftleft(F.get(rank, cell(h)), HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit(low))), F.lit(0))
-    return F.sort_array(F.array_distinct(F.transform(hashed(words, size), place)))
-
-
-def prefixes(lines: DataFrame, rank: Column, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Index rows (k, t, line_no, c, n, pos, h): tokens of each line's prefix; c is a key of the line's words."""
-    made = lines.select("k", "t", "line_no", words_of(F.col("line")).alias("w"))
-    made = made.select("k", "t", "line_no", F.xxhash64("w").alias("c"), tokens_of(F.col("w"), rank, size).alias("s"))
-    made = made.select("k", "t", "line_no", "c", F.size("s").alias("n"), F.posexplode(F.slice("s", F.lit(1), prefix(F.size("s"), percent))).alias("pos", "h"))
-    return made
+    made = with_shingles(lines, size)
+    made = made.select("k", "t", "line_no", F.xxhash64("w").alias("c"), F.xxhash64(F.lit(1), "w").alias("c2"), F.sort_array(F.array_distinct(F.transform("x", place))).alias("s"))
+    made = made.withColumn("n", F.size("s"))
+    return made.select("k", "t", "line_no", "c", "c2", "n", F.slice("s", F.lit(1), prefix(F.col("n"), percent)).alias("tokens"))
+
+
+def entries_of(contents: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Rows (h, c, n, pos) of tokens by which a content could meet another, given the sizes of those that have them.
+    Both sides of the join are dealt by token. The shared tokens, which are distinct and so dealt evenly, are hashed,
+    and the index need not be sorted."""
+    index = contents.select("c", "n", F.posexplode("tokens").alias("pos", "h"))
+    shared = saved(index.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("n").alias("least")).filter("low <> high").select("h", "least"), "shared")
+    least = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / F.lit(100.0) - F.lit(1e-9)).cast("int"))
+    live = index.join(shared.hint("shuffle_hash"), "h").filter(F.col("n") - F.col("pos") >= overlap(F.col("n"), least, percent))
+    return live.select("h", "c", "n", "pos")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, rank: Column, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """Of pairs (c, b) of contents those that are similar; the sets are read again from the first line of each."""
+def verified(docs: DataFrame, pairs: DataFrame, contents: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+    """Of pairs (c, b) of contents those that are similar, as (c, c2) of the first; judged by whole hashes of the
+    shingles, which are read again from the first line of each content."""
     ends = pairs.select("c").union(pairs.select(F.col("b"))).distinct()
-    wanted = saved(firsts.join(ends, "c", "left_semi").select("c", "f.*"), "wanted")
-    lines = lines_of(docs, key, text).join(sized(wanted), ["k", "t", "line_no"])
-    sets = saved(lines.select("c", once(words_of(F.col("line")), lambda w: tokens_of(w, rank, size)).alias("s")), "sets")
+    wanted = saved(contents.select("c", "c2", "f").join(ends, "c", "left_semi").select("c", "c2", "f.*"), "wanted")
+    lines = lines_of(docs, key, text).join(sized(wanted, FEW), ["k", "t", "line_no"])
+    sets = saved(with_shingles(lines, size).select("c", "c2", F.array_distinct("x").alias("s")).distinct(), "sets")
     both = pairs.join(sets, "c").join(sets.select(F.col("c").alias("b"), F.col("s").alias("z")), "b")
     common, total = F.size(F.array_intersect("s", "z")), F.size("s") + F.size("z")
-    return both.withColumn("common", common).filter(F.col("common") * 100 >= (total - F.col("common")) * percent).select("c", "b")
+    return both.withColumn("common", common).filter(F.col("common") * 100 >= (total - F.col("common")) * percent).select("c", "c2").distinct()
 
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", words_per: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -106,28 +118,24 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     of their distinct shingles; under ``words_per`` words the whole line is the one shingle. A line goes if any
     earlier one is similar, whether that one goes or stays. Equal rows are one row: none of them is earlier.
 
-    Each text is shingled twice: for the counts and for the prefixes. Equal lines are one content from there on;
-    aggregates combine before the shuffle, and joins may be split, so no bucket has to meet in one task.
+    Each text is shingled twice: for the counts and for the prefixes. Equal lines, told apart from others by two keys
+    of 64 bits, are then one content with the place of its first line, however many they are; aggregates combine
+    before the shuffle, and joins may be split, so no bucket has to meet in one task.
     """
     lines = lines_of(docs, key, text)
-    rank = ranks(lines, words_per)
-    index = saved(prefixes(lines, rank, words_per, percent), "index")
+    index = saved(prefixes(lines, ranks(lines, words_per), words_per, percent), "index").filter("n > 0")
     place = F.struct("k", "t", "line_no")
-    heads = index.filter("pos = 0").select("c", "k", "t", "line_no")
-    firsts = saved(heads.groupBy("c").agg(F.min(place).alias("f")), "firsts")
-
-    shared = index.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("n").alias("least")).filter("low <> high").select("h", "least")
-    shared = saved(shared, "shared")
-    least = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / F.lit(100.0) - F.lit(1e-9)).cast("int"))
-    live = index.select("h", "c", "n", "pos").join(shared.hint("merge"), "h").filter(F.col("n") - F.col("pos") >= overlap(F.col("n"), least, percent))
-    entries = saved(live.select("h", "c", "n", "pos").distinct().join(firsts, "c"), "entries")
+    first = F.min(F.struct("k", "t", "line_no", "n", "tokens")).alias("first")
+    contents = index.groupBy("c", "c2").agg(first, F.count(F.lit(1)).alias("times"))
+    contents = saved(contents.select("c", "c2", "times", F.struct("first.k", "first.t", "first.line_no").alias("f"), "first.n", "first.tokens"), "contents")
+    entries = saved(entries_of(contents, percent).join(contents.select("c", "f"), "c"), "entries")
 
     # Everything in a bucket meets its earliest line.
     hubs = entries.groupBy("h").agg(F.min(F.struct("f", "c", "n", "pos")).alias("hub"))
-    met = entries.join(hubs, "h").filter(F.col("c") != F.col("hub.c"))
-    met = met.filter(passes(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos"), percent))
-    pairs = saved(met.select("c", F.col("hub.c").alias("b")).distinct(), "pairs")
-    gone = saved(verified(docs, pairs, firsts, rank, key, text, words_per, percent).select("c").distinct(), "gone")
+    pairs = entries.join(hubs, "h").filter(F.col("c") != F.col("hub.c"))
+    pairs = pairs.filter(passes(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos"), percent))
+    pairs = saved(pairs.select("c", F.col("hub.c").alias("b")).distinct(), "pairs")
+    gone = saved(verified(docs, pairs, contents, key, text, words_per, percent), "gone")
 
     # What matched no earliest line meets the other earlier ones.
     x = entries.join(gone, "c", "left_anti").alias("x")
@@ -135,31 +143,34 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     meet = (F.col("x.h") == F.col("y.h")) & (F.col("y.f") < F.col("x.f"))
     rest = x.join(y, meet & passes(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent))
     rest = saved(rest.select(F.col("x.c").alias("c"), F.col("y.c").alias("b")).distinct().join(pairs, ["c", "b"], "left_anti"), "rest")
-    gone = gone.union(verified(docs, rest, firsts, rank, key, text, words_per, percent).select("c")).distinct()
+    gone = gone.union(verified(docs, rest, contents, key, text, words_per, percent)).distinct()
 
-    # Contents that go with all their lines, or with all but the first.
-    again = heads.groupBy("c").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("c")
-    judged = firsts.join(again.withColumn("again", F.lit(True)), "c", "left").join(gone.withColumn("gone", F.lit(True)), "c", "left").filter("again or gone")
-    judged = saved(judged.select("c", "f", F.coalesce("gone", F.lit(False)).alias("gone")), "judged")
-    later = heads.join(sized(judged), "c").filter(F.col("gone") | (place != F.col("f")))
+    # Contents that go with all their lines, and those that go with all but the first.
+    again = contents.filter("times > 1").select("c", "c2", "f")
+    judged = saved(again.union(gone.select("c", "c2", F.lit(None).cast(contents.schema["f"].dataType))), "judged")
+    later = index.select("c", "c2", "k", "t", "line_no").join(sized(judged, FEW), ["c", "c2"]).filter(F.col("f").isNull() | (place != F.col("f")))
     return later.select("k", "t", "line_no").distinct()
 
 
-def _with_repeats(docs: DataFrame, key: str, text: str, **how) -> DataFrame:
-    """The rows of ``docs`` as struct ``row``, and the sorted numbers of the lines to go (null: none)."""
-    gone = repeated_lines(docs, key, text, **how).groupBy("k", "t").agg(F.sort_array(F.collect_set("line_no")).alias("gone"))
-    gone = sized(saved(gone, "lines_gone"), 200_000)
-    k = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), k.alias("k"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("t"))
-    return rows.join(gone, ["k", "t"], "left")
+def gone_lines(docs: DataFrame, key: str, text: str, **how) -> DataFrame:
+    """Rows (k, t, gone): the sorted numbers of the lines that go from a text, broadcast if their count is bounded."""
+    lines = saved(repeated_lines(docs, key, text, **how), "lines_gone")
+    gone = lines.groupBy("k", "t").agg(F.sort_array(F.collect_set("line_no")).alias("gone"))
+    return F.broadcast(gone) if lines.limit(MANY + 1).count() <= MANY else gone
+
+
+def _text_key(text: str) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` with the text less its repeated lines (see repeated_lines); other columns are as they were.
 
-    Rows whose lines all go stay, with an empty text; null texts stay null; an empty table stays empty.
+    Rows whose lines all go stay, with an empty text; null texts stay null; null keys are the least; an empty table
+    stays empty; a line may be of any length.
     """
-    rows = _with_repeats(docs, key, text, **how)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), _key(key).alias("k"), _text_key(text).alias("t"))
+    rows = rows.join(gone_lines(docs, key, text, **how), ["k", "t"], "left")
     left = F.filter(F.split(f"row.{text}", "\n"), lambda _, i: ~F.array_contains(F.col("gone"), i))
     new = F.when(F.col("gone").isNull(), F.col(f"row.{text}")).otherwise(F.array_join(left, "\n"))
     return rows.select(*[new.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
@@ -168,11 +179,11 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", **how)
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_lines, n_removed, and the numbers of the removed lines as a list in a string."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    gone = repeated_lines(docs).groupBy("k", "t").agg(F.sort_array(F.collect_set("line_no")).alias("gone"))
-    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
-    both = rows.join(gone, (F.col("doc_id") == F.col("k")) & (rows["t"] == gone["t"]), "left")
+    n_lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long")
+    rows = docs.select("doc_id", n_lines.alias("n_lines"), _key("doc_id").alias("k"), _text_key("text").alias("t"))
+    rows = rows.join(gone_lines(docs, "doc_id", "text"), ["k", "t"], "left")
     removed = F.coalesce("gone", F.array().cast("array<int>"))
-    return both.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), F.array_join(removed.cast("array<string>"), ",").alias("removed"))
+    return rows.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), F.array_join(removed.cast("array<string>"), ",").alias("removed"))
 
 
 OP6_SQL = f"""
