@@ -1,102 +1,145 @@
-"""Line dedup in SQL expressions only: an exact set-similarity join of lines that removes the later matches.
+"""Line dedup: an exact set-similarity join of lines that removes the later matches.
 
 A line's tokens are its distinct word shingles. They are ordered rare first, so that two similar lines share a token
 of their prefixes; lines that do meet the earliest line of the bucket first, and only those that match it nowhere
-meet the rest of it.
+meet the rest of it. Words are hashed and ordered by numpy on Arrow batches; in SQL expressions alone, arrays of a
+line's tokens are worked out one by one in interpreted code, at more CPU time than was to be had. All joins and
+aggregates are Spark's.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .setjoin import PERCENT, WORDS, overlap, passes, prefix
+from .setjoin import PERCENT, WORDS, overlap, passes
 from .shared import saved, sized, table
+from .textkernel import SPACES, U, Words, grams, sequence_keys, slices, words
 
 #: Cells of the table of token counts that says how rare a token is; it decides cost, never results.
 CELLS = 1 << 16
 #: Bits of a token below its rank.
 HASH_BITS = 48
+#: Shared tokens ahead of a token that are remembered with it.
+AHEAD = 8
 #: Rows of keys and line numbers, and lines to go, that may be broadcast.
 FEW = 200_000
 MANY = 2_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def lines_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each line: k (the key, null least of all), t (which of several texts of one key), line_no and line."""
-    rows = docs.select(_key(key).alias("k"), _text_key(text).alias("t"), F.coalesce(text, F.lit("")).alias("x"))
-    return rows.select("k", "t", F.posexplode(F.split("x", "\n")).alias("line_no", "line"))
-
-
 def _key(key: str) -> Column:
     return F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
 
 
-def words_of(line: Column, exact: bool = True) -> Column:
-    """Runs of other than white space, with A-Z folded. Blanks part words; other white space, rare, becomes blanks.
-    ASCII lines, in which lower() folds nothing but A-Z, take it; the others the slower translate(), if it has to be
-    ``exact``."""
-    odd = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\f")) | F.contains(line, F.lit("\x0b"))
-    plain = ~odd & (F.length(line) == F.octet_length(line)) if exact else ~odd
-    folded = F.when(plain, F.lower(line)).otherwise(F.translate(line, f"{UPPER}\t\r\f\x0b", f"{LOWER}    "))
-    return F.array_remove(F.split(folded, " "), "")
+def _lines(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The lines of all texts, and of each the number of its text and its own in it."""
+    listed = pc.split_pattern(texts, "\n")
+    counts = pc.list_value_length(listed).to_numpy(zero_copy_only=False).astype(np.int64)
+    return listed.flatten(), np.repeat(np.arange(len(texts)), counts), np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _tokens(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of lines of ``size`` words and more, and the number of the line of each."""
+    g = grams(w.hashes(), size)
+    line = np.repeat(np.arange(len(w.of) - 1), np.diff(w.of))[: len(g)]
+    whole = np.arange(len(g)) + size <= w.of[1:][line]
+    return g[whole], line[whole]
+
+
+def _ordered(key: np.ndarray, line: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of each line in order, line after line, and how many each line has."""
+    at = np.lexsort((key, line))
+    key, line = key[at], line[at]
+    new = np.concatenate(([True], (key[1:] != key[:-1]) | (line[1:] != line[:-1]))) if len(key) else np.zeros(0, bool)
+    return key[new], np.bincount(line[new], minlength=lines)
+
+
+def _long(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
+
+def _listed(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), _long(values))
+
+
+def read(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """k (the key, null least of all), t (which of several texts of one key) and x, the text."""
+    return docs.select(_key(key).alias("k"), _text_key(text).alias("t"), F.coalesce(text, F.lit("")).alias("x"))
+
+
+def ranks(docs: DataFrame, size: int = WORDS) -> np.ndarray:
+    """How often each cell of tokens occurs in all lines: CELLS ranks of 16 bits, whatever the corpus."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(CELLS, np.int64)
+        for _, texts in slices(batches, "x"):
+            g, _ = _tokens(words(_lines(texts)[0], SPACES), size)
+            counts += np.bincount((g >> U(HASH_BITS)).astype(np.int64), minlength=CELLS)
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["cell", "n"])
 
-def shifted(words: Column, size: int) -> list[Column]:
-    """The first words of all shingles, their second words, and so on."""
-    return [F.slice(words, F.lit(j + 1), F.greatest(F.size(words) - (size - 1), F.lit(0))) for j in range(size)]
+    made = docs.select("x").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(CELLS, np.int64)
+    counts[made["cell"]] = made["n"]
+    # Only the order of the counts matters.
+    return np.minimum(np.unique(counts, return_inverse=True)[1], 0x7FFE).astype(U)
 
 
-def with_shingles(lines: DataFrame, size: int = WORDS) -> DataFrame:
-    """Lines (k, t, line_no, line) with their words w and the hashes x of their shingles; fewer words are one shingle as
-    they are, no words none. Words are hashed first: numbers are cheaper to combine."""
-    made = lines.withColumn("w", words_of(F.col("line"))).drop("line").withColumn("x", F.transform("w", lambda x: F.xxhash64(x)))
-    begins = shifted(F.col("x"), size)[0]
-    many = F.transform(begins, lambda x, i: F.xxhash64(x, *[F.get("x", i + j) for j in range(1, size)]))
-    few = F.when(F.size("w") > 0, F.array(F.xxhash64("x"))).otherwise(F.array().cast("array<bigint>"))
-    return made.withColumn("x", F.when(F.size("w") >= size, many).otherwise(few))
+def prefixes(docs: DataFrame, rank: np.ndarray, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Rows (k, t, line_no, c, c2, n, tokens) of the lines with words: two keys of the words, the number of tokens and
+    the first of them, the rarest first: a token's rank above HASH_BITS bits of its hash. Lines of fewer words are one
+    token by themselves, which only an equal line could share, so it is not listed."""
+    sent = docs.sparkSession.sparkContext.broadcast(rank)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in slices(batches, "x"):
+            lines, text_of, number = _lines(texts)
+            w = words(lines, SPACES)
+            g, line = _tokens(w, size)
+            place = sent.value[(g >> U(HASH_BITS)).astype(np.int64)] << U(HASH_BITS) | g & U((1 << HASH_BITS) - 1)
+            place, n = _ordered(place, line, len(lines))
+            first = np.cumsum(n) - n
+            length = n - (n * percent + 99) // 100 + (n > 0)
+            pos = np.arange(len(place)) - np.repeat(first, n)
+            kept = place[pos < np.repeat(length, n)]
+            c, c2 = sequence_keys(w)
+            at = pa.array(text_of)
+            made = pa.RecordBatch.from_arrays([part.column("k").take(at), part.column("t").take(at), pa.array(number.astype(np.int32)), _long(c), _long(c2), pa.array(np.maximum(n, 1).astype(np.int32)), _listed(kept, length)], names)
+            yield made.filter(pa.array(np.diff(w.of) > 0))
 
-def cell(h: Column) -> Column:
-    return F.shiftrightunsigned(h, HASH_BITS).cast("int")
+    names = ["k", "t", "line_no", "c", "c2", "n", "tokens"]
+    return docs.mapInArrow(run, "k long, t long, line_no int, c long, c2 long, n int, tokens array<bigint>")
 
 
-def ranks(lines: DataFrame, size: int = WORDS) -> Column:
-    """How often each cell of tokens occurs in all lines, as a constant array: CELLS numbers, whatever the corpus.
-    Letters other than A-Z are folded as well, which is faster and only moves counts."""
-    # Words beside those that follow them, as columns: so every step is compiled. One-token lines need no order.
-    names = [f"w{j}" for j in range(size)]
-    rows = lines.select(words_of(F.col("line"), exact=False).alias("w")).select(F.inline(F.arrays_zip(*shifted(F.col("w"), size)))).toDF(*names)
-    tokens = rows.select(F.xxhash64(*[F.xxhash64(n) for n in names]).alias("h"))
-    counts = {r["cell"]: r["n"] for r in tokens.groupBy(cell(F.col("h")).alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    # Only the order of the counts matters: ranks of at most 16 bits, and one literal instead of CELLS.
-    place = {n: i for i, n in enumerate(sorted(set(counts.values())))}
-    listed = ",".join(str(min(place.get(counts.get(c, 0), 0), 0x7FFE)) for c in range(CELLS))
-    return F.split(F.lit(listed), ",").cast("array<bigint>")
+def sets_of(lines: DataFrame, size: int = WORDS) -> DataFrame:
+    """c, c2 and the whole hashes s of the tokens of each line of column x."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in slices(batches, "x"):
+            w = words(texts, SPACES)
+            c, c2 = sequence_keys(w)
+            yield pa.RecordBatch.from_arrays([_long(c), _long(c2), _listed(*_ordered(*_tokens(w, size), len(texts)))], ["c", "c2", "s"])
 
-def prefixes(lines: DataFrame, rank: Column, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Rows (k, t, line_no, c, c2, n, tokens) of the lines: two keys of the words, the number of tokens and the first of
-    them, the rarest first: a token's rank above HASH_BITS bits of its hash. Save them before you filter: a filter
-    would be pushed below the arrays and work them out twice."""
-    low = (1 << HASH_BITS) - 1
-    place = lambda h: F.coalesce(F.shiftleft(F.get(rank, cell(h)), HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit(low))), F.lit(0))
-    made = with_shingles(lines, size)
-    made = made.select("k", "t", "line_no", F.xxhash64("w").alias("c"), F.xxhash64(F.lit(1), "w").alias("c2"), F.sort_array(F.array_distinct(F.transform("x", place))).alias("s"))
-    made = made.withColumn("n", F.size("s"))
-    return made.select("k", "t", "line_no", "c", "c2", "n", F.slice("s", F.lit(1), prefix(F.col("n"), percent)).alias("tokens"))
+    return lines.select("x").mapInArrow(run, "c long, c2 long, s array<bigint>")
 
 
 def entries_of(contents: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Rows (h, c, n, pos) of tokens by which a content could meet another, given the sizes of those that have them.
-    Both sides of the join are dealt by token. The shared tokens, which are distinct and so dealt evenly, are hashed,
+    """Rows (h, c, n, pos, before) of tokens by which a content could meet another, given the sizes of those that have
+    them; ``before`` lists the last such tokens ahead of it, by which two contents are told to have met already. Both sides of the join are dealt by token. The shared tokens, which are distinct and so dealt evenly, are hashed,
     and the index need not be sorted."""
     index = contents.select("c", "n", F.posexplode("tokens").alias("pos", "h"))
     shared = saved(index.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("n").alias("least")).filter("low <> high").select("h", "least"), "shared")
     least = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / F.lit(100.0) - F.lit(1e-9)).cast("int"))
     live = index.join(shared.hint("shuffle_hash"), "h").filter(F.col("n") - F.col("pos") >= overlap(F.col("n"), least, percent))
-    return live.select("h", "c", "n", "pos")
+    ahead = W.partitionBy("c").orderBy("pos").rowsBetween(-AHEAD, -1)
+    return live.select("h", "c", "n", "pos", F.collect_list("h").over(ahead).alias("before"))
 
 
 def verified(docs: DataFrame, pairs: DataFrame, contents: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
@@ -104,8 +147,8 @@ def verified(docs: DataFrame, pairs: DataFrame, contents: DataFrame, key: str, t
     shingles, which are read again from the first line of each content."""
     ends = pairs.select("c").union(pairs.select(F.col("b"))).distinct()
     wanted = saved(contents.select("c", "c2", "f").join(ends, "c", "left_semi").select("c", "c2", "f.*"), "wanted")
-    lines = lines_of(docs, key, text).join(sized(wanted, FEW), ["k", "t", "line_no"])
-    sets = saved(with_shingles(lines, size).select("c", "c2", F.array_distinct("x").alias("s")).distinct(), "sets")
+    lines = read(docs, key, text).select("k", "t", F.posexplode(F.split("x", "\n")).alias("line_no", "x"))
+    sets = saved(sets_of(lines.join(sized(wanted, FEW), ["k", "t", "line_no"]), size).distinct(), "sets")
     both = pairs.join(sets, "c").join(sets.select(F.col("c").alias("b"), F.col("s").alias("z")), "b")
     common, total = F.size(F.array_intersect("s", "z")), F.size("s") + F.size("z")
     return both.withColumn("common", common).filter(F.col("common") * 100 >= (total - F.col("common")) * percent).select("c", "c2").distinct()
@@ -122,8 +165,8 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     of 64 bits, are then one content with the place of its first line, however many they are; aggregates combine
     before the shuffle, and joins may be split, so no bucket has to meet in one task.
     """
-    lines = lines_of(docs, key, text)
-    index = saved(prefixes(lines, ranks(lines, words_per), words_per, percent), "index").filter("n > 0")
+    texts = read(docs, key, text)
+    index = saved(prefixes(texts, ranks(texts, words_per), words_per, percent), "index")
     place = F.struct("k", "t", "line_no")
     first = F.min(F.struct("k", "t", "line_no", "n", "tokens")).alias("first")
     contents = index.groupBy("c", "c2").agg(first, F.count(F.lit(1)).alias("times"))
@@ -141,6 +184,8 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     x = entries.join(gone, "c", "left_anti").alias("x")
     y = entries.alias("y")
     meet = (F.col("x.h") == F.col("y.h")) & (F.col("y.f") < F.col("x.f"))
+    # Of two lines that share several tokens, at the first one; where many tokens lie between, at more than one.
+    meet = meet & ~F.arrays_overlap("x.before", "y.before")
     rest = x.join(y, meet & passes(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent))
     rest = saved(rest.select(F.col("x.c").alias("c"), F.col("y.c").alias("b")).distinct().join(pairs, ["c", "b"], "left_anti"), "rest")
     gone = gone.union(verified(docs, rest, contents, key, text, words_per, percent)).distinct()

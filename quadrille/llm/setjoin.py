@@ -14,11 +14,6 @@ PERCENT = 80
 WORDS = 5
 
 
-def prefix(n: Column, percent: int = PERCENT) -> Column:
-    """Length of the prefix of a set of n: n less the least overlap with any similar set, and one."""
-    return n - F.ceil(n * percent / F.lit(100.0) - F.lit(1e-9)).cast("int") + 1
-
-
 def overlap(n: Column, m: Column, percent: int = PERCENT) -> Column:
     """The least intersection of similar sets of n and m elements."""
     return F.ceil((n + m) * percent / F.lit(100.0 + percent) - F.lit(1e-9)).cast("int")

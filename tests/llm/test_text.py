@@ -46,6 +46,25 @@ def test_chat_edges(spark):
     assert digests(formatted(df.limit(0))).count() == 0
 
 
+def test_memory_of_formatting_and_slices():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from quadrille.llm.chat import assemble
+    from quadrille.llm.textkernel import slices
+
+    texts = pa.array(["long \\ text " * 5_000] * 100 + ["short"] * 10_000)
+    tracemalloc.start()
+    rows, spans = assemble(pa.array(["assistant"] * len(texts)), texts, np.ones(len(texts), bool), np.arange(len(texts)) % 100 == 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(rows) == 101 and peak < 4 * texts.nbytes
+    assert parsed(rows[0].as_py()) == [("assistant", t) for t in texts[:100].to_pylist()]
+    cut = list(slices(iter([pa.record_batch([texts], ["text"])]), "text", rows=256))
+    assert sum(len(t) for _, t in cut) == len(texts) and max(len(t) for _, t in cut) == 256 and max(t.nbytes for _, t in cut) < 3 << 20
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     from tokenizers import Tokenizer
