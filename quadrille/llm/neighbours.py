@@ -29,8 +29,9 @@ VISIT_LEAST = 1_000
 NEAREST = 20
 #: Queries that are sent to the tasks at once, as vectors and a bit for each cell.
 QUERY_ROWS = 4_096
-#: Candidates of a query that a task holds before it keeps the nearest of them.
-HELD = 256
+#: Rows that meet all queries of a block at once, and queries whose cells one task finds.
+ROWS_AT_ONCE = 1_024
+QUERIES_A_TASK = 256
 
 
 @dataclass
@@ -104,33 +105,12 @@ def fit(rows: DataFrame, dims: int, total: int) -> Index:
     return Index(split, kmeans(v[:, :split], k), kmeans(v[:, split:], k), np.zeros((k, k), np.int64))
 
 
-class Nearest:
-    """The ``k`` nearest candidates of each of ``n`` queries among those added so far."""
-
-    def __init__(self, n: int, k: int):
-        self.k, self.least = k, np.full(n, -np.inf)
-        self.score, self.id = np.full((n, max(HELD, 2 * k)), -np.inf), np.zeros((n, max(HELD, 2 * k)), np.int64)
-        self.used = np.zeros(n, np.int64)
-
-    def add(self, query: int, score: np.ndarray, ids: np.ndarray) -> None:
-        at = 0
-        while at < len(score):
-            free = self.score.shape[1] - self.used[query]
-            part = slice(at, at + free)
-            to = slice(self.used[query], self.used[query] + len(score[part]))
-            self.score[query, to], self.id[query, to] = score[part], ids[part]
-            self.used[query] += len(score[part])
-            at += free
-            if self.used[query] == self.score.shape[1]:
-                self.shrink(query)
-
-    def shrink(self, query: int) -> None:
-        n = self.used[query]
-        best = np.lexsort((self.id[query, :n], -self.score[query, :n]))[: self.k]
-        self.score[query, : len(best)], self.id[query, : len(best)] = self.score[query, best], self.id[query, best]
-        self.used[query] = len(best)
-        if len(best) == self.k:
-            self.least[query] = self.score[query, self.k - 1]
+def nearest_of(who: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of candidates the ``k`` with the greatest score for each query, the smaller key first among equals."""
+    order = np.lexsort((ids, -score, who))
+    who, score, ids = who[order], score[order], ids[order]
+    best = np.arange(len(who)) - np.searchsorted(who, who) < k
+    return who[best], score[best], ids[best]
 
 
 def search(df: DataFrame, queries: Column, k: int = NEAREST, key: str = "vec_id", vector: str = "embedding", share: float = VISIT_SHARE, least: int = VISIT_LEAST) -> DataFrame:
@@ -179,6 +159,7 @@ def search(df: DataFrame, queries: Column, k: int = NEAREST, key: str = "vec_id"
         return empty
     blocks = -(-n_queries // QUERY_ROWS)
     asking = asking.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "id", "v")
+    asking = asking.repartition(-(-n_queries // QUERIES_A_TASK), "id")
     visits = saved(asking.mapInArrow(visit, "block int, id long, v array<double>, cells binary"), "visits")
     found = f"{scratch(spark)}/quadrille/{uuid.uuid4().hex}/found"
     schema = "query_id long, vec_id long, score double"
@@ -191,23 +172,26 @@ def search(df: DataFrame, queries: Column, k: int = NEAREST, key: str = "vec_id"
 
         def rank(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             askers, q, visiting = sent.value
-            best = Nearest(len(askers), k)
+            found = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+            least = np.full(len(askers), -np.inf)
             for b in batches:
-                e, ids, cell = matrix(b.column("v"), dims), b.column("id").to_numpy(), b.column("cell").to_numpy()
-                cuts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True]))) if len(cell) else []
-                for low, high in zip(cuts[:-1], cuts[1:], strict=True):
-                    who = np.flatnonzero(np.unpackbits(visiting[cell[low]], count=len(askers)))
-                    near = q[who] @ e[low:high].T
+                every = matrix(b.column("v"), dims), b.column("id").to_numpy(), b.column("cell").to_numpy()
+                for low in range(0, b.num_rows, ROWS_AT_ONCE):
+                    e, ids, cell = (x[low : low + ROWS_AT_ONCE] for x in every)
+                    near = q @ e.T
+                    met = np.unpackbits(visiting[cell], axis=1, count=len(askers)).T.astype(bool)
+                    near[~met | (ids == askers[:, None])] = -np.inf
+                    bar = np.maximum(least, np.partition(near, -k, axis=1)[:, -k] if len(ids) > k else -np.inf)[:, None]
                     # What may be among the nearest is measured once more, one product after the other.
-                    may = (near >= best.least[who, None] - 1e-9 * (1 + np.abs(near))) & (ids[low:high] != askers[who, None])
-                    for i in np.flatnonzero(may.any(axis=1)):
-                        at = low + np.flatnonzero(may[i])
-                        best.add(who[i], (e[at] * q[who[i]]).sum(axis=1), ids[at])
-            for i in range(len(askers)):
-                best.shrink(i)
-            n = best.used
-            held = np.arange(best.score.shape[1]) < n[:, None]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(askers, n)), pa.array(best.id[held]), pa.array(best.score[held])], ["query_id", "vec_id", "score"])
+                    slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(bar), bar, 0)))
+                    i, j = np.nonzero((near >= bar - slack) & (near > -np.inf))
+                    new = i, (e[j] * q[i]).sum(axis=1), ids[j]
+                    found = nearest_of(*(np.concatenate(x) for x in zip(found, new, strict=True)), k)
+                    held = np.bincount(found[0], minlength=len(askers))
+                    full = held == k
+                    least[full] = found[1][np.cumsum(held)[full] - 1]
+            who, score, ids = found
+            yield pa.RecordBatch.from_arrays([pa.array(askers[who]), pa.array(ids), pa.array(score)], ["query_id", "vec_id", "score"])
 
         placed.select("cell", "id", "v").mapInArrow(rank, schema).write.mode("append").parquet(found)
         sent.unpersist()
