@@ -10,13 +10,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import pixels as px
+from ..functions.intent import has
 from ..schema import KEY, PIXEL_SIZE
-from .bands import nir_of, normalise, rgb_view
+from .bands import band_columns, nir_of, normalise, rgb_view
 from .components import components
 from .features import CHANGE, as_features, fill_density, polygons, shaped, top_components
 from .indices import _count
 from .neighbours import cleaned
-from .scenes import attach, extents, few_scenes, share
+from .resample import resample
+from .scenes import attach, extents, few_scenes, quantiles, share
 from .storage import written
 
 VISIBLE = ["red", "green", "blue"]
@@ -37,6 +39,18 @@ def matched(before: DataFrame, after: DataFrame, bands: list[str] = VISIBLE, few
     return rows.withColumns(new).select(*after.columns)
 
 
+def aligned(df: DataFrame, target: DataFrame, values: list[str]) -> DataFrame:
+    """``df`` with the scenes that are of another size than in ``target`` brought to that one's grid; the others, which
+    a count of sizes tells, stay as they are. Scenes that ``target`` has not go."""
+    own, want = extents(df), extents(target).select("scene_id", F.col("height").alias("to_height"), F.col("width").alias("to_width"))
+    sizes = written(own.join(want, "scene_id").select("scene_id", "to_height", "to_width", ((F.col("height") != F.col("to_height")) | (F.col("width") != F.col("to_width"))).alias("odd")), "sizes")
+    odd = sizes.filter("odd").select("scene_id", F.col("to_height").alias("height"), F.col("to_width").alias("width"))
+    if not odd.limit(1).count():
+        return df
+    rest = df.join(odd.select("scene_id"), "scene_id", "left_anti").select(*KEY, *values)
+    return rest.unionByName(resample(df.join(odd.select("scene_id"), "scene_id", "left_semi"), odd, values))
+
+
 def unit_view(df: DataFrame, few: bool | None = None) -> DataFrame:
     return rgb_view(df, few).withColumns({b: F.col(b) / 255.0 for b in VISIBLE})
 
@@ -57,10 +71,27 @@ def index_of(df: DataFrame, few: bool | None = None) -> DataFrame:
     return scaled.select(*KEY, F.coalesce(px.vegetation_index("red", "green", "blue", nir_of(df)), F.lit(0.0)).alias("index"))
 
 
-def deltas(before: DataFrame, after: DataFrame, few: bool | None = None) -> DataFrame:
-    """Pixels that both dates have, with magnitude, delta_index and delta_brightness."""
-    view = lambda df: unit_view(df, few).join(index_of(df, few), KEY)
-    a, b = view(before), view(after)
+def dated(df: DataFrame, few: bool | None = None) -> DataFrame:
+    """One date's pixels with red, green and blue of the view, from 0 to 1, and the index, all from one reading of a
+    scene's statistics and one of its pixels."""
+    few = few_scenes(df) if few is None else few
+    have = [b for b in VISIBLE if b in df.columns]
+    ends = df.groupBy("scene_id").agg(*[f(b).alias(f"{n}_{b}") for b in band_columns(df) for n, f in (("low", F.min), ("high", F.max))])
+    rows = attach(df, quantiles(df, {b: b for b in have}, [0.02, 0.98], few).join(ends, "scene_id"), few)
+    scaled = {f"of_{b}": px.normalised(b, F.col(f"high_{b}")) for b in band_columns(df)}
+    view = {b: px.stretched(b, F.col(f"{b}_q0"), F.col(f"{b}_q1"), F.col(f"low_{b}"), F.col(f"high_{b}")) / 255.0 for b in have}
+    index = px.vegetation_index("of_red", "of_green", "of_blue", "of_nir" if nir_of(df) else None)
+    made = rows.withColumns(scaled).select(*KEY, *[view[b].alias(b) for b in have], F.coalesce(index, F.lit(0.0)).alias("index"))
+    return made.select(*KEY, *[F.col(b if b in have else have[0]).alias(b) for b in VISIBLE], "index")
+
+
+def deltas(before: DataFrame, after: DataFrame, few: bool | None = None, regrid: bool = False) -> DataFrame:
+    """Pixels that both dates have, with magnitude, delta_index and delta_brightness. With ``regrid`` a second date
+    of another size is brought to the grid of the first (J10); its view then has whole steps of 255 again."""
+    a, b = dated(before, few), dated(after, few)
+    on_grid = aligned(b, before, [*VISIBLE, "index"]) if regrid else b
+    if on_grid is not b:
+        b = on_grid.withColumns({c: F.round(F.col(c) * 255) / 255.0 for c in VISIBLE})
     both = a.alias("a").join(matched(a, b, few=few).alias("b"), KEY)
     return both.select(*KEY, magnitude().alias("magnitude"), (F.col("b.index") - F.col("a.index")).alias("delta_index"), (brightness("b") - brightness("a")).alias("delta_brightness"))
 
@@ -99,10 +130,18 @@ def change_classes(df: DataFrame) -> DataFrame:
     return df.withColumns({"loss": loss, "built": built, "water": m & (F.col("delta_brightness") < -0.2) & ~loss})
 
 
+#: A question for both asks for compound change (fixed values).
+FROM_GREEN, TO_BUILT = ["vegetation", "green"], ["built", "construct", "develop", "building"]
+
+
 def asks_for_compound(query: str) -> bool:
-    """R8."""
     q = query.lower()
-    return any(w in q for w in ("vegetation", "green")) and any(w in q for w in ("built", "construct", "develop", "building"))
+    return any(w in q for w in FROM_GREEN) and any(w in q for w in TO_BUILT)
+
+
+def compound_asked(query: Column) -> Column:
+    """R8 for a column of questions."""
+    return has(F.lower(query), FROM_GREEN) & has(F.lower(query), TO_BUILT)
 
 
 def category(compound_query: bool, compound: Column, built: Column, loss: Column) -> Column:
@@ -115,7 +154,7 @@ def detect(before: DataFrame, after: DataFrame, query: str = "", size: float = P
     """The whole of it: ``pixels`` (deltas, mask and classes), ``features``, ``metrics`` (a row for each scene) and the
     limitation. Two tables are written on the way, as several results read them."""
     few = few_scenes(before) if few is None else few
-    delta = written(deltas(before, after, few), "deltas")
+    delta = written(deltas(before, after, few, regrid=True), "deltas")
     bar = written(otsu(delta, few=few), "otsu")
     raw = attach(delta, bar.select("scene_id", "threshold"), few).select(*KEY, (F.col("magnitude") > F.col("threshold")).alias("mask"))
     clean = cleaned(raw)
@@ -127,7 +166,7 @@ def detect(before: DataFrame, after: DataFrame, query: str = "", size: float = P
     wants = asks_for_compound(query)
     compound = (F.col("built") > 0) & ((F.col("loss") > 0) | F.lit(wants))
     judged = top.join(per, ["scene_id", "label"]).withColumn("compound", compound).withColumn("category", category(wants, F.col("compound"), F.col("built"), F.col("loss")))
-    judged = written(fill_density(judged, labels).join(bar.select("scene_id", "eta"), "scene_id"), "clusters")
+    judged = written(fill_density(judged, labels, few).join(bar.select("scene_id", "eta"), "scene_id"), "clusters")
     properties = [
         F.col("category"), F.col("quadrant"), F.col("pixels").alias("pixel_count"), F.bround("eta", 3).alias("otsu_separability"),
         F.col("loss").alias("vegetation_loss_pixels"), F.col("built").alias("builtup_gain_pixels"), F.col("compound").alias("is_compound_transition"),

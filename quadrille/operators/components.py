@@ -16,6 +16,8 @@ from .neighbours import TILE, by_tile
 from .storage import written
 
 MOST_ROUNDS = 60
+#: Labels that are numbered in one task, at most.
+RANGE = 1 << 16
 
 
 def label_tile(mask: np.ndarray) -> np.ndarray:
@@ -105,8 +107,14 @@ def sizes(labels: DataFrame) -> DataFrame:
 
 
 def numbered(sized: DataFrame) -> DataFrame:
-    """Components of a scene numbered from 1 in the order in which rows meet them."""
-    return sized.withColumn("number", F.row_number().over(W.partitionBy("scene_id").orderBy("label")))
+    """Components of a scene numbered from 1 in the order in which rows meet them. Labels are cut into ranges, and
+    numbers inside a range go up by the sizes of those before, so no task sorts a whole scene."""
+    sized = written(sized, "sized").withColumn("range", F.floor(F.col("label") / RANGE))
+    before = W.partitionBy("scene_id").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    counts = sized.groupBy("scene_id", "range").count().withColumn("base", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    inside = F.row_number().over(W.partitionBy("scene_id", "range").orderBy("label"))
+    made = sized.withColumn("number", inside).join(written(counts, "ranges"), ["scene_id", "range"])
+    return made.withColumn("number", (F.col("number") + F.col("base")).cast("int")).drop("range", "base")
 
 
 def largest(sized: DataFrame, extent: DataFrame, keep: int, share: float, least: int) -> DataFrame:

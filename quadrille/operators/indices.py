@@ -36,7 +36,7 @@ def ndvi_stats(df: DataFrame, size: float = PIXEL_SIZE, few: bool | None = None)
     n = F.col("valid")
     return got.select(
         "scene_id", number("mean").alias("mean_ndvi"), number("v_q0").alias("median_ndvi"), number("low").alias("min_ndvi"), number("high").alias("max_ndvi"), number("std").alias("std_ndvi"),
-        share(F.col("dense"), n).alias("dense_vegetation_pct"), share(F.col("moderate"), n).alias("moderate_vegetation_pct"), share(F.col("sparse"), n).alias("sparse_vegetation_pct"), share(F.col("bare"), n).alias("non_vegetation_pct"),
+        share(F.col("dense"), n).alias("dense_vegetation_pct"), share(F.col("moderate"), n).alias("moderate_vegetation_pct"), share(F.col("sparse"), n).alias("sparse_vegetation_pct"), share(F.col("bare"), n).alias("non_vegetated_pct"),
         share(F.col("dense") + F.col("moderate"), n).alias("total_vegetation_pct"), px.hectares(F.col("dense") + F.col("moderate"), size).alias("vegetation_area_hectares"),
     )
 
@@ -55,13 +55,13 @@ def ndwi_stats(df: DataFrame, size: float = PIXEL_SIZE) -> DataFrame:
     v = px.ndwi("green", "nir")
     wet = v > 0.05
     got = df.groupBy("scene_id").agg(F.count(F.lit(1)).alias("n"), _count(wet).alias("water"), F.avg(F.when(wet, v)).alias("mean"))
-    return got.select("scene_id", F.col("water").alias("water_pixels"), share(F.col("water"), F.col("n")).alias("water_coverage_pct"), px.hectares(F.col("water"), size).alias("water_area_hectares"), F.coalesce(F.bround("mean", 4), F.lit(0.0)).alias("mean_water_ndwi"))
+    return got.select("scene_id", F.col("water").alias("water_pixel_count"), share(F.col("water"), F.col("n")).alias("water_coverage_pct"), px.hectares(F.col("water"), size).alias("water_area_hectares"), F.coalesce(F.bround("mean", 4), F.lit(0.0)).alias("mean_water_ndwi"))
 
 
 def rgb_water_stats(df: DataFrame, size: float = PIXEL_SIZE) -> DataFrame:
     """A3 without near infrared."""
     got = df.groupBy("scene_id").agg(F.count(F.lit(1)).alias("n"), _count(px.water_by_ratio("red", "green", "blue")).alias("water"))
-    return got.select("scene_id", F.col("water").alias("water_pixels"), share(F.col("water"), F.col("n")).alias("water_coverage_pct"), px.hectares(F.col("water"), size).alias("water_area_hectares"))
+    return got.select("scene_id", F.col("water").alias("water_pixel_count"), share(F.col("water"), F.col("n")).alias("water_coverage_pct"), px.hectares(F.col("water"), size).alias("water_area_hectares"))
 
 
 def vegetation_stats(df: DataFrame, size: float = PIXEL_SIZE, few: bool | None = None) -> tuple[DataFrame, str | None]:

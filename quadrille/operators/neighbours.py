@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import pixels as px
 from ..schema import KEY
 from .scenes import attach, extents, quantiles
+from .storage import written
 
 TILE = 256
 
@@ -155,7 +156,7 @@ def box_mean(df: DataFrame, value: str, k: int = 5, few: bool | None = None, til
 
 def lee(df: DataFrame, value: str, k: int = 5, few: bool | None = None, noise_share: float = 0.2, tile: int = TILE) -> DataFrame:
     """Each value is drawn to its neighbours' mean, the more the less they vary beyond the scene's noise."""
-    around = box_mean(df, value, k, few, tile).withColumn("variance", F.greatest(F.col("square") - F.col("mean") * F.col("mean"), F.lit(0.0)))
+    around = written(box_mean(df, value, k, few, tile).withColumn("variance", F.greatest(F.col("square") - F.col("mean") * F.col("mean"), F.lit(0.0))), "around")
     noise = quantiles(around, {"noise": "variance"}, [noise_share], few)
     weight = F.col("variance") / (F.col("variance") + F.col("noise_q0") + px.EPS)
     return attach(around, noise, few).select(*KEY, F.col("value").alias("raw"), (F.col("mean") + weight * (F.col("value") - F.col("mean"))).alias("filtered"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import pixels as px
 from ..schema import KEY, PIXEL_SIZE
 from .bands import rgb_view
+from .change import aligned
 from .components import components
 from .features import FUSION, as_features, polygons, shaped, top_components
 from .indices import _count
@@ -36,14 +37,17 @@ def radar_stats(df: DataFrame) -> DataFrame:
     n = F.col("n")
     return got.select(
         "scene_id", F.bround("mean", 2).alias("mean_backscatter_db"), F.bround("high", 2).alias("max_backscatter_db"), F.bround("low", 2).alias("min_backscatter_db"), F.bround("sd", 2).alias("std_backscatter_db"),
-        share(F.col("metallic"), n).alias("metallic_builtup_scatter_pct"), share(F.col("volume"), n).alias("volume_vegetation_scatter_pct"), share(F.col("specular"), n).alias("calm_water_specular_pct"),
+        share(F.col("metallic"), n).alias("metallic_builtup_scatter_pct"), share(F.col("volume"), n).alias("vegetative_volume_scatter_pct"), share(F.col("specular"), n).alias("calm_water_specular_pct"),
+        F.lit(f"Lee Adaptive Spatial Filter ({WINDOW}x{WINDOW})").alias("speckle_filter_applied"),
     )
 
 
-def fusion_pixels(optical: DataFrame, radar: DataFrame, few: bool | None = None) -> DataFrame:
-    """Pixels that both have, with decibels and whether they are bright in both."""
+def fusion_pixels(optical: DataFrame, radar: DataFrame, few: bool | None = None, regrid: bool = False) -> DataFrame:
+    """Pixels that both have, with decibels and whether they are bright in both. With ``regrid`` a radar scene
+    of another size than the optical one is brought to its grid, once filtered (J10)."""
+    radar = radar.select(*KEY, F.col("filtered").alias("db"))
     bright = rgb_view(optical, few).select(*KEY, ((F.col("red") + F.col("green") + F.col("blue")) / 765.0).alias("brightness"))
-    both = bright.join(radar.select(*KEY, F.col("filtered").alias("db")), KEY)
+    both = bright.join(aligned(radar, optical, ["db"]) if regrid else radar, KEY)
     return both.select(*KEY, "db", ((F.col("db") > -7) & (F.col("brightness") > 0.35)).alias("mask"))
 
 
@@ -51,7 +55,7 @@ def fuse(optical: DataFrame, radar_raw: DataFrame, size: float = PIXEL_SIZE, few
     """``radar`` (filtered once for both uses), ``features``, ``metrics`` and ``insights`` of each scene."""
     few = few_scenes(optical) if few is None else few
     radar = written(filtered(radar_raw, few=few), "radar")
-    pixels = written(fusion_pixels(optical, radar, few), "fused")
+    pixels = written(fusion_pixels(optical, radar, few, regrid=True), "fused")
     labels = components(opened(pixels.select(*KEY, "mask")))
     extent = extents(optical)
     top = top_components(labels, extent, FUSION)

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import bands, change, features, indices, masks, neighbours, radar
 from ..operators.components import components
@@ -14,6 +15,7 @@ from ..operators.resample import resample
 from ..operators.scenes import extents
 from ..operators.storage import written
 from ..sources import raster
+from .report import answer
 
 OPTICAL, ALL = ["OPTICAL", "MULTISPECTRAL"], ["OPTICAL", "MULTISPECTRAL", "SAR"]
 
@@ -79,7 +81,7 @@ def standard() -> Registry:
         Tool("optical_analyzer", "Optical Processing", ["pixels"], "summary", OPTICAL, lambda pixels: bands.optical_summary(pixels)),
         Tool("sar_analyzer", "SAR Processing", ["pixels", "k"], "filtered decibels", ["SAR"], lambda pixels, k=radar.WINDOW: radar.filtered(pixels, k=k)),
         Tool("multimodal_fusion", "Multimodal Reasoning", ["optical", "radar_raw"], "features and metrics", ALL, radar.fuse),
-        Tool("vqa_reasoner", "Vision-Language AI", ["query", "metrics", "features"], "answer", ALL),
+        Tool("vqa_reasoner", "Vision-Language AI", ["rows"], "answer", ALL, lambda rows: rows.withColumn("answer", answer(F.col("task_type")))),
         Tool("temporal_aligner", "Temporal Analysis", ["before", "after", "values"], "pixels", OPTICAL, aligned),
         Tool("cva_detector", "Temporal Analysis", ["before", "after", "query"], "features and metrics", OPTICAL, change.detect),
         Tool("builtup_analyzer", "Computer Vision", ["pixels"], "features", OPTICAL, lambda pixels, strict=True: ground(pixels, "built_up", strict)),

@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import store
 from .functions import intent
 from .functions import pixels as px
 from .operators import bands, change, features, indices, masks, neighbours, radar, render
 from .operators.components import components, largest, numbered, sizes
 from .operators.resample import resample
 from .operators.scenes import attach, extents, quantiles
+from .operators.storage import written
 from .plans.engine import analyze
 from .plans.registry import ground
 from .schema import KEY
@@ -92,7 +94,7 @@ def optical_summary(spark, d):
 @query("ndvi_stats", f"""{BASE}, v AS (SELECT {NDVI} AS v FROM s1)
 SELECT round(avg(v), 4) AS mean_ndvi, round(median(v), 4) AS median_ndvi, round(min(v), 4) AS min_ndvi, round(max(v), 4) AS max_ndvi, round(stddev_pop(v), 4) AS std_ndvi,
  round(count(*) FILTER (v > 0.5) / count(*)::DOUBLE * 100, 2) AS dense_vegetation_pct, round(count(*) FILTER (v >= 0.2 AND v <= 0.5) / count(*)::DOUBLE * 100, 2) AS moderate_vegetation_pct,
- round(count(*) FILTER (v >= 0.05 AND v < 0.2) / count(*)::DOUBLE * 100, 2) AS sparse_vegetation_pct, round(count(*) FILTER (v < 0.05) / count(*)::DOUBLE * 100, 2) AS non_vegetation_pct,
+ round(count(*) FILTER (v >= 0.05 AND v < 0.2) / count(*)::DOUBLE * 100, 2) AS sparse_vegetation_pct, round(count(*) FILTER (v < 0.05) / count(*)::DOUBLE * 100, 2) AS non_vegetated_pct,
  round(count(*) FILTER (v >= 0.2) / count(*)::DOUBLE * 100, 2) AS total_vegetation_pct, round(count(*) FILTER (v >= 0.2) * 0.01::DOUBLE, 2) AS vegetation_area_hectares FROM v""")
 def ndvi_stats(spark, d):
     return indices.ndvi_stats(bands.normalise(t1(spark, d), few=True), few=True).drop("scene_id")
@@ -116,7 +118,7 @@ def vari_stats(spark, d):
 
 
 @query("ndwi_stats", f"""{BASE}, v AS (SELECT {NDWI} AS v FROM s1)
-SELECT count(*) FILTER (v > 0.05) AS water_pixels, round(count(*) FILTER (v > 0.05) / count(*)::DOUBLE * 100, 2) AS water_coverage_pct, round(count(*) FILTER (v > 0.05) * 0.01::DOUBLE, 2) AS water_area_hectares, round(avg(v) FILTER (v > 0.05), 4) AS mean_water_ndwi FROM v""")
+SELECT count(*) FILTER (v > 0.05) AS water_pixel_count, round(count(*) FILTER (v > 0.05) / count(*)::DOUBLE * 100, 2) AS water_coverage_pct, round(count(*) FILTER (v > 0.05) * 0.01::DOUBLE, 2) AS water_area_hectares, round(avg(v) FILTER (v > 0.05), 4) AS mean_water_ndwi FROM v""")
 def ndwi_stats(spark, d):
     return indices.ndwi_stats(bands.normalise(t1(spark, d), few=True)).drop("scene_id")
 
@@ -124,7 +126,7 @@ def ndwi_stats(spark, d):
 _RGB_WATER = "(green - red) / (green + red + 1e-6::DOUBLE) > 0.05 AND blue > red * 1.15::DOUBLE AND red < 0.35"
 
 
-@query("rgb_water_stats", f"""{BASE} SELECT count(*) FILTER ({_RGB_WATER}) AS water_pixels, round(count(*) FILTER ({_RGB_WATER}) / count(*)::DOUBLE * 100, 2) AS water_coverage_pct, round(count(*) FILTER ({_RGB_WATER}) * 0.01::DOUBLE, 2) AS water_area_hectares FROM s1""")
+@query("rgb_water_stats", f"""{BASE} SELECT count(*) FILTER ({_RGB_WATER}) AS water_pixel_count, round(count(*) FILTER ({_RGB_WATER}) / count(*)::DOUBLE * 100, 2) AS water_coverage_pct, round(count(*) FILTER ({_RGB_WATER}) * 0.01::DOUBLE, 2) AS water_area_hectares FROM s1""")
 def rgb_water_stats(spark, d):
     return indices.rgb_water_stats(bands.normalise(grids.visible(grids.grid_t1(spark, d)), few=True)).drop("scene_id")
 
@@ -202,6 +204,11 @@ def _deltas(spark, d):
     return change.deltas(t1(spark, d), t2(spark, d), True)
 
 
+def _kept_deltas(spark, d):
+    """Written once, as several statistics read them."""
+    return written(_deltas(spark, d), "deltas")
+
+
 @query("radiometric_match", f"{CHANGE} SELECT y, x, round(red, 4) AS red, round(green, 4) AS green, round(blue, 4) AS blue FROM m2")
 def radiometric_match(spark, d):
     a, b = (change.unit_view(t(spark, d), True) for t in (t1, t2))
@@ -215,18 +222,18 @@ def cva_magnitude(spark, d):
 
 @query("otsu_threshold", f"{OTSU} SELECT round(otsu, 4) AS otsu, round(eta, 4) AS eta, round(threshold, 4) AS threshold, round(mean, 4) AS mean_magnitude FROM ot")
 def otsu_threshold(spark, d):
-    return change.otsu(_deltas(spark, d), few=True).select(*[_r(c).alias(c) for c in ("otsu", "eta", "threshold", "mean_magnitude")])
+    return change.otsu(_kept_deltas(spark, d), few=True).select(*[_r(c).alias(c) for c in ("otsu", "eta", "threshold", "mean_magnitude")])
 
 
 @query("change_histogram", f"{OTSU} SELECT b.bin, coalesce(c, 0) AS n FROM (SELECT unnest(range(256))::INTEGER AS bin) b LEFT JOIN hs USING (bin)")
 def change_histogram(spark, d):
-    return change.histogram(_deltas(spark, d), "magnitude", True).select("bin", "n")
+    return change.histogram(_kept_deltas(spark, d), "magnitude", True).select("bin", "n")
 
 
 @query("change_classes", f"""{OTSU}, ch AS (SELECT delta_index, delta_brightness, magnitude > threshold AS m FROM dl, ot)
 SELECT count(*) AS pixels, count(*) FILTER (m) AS changed, count(*) FILTER (m AND delta_index < -0.15) AS loss, count(*) FILTER (m AND delta_brightness > 0.15 AND delta_index <= 0.05) AS built, count(*) FILTER (m AND delta_brightness < -0.2 AND NOT delta_index < -0.15) AS water FROM ch""")
 def change_classes(spark, d):
-    rows = _deltas(spark, d)
+    rows = _kept_deltas(spark, d)
     rows = attach(rows, change.otsu(rows, few=True).select("scene_id", "threshold"), True).withColumn("mask", F.col("magnitude") > F.col("threshold"))
     return change.change_classes(rows).agg(F.count(F.lit(1)).alias("pixels"), *[F.count_if(F.col(c)).alias(n) for c, n in (("mask", "changed"), ("loss", "loss"), ("built", "built"), ("water", "water"))])
 
@@ -315,7 +322,7 @@ def lee_filter(spark, d):
 
 
 @query("radar_regimes", f"""{_DB} SELECT round(avg(f), 2) AS mean_backscatter_db, round(max(f), 2) AS max_backscatter_db, round(min(f), 2) AS min_backscatter_db, round(stddev_pop(f), 2) AS std_backscatter_db,
- round(count(*) FILTER (f > -6) / count(*)::DOUBLE * 100, 2) AS metallic_builtup_scatter_pct, round(count(*) FILTER (f >= -16 AND f <= -6) / count(*)::DOUBLE * 100, 2) AS volume_vegetation_scatter_pct, round(count(*) FILTER (f < -20) / count(*)::DOUBLE * 100, 2) AS calm_water_specular_pct FROM lf""")
+ round(count(*) FILTER (f > -6) / count(*)::DOUBLE * 100, 2) AS metallic_builtup_scatter_pct, round(count(*) FILTER (f >= -16 AND f <= -6) / count(*)::DOUBLE * 100, 2) AS vegetative_volume_scatter_pct, round(count(*) FILTER (f < -20) / count(*)::DOUBLE * 100, 2) AS calm_water_specular_pct, 'Lee Adaptive Spatial Filter (5x5)' AS speckle_filter_applied FROM lf""")
 def radar_regimes(spark, d):
     return radar.radar_stats(radar.filtered(grids.radar(grids.grid_t1(spark, d)), few=True)).drop("scene_id")
 
@@ -378,7 +385,7 @@ _FILL = f"{_LABELS}, fn AS (SELECT tk.label, count(*) AS filled FROM tk JOIN lb
 @query("fill_density", f"{_FILL} SELECT label, round(fill, 4) AS fill FROM fd")
 def fill_density(spark, d):
     labels, top = _top(spark, d)
-    return features.fill_density(top, labels).select("label", _r("fill").alias("fill"))
+    return features.fill_density(top, labels, True).select("label", _r("fill").alias("fill"))
 
 
 @query("quadrant", f"""{_LABELS}, cy AS (SELECT label, (ymin / height::DOUBLE + ymax / height::DOUBLE) / 2 AS y, (xmin / width::DOUBLE + xmax / width::DOUBLE) / 2 AS x FROM tk)
@@ -398,10 +405,10 @@ def geo_bounds(spark, d):
     return made.select("label", "g.west", "g.south", "g.east", "g.north")
 
 
-@query("grounding_confidence", f"{_FILL} SELECT label, round(least(0.70::DOUBLE + fill * 0.28::DOUBLE, 0.98::DOUBLE), 4) AS confidence, pixels * 0.01::DOUBLE AS hectares FROM fd")
+@query("grounding_confidence", f"{_FILL} SELECT label, round(least(0.70::DOUBLE + fill * 0.28::DOUBLE, 0.98::DOUBLE), 2) AS confidence, pixels * 0.01::DOUBLE AS hectares FROM fd")
 def grounding_confidence(spark, d):
     labels, top = _top(spark, d)
-    return features.fill_density(top, labels).select("label", _r(F.least(0.70 + F.col("fill") * 0.28, F.lit(0.98))).alias("confidence"), (F.col("pixels") * 0.01).alias("hectares"))
+    return features.fill_density(top, labels, True).select("label", _r(px.grounding_confidence(F.col("fill"))).alias("confidence"), (F.col("pixels") * 0.01).alias("hectares"))
 
 
 _OUTLINE = f"""{_LABELS}, ow AS (SELECT lb.y, lb.x, lb.label FROM lb JOIN tk USING (label)),
@@ -493,8 +500,7 @@ def plan_steps(spark, d):
 
 @query("compound_rule", f"SELECT conv_id, turn, {_like('lower(text)', ['vegetation', 'green'])} AND {_like('lower(text)', ['built', 'construct', 'develop', 'building'])} AS compound FROM conversations")
 def compound_rule(spark, d):
-    q = F.lower("text")
-    return grids.table(spark, d, "conversations").select("conv_id", "turn", (intent.has(q, ["vegetation", "green"]) & intent.has(q, ["built", "construct", "develop", "building"])).alias("compound"))
+    return grids.table(spark, d, "conversations").select("conv_id", "turn", change.compound_asked(F.col("text")).alias("compound"))
 
 
 @query("qa_left_join", "SELECT d.doc_id, coalesce(l.toxic::VARCHAR, '') AS answer FROM documents d LEFT JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY doc_id) l USING (doc_id)")
@@ -503,15 +509,16 @@ def qa_left_join(spark, d):
     return datasets.join_answers(grids.table(spark, d, "documents").select("doc_id"), answers, "doc_id", "answer")
 
 
-@query("label_semi_join", "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+@query("label_semi_join", "SELECT doc_id, array_to_string(list_filter([source, lang, 'x'], lambda v: v IN ('en', 'de', 'x')), ',') AS known FROM documents")
 def label_semi_join(spark, d):
-    return grids.table(spark, d, "documents").select("doc_id", "lang").join(grids.table(spark, d, "labels").filter("quality = 1"), "doc_id", "left_semi")
+    known = datasets.known_labels(F.array("source", "lang", F.lit("x")), ["en", "de", "x"])
+    return grids.table(spark, d, "documents").select("doc_id", F.array_join(known, ",").alias("known"))
 
 
-@query("pair_self_join", "SELECT a.conv_id, a.turn, b.role AS reply_role FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1")
+@query("pair_self_join", "SELECT a.conv_id || ':' || a.turn AS id, b.conv_id || ':' || b.turn AS pair_id, b.role AS pair_title FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1")
 def pair_self_join(spark, d):
-    c = grids.table(spark, d, "conversations").select("conv_id", "turn", "role")
-    return c.alias("a").join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("reply_role")).alias("b"), ["conv_id", "turn"]).select("conv_id", F.col("turn"), "reply_role")
+    name = lambda turn: F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string"))
+    return datasets.pairs(grids.table(spark, d, "conversations").select(name(F.col("turn")).alias("id"), F.col("role").alias("title"), name(F.col("turn") + 1).alias("pair_id")))
 
 
 @query("qa_per_image", "SELECT conv_id, count(*) AS n, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id")
@@ -522,19 +529,21 @@ def qa_per_image(spark, d):
 
 @query("recent_topk", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY coalesce(o_totalprice, 0) DESC, o_orderkey LIMIT 20")
 def recent_topk(spark, d):
-    return grids.table(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.coalesce("o_totalprice", F.lit(0.0)).desc(), "o_orderkey").limit(20)
+    return store.recent(grids.table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", id="o_orderkey")
 
 
-@query("response_confidence", f"{_FILL} SELECT round(avg(round(least(0.70::DOUBLE + fill * 0.28::DOUBLE, 0.98::DOUBLE), 4)), 2) AS confidence FROM fd")
+@query("response_confidence", f"{_FILL} SELECT round(avg(round(least(0.70::DOUBLE + fill * 0.28::DOUBLE, 0.98::DOUBLE), 2)), 2) AS confidence FROM fd")
 def response_confidence(spark, d):
     labels, top = _top(spark, d)
-    rows = features.fill_density(top, labels).select("scene_id", _r(F.least(0.70 + F.col("fill") * 0.28, F.lit(0.98))).alias("confidence"))
+    rows = features.fill_density(top, labels, True).select("scene_id", _r(px.grounding_confidence(F.col("fill"))).alias("confidence"))
     return features.response_confidence(rows).select("confidence")
 
 
-@query("magic_sniff", "SELECT page_id, CASE WHEN regexp_extract(url, '\\.([^./\\\\]+)$', 1) <> '' THEN upper(regexp_extract(url, '\\.([^./\\\\]+)$', 1)) ELSE 'UNKNOWN' END AS format FROM pages")
+@query("magic_sniff", "SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'TIFF' WHEN page_id % 5 = 1 THEN 'TIFF' WHEN page_id % 5 = 2 THEN 'PNG' WHEN page_id % 5 = 3 THEN 'JPEG' WHEN regexp_extract(url, '\\.([^./\\\\]+)$', 1) <> '' THEN upper(regexp_extract(url, '\\.([^./\\\\]+)$', 1)) ELSE 'UNKNOWN' END AS format FROM pages")
 def magic_sniff(spark, d):
-    return grids.table(spark, d, "pages").select("page_id", raster.sniffed(F.encode("html", "utf-8"), F.col("url")).alias("format"))
+    """Pages behind the head of a picture of either byte order, of another format, or behind none."""
+    heads = F.get(F.array(*[F.unhex(F.lit(h)) for h in ("49492A00", "4D4D002A", "89504E470D0A1A0A", "FFD8FFE0", "")]), (F.col("page_id") % 5).cast("int"))
+    return grids.table(spark, d, "pages").select("page_id", raster.sniffed(F.concat(heads, F.encode("html", "utf-8")), F.col("url")).alias("format"))
 
 
 @query("modality_infer", "SELECT doc_id, CASE WHEN doc_id % 6 >= 4 THEN 'MULTISPECTRAL' WHEN regexp_matches(upper(source), 'SAR|SENTINEL1|S1|BACKSCATTER|RADAR') THEN 'SAR' ELSE 'OPTICAL' END AS modality FROM documents")
@@ -614,7 +623,7 @@ def colormap_radar(spark, d):
 
 @query("change_overlay", f"{OTSU}, w AS (SELECT y, x, magnitude > round(threshold, 4) AS on_, least(greatest((magnitude - round(threshold, 4)) / (round(threshold, 4) * 1.5::DOUBLE + 1e-6::DOUBLE), 0.0::DOUBLE), 1.0::DOUBLE) AS n FROM dl, ot) SELECT y, x, {_rgba('CASE WHEN on_ THEN 239 ELSE 0 END', 'CASE WHEN on_ THEN 140 - n * 100 ELSE 0 END', '0', 'CASE WHEN on_ THEN least(greatest(140 + n * 100, 140.0::DOUBLE), 240.0::DOUBLE) ELSE 0 END')} FROM w")
 def change_overlay(spark, d):
-    rows = _deltas(spark, d)
+    rows = _kept_deltas(spark, d)
     return render.change_layer(rows, change.otsu(rows, few=True), True).drop("scene_id")
 
 

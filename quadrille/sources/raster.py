@@ -6,6 +6,7 @@ here raises an error that names it.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -29,6 +30,8 @@ PIXEL_SCALE, TIEPOINT, GEO_KEYS, NODATA = 33550, 33922, 34735, 42113
 FIELDS = {1: (1, "B"), 2: (1, "s"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 6: (1, "b"), 8: (2, "h"), 9: (4, "i"), 11: (4, "f"), 12: (8, "d")}
 WGS84 = "EPSG:4326 (WGS 84)"
 PIXEL_ROWS = 1 << 18
+#: Directories of one TIFF, more being taken for a damaged file.
+MOST_PAGES = 10_000
 
 
 class UnsupportedRaster(ValueError):
@@ -96,7 +99,9 @@ def tiff_pages(data: bytes) -> list[dict[int, tuple]]:
     """The directories of a TIFF, each tag with its values."""
     order = "<" if data[:2] == b"II" else ">"
     at, pages = struct.unpack_from(order + "I", data, 4)[0], []
-    while at and len(pages) < 10_000:
+    while at:
+        if len(pages) >= MOST_PAGES:
+            raise UnsupportedRaster(f"more than {MOST_PAGES} pages, or pages in a circle")
         (count,) = struct.unpack_from(order + "H", data, at)
         tags: dict[int, tuple] = {"order": order}
         for k in range(count):
@@ -224,10 +229,17 @@ def png(rgba: np.ndarray) -> bytes:
 
 
 def files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """path, length, content and sniffed format of each file below ``path``."""
+    """path, scene_id (the path below ``path``), length, content and sniffed format of each file below ``path``."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     reader = reader.option("pathGlobFilter", pattern) if pattern else reader
-    return reader.load(path).select("path", "length", "content", sniffed(F.col("content"), F.col("path")).alias("format"))
+    return reader.load(path).select("path", below(F.col("path"), path).alias("scene_id"), "length", "content", sniffed(F.col("content"), F.col("path")).alias("format"))
+
+
+def below(path: Column, root: str) -> Column:
+    """The path below ``root``: by it files of one name in two folders are two scenes. The name where ``root`` is the
+    file itself; where ``root`` is a pattern, the whole path."""
+    start = re.sub(r"^[a-z][a-z0-9+.-]*:/*", "/", root).rstrip("/")
+    return F.when(F.endswith(path, F.lit(start)), scene_name(path)).otherwise(F.regexp_replace(path, F.lit(r"^.*?\Q" + start + r"\E/+"), F.lit("")))
 
 
 def scene_name(path: Column) -> Column:
@@ -236,36 +248,36 @@ def scene_name(path: Column) -> Column:
 
 def heads(listed: DataFrame) -> DataFrame:
     """scene_id and the metadata of each file as D4, without decoding samples."""
-    kind = "path string, format string, width int, height int, channels int, data_type string, scale array<double>, tie array<double>, geo array<int>, nodata string"
+    kind = "scene_id string, path string, format string, width int, height int, channels int, data_type string, scale array<double>, tie array<double>, geo array<int>, nodata string"
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
-            for path, data, form in zip(part["path"], part["content"], part["format"], strict=True):
+            for scene, path, data, form in zip(part["scene_id"], part["path"], part["content"], part["format"], strict=True):
                 if form == "TIFF":
                     pages = tiff_pages(data)
                     t = pages[0]
                     c = sum(p.get(SAMPLES, (1,))[0] for p in pages)
-                    rows.append((path, form, t[WIDTH][0], t[HEIGHT][0], c, _sample_type(t).newbyteorder("=").name, list(map(float, t.get(PIXEL_SCALE, ()))), list(map(float, t.get(TIEPOINT, ()))), list(map(int, t.get(GEO_KEYS, ()))), str(t[NODATA][0]) if NODATA in t else None))
+                    rows.append((scene, path, form, t[WIDTH][0], t[HEIGHT][0], c, _sample_type(t).newbyteorder("=").name, list(map(float, t.get(PIXEL_SCALE, ()))), list(map(float, t.get(TIEPOINT, ()))), list(map(int, t.get(GEO_KEYS, ()))), str(t[NODATA][0]) if NODATA in t else None))
                 elif form == "PNG":
                     w, h, bits, colour = struct.unpack_from(">IIBB", data, 16)
-                    rows.append((path, form, w, h, {0: 1, 2: 3, 3: 3, 4: 2, 6: 4}.get(colour, 0), "uint16" if bits == 16 else "uint8", [], [], [], None))
+                    rows.append((scene, path, form, w, h, {0: 1, 2: 3, 3: 3, 4: 2, 6: 4}.get(colour, 0), "uint16" if bits == 16 else "uint8", [], [], [], None))
                 else:
                     raise UnsupportedRaster(f"{path}: {form}")
-            yield pd.DataFrame(rows, columns=["path", "format", "width", "height", "channels", "data_type", "scale", "tie", "geo", "nodata"])
+            yield pd.DataFrame(rows, columns=["scene_id", "path", "format", "width", "height", "channels", "data_type", "scale", "tie", "geo", "nodata"])
 
-    raw = listed.select("path", "content", "format").mapInPandas(run, kind)
+    raw = listed.select("scene_id", "path", "content", "format").mapInPandas(run, kind)
     affine, bounds = placed(F.col("scale"), F.col("tie"), F.col("width"), F.col("height"))
     maps = F.when(F.col("channels") >= 4, _map(4)).when(F.col("channels") >= 3, _map(3)).otherwise(_map(1))
     mode = modality(scene_name(F.col("path")), F.col("channels"))
     crs = F.when(F.size("geo") > 0, crs_of(F.col("geo"))).otherwise(F.when(bounds.isNotNull(), WGS84))
     made = raw.select(
-        scene_name(F.col("path")).alias("filename"), "format", "width", "height", "channels", band_names(F.col("channels"), mode).alias("band_names"), (F.col("channels") >= 4).alias("has_nir"),
+        "scene_id", scene_name(F.col("path")).alias("filename"), "format", "width", "height", "channels", band_names(F.col("channels"), mode).alias("band_names"), (F.col("channels") >= 4).alias("has_nir"),
         mode.alias("modality"), crs.alias("crs"), bounds.alias("bounds"), affine.alias("transform"),
         F.when(bounds.isNotNull(), F.get("scale", F.lit(0))).alias("pixel_size_meters"), "data_type", F.expr("try_cast(trim(nodata) as double)").alias("nodata_value"),
         F.lit(None).cast("string").alias("sensor_name"), F.lit(None).cast("string").alias("acquisition_date"), F.lit(False).alias("is_synthetic_fixture"), maps.alias("band_map"),
     )
-    return made.select(F.col("filename").alias("scene_id"), F.struct(*[F.col(n) for n in METADATA.fieldNames()]).cast(METADATA).alias("metadata"))
+    return made.select("scene_id", F.struct(*[F.col(n) for n in METADATA.fieldNames()]).cast(METADATA).alias("metadata"))
 
 
 def _map(channels: int) -> Column:
@@ -290,12 +302,12 @@ def pixels(listed: DataFrame) -> DataFrame:
                     n = np.arange(at, at + len(cut))
                     yield pd.DataFrame({"scene_id": name, "y": n // w, "x": n % w, "samples": list(cut)})
 
-    return listed.select(scene_name(F.col("path")).alias("scene_id"), "content").mapInPandas(run, PIXELS)
+    return listed.select("scene_id", "content").mapInPandas(run, PIXELS)
 
 
 def images(spark: SparkSession, path: str) -> DataFrame:
     """Pixels of JPEG (and other 8-bit) pictures by Spark's own decoder, whose samples come blue first."""
-    rows = spark.read.format("image").load(path).select(scene_name(F.col("image.origin")).alias("scene_id"), "image.*")
+    rows = spark.read.format("image").load(path).select(below(F.col("image.origin"), path).alias("scene_id"), "image.*")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:

@@ -1,9 +1,13 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quadrille.functions.intent import parse_one, parsed
+from quadrille.operators import change, radar
 from quadrille.plans import engine
 from quadrille.plans.registry import provider, standard
+from quadrille.schema import METADATA, RESULT
 from quadrille.sources import grids
 
 COMPOUND = "Find areas where vegetation decreased while built-up land increased between two dates"
@@ -45,8 +49,10 @@ def test_registry(spark):
     assert len(r.tools) == 14 and r.listed(spark).count() == 14
     with pytest.raises(KeyError):
         r.execute("none")
-    with pytest.raises(NotImplementedError):
-        r.execute("vqa_reasoner")
+    told = spark.createDataFrame([("SPECTRAL_WATER", "{}", [], None)], "task_type string, metrics string, features array<struct<label string>>, limitations string")
+    shape = StructType([f for f in RESULT if f.name == "features"])
+    told = told.drop("features").crossJoin(spark.createDataFrame([([],)], shape)).crossJoin(spark.createDataFrame([(None,)], StructType().add("metadata", METADATA)))
+    assert "Nothing of that kind" in r.execute("vqa_reasoner", rows=told).first()["answer"]
     coast = grids.synthetic(spark, "coast", 40, 40)
     stats, _ = r.execute("water_detector", pixels=coast)
     assert stats.first()["water_coverage_pct"] > 30
@@ -65,6 +71,41 @@ def test_analysis_of_several_scenes(spark):
         assert {t["status"] for t in r["trace"]} == {"completed"}
 
 
+def test_values_of_change_metrics(spark):
+    a, b = (grids.synthetic(spark, n, 96, 96) for n in ("before", "after"))
+    got = change.detect(a, b, COMPOUND)
+    p, m, n = got["pixels"].toPandas(), got["metrics"].first(), 96 * 96
+    assert len(p) == n and p["mask"].any()
+    for column, name in (("mask", "total_change_pct"), ("loss", "vegetation_loss_pct"), ("built", "builtup_expansion_pct"), ("water", "water_fluctuation_pct")):
+        assert m[name] == pytest.approx(100 * p[column].sum() / n, abs=0.0051)
+    assert m["mean_cva_magnitude"] == pytest.approx(p["magnitude"].mean(), abs=1e-4) and m["total_changed_hectares"] == pytest.approx(p["mask"].sum() * 100 / 10_000, abs=0.0051)
+    v = p["magnitude"].to_numpy()
+    counts, edges = np.histogram(v, 256, (0, v.max() + 1e-4))
+    centre, share = (edges[1:] + edges[:-1]) / 2, counts / n
+    omega, mu = share.cumsum(), (share * centre).cumsum()
+    between = (mu[-1] * omega - mu) ** 2 / (omega * (1 - omega) + 1e-8)
+    assert m["threshold_used"] == pytest.approx(max(centre[between.argmax()], v.mean() + 1.2 * v.std(), 0.22), abs=1e-3)
+    assert m["otsu_separability_eta"] == pytest.approx(min(between.max() / (v.var() + 1e-8), 1), abs=1e-3)
+    assert m["clusters_count"] == got["features"].count() <= 8
+
+
+def test_values_of_fusion_metrics(spark):
+    o = grids.synthetic(spark, "coast", 64, 64).withColumn("scene_id", F.lit("radar"))
+    got = radar.fuse(o, grids.synthetic(spark, "radar", 64, 64))
+    db, m = got["radar"].toPandas()["filtered"], got["metrics"].first()
+    assert m["mean_backscatter_db"] == pytest.approx(db.mean(), abs=0.0051) and m["max_backscatter_db"] == pytest.approx(db.max(), abs=0.0051) and m["std_backscatter_db"] == pytest.approx(db.std(ddof=0), abs=0.0051)
+    assert m["metallic_builtup_scatter_pct"] == pytest.approx(100 * (db > -6).mean(), abs=0.0051) and m["vegetative_volume_scatter_pct"] == pytest.approx(100 * ((db >= -16) & (db <= -6)).mean(), abs=0.0051)
+    assert m["fused_structures_count"] == got["features"].count() and m["speckle_filter_applied"].endswith("(5x5)")
+
+
+def test_second_images_of_another_size(spark):
+    a, b = grids.synthetic(spark, "before", 48, 48), grids.synthetic(spark, "after", 24, 24)
+    p = change.deltas(a, b, regrid=True).toPandas()
+    assert len(p) == 48 * 48 and p["magnitude"].between(0, 3**0.5).all()
+    o = grids.synthetic(spark, "coast", 40, 40).withColumn("scene_id", F.lit("radar"))
+    assert radar.fuse(o, grids.synthetic(spark, "radar", 64, 64))["pixels"].count() == 1600
+
+
 def test_change_and_fusion(spark):
     a, b = (grids.synthetic(spark, n, 96, 96) for n in ("before", "after"))
     r = engine.detect_change(spark, a, b, COMPOUND).first()

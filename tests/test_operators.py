@@ -101,7 +101,7 @@ def test_missing_samples_are_in_no_mask_and_count_only_for_water(spark):
     df = pixels(spark, {"s": {"red": red, "green": red + 0.2, "blue": red, "nir": red + 0.3}})
     df = df.withColumn("nir", F.when((F.col("y") == 0) & (F.col("x") == 0), F.lit(float("nan"))).otherwise(F.col("nir"))).withColumn("nir", px.without("nir", None))
     stats = indices.ndvi_stats(bands.normalise(df)).first()
-    assert stats["dense_vegetation_pct"] + stats["moderate_vegetation_pct"] + stats["sparse_vegetation_pct"] + stats["non_vegetation_pct"] == pytest.approx(100, abs=0.02)
+    assert stats["dense_vegetation_pct"] + stats["moderate_vegetation_pct"] + stats["sparse_vegetation_pct"] + stats["non_vegetated_pct"] == pytest.approx(100, abs=0.02)
     assert indices.ndwi_stats(bands.normalise(df)).first()["water_coverage_pct"] == 0
     assert not grid(masks.mask(df, "vegetation"), "mask", (2, 2))[0, 0]
 

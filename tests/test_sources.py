@@ -78,6 +78,22 @@ def test_png_round_trip():
     assert (raster.png_pixels(raster.png(a)) == a).all()
 
 
+def test_files_of_one_name_in_two_folders(spark, tmp_path):
+    for folder, value in (("a", 1), ("b", 2)):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.png").write_bytes(raster.png(np.full((2, 2, 4), value, np.uint8)))
+    listed = raster.files(spark, str(tmp_path))
+    assert {(r["scene_id"], r["metadata"]["filename"]) for r in raster.heads(listed).collect()} == {("a/x.png", "x.png"), ("b/x.png", "x.png")}
+    assert {(r["scene_id"], r["y"], r["x"], r["samples"][0]) for r in raster.pixels(listed).collect()} == {(f"{f}/x.png", y, x, v) for f, v in (("a", 1.0), ("b", 2.0)) for y in range(2) for x in range(2)}
+    assert raster.files(spark, str(tmp_path / "a" / "x.png")).first()["scene_id"] == "x.png"
+
+
+def test_pages_in_a_circle():
+    head = struct.pack("<2sHI", b"II", 42, 8) + struct.pack("<HI", 0, 8)
+    with pytest.raises(raster.UnsupportedRaster):
+        raster.tiff_pages(head)
+
+
 def test_scan_metadata_and_uploads(spark, tmp_path):
     a = np.random.default_rng(1).integers(1, 200, (8, 9, 4), dtype=np.uint8)
     (tmp_path / "coast.tif").write_bytes(tiff([a], nodata="0"))
