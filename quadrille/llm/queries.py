@@ -14,7 +14,10 @@ from .licenses import OP7_SQL, op7_license_scan
 from .linededup import OP6_SQL, op6_line_dedup
 from .neighbours import op10_nearest_neighbours
 from .packing import op9_packing
+from .repair import OP13_SQL, op13_conversation_repair
+from .secretscan import op12_secret_scan
 from .sharding import op1_sharding
+from .spelling import OP11_SQL, op11_spelling_variants
 from .toxicity import op3_toxicity
 
 
@@ -30,6 +33,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_formatting": op8_chat_formatting,
         "op9_packing": op9_packing,
         "op10_nearest_neighbours": op10_nearest_neighbours,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_secret_scan": op12_secret_scan,
+        "op13_conversation_repair": op13_conversation_repair,
     }
 
 
@@ -37,4 +43,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op6_line_dedup": OP6_SQL,
         "op7_license_scan": OP7_SQL,
+        "op11_spelling_variants": OP11_SQL,
+        "op12_secret_scan": op12_secret_scan,
+        "op13_conversation_repair": OP13_SQL,
     }
