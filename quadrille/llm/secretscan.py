@@ -36,7 +36,7 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
 PLAIN = "plain"
 #: Distinct values of a kind, and other strings, from which automata are inferred: those of least crc32, up to a length.
 SAMPLE = 2_000
-SAMPLE_PLAIN = 6_000
+SAMPLE_PLAIN = 20_000
 SAMPLE_LENGTH = 200
 #: Values of which a kind has no automaton of its own.
 LEAST_SAMPLE = 30
@@ -45,7 +45,7 @@ ALPHA = 0.01
 #: Weight of what was never seen in a state.
 UNSEEN = 0.05
 #: Shares of the samples by which thresholds are set: of credentials that may be missed, of others that may be taken.
-MISSED, TAKEN = 0.02, 0.0005
+MISSED, TAKEN = 0.02, 0.0001
 #: By how much, in nats a string, a credential must be likelier than another string.
 MARGIN = 4.0
 #: Length up to which strings are scored side by side; longer ones are scored one by one.
