@@ -44,9 +44,9 @@ LEAST_SAMPLE = 30
 ALPHA = 0.01
 #: Weight of what was never seen in a state.
 UNSEEN = 0.05
-#: Shares of the samples by which thresholds are set: of credentials that may be missed, of others that may be taken.
-MISSED, TAKEN = 0.02, 0.0001
-#: By how much, in nats a string, a credential must be likelier than another string.
+#: Share of the labelled credentials that need not be taken.
+MISSED = 0.02
+#: By how much, in nats, a credential must stand out more than any string of the other sample.
 MARGIN = 4.0
 #: Length up to which strings are scored side by side; longer ones are scored one by one.
 SHORT = 256
@@ -239,8 +239,8 @@ class Model:
 
 
 def fitted(samples: dict[str, list[str]]) -> Model:
-    """Infer the automata of the samples (values by kind, others under PLAIN) and set their thresholds by the shares
-    MISSED and TAKEN of them. A kind of fewer than LEAST_SAMPLE values has none, and so adds nothing."""
+    """Infer the automata of the samples (values by kind, others under PLAIN) and set their thresholds: all but MISSED of
+    the kind's own values are likely enough, and none of the others stands out enough. A kind of fewer than LEAST_SAMPLE values has none, and so adds nothing."""
     plain = sorted(samples.get(PLAIN, []))
     model = Model({}, {}, {}, inferred(plain) if plain else None)
     for kind in KINDS:
@@ -252,7 +252,7 @@ def fitted(samples: dict[str, list[str]]) -> Model:
         gains = likelihoods(auto, plain) - likelihoods(model.plain, plain)
         model.kinds[kind] = auto
         model.least[kind] = float(np.quantile(scores, MISSED))
-        model.ahead[kind] = max(MARGIN, float(np.quantile(gains, 1 - TAKEN)))
+        model.ahead[kind] = MARGIN + max(0.0, float(gains.max()))
     return model
 
 
