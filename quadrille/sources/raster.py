@@ -10,6 +10,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -38,6 +39,10 @@ class UnsupportedRaster(ValueError):
     """A file whose format, compression or sample type has no decoder here."""
 
 
+class DamagedRaster(ValueError):
+    """A file whose parts are not where, or not as long as, its directory says."""
+
+
 # --- expressions -------------------------------------------------------------------------------------------------
 
 
@@ -95,29 +100,38 @@ def placed(scale: Column, tie: Column, width: Column, height: Column) -> tuple[C
 # --- one file ----------------------------------------------------------------------------------------------------
 
 
-def tiff_pages(data: bytes) -> list[dict[int, tuple]]:
+def _unpacked(form: str, data, at: int) -> tuple:
+    """``data`` is bytes, or whatever gives out slices of a file without reading all of it."""
+    part = data[at : at + struct.calcsize(form)]
+    if len(part) < struct.calcsize(form):
+        raise DamagedRaster(f"a directory or its values end after {at + len(part)} bytes")
+    return struct.unpack(form, part)
+
+
+def tiff_pages(data) -> list[dict[int, tuple]]:
     """The directories of a TIFF, each tag with its values."""
     order = "<" if data[:2] == b"II" else ">"
-    at, pages = struct.unpack_from(order + "I", data, 4)[0], []
+    at, pages = _unpacked(order + "I", data, 4)[0], []
     while at:
         if len(pages) >= MOST_PAGES:
             raise UnsupportedRaster(f"more than {MOST_PAGES} pages, or pages in a circle")
-        (count,) = struct.unpack_from(order + "H", data, at)
+        (count,) = _unpacked(order + "H", data, at)
+        listed = data[at + 2 : at + 2 + 12 * count + 4]
         tags: dict[int, tuple] = {"order": order}
         for k in range(count):
-            tag, kind, n = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
+            tag, kind, n = _unpacked(order + "HHI", listed, 12 * k)
             if kind not in FIELDS:
                 continue
             size, letter = FIELDS[kind]
-            where = at + 2 + 12 * k + 8
+            held, where = listed, 12 * k + 8
             if size * n > 4:
-                (where,) = struct.unpack_from(order + "I", data, where)
+                held, (where,) = data, _unpacked(order + "I", listed, where)
             if kind == 2:
-                tags[tag] = (data[where : where + n].split(b"\0")[0].decode("latin-1"),)
+                tags[tag] = (bytes(held[where : where + n]).split(b"\0")[0].decode("latin-1"),)
             else:
-                tags[tag] = struct.unpack_from(order + letter * n, data, where)
+                tags[tag] = _unpacked(order + letter * n, held, where)
         pages.append(tags)
-        (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * count)
+        (at,) = _unpacked(order + "I", listed, 12 * count)
     return pages
 
 
@@ -128,33 +142,67 @@ def _sample_type(tags: dict) -> np.dtype:
     return np.dtype(f"{tags['order']}{'uif'[kind - 1]}{b // 8}")
 
 
-def tiff_page(data: bytes, tags: dict) -> np.ndarray:
-    """Height by width by channels; stripped or tiled, plain or deflated, with or without horizontal differences."""
-    kind, h, w, c = _sample_type(tags), tags[HEIGHT][0], tags[WIDTH][0], tags.get(SAMPLES, (1,))[0]
-    packing, separate = tags.get(COMPRESSION, (1,))[0], tags.get(PLANAR, (1,))[0] == 2
-    if packing not in (1, 8, 32946):
-        raise UnsupportedRaster(f"TIFF compression {packing}")
-    if tags.get(PREDICTOR, (1,))[0] not in (1, 2):
-        raise UnsupportedRaster(f"TIFF predictor {tags[PREDICTOR][0]}")
+class Block(NamedTuple):
+    """A strip or tile of one plane: its corner, its rows and columns within the picture, and where its bytes are."""
+
+    plane: int
+    y: int
+    x: int
+    rows: int
+    columns: int
+    start: int
+    size: int
+
+
+def tiff_blocks(tags: dict) -> list[Block]:
+    """All strips or tiles of a page; an error where the directory does not list as many as the page needs."""
+    h, w, c = tags[HEIGHT][0], tags[WIDTH][0], tags.get(SAMPLES, (1,))[0]
     tiled = TILES in tags
     bw, bh = (tags[TILE_WIDTH][0], tags[TILE_HEIGHT][0]) if tiled else (w, min(h, tags.get(ROWS_PER_STRIP, (h,))[0]))
-    starts, sizes = (tags[TILES], tags[TILE_SIZES]) if tiled else (tags[STRIPS], tags[STRIP_SIZES])
-    across, down, depth = -(-w // bw), -(-h // bh), 1 if separate else c
-    out = np.zeros((h, w, c), kind.newbyteorder("="))
+    starts, sizes = (tags[TILES], tags.get(TILE_SIZES, ())) if tiled else (tags.get(STRIPS, ()), tags.get(STRIP_SIZES, ()))
+    across, down = -(-w // bw), -(-h // bh)
+    want = across * down * (c if tags.get(PLANAR, (1,))[0] == 2 else 1)
+    if not len(starts) == len(sizes) == want:
+        raise DamagedRaster(f"{len(starts)} starts and {len(sizes)} sizes of strips or tiles, not {want}")
+    out = []
     for n, (start, size) in enumerate(zip(starts, sizes, strict=True)):
-        raw = data[start : start + size]
-        raw = raw if packing == 1 else zlib.decompress(raw)
         plane, rest = divmod(n, across * down)
         y, x = rest // across * bh, rest % across * bw
-        rows = bh if tiled else min(bh, h - y)
-        block = np.frombuffer(raw, kind, rows * bw * depth).reshape(rows, bw, depth)
-        if tags.get(PREDICTOR, (1,))[0] == 2:
-            block = np.cumsum(block, axis=1, dtype=block.dtype.newbyteorder("="))
-        put = block[: h - y, : w - x]
-        if separate:
-            out[y : y + put.shape[0], x : x + put.shape[1], plane] = put[:, :, 0]
-        else:
-            out[y : y + put.shape[0], x : x + put.shape[1]] = put
+        out.append(Block(plane, y, x, min(bh, h - y), min(bw, w - x), start, size))
+    return out
+
+
+def tiff_block(raw: bytes, block: Block, tags: dict) -> np.ndarray:
+    """Rows by columns by samples of one strip or tile; plain or deflated, with or without horizontal differences."""
+    kind, c = _sample_type(tags), tags.get(SAMPLES, (1,))[0]
+    packing, predictor = tags.get(COMPRESSION, (1,))[0], tags.get(PREDICTOR, (1,))[0]
+    if packing not in (1, 8, 32946):
+        raise UnsupportedRaster(f"TIFF compression {packing}")
+    if predictor not in (1, 2):
+        raise UnsupportedRaster(f"TIFF predictor {predictor}")
+    rows, columns = (tags[TILE_HEIGHT][0], tags[TILE_WIDTH][0]) if TILES in tags else (block.rows, block.columns)
+    depth = 1 if tags.get(PLANAR, (1,))[0] == 2 else c
+    if len(raw) != block.size:
+        raise DamagedRaster(f"the strip or tile at byte {block.start} has {len(raw)} bytes of {block.size}")
+    try:
+        raw = raw if packing == 1 else zlib.decompress(raw)
+    except zlib.error as e:
+        raise DamagedRaster(f"the strip or tile at byte {block.start}: {e}") from None
+    if len(raw) < rows * columns * depth * kind.itemsize:
+        raise DamagedRaster(f"the strip or tile at byte {block.start} has {len(raw)} bytes of samples, not {rows * columns * depth * kind.itemsize}")
+    made = np.frombuffer(raw, kind, rows * columns * depth).reshape(rows, columns, depth)
+    if predictor == 2:
+        made = np.cumsum(made, axis=1, dtype=made.dtype.newbyteorder("="))
+    return made[: block.rows, : block.columns]
+
+
+def tiff_page(data: bytes, tags: dict) -> np.ndarray:
+    """Height by width by channels."""
+    h, w, c = tags[HEIGHT][0], tags[WIDTH][0], tags.get(SAMPLES, (1,))[0]
+    out = np.zeros((h, w, c), _sample_type(tags).newbyteorder("="))
+    for b in tiff_blocks(tags):
+        planes = slice(b.plane, b.plane + 1) if tags.get(PLANAR, (1,))[0] == 2 else slice(None)
+        out[b.y : b.y + b.rows, b.x : b.x + b.columns, planes] = tiff_block(data[b.start : b.start + b.size], b, tags)
     return out
 
 

@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.raster import sniffed, uploads
+from ..sources.raster import below, sniffed, uploads
 
 SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
 def arriving(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFrame:
-    """Each new file below ``path`` once, at most ``files_per_batch`` in a batch."""
+    """Each new file below ``path`` once, at most ``files_per_batch`` in a batch, as raster.files() gives them."""
     rows = spark.readStream.format("binaryFile").schema(SCHEMA).option("maxFilesPerTrigger", files_per_batch).load(path)
-    return rows.select("path", "length", "content", sniffed(F.col("content"), F.col("path")).alias("format"))
+    return rows.select("path", below(F.col("path"), path).alias("scene_id"), "length", "content", sniffed(F.col("content"), F.col("path")).alias("format"))
 
 
 def ingest(spark: SparkSession, path: str, taken: str, refused: str, checkpoint: str, once: bool = True) -> StreamingQuery:

@@ -10,21 +10,24 @@ from pyspark.sql import functions as F
 from quadrille import store
 from quadrille.operators import bands, render
 from quadrille.schema import RESULT
-from quadrille.sources import datasets, raster
+from quadrille.sources import blocks, datasets, raster
 
 
-def tiff(frames: list[np.ndarray], deflate=False, order="<", geo=True, nodata=None) -> bytes:
-    """A stripped TIFF, one directory a frame."""
+def tiff(frames: list[np.ndarray], deflate=False, order="<", geo=True, nodata=None, rows=None, planar=False) -> bytes:
+    """A stripped TIFF, one directory a frame; strips of ``rows`` rows, by channel if ``planar``."""
     out = bytearray((b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 0))
     where = 4
     for a in frames:
         h, w, c = a.shape
         kind = {"u": 1, "i": 2, "f": 3}[a.dtype.kind]
-        raw = a.astype(a.dtype.newbyteorder(order)).tobytes()
-        raw = zlib.compress(raw) if deflate else raw
-        start = len(out)
-        out += raw
-        tags = {256: ("I", [w]), 257: ("I", [h]), 258: ("H", [a.dtype.itemsize * 8] * c), 259: ("H", [8 if deflate else 1]), 273: ("I", [start]), 277: ("H", [c]), 278: ("I", [h]), 279: ("I", [len(raw)]), 339: ("H", [kind] * c)}
+        starts, sizes = [], []
+        for plane in [a[:, :, i : i + 1] for i in range(c)] if planar else [a]:
+            for y in range(0, h, rows or h):
+                raw = plane[y : y + (rows or h)].astype(a.dtype.newbyteorder(order)).tobytes()
+                raw = zlib.compress(raw) if deflate else raw
+                starts, sizes = [*starts, len(out)], [*sizes, len(raw)]
+                out += raw
+        tags = {256: ("I", [w]), 257: ("I", [h]), 258: ("H", [a.dtype.itemsize * 8] * c), 259: ("H", [8 if deflate else 1]), 273: ("I", starts), 277: ("H", [c]), 278: ("I", [rows or h]), 279: ("I", sizes), 284: ("H", [1 + planar]), 339: ("H", [kind] * c)}
         if geo:
             tags |= {33550: ("d", [10.0, 10.0, 0.0]), 33922: ("d", [0.0, 0.0, 0.0, 83.218, 17.689, 0.0]), 34735: ("H", [1, 1, 0, 1, 2048, 0, 1, 32644])}
         body, entries = bytearray(), []
@@ -59,6 +62,106 @@ def test_tiff(order, deflate, kind):
     assert (got == a).all() and tags[raster.PIXEL_SCALE][0] == 10.0
 
 
+# --- the data source -------------------------------------------------------------------------------------------------
+
+
+def planned(path, *filters, **options) -> blocks.Reader:
+    reader = blocks.Reader({"path": str(path), "splitbytes": "1", **options})
+    assert list(reader.pushFilters(list(filters))) == list(filters)
+    return reader
+
+
+def read_bytes(reader) -> int:
+    return sum(s.size for s in reader.partitions())
+
+
+def as_array(df, frame=0):
+    rows = df.filter(F.col("frame") == frame).collect()
+    out = np.full((max(r["y"] for r in rows) + 1, max(r["x"] for r in rows) + 1, len(rows[0]["samples"])), np.nan)
+    for r in rows:
+        out[r["y"], r["x"]] = r["samples"]
+    return out
+
+
+@pytest.mark.parametrize("planar", [False, True])
+@pytest.mark.parametrize("deflate", [False, True])
+def test_strips_are_partitions(spark, tmp_path, planar, deflate):
+    a = (np.arange(16 * 10 * 4) % 60_000).reshape(16, 10, 4).astype(np.uint16)
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "s.tif").write_bytes(tiff([a], deflate, rows=4, planar=planar))
+    df = blocks.scan(spark, str(tmp_path), split_bytes=1)
+    assert df.rdd.getNumPartitions() == 4
+    assert (as_array(df) == a).all() and df.select("scene_id").distinct().collect() == [("deep/s.tif",)]
+    whole = blocks.scan(spark, str(tmp_path))
+    assert whole.rdd.getNumPartitions() == 1 and (as_array(whole) == a).all()
+    some = df.filter((F.col("y") >= 5) & (F.col("y") < 8) & (F.col("x") == 3))
+    assert some.rdd.getNumPartitions() == 1 and sorted((r["y"], r["samples"]) for r in some.collect()) == [(y, a[y, 3].tolist()) for y in (5, 6, 7)]
+    assert (as_array(blocks.scan(spark, str(tmp_path), 1, [2, 0])) == a[:, :, [2, 0]]).all()
+    with_joined = spark.sql("SELECT 1").crossJoin(df).filter("frame = 7").collect()
+    assert with_joined == []
+
+
+def test_filters_and_bands_read_fewer_bytes(tmp_path):
+    a = np.zeros((40, 10, 3), np.uint8)
+    (tmp_path / "a.tif").write_bytes(tiff([a, a], rows=10, planar=True))
+    (tmp_path / "b.tif").write_bytes(tiff([a], rows=10))
+    full = read_bytes(planned(tmp_path))
+    assert full == 3 * a.size
+    assert read_bytes(planned(tmp_path, blocks.GreaterThan(("y",), 29))) == full // 4
+    assert read_bytes(planned(tmp_path, blocks.LessThanOrEqual(("y",), 10), blocks.GreaterThanOrEqual(("y",), 10))) == full // 4
+    assert read_bytes(planned(tmp_path, blocks.EqualTo(("scene_id",), "b.tif"))) == a.size
+    assert read_bytes(planned(tmp_path, blocks.EqualTo(("frame",), 1))) == a.size
+    assert read_bytes(planned(tmp_path, bands="1")) == 2 * a.size // 3 + a.size
+    assert read_bytes(planned(tmp_path, blocks.LessThan(("x",), 0))) == 0
+    # Of a file that is larger than a split only the directory is read to plan it.
+    big = np.zeros((4000, 1000, 1), np.uint8)
+    (tmp_path / "big.tif").write_bytes(tiff([big], rows=100))
+    with open(tmp_path / "big.tif", "rb") as f:
+        ranged = blocks.Ranged(blocks.pa.PythonFile(f, "r"))
+        assert len(raster.tiff_blocks(raster.tiff_pages(ranged)[0])) == 40 and ranged.read <= 3 * blocks.HEAD_BYTES
+
+
+def test_frames_and_small_files_of_a_source(spark, tmp_path):
+    a, b = (np.full((4, 3, 1), v, np.uint8) for v in (1, 2))
+    for i in range(6):
+        (tmp_path / f"{i}.tif").write_bytes(tiff([a, b]))
+    rgba = np.arange(4 * 3 * 4).reshape(4, 3, 4).astype(np.uint8)
+    (tmp_path / "p.png").write_bytes(raster.png(rgba))
+    (tmp_path / "notes.txt").write_text("no raster")
+    df = blocks.scan(spark, str(tmp_path))
+    assert df.rdd.getNumPartitions() == 1 and df.count() == 6 * 2 * 12 + 12
+    assert (as_array(df.filter("scene_id = '3.tif'"), 1) == b).all() and (as_array(df.filter("scene_id = 'p.png'")) == rgba).all()
+    assert blocks.scan(spark, str(tmp_path), 400).rdd.getNumPartitions() > 3
+    (tmp_path / "none").mkdir()
+    assert blocks.scan(spark, str(tmp_path / "none")).count() == 0
+
+
+def damaged_files():
+    a = np.arange(80, dtype=np.uint8).reshape(8, 10, 1)
+    yield "short", tiff([a], rows=2)[:30]
+    packed = bytearray(tiff([a], deflate=True, rows=2))
+    packed[8:14] = b"\xff" * 6
+    yield "deflate", bytes(packed)
+    listed = bytearray(tiff([a], rows=2))
+    at = listed.index(struct.pack("<HHI", 279, 4, 4)) + 8
+    (where,) = struct.unpack_from("<I", listed, at)
+    struct.pack_into("<I", listed, where, 10**6)
+    yield "sizes", bytes(listed)
+    fewer = bytearray(tiff([a], rows=2))
+    struct.pack_into("<I", fewer, fewer.index(struct.pack("<HHI", 278, 4, 1)) + 8, 1)
+    yield "fewer strips than rows", bytes(fewer)
+
+
+@pytest.mark.parametrize("name, data", list(damaged_files()))
+@pytest.mark.parametrize("split", [1, 1 << 20])
+def test_damaged_strips_are_errors(spark, tmp_path, name, data, split):
+    with pytest.raises(raster.DamagedRaster):
+        raster.decoded(data)
+    (tmp_path / "x.tif").write_bytes(data)
+    with pytest.raises(PySparkException, match="DamagedRaster"):
+        blocks.scan(spark, str(tmp_path), split).collect()
+
+
 def test_frames_become_channels():
     a, b = (np.full((2, 3, 1), v, np.uint8) for v in (1, 2))
     got, _ = raster.decoded(tiff([a, b]))
