@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
-from .shared import table
+from .shared import saved, table
 
 #: Marks of each kind, the least length of its value, and the value's group (fixed values).
 KINDS = ("assign", "access", "hex")
@@ -297,6 +297,7 @@ def sampled(docs: DataFrame, text: str = "text") -> dict[str, list[str]]:
 
     texts = docs.filter(F.col(text).isNotNull()).select(F.col(text).alias("x"))
     found = texts.mapInArrow(run, "kind string, value string, h long").groupBy("kind", "value").agg(F.first("h").alias("h"))
+    found = saved(found, "samples")
     out = None
     for kind in (*KINDS, PLAIN):
         own = found.filter(F.col("kind") == kind).orderBy("h", "value").limit(SAMPLE_PLAIN if kind == PLAIN else SAMPLE)
