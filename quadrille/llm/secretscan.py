@@ -18,6 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
@@ -298,10 +299,13 @@ def sampled(docs: DataFrame, text: str = "text") -> dict[str, list[str]]:
     texts = docs.filter(F.col(text).isNotNull()).select(F.col(text).alias("x"))
     found = texts.mapInArrow(run, "kind string, value string, h long").groupBy("kind", "value").agg(F.first("h").alias("h"))
     found = saved(found, "samples")
-    out = None
-    for kind in (*KINDS, PLAIN):
-        own = found.filter(F.col("kind") == kind).orderBy("h", "value").limit(SAMPLE_PLAIN if kind == PLAIN else SAMPLE)
-        out = own if out is None else out.unionByName(own)
+    # Up to which stretch of hashes a kind has enough values: only those are then ordered.
+    most = F.when(F.col("kind") == PLAIN, SAMPLE_PLAIN).otherwise(SAMPLE)
+    found = found.withColumn("stretch", F.floor(F.col("h") / (1 << 16)))
+    upto = W.partitionBy("kind").orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)
+    near = found.groupBy("kind", "stretch").count().withColumn("before", F.coalesce(F.sum("count").over(upto), F.lit(0))).filter(F.col("before") < most).select("kind", "stretch")
+    placed = found.join(F.broadcast(near), ["kind", "stretch"]).withColumn("place", F.row_number().over(W.partitionBy("kind").orderBy("h", "value")))
+    out = placed.filter(F.col("place") <= most)
     samples: dict[str, list[str]] = {}
     for r in out.collect():
         samples.setdefault(r["kind"], []).append(r["value"])
