@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pixels as px
-from ..schema import KEY
-from .scenes import attach, quantiles
+from ..schema import KEY, TILE_KEY
+from .scenes import attach, band_statistics
 
 
 def band(samples: str, band_map: dict[str, int], name: str, channels: int) -> Column | None:
@@ -32,7 +32,7 @@ def named_bands(df: DataFrame, channels: int, band_map: dict[str, int], samples:
 
 
 def band_columns(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c not in KEY]
+    return [c for c in df.columns if c not in KEY and c not in TILE_KEY]
 
 
 def nir_of(df: DataFrame) -> str | None:
@@ -51,12 +51,10 @@ def normalise(df: DataFrame, bands: list[str] | None = None, few: bool | None =
 
 
 def stretch(df: DataFrame, bands: list[str] | None = None, few: bool | None = None) -> DataFrame:
-    """Bands as 0 to 255 between their 2nd and 98th percentiles. Whole-number bands take one pass of built-in
-    aggregates."""
+    """Bands as 0 to 255 between their 2nd and 98th percentiles. Whole-number bands are read once for all of their
+    statistics."""
     bands = bands or band_columns(df)
-    q = quantiles(df, {b: b for b in bands}, [0.02, 0.98], few)
-    ends = df.groupBy("scene_id").agg(*[f(b).alias(f"{n}_{b}") for b in bands for n, f in (("low", F.min), ("high", F.max))])
-    out = attach(df, q.join(ends, "scene_id"), few)
+    out = attach(df, band_statistics(df, bands, [0.02, 0.98], few)[0], few)
     return out.withColumns({b: px.stretched(b, F.col(f"{b}_q0"), F.col(f"{b}_q1"), F.col(f"low_{b}"), F.col(f"high_{b}")) for b in bands}).select(*df.columns)
 
 

@@ -5,20 +5,22 @@ Both dates have the same scene_id. The join on pixels is the only wide shuffle o
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import pixels as px
 from ..functions.intent import has
-from ..schema import KEY, PIXEL_SIZE
+from ..schema import KEY, PIXEL_SIZE, key_of
 from .bands import band_columns, nir_of, normalise, rgb_view
 from .components import components
 from .features import CHANGE, as_features, fill_density, polygons, shaped, top_components
 from .indices import _count
 from .neighbours import cleaned
 from .resample import resample
-from .scenes import attach, extents, few_scenes, quantiles, share
+from .scenes import attach, band_statistics, extents, few_scenes, share
 from .storage import written
 
 VISIBLE = ["red", "green", "blue"]
@@ -27,22 +29,30 @@ LEAST_THRESHOLD = 0.22
 NO_NIR = "At least one date has no near-infrared band: vegetation change is read from visible bands, and seasons or crop rotation may show up as change."
 
 
+def moments(df: DataFrame, bands: list[str] = VISIBLE) -> DataFrame:
+    """Mean and deviation of each band: a row for each scene with ``mu_<band>`` and ``sd_<band>``."""
+    return df.groupBy("scene_id").agg(*[f(b).alias(f"{n}_{b}") for b in bands for n, f in (("mu", F.avg), ("sd", F.stddev_pop))])
+
+
 def matched(before: DataFrame, after: DataFrame, bands: list[str] = VISIBLE, few: bool | None = None) -> DataFrame:
     """``after`` with each band's mean and deviation brought to those of ``before``, and clipped to [0, 1]."""
+    return brought(after, moments(before, bands), moments(after, bands), bands, few)
 
-    def moments(df: DataFrame, tag: str) -> DataFrame:
-        return df.groupBy("scene_id").agg(*[f(b).alias(f"{n}_{b}_{tag}") for b in bands for n, f in (("mu", F.avg), ("sd", F.stddev_pop))])
 
-    rows = attach(after, moments(before, "a").join(moments(after, "b"), "scene_id"), few)
+def brought(after: DataFrame, to: DataFrame, own: DataFrame, bands: list[str] = VISIBLE, few: bool | None = None) -> DataFrame:
+    """matched() from moments that are known."""
+    tagged = [m.withColumnsRenamed({f"{n}_{b}": f"{n}_{b}_{tag}" for b in bands for n in ("mu", "sd")}) for m, tag in ((to, "a"), (own, "b"))]
+    rows = attach(after, tagged[0].join(tagged[1], "scene_id"), few)
     sd = lambda b, tag: F.col(f"sd_{b}_{tag}") + px.EPS
     new = {b: px.clip((F.col(b) - F.col(f"mu_{b}_b")) * (sd(b, "a") / sd(b, "b")) + F.col(f"mu_{b}_a"), 0, 1) for b in bands}
     return rows.withColumns(new).select(*after.columns)
 
 
-def aligned(df: DataFrame, target: DataFrame, values: list[str]) -> DataFrame:
+def aligned(df: DataFrame, raw: DataFrame, target: DataFrame, values: list[str]) -> DataFrame:
     """``df`` with the scenes that are of another size than in ``target`` brought to that one's grid; the others, which
-    a count of sizes tells, stay as they are. Scenes that ``target`` has not go."""
-    own, want = extents(df), extents(target).select("scene_id", F.col("height").alias("to_height"), F.col("width").alias("to_width"))
+    a count of sizes tells, and those that ``target`` has not, stay as they are. ``raw`` is the table of which ``df`` is
+    a view: sizes are taken from it."""
+    own, want = extents(raw), extents(target).select("scene_id", F.col("height").alias("to_height"), F.col("width").alias("to_width"))
     sizes = written(own.join(want, "scene_id").select("scene_id", "to_height", "to_width", ((F.col("height") != F.col("to_height")) | (F.col("width") != F.col("to_width"))).alias("odd")), "sizes")
     odd = sizes.filter("odd").select("scene_id", F.col("to_height").alias("height"), F.col("to_width").alias("width"))
     if not odd.limit(1).count():
@@ -71,28 +81,48 @@ def index_of(df: DataFrame, few: bool | None = None) -> DataFrame:
     return scaled.select(*KEY, F.coalesce(px.vegetation_index("red", "green", "blue", nir_of(df)), F.lit(0.0)).alias("index"))
 
 
-def dated(df: DataFrame, few: bool | None = None) -> DataFrame:
-    """One date's pixels with red, green and blue of the view, from 0 to 1, and the index, all from one reading of a
-    scene's statistics and one of its pixels."""
+class Dated(NamedTuple):
+    """A date's pixels with red, green and blue of the view, from 0 to 1, and the index; and the moments of the view, if
+    they are known without reading the pixels again."""
+
+    view: DataFrame
+    moments: DataFrame | None
+
+
+def dated(df: DataFrame, few: bool | None = None) -> Dated:
+    """One date, read twice: for the statistics of its bands and for its pixels. Of whole-number bands the first reading
+    makes a value histogram, from which extremes, percentiles and the moments of the stretched view all follow."""
     few = few_scenes(df) if few is None else few
-    have = [b for b in VISIBLE if b in df.columns]
-    ends = df.groupBy("scene_id").agg(*[f(b).alias(f"{n}_{b}") for b in band_columns(df) for n, f in (("low", F.min), ("high", F.max))])
-    rows = attach(df, quantiles(df, {b: b for b in have}, [0.02, 0.98], few).join(ends, "scene_id"), few)
-    scaled = {f"of_{b}": px.normalised(b, F.col(f"high_{b}")) for b in band_columns(df)}
-    view = {b: px.stretched(b, F.col(f"{b}_q0"), F.col(f"{b}_q1"), F.col(f"low_{b}"), F.col(f"high_{b}")) / 255.0 for b in have}
+    have, every = [b for b in VISIBLE if b in df.columns], band_columns(df)
+    found, counts = band_statistics(df, every, [0.02, 0.98], few)
+    found = written(found, "bands")
+    view = lambda b, v: px.stretched(v, F.col(f"{b}_q0"), F.col(f"{b}_q1"), F.col(f"low_{b}"), F.col(f"high_{b}")) / 255.0
+    shown = {b: b if b in have else have[0] for b in VISIBLE}
+    known = None
+    if counts is not None:
+        rows = attach(counts.filter(F.col("name").isin(have)), found, few)
+        of = lambda b: F.when(F.col("name") == shown[b], view(shown[b], "v"))
+        sums = [a for b in VISIBLE for a in (F.sum(F.when(F.col("name") == shown[b], F.col("n"))).alias(f"n_{b}"), F.sum(of(b) * F.col("n")).alias(f"s_{b}"), F.sum(of(b) * of(b) * F.col("n")).alias(f"q_{b}"))]
+        mean = lambda b, x="s": F.col(f"{x}_{b}") / F.col(f"n_{b}")
+        spread = lambda b: F.sqrt(F.greatest(mean(b, "q") - mean(b) * mean(b), F.lit(0.0)))
+        known = written(rows.groupBy("scene_id").agg(*sums).select("scene_id", *[c for b in VISIBLE for c in (mean(b).alias(f"mu_{b}"), spread(b).alias(f"sd_{b}"))]), "moments")
+    scaled = {f"of_{b}": px.normalised(b, F.col(f"high_{b}")) for b in every}
     index = px.vegetation_index("of_red", "of_green", "of_blue", "of_nir" if nir_of(df) else None)
-    made = rows.withColumns(scaled).select(*KEY, *[view[b].alias(b) for b in have], F.coalesce(index, F.lit(0.0)).alias("index"))
-    return made.select(*KEY, *[F.col(b if b in have else have[0]).alias(b) for b in VISIBLE], "index")
+    key = key_of(df.columns)
+    made = attach(df, found, few).withColumns(scaled).select(*key, *[view(b, b).alias(b) for b in have], F.coalesce(index, F.lit(0.0)).alias("index"))
+    return Dated(made.select(*key, *[F.col(shown[b]).alias(b) for b in VISIBLE], "index"), known)
 
 
 def deltas(before: DataFrame, after: DataFrame, few: bool | None = None, regrid: bool = False) -> DataFrame:
     """Pixels that both dates have, with magnitude, delta_index and delta_brightness. With ``regrid`` a second date
-    of another size is brought to the grid of the first (J10); its view then has whole steps of 255 again."""
+    of another size is brought to the grid of the first (J10); its view then has whole steps of 255 again. Dates that
+    are kept by tile (save_by_tile) meet without a shuffle of pixels."""
     a, b = dated(before, few), dated(after, few)
-    on_grid = aligned(b, before, [*VISIBLE, "index"]) if regrid else b
-    if on_grid is not b:
-        b = on_grid.withColumns({c: F.round(F.col(c) * 255) / 255.0 for c in VISIBLE})
-    both = a.alias("a").join(matched(a, b, few=few).alias("b"), KEY)
+    on_grid = aligned(b.view, after, before, [*VISIBLE, "index"]) if regrid else b.view
+    if on_grid is not b.view:
+        b = Dated(on_grid.withColumns({c: F.round(F.col(c) * 255) / 255.0 for c in VISIBLE}), None)
+    known = [moments(d.view) if d.moments is None else d.moments for d in (a, b)]
+    both = a.view.alias("a").join(brought(b.view, *known, few=few).alias("b"), [c for c in key_of(a.view.columns) if c in b.view.columns])
     return both.select(*KEY, magnitude().alias("magnitude"), (F.col("b.index") - F.col("a.index")).alias("delta_index"), (brightness("b") - brightness("a")).alias("delta_brightness"))
 
 

@@ -27,11 +27,11 @@ def ndvi_stats(df: DataFrame, size: float = PIXEL_SIZE, few: bool | None = None)
     """A1: statistics over valid pixels, and four classes as shares of them; zeros where none is valid."""
     rows = df.select("scene_id", px.ndvi("red", "nir").alias("v"))
     v = F.col("v")
-    got = rows.groupBy("scene_id").agg(
+    aggregates = [
         F.avg(v).alias("mean"), F.min(v).alias("low"), F.max(v).alias("high"), F.stddev_pop(v).alias("std"), F.count(v).alias("valid"),
         _count(v > 0.5).alias("dense"), _count((v >= 0.2) & (v <= 0.5)).alias("moderate"), _count((v >= 0.05) & (v < 0.2)).alias("sparse"), _count(v < 0.05).alias("bare"),
-    )
-    got = got.join(quantiles(rows, {"v": "v"}, [0.5], few), "scene_id", "left")
+    ]
+    got = quantiles(rows, {"v": "v"}, [0.5], few, aggregates)
     number = lambda c: F.coalesce(F.bround(c, 4), F.lit(0.0))
     n = F.col("valid")
     return got.select(
@@ -44,8 +44,8 @@ def ndvi_stats(df: DataFrame, size: float = PIXEL_SIZE, few: bool | None = None)
 def vari_stats(df: DataFrame, size: float = PIXEL_SIZE, few: bool | None = None) -> DataFrame:
     """A2: statistics of the visible substitute; NULL where no pixel is valid."""
     rows = df.select("scene_id", px.vari("red", "green", "blue").alias("v"))
-    got = rows.groupBy("scene_id").agg(F.avg("v").alias("mean"), F.min("v").alias("low"), F.max("v").alias("high"), F.count("v").alias("valid"), _count(F.col("v") > 0.15).alias("green"))
-    got = got.join(quantiles(rows, {"v": "v"}, [0.5], few), "scene_id", "left")
+    aggregates = [F.avg("v").alias("mean"), F.min("v").alias("low"), F.max("v").alias("high"), F.count("v").alias("valid"), _count(F.col("v") > 0.15).alias("green")]
+    got = quantiles(rows, {"v": "v"}, [0.5], few, aggregates)
     pct = share(F.col("green"), F.col("valid"))
     return got.select("scene_id", F.bround("mean", 4).alias("mean_index"), F.bround("v_q0", 4).alias("median_index"), F.bround("low", 4).alias("min_index"), F.bround("high", 4).alias("max_index"), pct.alias("estimated_vegetation_pct"), pct.alias("total_vegetation_pct"), px.hectares(F.col("green"), size).alias("estimated_vegetation_hectares"))
 

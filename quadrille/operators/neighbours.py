@@ -17,9 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import pixels as px
 from ..schema import KEY
 from .scenes import attach, extents, quantiles
-from .storage import written
-
-TILE = 256
+from .storage import TILE, written
 
 
 def _tiles(at: str, halo: int, tile: int) -> F.Column:
@@ -130,11 +128,12 @@ def _mirrored(start: int, side: int, first: int, size: int) -> np.ndarray:
 
 
 def _box(a: np.ndarray, k: int) -> np.ndarray:
-    """Sums of k by k around each place that has them all; the others keep 0."""
-    out = np.zeros_like(a)
-    r = k // 2
-    rows = sum(a[i : a.shape[0] - k + 1 + i] for i in range(k))
-    out[r : a.shape[0] - r, r : a.shape[1] - r] = sum(rows[:, i : a.shape[1] - k + 1 + i] for i in range(k))
+    """Sums of k by k around each place that has them all, from a summed-area table: four reads each, whatever k is. The
+    others keep 0."""
+    out, r = np.zeros_like(a), k // 2
+    s = np.zeros((a.shape[0] + 1, a.shape[1] + 1))
+    s[1:, 1:] = a.cumsum(axis=0).cumsum(axis=1)
+    out[r : a.shape[0] - r, r : a.shape[1] - r] = s[k:, k:] - s[:-k, k:] - s[k:, :-k] + s[:-k, :-k]
     return out
 
 
@@ -147,11 +146,16 @@ def box_mean(df: DataFrame, value: str, k: int = 5, few: bool | None = None, til
     def kernel(arrays: dict, there: np.ndarray, info: dict) -> dict:
         v = np.nan_to_num(arrays[value])
         at = np.ix_(_mirrored(info["y0"], len(v), int(info["frame_y"]), int(info["height"])), _mirrored(info["x0"], len(v), int(info["frame_x"]), int(info["width"])))
-        whole = v[at]
-        return {"value": v, "mean": _box(whole, k) / k**2, "square": _box(whole**2, k) / k**2}
+        # Sums of values around zero keep their last digits.
+        middle = v[at].mean()
+        whole = v[at] - middle
+        mean, square = _box(whole, k) / k**2, _box(whole**2, k) / k**2
+        return {"value": v, "mean": mean + middle, "square": square + 2 * middle * mean + middle**2}
 
     framed = framed.withColumnsRenamed({"y0": "frame_y", "x0": "frame_x"})
-    return by_tile(framed, [value], 2 * (k // 2), kernel, "value double, mean double, square double", tile, ["frame_y", "frame_x", "height", "width"])
+    halo = 2 * (k // 2)
+    # Tiles grow with the window, so that at most some 1.6 as many pixels are dealt out as there are.
+    return by_tile(framed, [value], halo, kernel, "value double, mean double, square double", max(tile, 8 * halo) if tile == TILE else tile, ["frame_y", "frame_x", "height", "width"])
 
 
 def lee(df: DataFrame, value: str, k: int = 5, few: bool | None = None, noise_share: float = 0.2, tile: int = TILE) -> DataFrame:

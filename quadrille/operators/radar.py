@@ -47,7 +47,7 @@ def fusion_pixels(optical: DataFrame, radar: DataFrame, few: bool | None = None,
     of another size than the optical one is brought to its grid, once filtered (J10)."""
     radar = radar.select(*KEY, F.col("filtered").alias("db"))
     bright = rgb_view(optical, few).select(*KEY, ((F.col("red") + F.col("green") + F.col("blue")) / 765.0).alias("brightness"))
-    both = bright.join(aligned(radar, optical, ["db"]) if regrid else radar, KEY)
+    both = bright.join(aligned(radar, radar, optical, ["db"]) if regrid else radar, KEY)
     return both.select(*KEY, "db", ((F.col("db") > -7) & (F.col("brightness") > 0.35)).alias("mask"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,8 +14,9 @@ from .functions import pixels as px
 from .operators import bands, change, features, indices, masks, neighbours, radar, render
 from .operators.components import components, largest, numbered, sizes
 from .operators.resample import resample
-from .operators.scenes import attach, extents, quantiles
-from .operators.storage import written
+from .operators.scenes import attach, extents, quantiles, value_counts
+from .operators.storage import save_by_tile, tiled_session, written
+from .operators.sums import box_sums, tile_sums
 from .plans.engine import analyze
 from .plans.registry import ground
 from .schema import KEY
@@ -138,6 +140,33 @@ def band_extremes(spark, d):
     return q.select("max_red", _r("nir_q0").alias("p2"), _r("nir_q1").alias("p98"), _r("sar_q2").alias("p20"), _r("sar_q3").alias("p75"))
 
 
+@query("value_histogram", f"WITH {grids.GRID_SQL} " + " UNION ALL ".join(f"SELECT '{b}' AS name, {b}::DOUBLE AS v, count(*) AS n FROM g1 GROUP BY 2" for b in grids.SAMPLES))
+def value_histogram(spark, d):
+    return value_counts(t1(spark, d), {b: b for b in grids.SAMPLES}).drop("scene_id")
+
+
+_HEAVY = "l_extendedprice::DOUBLE * power(l_quantity::DOUBLE, 6) * CASE WHEN l_linenumber = 7 AND l_quantity = 50 THEN 1e9 ELSE 1 END::DOUBLE"
+
+
+@query("heavy_quantiles", f"SELECT l_returnflag AS mode, count(*) AS n, " + ", ".join(f"quantile_cont(v, {s}) / 1e6::DOUBLE AS q{i}" for i, s in enumerate((0.02, 0.5, 0.98))) + f" FROM (SELECT l_returnflag, {_HEAVY} AS v FROM lineitem) GROUP BY ALL")
+def heavy_quantiles(spark, d):
+    """Scenes of values with a heavy tail and outliers, attached by a shuffled join, ordered by rounds of a few values."""
+    v = F.col("l_extendedprice").cast("double") * F.pow(F.col("l_quantity").cast("double"), F.lit(6.0)) * F.when((F.col("l_linenumber") == 7) & (F.col("l_quantity") == 50), 1e9).otherwise(1.0)
+    rows = grids.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("scene_id"), v.alias("v"))
+    made = quantiles(rows, {"v": "v"}, [0.02, 0.5, 0.98], False, [F.count(F.lit(1)).alias("n")], most=20_000)
+    return made.select(F.col("scene_id").alias("mode"), "n", *[(F.col(f"v_q{i}") / 1e6).alias(f"q{i}") for i in range(3)])
+
+
+@query("box_sums", f"""WITH {grids.GRID_SQL}, s AS (SELECT max(y) + 1 AS h FROM g1), b AS (SELECT s_suppkey AS box, (s_suppkey * 7) % h AS ymin, (s_suppkey * 7) % h + 1 + (s_suppkey * 13) % 60 AS ymax, (s_suppkey * 11) % 90 AS xmin, (s_suppkey * 11) % 90 + 1 + s_suppkey % 10 AS xmax, h FROM supplier, s)
+SELECT box, coalesce(sum(nir), 0)::DOUBLE AS total FROM b LEFT JOIN g1 ON y >= ymin AND y < least(ymax, h) AND x >= xmin AND x < xmax GROUP BY box""")
+def box_sums_(spark, d):
+    """A box for each supplier, summed from tiles of 32 by 32."""
+    g, key = t1(spark, d), F.col("s_suppkey")
+    ymin, xmin = key * 7 % F.col("height"), key * 11 % 90
+    boxes = grids.table(spark, d, "supplier").crossJoin(F.broadcast(extents(g))).select("scene_id", key.alias("box"), ymin.alias("ymin"), F.least(ymin + 1 + key * 13 % 60, "height").alias("ymax"), xmin.alias("xmin"), (xmin + 1 + key % 10).alias("xmax"))
+    return box_sums(written(boxes, "boxes"), written(tile_sums(g, "nir", 32), "tiles"), tile=32).select("box", "total")
+
+
 @query("signed_raster", "WITH v AS (SELECT vec_id AS y, unnest(embedding) AS v, unnest(range(len(embedding))) AS x FROM embeddings) SELECT y, count(*) AS n, round(min(v)::DOUBLE, 4) AS low, round(max(v)::DOUBLE, 4) AS high FROM v GROUP BY y")
 def signed_raster(spark, d):
     rows = grids.table(spark, d, "embeddings").select(F.col("vec_id").alias("y"), F.posexplode("embedding").alias("x", "v"))
@@ -220,6 +249,15 @@ def cva_magnitude(spark, d):
     return _deltas(spark, d).select("y", "x", *[_r(c).alias(c) for c in ("magnitude", "delta_index", "delta_brightness")])
 
 
+@query("cva_by_tile", f"{CHANGE} SELECT y, x, round(magnitude, 4) AS magnitude, round(delta_index, 4) + 0.0::DOUBLE AS delta_index, round(delta_brightness, 4) + 0.0::DOUBLE AS delta_brightness FROM dl")
+def cva_by_tile(spark, d):
+    """Both dates kept as tables by tile, so that their pixels are joined without a shuffle."""
+    own, name = tiled_session(spark), f"grid_{uuid.uuid4().hex}"
+    a, b = (save_by_tile(t(own, d), f"{name}_{k}", 8, 64) for k, t in enumerate((t1, t2)))
+    made = change.deltas(a, b, True)
+    return made.select("y", "x", *[_r(c).alias(c) for c in ("magnitude", "delta_index", "delta_brightness")])
+
+
 @query("otsu_threshold", f"{OTSU} SELECT round(otsu, 4) AS otsu, round(eta, 4) AS eta, round(threshold, 4) AS threshold, round(mean, 4) AS mean_magnitude FROM ot")
 def otsu_threshold(spark, d):
     return change.otsu(_kept_deltas(spark, d), few=True).select(*[_r(c).alias(c) for c in ("otsu", "eta", "threshold", "mean_magnitude")])

@@ -16,9 +16,17 @@ from pyspark.sql.types import (
 
 #: What tells a pixel from all others; scenes are processed together, so every operator keeps to these.
 KEY = ["scene_id", "y", "x"]
+#: The tile of a pixel, in tables that are kept by tile.
+TILE_KEY = ["tile_y", "tile_x"]
 #: Metres per pixel where the metadata has none.
 PIXEL_SIZE = 10.0
 
+
+def key_of(columns: list[str]) -> list[str]:
+    """KEY, and the tile where the columns have it: joins that name it too can follow the way tables are kept."""
+    return KEY + [c for c in TILE_KEY if c in columns]
+
+
 POINT = StructType().add("x", DoubleType()).add("y", DoubleType())
 PIXEL_BOUNDS = StructType().add("ymin_px", LongType()).add("xmin_px", LongType()).add("ymax_px", LongType()).add("xmax_px", LongType())
 GEO_BOUNDS = StructType().add("west", DoubleType()).add("south", DoubleType()).add("east", DoubleType()).add("north", DoubleType())
