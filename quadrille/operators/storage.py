@@ -59,7 +59,7 @@ def with_tile(pixels: DataFrame, tile: int = TILE) -> DataFrame:
 def save_by_tile(pixels: DataFrame, name: str, buckets: int, tile: int = TILE) -> DataFrame:
     """Keep pixels as the table ``name``, dealt to ``buckets`` files by scene and tile and sorted by place within them.
     Two dates kept with as many buckets are joined file by file (see tiled_session()); a condition on scene and tile
-    reads one file. A large scene is spread over all files, as its tiles are dealt one by one."""
+    is pushed down to the files, whose row groups hold few tiles each. A large scene is spread over all files, as its tiles are dealt one by one."""
     by = ["scene_id", *TILE_KEY]
     rows = with_tile(pixels, tile).repartition(buckets, *by)
     rows.write.mode("overwrite").bucketBy(buckets, *by).sortBy(*by, *KEY[1:]).saveAsTable(name)
