@@ -21,16 +21,19 @@ from .shared import saved, scratch, table
 
 #: Vectors that the centroids are fitted on, about, drawn by hash; every row is indexed.
 SAMPLE = 8_000
-CENTROIDS = 128
+CENTROIDS = 64
 #: Rows that a query's cells hold together: this share of all, and at least so many. Vectors without clusters, as in
-#: tests, need so large a share for a recall over 0.9; clustered ones need far less.
-VISIT_SHARE = 0.42
+#: the given tables, need so large a share for a recall over 0.9; clustered ones need far less.
+VISIT_SHARE = 0.45
 VISIT_LEAST = 1_000
+#: The part of those that is visited first, so that later cells are held against what was found there.
+FIRST_PART = 0.1
 NEAREST = 20
-#: Queries that are sent to the tasks at once, as vectors and a bit for each cell.
+#: Queries that are sent to the tasks at once, as vectors and two bits for each cell.
 QUERY_ROWS = 4_096
-#: Rows that meet all queries of a block at once, and queries whose cells one task finds.
+#: Rows of a cell that meet its queries at once, bytes of vectors of one task, and queries whose cells one task finds.
 ROWS_AT_ONCE = 1_024
+TASK_BYTES = 32 << 20
 QUERIES_A_TASK = 256
 
 
@@ -76,22 +79,26 @@ def matrix(column: pa.Array, dims: int) -> np.ndarray:
 
 
 def traversed(query: np.ndarray, x: Index, wanted: int) -> list[int]:
-    """Cells by summed distance (the less, the greater the inner product) of their halves' centroids, until they hold ``wanted`` rows: the two orders are
-    merged by a heap that begins at the nearest pair and pushes a pair's two successors."""
+    """Cells with rows by summed distance (the less, the greater the inner product) of their halves' centroids, until
+    they hold ``wanted`` rows. The heap has, of each first half that was begun, the next pair; taking the first pair of
+    one begins the next."""
     d1, d2 = -(x.first @ query[: x.split]), -(x.second @ query[x.split :])
     o1, o2 = np.argsort(d1, kind="stable"), np.argsort(d2, kind="stable")
-    heap, seen, out, held = [(d1[o1[0]] + d2[o2[0]], 0, 0)], {(0, 0)}, [], 0
+    s1, s2, sizes = d1[o1].tolist(), d2[o2].tolist(), x.sizes[np.ix_(o1, o2)].tolist()
+    heap, out, held = [(s1[0] + s2[0], 0, 0)], [], 0
     while heap and held < wanted:
-        _, i, j = heapq.heappop(heap)
-        cell = int(o1[i]) * len(x.second) + int(o2[j])
-        if x.sizes.flat[cell]:
-            out.append(cell)
-            held += int(x.sizes.flat[cell])
-        for a, b in ((i + 1, j), (i, j + 1)):
-            if a < len(o1) and b < len(o2) and (a, b) not in seen:
-                seen.add((a, b))
-                heapq.heappush(heap, (d1[o1[a]] + d2[o2[b]], a, b))
-    return out
+        _, i, j = heap[0]
+        if sizes[i][j]:
+            out.append((i, j))
+            held += sizes[i][j]
+        if j + 1 < len(s2):
+            heapq.heapreplace(heap, (s1[i] + s2[j + 1], i, j + 1))
+        else:
+            heapq.heappop(heap)
+        if j == 0 and i + 1 < len(s1):
+            heapq.heappush(heap, (s1[i + 1] + s2[0], i + 1, 0))
+    at = np.array(out, np.int64).reshape(-1, 2)
+    return (o1[at[:, 0]] * len(x.second) + o2[at[:, 1]]).tolist()
 
 
 def fit(rows: DataFrame, dims: int, total: int) -> Index:
@@ -113,16 +120,54 @@ def nearest_of(who: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> t
     return who[best], score[best], ids[best]
 
 
+class Ranker:
+    """The nearest ``k`` of a block of queries among the rows it is shown, cell by cell. Only queries that visit a cell
+    are multiplied with its rows; ``products`` counts how many products that were. ``least`` is what a product must
+    reach for each query."""
+
+    def __init__(self, askers: np.ndarray, q: np.ndarray, visiting: np.ndarray, least: np.ndarray, k: int) -> None:
+        self.askers, self.q, self.visiting, self.least, self.k = askers, q, visiting, least.copy(), k
+        self.found = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))]
+        self.waiting = self.products = 0
+
+    def meet(self, cell: int, e: np.ndarray, ids: np.ndarray) -> None:
+        who = np.flatnonzero(np.unpackbits(self.visiting[cell], count=len(self.askers)))
+        if not len(who):
+            return
+        near = self.q[who] @ e.T
+        self.products += near.size
+        near[self.askers[who][:, None] == ids] = -np.inf
+        bar = self.least[who][:, None]
+        if len(ids) > self.k:
+            bar = np.maximum(bar, np.partition(near, -self.k, axis=1)[:, [-self.k]])
+        # What may be among the nearest is measured once more, one product after the other.
+        slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(bar), bar, 0)))
+        i, j = np.nonzero((near >= bar - slack) & (near > -np.inf))
+        self.found.append((who[i], (e[j] * self.q[who[i]]).sum(axis=1), ids[j]))
+        self.waiting += len(i)
+        if self.waiting > 4 * self.k * len(self.askers):
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keep the nearest of what was found, and raise what is asked of the rest."""
+        who, score, ids = nearest_of(*(np.concatenate(x) for x in zip(*self.found, strict=True)), self.k)
+        held = np.bincount(who, minlength=len(self.askers))
+        full = held == self.k
+        self.least[full] = np.maximum(self.least[full], score[np.cumsum(held)[full] - 1])
+        self.found, self.waiting = [(who, score, ids)], 0
+        return who, score, ids
+
+
 def search(df: DataFrame, queries: Column, k: int = NEAREST, key: str = "vec_id", vector: str = "embedding", share: float = VISIT_SHARE, least: int = VISIT_LEAST) -> DataFrame:
     """Rows (query_id, rank, vec_id, score) of the nearest ``k`` found for each row of ``df`` that ``queries`` selects,
     itself excepted; ties to the smaller key; scores are inner products of the original vectors in double precision.
 
     Vectors that are null, zero, of another size than most, or hold null or non-finite components take no part, nor
     do null keys; of rows with one key, each is a candidate, and the first by vector asks. An empty table gives no
-    rows; other columns are not read. Queries go to the tasks in blocks of about QUERY_ROWS, each with the cells it
-    visits; the rows stay where they are, and a task reads those of each cell once for the queries that visit it. So
-    only queries and found rows travel, k for a query and task, and no cell, however common its vector, meets in one
-    task.
+    rows; other columns are not read. Rows are dealt by ranges of cells, in which a cell of many equal vectors is cut.
+    Queries go to the tasks in blocks of about QUERY_ROWS, each with the cells it visits, and are multiplied with the
+    rows of those alone. A block's nearest cells come first: what they hold bounds what later cells give back, so that
+    few rows beside the final ones are written, however many tasks there are.
     """
     spark = df.sparkSession
     named = df.filter(F.col(key).isNotNull() & usable(F.col(vector)))
@@ -141,17 +186,22 @@ def search(df: DataFrame, queries: Column, k: int = NEAREST, key: str = "vec_id"
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32))], ["id", "v", "asks", "cell"])
 
     placed = rows.mapInArrow(place, "id long, v array<double>, asks boolean, cell int")
-    placed = saved(placed.sortWithinPartitions("cell"), "placed")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total * dims * 8 // TASK_BYTES))
+    placed = saved(placed.repartitionByRange(tasks, "cell", F.xxhash64("id")).sortWithinPartitions("cell"), "placed")
     for r in placed.groupBy("cell").count().collect():  # CENTROIDS squared rows at most
         x.sizes.flat[r["cell"]] = r["count"]
     wanted = int(min(total, max(least, share * total)))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = x.sizes.ravel()
         for b in batches:
-            bits = np.zeros((b.num_rows, x.sizes.size), bool)
+            bits = np.zeros((2, b.num_rows, x.sizes.size), bool)
             for i, q in enumerate(matrix(b.column("v"), dims)):
-                bits[i, traversed(q, x, wanted)] = True
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r.tobytes() for r in np.packbits(bits, axis=1)], pa.binary())], ["block", "id", "v", "cells"])
+                cells = np.array(traversed(q, x, wanted), np.int64)
+                first = int(np.searchsorted(np.cumsum(sizes[cells]), FIRST_PART * wanted)) + 1
+                bits[0, i, cells[:first]], bits[1, i, cells[first:]] = True, True
+            packed = [pa.array([r.tobytes() for r in np.packbits(part, axis=1)], pa.binary()) for part in bits]
+            yield pa.RecordBatch.from_arrays([*b.columns, *packed], ["block", "id", "v", "cells0", "cells1"])
 
     asking = placed.filter("asks").groupBy("id").agg(F.min("v").alias("v"))
     n_queries = asking.count()
@@ -160,43 +210,40 @@ def search(df: DataFrame, queries: Column, k: int = NEAREST, key: str = "vec_id"
     blocks = -(-n_queries // QUERY_ROWS)
     asking = asking.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "id", "v")
     asking = asking.repartition(-(-n_queries // QUERIES_A_TASK), "id")
-    visits = saved(asking.mapInArrow(visit, "block int, id long, v array<double>, cells binary"), "visits")
-    found = f"{scratch(spark)}/quadrille/{uuid.uuid4().hex}/found"
+    at = f"{scratch(spark)}/quadrille/{uuid.uuid4().hex}"
+    visits = asking.mapInArrow(visit, "block int, id long, v array<double>, cells0 binary, cells1 binary")
+    # A folder for each block, so that no other is read with it.
+    visits.write.partitionBy("block").parquet(f"{at}/visits")
     schema = "query_id long, vec_id long, score double"
+    nearest_first = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     for block in range(blocks):
-        own = visits.filter(F.col("block") == block).drop("block").toPandas().sort_values("id")
+        own = spark.read.parquet(f"{at}/visits").filter(F.col("block") == block).drop("block").toPandas().sort_values("id")
         if not len(own):
             continue
-        cells = np.unpackbits(np.stack([np.frombuffer(c, np.uint8) for c in own["cells"]]), axis=1)[:, : x.sizes.size]
-        sent = spark.sparkContext.broadcast((own["id"].to_numpy(np.int64), np.stack(own["v"].to_list()), np.packbits(cells.T, axis=1)))
-
-        def rank(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            askers, q, visiting = sent.value
-            found = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
-            least = np.full(len(askers), -np.inf)
-            for b in batches:
-                every = matrix(b.column("v"), dims), b.column("id").to_numpy(), b.column("cell").to_numpy()
-                for low in range(0, b.num_rows, ROWS_AT_ONCE):
-                    e, ids, cell = (x[low : low + ROWS_AT_ONCE] for x in every)
-                    near = q @ e.T
-                    met = np.unpackbits(visiting[cell], axis=1, count=len(askers)).T.astype(bool)
-                    near[~met | (ids == askers[:, None])] = -np.inf
-                    bar = np.maximum(least, np.partition(near, -k, axis=1)[:, -k] if len(ids) > k else -np.inf)[:, None]
-                    # What may be among the nearest is measured once more, one product after the other.
-                    slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(bar), bar, 0)))
-                    i, j = np.nonzero((near >= bar - slack) & (near > -np.inf))
-                    new = i, (e[j] * q[i]).sum(axis=1), ids[j]
-                    found = nearest_of(*(np.concatenate(x) for x in zip(found, new, strict=True)), k)
-                    held = np.bincount(found[0], minlength=len(askers))
-                    full = held == k
-                    least[full] = found[1][np.cumsum(held)[full] - 1]
-            who, score, ids = found
-            yield pa.RecordBatch.from_arrays([pa.array(askers[who]), pa.array(ids), pa.array(score)], ["query_id", "vec_id", "score"])
-
-        placed.select("cell", "id", "v").mapInArrow(rank, schema).write.mode("append").parquet(found)
-        sent.unpersist()
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = spark.read.schema(schema).parquet(found).withColumn("rank", F.row_number().over(order))
+        askers, q, bars = own["id"].to_numpy(np.int64), np.stack(own["v"].to_list()), np.full(len(own), -np.inf)
+        for part in (0, 1):
+            cells = np.unpackbits(np.stack([np.frombuffer(c, np.uint8) for c in own[f"cells{part}"]]), axis=1)[:, : x.sizes.size]
+            sent = spark.sparkContext.broadcast((askers, q, np.packbits(cells.T, axis=1), bars))
+
+            def rank(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+                ranker = Ranker(*sent.value, k)
+                for b in batches:
+                    e, ids, cell = matrix(b.column("v"), dims), b.column("id").to_numpy(), b.column("cell").to_numpy()
+                    cuts = np.flatnonzero(np.diff(cell)) + 1
+                    for low, high in zip([0, *cuts], [*cuts, len(cell)], strict=True):
+                        for i in range(low, high, ROWS_AT_ONCE):
+                            j = min(high, i + ROWS_AT_ONCE)
+                            ranker.meet(cell[i], e[i:j], ids[i:j])
+                who, score, ids = ranker.settle()
+                yield pa.RecordBatch.from_arrays([pa.array(ranker.askers[who]), pa.array(ids), pa.array(score)], ["query_id", "vec_id", "score"])
+
+            found = f"{at}/found/block={block}/part={part}"
+            placed.select("cell", "id", "v").mapInArrow(rank, schema).write.parquet(found)
+            sent.unpersist()
+            if part == 0:
+                held = spark.read.schema(schema).parquet(found).withColumn("rank", F.row_number().over(nearest_first)).filter(F.col("rank") == k).select("query_id", "score").toPandas()
+                bars[np.searchsorted(askers, held["query_id"].to_numpy(np.int64))] = held["score"]
+    ranked = spark.read.schema(f"{schema}, block int, part int").parquet(f"{at}/found").withColumn("rank", F.row_number().over(nearest_first))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
