@@ -16,7 +16,7 @@ from ..functions.intent import has
 from ..schema import KEY, PIXEL_SIZE, key_of
 from .bands import band_columns, nir_of, normalise, rgb_view
 from .components import components
-from .features import CHANGE, as_features, fill_density, polygons, shaped, top_components
+from .features import CHANGE, as_features, fill_density, measured, polygons, shaped, top_components
 from .indices import _count
 from .neighbours import cleaned
 from .resample import resample
@@ -192,7 +192,7 @@ def detect(before: DataFrame, after: DataFrame, query: str = "", size: float = P
     labels = components(pixels)
     extent = extents(before)
     top = top_components(labels, extent, CHANGE)
-    per = labels.join(pixels.select(*KEY, "loss", "built"), KEY).groupBy("scene_id", "label").agg(_count(F.col("loss")).alias("loss"), _count(F.col("built")).alias("built"))
+    per = measured(labels, pixels, {"loss": F.col("loss"), "built": F.col("built")})
     wants = asks_for_compound(query)
     compound = (F.col("built") > 0) & ((F.col("loss") > 0) | F.lit(wants))
     judged = top.join(per, ["scene_id", "label"]).withColumn("compound", compound).withColumn("category", category(wants, F.col("compound"), F.col("built"), F.col("loss")))

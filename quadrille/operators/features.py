@@ -9,8 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import pixels as px
-from ..schema import PIXEL_SIZE
+from ..schema import PIXEL_SIZE, key_of
 from .components import largest, sizes
+from .overlay import BOX, overlapping
 from .scenes import few_scenes
 from .storage import written
 from .sums import box_sums, tile_sums
@@ -46,6 +47,14 @@ def fill_density(top: DataFrame, labels: DataFrame, few: bool | None = None) ->
     return top.join(counts, ["scene_id", "label"]).withColumn("fill", F.col("total") / area).drop("total")
 
 
+def measured(labels: DataFrame, pixels: DataFrame, counts: dict[str, Column], means: dict[str, Column] | None = None) -> DataFrame:
+    """Of each component's pixels how many fulfil each condition, and means: rows (scene_id, label, ...).
+    Conditions and values are those of ``pixels``, missing ones count as false."""
+    key = [c for c in key_of(pixels.columns) if c in labels.columns]
+    rows = labels.select(*key, "label").join(pixels.select(*key, *[c.alias(n) for n, c in (counts | (means or {})).items()]), key)
+    return rows.groupBy("scene_id", "label").agg(*[F.count_if(F.coalesce(F.col(n), F.lit(False))).alias(n) for n in counts], *[F.avg(n).alias(n) for n in means or {}])
+
+
 def outline_pixels(labels: DataFrame, top: DataFrame) -> DataFrame:
     """Pixels of the kept components with a 4-neighbour outside their own: a pixel is inner if all four moved copies
     of its component hit it."""
@@ -129,11 +138,10 @@ def response_confidence(features: DataFrame) -> DataFrame:
 
 
 def spatial_intersection(features: DataFrame, other: DataFrame | None = None) -> DataFrame:
-    """The features of a compound transition. With ``other``, those whose box meets one of its boxes: an equi-join on
-    the scene, whose kept features are few, with a range condition."""
+    """The features of a compound transition. With ``other``, those that overlap one of its features in the same
+    scene, by their polygons; boxes meet in the cells of a grid, so a scene of many features is spread over tasks."""
     if other is None:
         return features.filter(F.get_json_object("properties", "$.is_compound_transition") == "true")
-    a, b = features.alias("a"), other.alias("b")
-    meet = (F.col("a.scene_id") == F.col("b.scene_id")) & (F.col("a.ymin") < F.col("b.ymax")) & (F.col("b.ymin") < F.col("a.ymax")) & (F.col("a.xmin") < F.col("b.xmax")) & (F.col("b.xmin") < F.col("a.xmax"))
-    return a.join(b, meet, "left_semi")
-
+    shape = lambda df: df.select("scene_id", "id", *BOX, *[c for c in ("polygon",) if c in df.columns])
+    met = overlapping(shape(features), shape(other)).select("scene_id", F.col("a.id").alias("id")).distinct()
+    return features.join(met, ["scene_id", "id"], "left_semi")

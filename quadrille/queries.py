@@ -13,6 +13,7 @@ from .functions import intent
 from .functions import pixels as px
 from .operators import bands, change, features, indices, masks, neighbours, radar, render
 from .operators.components import components, largest, numbered, sizes
+from .operators.overlay import overlapping
 from .operators.resample import resample
 from .operators.scenes import attach, extents, quantiles, value_counts
 from .operators.storage import save_by_tile, tiled_session, written
@@ -187,6 +188,12 @@ for _kind, _where in MASKS.items():
         return masks.mask(t1(spark, d), kind, True).filter("mask").select("y", "x")
 
 
+@query("mask_built_up_dry", f"WITH RECURSIVE {grids.GRID_SQL}, gd AS (SELECT y, x, red, green, blue, nir + 40 AS nir FROM g1), {_scaled('s1', 'gd')} SELECT y, x FROM s1 WHERE {MASKS['built_up']}")
+def mask_built_up_dry(spark, d):
+    """A scene whose buildings are too bright in near infrared to be taken for water."""
+    return masks.mask(t1(spark, d).withColumn("nir", F.col("nir") + 40), "built_up", True).filter("mask").select("y", "x")
+
+
 _SALIENT = """, m AS (SELECT y, x, (red + green + blue) / 3.0::DOUBLE AS a, red, green, blue FROM v1),
 sp AS (SELECT y, x, sqrt(((red - a) * (red - a) + (green - a) * (green - a) + (blue - a) * (blue - a)) / 3) AS s FROM m), bar AS (SELECT quantile_cont(s, 0.75) AS b FROM sp)"""
 
@@ -472,8 +479,8 @@ SELECT label, count(*) FILTER (hi) AS loss, count(*) FILTER (bright) AS built, r
 def cluster_counts(spark, d):
     """Conditional counts and means over the pixels of each component."""
     g = grids.grid_t1(spark, d)
-    rows = _labels(spark, d).join(g.select(*KEY, (F.col("red") > 40).alias("hi"), (F.col("nir") > 200).alias("bright"), "sar"), KEY)
-    return rows.groupBy("label").agg(F.count_if("hi").alias("loss"), F.count_if("bright").alias("built"), _r(F.avg("sar"), 6).alias("mean_sar"))
+    found = features.measured(_labels(spark, d), g, {"loss": F.col("red") > 40, "built": F.col("nir") > 200}, {"mean_sar": F.col("sar")})
+    return found.select("label", "loss", "built", _r("mean_sar", 6).alias("mean_sar"))
 
 
 # --- whole analyses, held against numpy in the tests ---------------------------------------------------------------
@@ -561,8 +568,9 @@ def pair_self_join(spark, d):
 
 @query("qa_per_image", "SELECT conv_id, count(*) AS n, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id")
 def qa_per_image(spark, d):
-    listed = F.array_sort(F.collect_list(F.struct("turn", "role")))
-    return grids.table(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(listed, lambda t: t["role"]), ",").alias("roles"))
+    rows = grids.table(spark, d, "conversations").select(F.col("conv_id").alias("image_id"), F.col("turn").alias("place"), F.col("text").alias("question"), F.lit("").alias("answer"), F.col("role").alias("type"))
+    made = datasets.per_image(rows)
+    return made.select(F.col("image_id").alias("conv_id"), F.size("qa").cast("long").alias("n"), F.array_join(F.transform("qa", lambda q: q["type"]), ",").alias("roles"))
 
 
 @query("recent_topk", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY coalesce(o_totalprice, 0) DESC, o_orderkey LIMIT 20")
@@ -570,6 +578,31 @@ def recent_topk(spark, d):
     return store.recent(grids.table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", id="o_orderkey")
 
 
+_BOXES = "SELECT {k} AS id, 'scene' || {k} % 3 AS scene_id, ({k} * {a} % 1000) / 1000.0::DOUBLE AS ymin, ({k} * {b} % 1000) / 1000.0::DOUBLE AS xmin, ({k} * {a} % 1000 + {k} % 40) / 1000.0::DOUBLE AS ymax, ({k} * {b} % 1000 + {k} % 25) / 1000.0::DOUBLE AS xmax FROM {t}"
+
+
+@query("overlay_pairs", f"WITH a AS ({_BOXES.format(k='c_custkey', a=37, b=91, t='customer')}), b AS ({_BOXES.format(k='s_suppkey', a=53, b=17, t='supplier')}) SELECT a.id AS a_id, b.id AS b_id FROM a JOIN b USING (scene_id) WHERE a.ymin <= b.ymax AND b.ymin <= a.ymax AND a.xmin <= b.xmax AND b.xmin <= a.xmax")
+def overlay_pairs(spark, d):
+    """Boxes of customers and suppliers that overlap, in three scenes."""
+
+    def shapes(name: str, key: str, a: int, b: int) -> DataFrame:
+        k = F.col(key)
+        y, x = k * a % 1000, k * b % 1000
+        return grids.table(spark, d, name).select(F.concat(F.lit("scene"), k % 3).alias("scene_id"), k.alias("id"), (y / 1000.0).alias("ymin"), (x / 1000.0).alias("xmin"), ((y + k % 40) / 1000.0).alias("ymax"), ((x + k % 25) / 1000.0).alias("xmax"))
+
+    return overlapping(shapes("customer", "c_custkey", 37, 91), shapes("supplier", "s_suppkey", 53, 17)).select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"))
+
+
+@query("resolve_names", """WITH w AS (SELECT right(s_name, 4) AS identifier FROM supplier UNION SELECT right(s_name, 2) FROM supplier UNION SELECT s_name FROM supplier UNION SELECT 'er#' || s_suppkey % 7 FROM supplier)
+SELECT identifier, (SELECT min({'s': c_custkey % 2, 'n': c_name}) FROM customer WHERE contains(c_name, identifier)).n AS name FROM w""")
+def resolve_names(spark, d):
+    s = grids.table(spark, d, "supplier").select("s_name", "s_suppkey")
+    asked = [F.substring("s_name", -4, 4), F.substring("s_name", -2, 2), F.col("s_name"), F.concat(F.lit("er#"), F.col("s_suppkey") % 7)]
+    wanted = s.select(F.explode(F.array(*asked)).alias("identifier"))
+    names = grids.table(spark, d, "customer").select(F.col("c_name").alias("name"), (F.col("c_custkey") % 2).alias("source"))
+    return datasets.resolve(names, wanted)
+
+
 @query("response_confidence", f"{_FILL} SELECT round(avg(round(least(0.70::DOUBLE + fill * 0.28::DOUBLE, 0.98::DOUBLE), 2)), 2) AS confidence FROM fd")
 def response_confidence(spark, d):
     labels, top = _top(spark, d)

@@ -42,7 +42,11 @@ def rsvqa(spark: SparkSession, root: str) -> DataFrame:
     """image_id and its question-answer pairs, in the order of the file."""
     q = _json(spark, f"{root}/questions.json", QUESTIONS).select(F.posexplode("questions").alias("place", "q")).select("place", "q.*")
     a = _json(spark, f"{root}/answers.json", ANSWERS).select(F.posexplode("answers").alias("at", "a")).select("at", "a.*")
-    rows = join_answers(q, a, order="at")
+    return per_image(join_answers(q, a, order="at"))
+
+
+def per_image(rows: DataFrame) -> DataFrame:
+    """image_id and the array ``qa`` of its questions, answers and types, by ``place``."""
     pairs = F.array_sort(F.collect_list(F.struct("place", "question", "answer", "type")))
     return rows.groupBy("image_id").agg(F.transform(pairs, lambda p: F.struct(p["question"].alias("question"), p["answer"].alias("answer"), p["type"].alias("type"))).alias("qa"))
 
@@ -122,15 +126,33 @@ def land_cover(spark: SparkSession, root: str, classes: list[str] | None = None)
 # --- scenes ------------------------------------------------------------------------------------------------------
 
 
+def grams(text: Column, size: int) -> Column:
+    """The distinct stretches of ``size`` characters; none of a shorter text."""
+    whole = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (size - 1), F.lit(1))), lambda i: F.substring(text, i, size))
+    return F.when(F.length(text) >= size, F.array_distinct(whole)).otherwise(F.array().cast("array<string>"))
+
+
+def postings(scenes: DataFrame) -> DataFrame:
+    """Rows (gram, source, name): by which one, two and three characters in a row a scene's name is found."""
+    listed = F.concat(*[grams(F.col("name"), n) for n in (1, 2, 3)])
+    return scenes.select(F.explode(listed).alias("gram"), "source", "name")
+
+
 def resolve(scenes: DataFrame, wanted: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
     """For each ``identifier`` of ``wanted`` the scene whose name contains it, samples before uploads, then by name;
     an alias where none does. ``scenes`` has name and source (0 sample, 1 upload). Empty identifiers match nothing.
 
-    Scenes are a catalogue, small beside pixels; containment has no key, so the identifiers, a handful per request, are
-    what is sent to all of its parts.
+    Names are found by an index of their trigrams: an identifier meets the names that share its rarest one, and those
+    are then asked whether they contain all of it. An identifier of one or two characters is a gram itself. So the
+    join has a key, and neither side need be small.
     """
     asked = wanted.select("identifier").filter("identifier <> ''").distinct()
-    hits = scenes.join(F.broadcast(asked), F.contains(scenes["name"], asked["identifier"]))
+    index = postings(scenes)
+    own = asked.select("identifier", F.explode(F.when(F.length("identifier") < 3, F.array("identifier")).otherwise(grams(F.col("identifier"), 3))).alias("gram"))
+    often = index.join(own.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("names"))
+    # A gram that no name has is the rarest, and ends the search.
+    rarest = own.join(often, "gram", "left").groupBy("identifier").agg(F.min(F.struct(F.coalesce("names", F.lit(0)).alias("names"), "gram")).alias("r")).select("identifier", F.col("r.gram").alias("gram"))
+    hits = index.join(rarest, "gram").filter(F.contains(F.col("name"), F.col("identifier")))
     best = hits.groupBy("identifier").agg(F.min(F.struct("source", "name")).alias("b")).select("identifier", F.col("b.name").alias("name"))
     out = asked.join(best, "identifier", "left")
     if aliases:

@@ -1,5 +1,7 @@
 """What keeps large scenes in bounds: quantiles by ranks, value histograms, tables by tile, summed areas."""
 
+import math
+import random
 import re
 import time
 
@@ -8,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quadrille.operators import change, features, neighbours, scenes
+from quadrille.operators import change, features, neighbours, overlay, scenes
 from quadrille.operators.storage import save_by_tile, tiled_session, written
 from quadrille.operators.sums import box_sums, tile_sums
 from quadrille.sources import grids
@@ -205,6 +207,88 @@ def test_wide_windows_cost_little_more(spark):
     assert took[51] < 2.5 * took[5]
 
 
+# --- shapes ------------------------------------------------------------------------------------------------------
+
+
+#: Corners lie on whole numbers of this part of a scene, so that plain arithmetic is exact.
+GRAIN = 4096
+
+
+def crossing(p: list, q: list) -> bool:
+    """Whether two polygons of whole-number corners share a point, edge by edge, or a corner of one is inside the other."""
+    if any(max(t[k] for t in p) < min(t[k] for t in q) or max(t[k] for t in q) < min(t[k] for t in p) for k in (0, 1)):
+        return False
+    side = lambda o, s, t: (s[0] - o[0]) * (t[1] - o[1]) - (s[1] - o[1]) * (t[0] - o[0])
+    on = lambda o, s, t: side(o, s, t) == 0 and min(o[0], s[0]) <= t[0] <= max(o[0], s[0]) and min(o[1], s[1]) <= t[1] <= max(o[1], s[1])
+
+    def inside(poly, t):
+        hit = False
+        for i, o in enumerate(poly):
+            s = poly[i - 1]
+            if on(o, s, t):
+                return True
+            if (o[1] > t[1]) != (s[1] > t[1]) and t[0] < (s[0] - o[0]) * (t[1] - o[1]) / (s[1] - o[1]) + o[0]:
+                hit = not hit
+        return hit
+
+    for i, a in enumerate(p):
+        b = p[i - 1]
+        for j, c in enumerate(q):
+            d = q[j - 1]
+            if side(a, b, c) * side(a, b, d) < 0 and side(c, d, a) * side(c, d, b) < 0 or on(a, b, c) or on(a, b, d) or on(c, d, a) or on(c, d, b):
+                return True
+    return inside(q, p[0]) or inside(p, q[0])
+
+
+def stars(r: random.Random, n: int, scenes: int, most: float = 0.04) -> list[tuple]:
+    out = []
+    for i in range(n):
+        cy, cx, size, k = r.random(), r.random(), most * r.random() ** 2, r.randint(3, 9)
+        turn = sorted(r.random() * 2 * math.pi for _ in range(k))
+        at = [(round((cx + size * r.uniform(0.3, 1) * math.cos(t)) * GRAIN), round((cy + size * r.uniform(0.3, 1) * math.sin(t)) * GRAIN)) for t in turn]
+        out.append((f"s{i % scenes}", f"f{i}", at))
+    return out
+
+
+def shapes_of(spark, stars: list[tuple]):
+    rows = [(s, i, *(f(t[k] for t in p) / GRAIN for f in (min, max) for k in (1, 0)), [(x / GRAIN, y / GRAIN) for x, y in p]) for s, i, p in stars]
+    return spark.createDataFrame(rows, "scene_id string, id string, ymin double, xmin double, ymax double, xmax double, polygon array<struct<x:double,y:double>>")
+
+
+@pytest.mark.parametrize("cells", [7, 64])
+def test_overlapping_polygons(spark, cells):
+    r = random.Random(cells)
+    a, b = stars(r, 1000, 3), [*stars(r, 990, 3), *stars(r, 10, 3, 1.5)]
+    df = overlay.overlapping(shapes_of(spark, a), shapes_of(spark, b), cells)
+    got = [(x["a"]["id"], x["b"]["id"]) for x in df.collect()]
+    want = {(i, j) for s, i, p in a for t, j, q in b if s == t and crossing(p, q)}
+    assert set(got) == want and len(got) == len(want)
+    boxes = overlay.meeting_boxes(shapes_of(spark, a), shapes_of(spark, b), cells).count()
+    assert boxes > len(want), "polygons decide more than boxes do"
+    met = features.spatial_intersection(shapes_of(spark, a), shapes_of(spark, b))
+    assert {x["id"] for x in met.collect()} == {i for i, _ in want}
+
+
+def test_a_scene_of_many_features_is_spread(spark):
+    rows = spark.range(100_000).select(F.lit("s").alias("scene_id"), F.col("id").cast("string").alias("id"), (F.floor(F.col("id") / 320) / 320).alias("ymin"), (F.col("id") % 320 / 320).alias("xmin"))
+    rows = rows.select("*", (F.col("ymin") + 0.001).alias("ymax"), (F.col("xmin") + 0.001).alias("xmax"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        pairs = overlay.meeting_boxes(rows, rows.hint("shuffle_hash"))
+        per_task = [len(p) for p in pairs.select("a.id").rdd.glom().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(per_task) == 100_000 and max(per_task) < 0.5 * sum(per_task)
+
+
+def test_shapes_without_a_place_or_a_polygon(spark):
+    kind = "scene_id string, id string, ymin double, xmin double, ymax double, xmax double, polygon array<struct<x:double,y:double>>"
+    a = spark.createDataFrame([("s", "box", 0.1, 0.1, 0.2, 0.2, None), ("s", "none", None, None, None, None, None), ("t", "other", 0.1, 0.1, 0.2, 0.2, []), ("s", "turned", 0.3, 0.3, 0.1, 0.4, None)], kind)
+    b = spark.createDataFrame([("s", "corner", 0.2, 0.2, 0.3, 0.3, [(0.2, 0.2)]), ("s", "out", -3.0, -3.0, -2.0, -2.0, None)], kind)
+    assert [(x["a"]["id"], x["b"]["id"]) for x in overlay.overlapping(a, b).collect()] == [("box", "corner")]
+    assert overlay.overlapping(a.limit(0), b).collect() == []
+
+
 def test_grids_are_whole_numbers(spark):
     """The queries' bands go through the histogram."""
     g = grids.optical(grids.grid_t1(spark, "/root/testdata/sf0.001"))

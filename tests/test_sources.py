@@ -288,3 +288,57 @@ def test_stream_ingest(spark, tmp_path):
 def test_jpeg_has_no_decoder_here():
     with pytest.raises((raster.UnsupportedRaster, PySparkException)):
         raster.decoded(b"\xff\xd8\xff")
+
+
+def scanned_rows(df) -> int:
+    """Rows that the file scan gave out."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    return sum(plan.collectLeaves().apply(i).metrics().apply("numOutputRows").value() for i in range(plan.collectLeaves().size()))
+
+
+def test_saves_can_be_repeated_and_look_ups_prune(spark, tmp_path):
+    path = str(tmp_path / "kept")
+    empty = {f.name: None for f in RESULT}
+    ids = [f"ans_{(i * 2654435761) % 2**32:08x}" for i in range(60_000)]
+    rows = spark.createDataFrame([tuple((empty | {"analysis_id": i}).values()) for i in ids], RESULT)
+    spark.sparkContext._jsc.hadoopConfiguration().set("parquet.block.size", str(64 << 10))
+    try:
+        store.save(rows.coalesce(1), path, "first", "2026-01-01", 60_000)
+    finally:
+        spark.sparkContext._jsc.hadoopConfiguration().unset("parquet.block.size")
+    store.save(rows.limit(5), path, "second", "2026-01-02")
+    store.save(rows.limit(5), path, "second", "2026-01-02")
+    kept = store.load(spark, path)
+    assert kept.count() == 60_005 and kept.filter("run = 'second'").count() == 5
+    one = store.lookup(kept.filter("run = 'first'"), ids[777])
+    assert one.count() == 1 and 1 <= scanned_rows(one) < 30_000, "row groups without the id are passed over"
+    none = store.lookup(kept, "ans_ffffffff0", "2026-01-02")
+    assert none.count() == 0 and scanned_rows(none) == 0
+
+
+def test_names_are_found_by_trigrams(spark):
+    names = ["coast.tif", "cost_coast.tif", "a", "ab", "abc", "Straße.tif", "", "aXa", "tif"]
+    scenes = spark.createDataFrame([(n, i % 2) for i, n in enumerate(names)], "name string, source int")
+    wanted = ["coast", "st", "a", "tif", "aXa", "ß", "none at all", "", "b", "abcd", "t_c", ".ti", "coast.tif"]
+    df = datasets.resolve(scenes, spark.createDataFrame([(w,) for w in wanted], "identifier string"), {"abcd": "abc"})
+    want = {w: min(((i % 2, n) for i, n in enumerate(names) if w in n), default=(0, "abc" if w == "abcd" else None))[1] for w in wanted if w}
+    assert {r["identifier"]: r["name"] for r in df.collect()} == want
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_uploads_of_a_stream_can_be_decoded(spark, tmp_path):
+    """Arrive, be judged, be kept, and be read as pixels."""
+    from quadrille.streaming.ingest import ingest
+
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    a = np.arange(24, dtype=np.uint8).reshape(4, 6, 1)
+    (tmp_path / "in" / "deep" / "x.tif").write_bytes(tiff([a]))
+    (tmp_path / "in" / "y.png").write_bytes(b"not a picture")
+    ingest(spark, str(tmp_path / "in"), str(tmp_path / "taken"), str(tmp_path / "refused"), str(tmp_path / "state")).awaitTermination()
+    taken = spark.read.parquet(str(tmp_path / "taken"))
+    assert [r["scene_id"] for r in raster.heads(taken).collect()] == ["deep/x.tif"]
+    got = {(r["y"], r["x"]): r["samples"] for r in raster.pixels(taken).collect()}
+    assert got == {(y, x): [float(a[y, x, 0])] for y in range(4) for x in range(6)}
+    assert spark.read.parquet(str(tmp_path / "refused")).count() == 1
