@@ -95,17 +95,18 @@ def dated(df: DataFrame, few: bool | None = None) -> Dated:
     few = few_scenes(df) if few is None else few
     have, every = [b for b in VISIBLE if b in df.columns], band_columns(df)
     found, counts = band_statistics(df, every, [0.02, 0.98], few)
-    found = written(found, "bands")
     view = lambda b, v: px.stretched(v, F.col(f"{b}_q0"), F.col(f"{b}_q1"), F.col(f"low_{b}"), F.col(f"high_{b}")) / 255.0
     shown = {b: b if b in have else have[0] for b in VISIBLE}
     known = None
     if counts is not None:
-        rows = attach(counts.filter(F.col("name").isin(have)), found, few)
-        of = lambda b: F.when(F.col("name") == shown[b], view(shown[b], "v"))
-        sums = [a for b in VISIBLE for a in (F.sum(F.when(F.col("name") == shown[b], F.col("n"))).alias(f"n_{b}"), F.sum(of(b) * F.col("n")).alias(f"s_{b}"), F.sum(of(b) * of(b) * F.col("n")).alias(f"q_{b}"))]
-        mean = lambda b, x="s": F.col(f"{x}_{b}") / F.col(f"n_{b}")
-        spread = lambda b: F.sqrt(F.greatest(mean(b, "q") - mean(b) * mean(b), F.lit(0.0)))
-        known = written(rows.groupBy("scene_id").agg(*sums).select("scene_id", *[c for b in VISIBLE for c in (mean(b).alias(f"mu_{b}"), spread(b).alias(f"sd_{b}"))]), "moments")
+        shade = None
+        for b in have:
+            shade = (F if shade is None else shade).when(F.col("name") == b, view(b, "v"))
+        rows = attach(counts.filter(F.col("name").isin(have)), found, few).select("scene_id", "name", "n", shade.alias("w"))
+        per = rows.groupBy("scene_id", "name").agg(F.sum("n").alias("total"), F.sum(F.col("w") * F.col("n")).alias("mu"), F.sum(F.col("w") * F.col("w") * F.col("n")).alias("square"))
+        per = per.select("scene_id", "name", (F.col("mu") / F.col("total")).alias("mu"), (F.col("square") / F.col("total")).alias("square"))
+        per = per.withColumn("sd", F.sqrt(F.greatest(F.col("square") - F.col("mu") * F.col("mu"), F.lit(0.0))))
+        known = per.groupBy("scene_id").agg(*[F.max(F.when(F.col("name") == shown[b], F.col(n))).alias(f"{n}_{b}") for b in VISIBLE for n in ("mu", "sd")])
     scaled = {f"of_{b}": px.normalised(b, F.col(f"high_{b}")) for b in every}
     index = px.vegetation_index("of_red", "of_green", "of_blue", "of_nir" if nir_of(df) else None)
     key = key_of(df.columns)

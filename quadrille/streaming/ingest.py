@@ -13,7 +13,7 @@ SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 def arriving(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFrame:
     """Each new file below ``path`` once, at most ``files_per_batch`` in a batch, as raster.files() gives them."""
-    rows = spark.readStream.format("binaryFile").schema(SCHEMA).option("maxFilesPerTrigger", files_per_batch).load(path)
+    rows = spark.readStream.format("binaryFile").schema(SCHEMA).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).load(path)
     return rows.select("path", below(F.col("path"), path).alias("scene_id"), "length", "content", sniffed(F.col("content"), F.col("path")).alias("format"))
 
 
