@@ -139,6 +139,7 @@ def test_moments_follow_from_counts(spark):
 def test_dates_kept_by_tile_meet_without_a_shuffle(spark):
     own = tiled_session(spark)
     own.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    own.conf.set("spark.sql.maxMetadataStringLength", "5000")
     a, b = pair(own)
     kept = [save_by_tile(d, f"kept_{k}", 4, 16) for k, d in enumerate((a, b))]
     made = change.deltas(*kept, True)
