@@ -45,10 +45,13 @@ LEAST_SAMPLE = 30
 ALPHA = 0.01
 #: Weight of what was never seen in a state.
 UNSEEN = 0.05
-#: Share of the labelled credentials that need not be taken.
-MISSED = 0.02
-#: By how much, in nats, a credential must stand out more than any string of the other sample.
+#: Share of the labelled credentials that need not be taken, and of the other sample that may be: of those, some may be
+#: credentials without marks.
+MISSED, TAKEN = 0.02, 0.01
+#: By how much, in nats, a credential must stand out more than all the rest of the other sample.
 MARGIN = 4.0
+#: States of an automaton that has inferred a format; one state knows frequencies alone.
+LEAST_STATES = 2
 #: Length up to which strings are scored side by side; longer ones are scored one by one.
 SHORT = 256
 #: Different strings whose judgement a task remembers.
@@ -241,7 +244,8 @@ class Model:
 
 def fitted(samples: dict[str, list[str]]) -> Model:
     """Infer the automata of the samples (values by kind, others under PLAIN) and set their thresholds: all but MISSED of
-    the kind's own values are likely enough, and none of the others stands out enough. A kind of fewer than LEAST_SAMPLE values has none, and so adds nothing."""
+    the kind's own values are likely enough, and all but TAKEN of the others do not stand out enough. A kind of fewer
+    than LEAST_SAMPLE values, or whose states all merged into one, has none and so adds nothing."""
     plain = sorted(samples.get(PLAIN, []))
     model = Model({}, {}, {}, inferred(plain) if plain else None)
     for kind in KINDS:
@@ -249,11 +253,13 @@ def fitted(samples: dict[str, list[str]]) -> Model:
         if len(own) < LEAST_SAMPLE or not plain:
             continue
         auto = inferred(own)
+        if len(auto.to) < LEAST_STATES:
+            continue
         scores = likelihoods(auto, own) / np.array([len(s) + 1 for s in own])
         gains = likelihoods(auto, plain) - likelihoods(model.plain, plain)
         model.kinds[kind] = auto
         model.least[kind] = float(np.quantile(scores, MISSED))
-        model.ahead[kind] = MARGIN + max(0.0, float(gains.max()))
+        model.ahead[kind] = MARGIN + max(0.0, float(np.quantile(gains, 1 - TAKEN)))
     return model
 
 

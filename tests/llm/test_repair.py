@@ -162,6 +162,8 @@ def test_secrets_of_documents(spark, make):
     r = random.Random(4)
     marks = [(i, f"some prose here, password = {k} and more of it") for i, k in enumerate(keys(r, 120))]
     bare = keys(r, 40)
+    # Unmarked ones are among the sampled other strings too, as one in some two hundred.
+    marks.append((900, " ".join(f"{r.randrange(10**9, 10**14)}" for _ in range(9_000))))
     docs = marks + [(1000 + i, f"unmarked {k} amid interesting sentences") for i, k in enumerate(bare)] + [(2000 + i, t) for i, t in enumerate(TEXTS)] + [(3000 + i, f"perfectly ordinary sentences number{i} without anything") for i in range(200)] + marks[:1]
     df = make(docs).withColumn("secrets", F.lit("old"))
     model = secretscan.fit(df)
