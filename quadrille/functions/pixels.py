@@ -160,6 +160,11 @@ def fusion_confidence(db: Column) -> Column:
 # --- ramps -------------------------------------------------------------------------------------------------------
 
 
+#: Colours of the ramps as red, green, blue (fixed values): bare, mixed and green; lost and gained.
+BARE, MIXED, GREEN = (215, 48, 39), (254, 224, 139), (26, 152, 80)
+LOST, GAINED = (239, 68, 68), (34, 197, 94)
+
+
 def _byte(x: Column) -> Column:
     return F.coalesce(x, F.lit(0)).cast("int")
 
@@ -172,13 +177,13 @@ def ramp(v: Expr, name: str, vmin: Column, vmax: Column, floor: float | None = N
     alpha = F.lit(255)
     if name == "rdylgn":
         low, up = n * 2, (n - 0.5) * 2
-        r, g, b = (F.when(n < 0.5, a + low * (m - a)).otherwise(m - up * (m - z)) for a, m, z in ((215, 254, 26), (48, 224, 152), (39, 139, 80)))
+        r, g, b = (F.when(n < 0.5, a + low * (m - a)).otherwise(m - up * (m - z)) for a, m, z in zip(BARE, MIXED, GREEN, strict=True))
     elif name == "blues":
         r, g, b = 235 - n * 215, 245 - n * 145, 255 - n * 25
     elif name == "change":
         d = n - 0.5
         loss, gain = d < -0.05, d > 0.05
-        r, g, b = (F.when(loss, x).when(gain, y).otherwise(0) for x, y in ((239, 34), (68, 197), (68, 94)))
+        r, g, b = (F.when(loss, x).when(gain, y).otherwise(0) for x, y in zip(LOST, GAINED, strict=True))
         a = F.when(loss | gain, clip(F.abs(d) * 2 * 255, 120, 240)).otherwise(0)
         return [_byte(c).alias(k) for k, c in zip("rgba", (r, g, b, a), strict=True)]
     elif name == "sar_plasma":

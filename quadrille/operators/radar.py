@@ -29,8 +29,14 @@ def regimes(db: Column) -> dict[str, Column]:
     return {"metallic": db > -6, "volume": (db >= -16) & (db <= -6), "specular": db < -20}
 
 
-def radar_stats(df: DataFrame) -> DataFrame:
-    """A7 over ``filtered``."""
+#: Texts of fused features (fixed values).
+STRUCTURE = "Reinforced Structure / Facility"
+MECHANISM = "Dihedral / Corner Double-Bounce Reflection"
+CORRELATION = "High visible geometric contrast"
+
+
+def radar_stats(df: DataFrame, k: int = WINDOW) -> DataFrame:
+    """A7 over ``filtered``, which came from windows of ``k`` by ``k``."""
     db = F.col("filtered")
     r = regimes(db)
     got = df.groupBy("scene_id").agg(F.avg(db).alias("mean"), F.max(db).alias("high"), F.min(db).alias("low"), F.stddev_pop(db).alias("sd"), F.count(F.lit(1)).alias("n"), *[_count(c).alias(k) for k, c in r.items()])
@@ -38,7 +44,7 @@ def radar_stats(df: DataFrame) -> DataFrame:
     return got.select(
         "scene_id", F.bround("mean", 2).alias("mean_backscatter_db"), F.bround("high", 2).alias("max_backscatter_db"), F.bround("low", 2).alias("min_backscatter_db"), F.bround("sd", 2).alias("std_backscatter_db"),
         share(F.col("metallic"), n).alias("metallic_builtup_scatter_pct"), share(F.col("volume"), n).alias("vegetative_volume_scatter_pct"), share(F.col("specular"), n).alias("calm_water_specular_pct"),
-        F.lit(f"Lee Adaptive Spatial Filter ({WINDOW}x{WINDOW})").alias("speckle_filter_applied"),
+        F.lit(f"Lee Adaptive Spatial Filter ({k}x{k})").alias("speckle_filter_applied"),
     )
 
 
@@ -61,8 +67,8 @@ def fuse(optical: DataFrame, radar_raw: DataFrame, size: float = PIXEL_SIZE, few
     top = top_components(labels, extent, FUSION)
     mean = labels.join(pixels.select(*KEY, "db"), KEY).groupBy("scene_id", "label").agg(F.avg("db").alias("db"))
     shapes = shaped(top.join(mean, ["scene_id", "label"]))
-    properties = [F.bround("db", 2).alias("mean_sar_backscatter_db"), F.lit("Dihedral / Corner Double-Bounce Reflection").alias("scattering_mechanism"), F.lit("High visible geometric contrast").alias("optical_correlation")]
-    found = written(as_features(shapes, polygons(labels, top, FUSION.vertices), F.format_string("fused_struct_%d", F.col("rank")), F.lit("Reinforced Structure / Facility"), px.fusion_confidence(F.col("db")), properties, size, bounds), "structures")
+    properties = [F.bround("db", 2).alias("mean_sar_backscatter_db"), F.lit(MECHANISM).alias("scattering_mechanism"), F.lit(CORRELATION).alias("optical_correlation")]
+    found = written(as_features(shapes, polygons(labels, top, FUSION.vertices), F.format_string("fused_struct_%d", F.col("rank")), F.lit(STRUCTURE), px.fusion_confidence(F.col("db")), properties, size, bounds), "structures")
     stats = radar_stats(radar)
     own = found.groupBy("scene_id").agg(F.count(F.lit(1)).alias("fused_structures_count"), F.bround(F.avg(F.get_json_object("properties", "$.mean_sar_backscatter_db").cast("double")), 2).alias("mean_structural_backscatter_db"))
     metrics = stats.join(own, "scene_id", "left").fillna(0, ["fused_structures_count"])
