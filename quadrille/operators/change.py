@@ -21,6 +21,7 @@ from .indices import _count
 from .neighbours import cleaned
 from .resample import resample
 from .scenes import attach, band_statistics, extents, few_scenes, share
+from .steps import Steps
 from .storage import written
 
 VISIBLE = ["red", "green", "blue"]
@@ -181,23 +182,29 @@ def category(compound_query: bool, compound: Column, built: Column, loss: Column
     return chain.when(built > loss, "New Built-up Development").when(loss > 0, "Vegetation Loss / Clearing").otherwise("Land-cover Modification")
 
 
-def detect(before: DataFrame, after: DataFrame, query: str = "", size: float = PIXEL_SIZE, few: bool | None = None, bounds: Column | None = None) -> dict[str, DataFrame | str | None]:
+def detect(before: DataFrame, after: DataFrame, query: str = "", size: float = PIXEL_SIZE, few: bool | None = None, bounds: Column | None = None, steps: Steps | None = None) -> dict[str, DataFrame | str | None]:
     """The whole of it: ``pixels`` (deltas, mask and classes), ``features``, ``metrics`` (a row for each scene) and the
-    limitation. Two tables are written on the way, as several results read them."""
-    few = few_scenes(before) if few is None else few
-    delta = written(deltas(before, after, few, regrid=True), "deltas")
-    bar = written(otsu(delta, few=few), "otsu")
+    limitation. Tables are written on the way, as several results read them; ``steps`` gets their times."""
+    steps = steps or Steps()
+    with steps.timed("step_temporal_align"):
+        few = few_scenes(before) if few is None else few
+        joined = deltas(before, after, few, regrid=True)
+    delta = steps.written(joined, "deltas", "step_temporal_align", "step_cva", "step_ndvi_delta")
+    bar = steps.written(otsu(delta, few=few), "otsu", "step_cva")
     raw = attach(delta, bar.select("scene_id", "threshold"), few).select(*KEY, (F.col("magnitude") > F.col("threshold")).alias("mask"))
     clean = cleaned(raw)
-    pixels = written(change_classes(delta.join(clean, KEY)), "changed")
-    labels = components(pixels)
+    pixels = steps.written(change_classes(delta.join(clean, KEY)), "changed", "step_ndvi_delta", "step_builtup_gain", "step_change_grounding")
+    with steps.timed("step_change_grounding", "step_spatial_intersection"):
+        labels = components(pixels)
     extent = extents(before)
     top = top_components(labels, extent, CHANGE)
     per = measured(labels, pixels, {"loss": F.col("loss"), "built": F.col("built")})
     wants = asks_for_compound(query)
     compound = (F.col("built") > 0) & ((F.col("loss") > 0) | F.lit(wants))
     judged = top.join(per, ["scene_id", "label"]).withColumn("compound", compound).withColumn("category", category(wants, F.col("compound"), F.col("built"), F.col("loss")))
-    judged = written(fill_density(judged, labels, few).join(bar.select("scene_id", "eta"), "scene_id"), "clusters")
+    with steps.timed("step_change_grounding", "step_spatial_intersection"):
+        filled = fill_density(judged, labels, few).join(bar.select("scene_id", "eta"), "scene_id")
+    judged = steps.written(filled, "clusters", "step_change_grounding", "step_spatial_intersection")
     properties = [
         F.col("category"), F.col("quadrant"), F.col("pixels").alias("pixel_count"), F.bround("eta", 3).alias("otsu_separability"),
         F.col("loss").alias("vegetation_loss_pixels"), F.col("built").alias("builtup_gain_pixels"), F.col("compound").alias("is_compound_transition"),

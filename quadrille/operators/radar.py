@@ -14,7 +14,7 @@ from .features import FUSION, as_features, polygons, shaped, top_components
 from .indices import _count
 from .neighbours import lee, opened
 from .scenes import extents, few_scenes, share
-from .storage import written
+from .steps import Steps
 
 WINDOW = 5
 
@@ -57,18 +57,25 @@ def fusion_pixels(optical: DataFrame, radar: DataFrame, few: bool | None = None,
     return both.select(*KEY, "db", ((F.col("db") > -7) & (F.col("brightness") > 0.35)).alias("mask"))
 
 
-def fuse(optical: DataFrame, radar_raw: DataFrame, size: float = PIXEL_SIZE, few: bool | None = None, bounds: Column | None = None) -> dict[str, DataFrame]:
-    """``radar`` (filtered once for both uses), ``features``, ``metrics`` and ``insights`` of each scene."""
-    few = few_scenes(optical) if few is None else few
-    radar = written(filtered(radar_raw, few=few), "radar")
-    pixels = written(fusion_pixels(optical, radar, few, regrid=True), "fused")
-    labels = components(opened(pixels.select(*KEY, "mask")))
+def fuse(optical: DataFrame, radar_raw: DataFrame, size: float = PIXEL_SIZE, few: bool | None = None, bounds: Column | None = None, steps: Steps | None = None) -> dict[str, DataFrame]:
+    """``radar`` (filtered once for both uses), ``features``, ``metrics`` and ``insights`` of each scene; ``steps`` gets the
+    times of its tables."""
+    steps = steps or Steps()
+    with steps.timed("step_sar_speckle"):
+        few = few_scenes(optical) if few is None else few
+        smooth = filtered(radar_raw, few=few)
+    radar = steps.written(smooth, "radar", "step_sar_speckle")
+    with steps.timed("step_cross_modal_fusion"):
+        both = fusion_pixels(optical, radar, few, regrid=True)
+    pixels = steps.written(both, "fused", "step_cross_modal_fusion")
+    with steps.timed("step_cross_modal_fusion"):
+        labels = components(opened(pixels.select(*KEY, "mask")))
     extent = extents(optical)
     top = top_components(labels, extent, FUSION)
     mean = labels.join(pixels.select(*KEY, "db"), KEY).groupBy("scene_id", "label").agg(F.avg("db").alias("db"))
     shapes = shaped(top.join(mean, ["scene_id", "label"]))
     properties = [F.bround("db", 2).alias("mean_sar_backscatter_db"), F.lit(MECHANISM).alias("scattering_mechanism"), F.lit(CORRELATION).alias("optical_correlation")]
-    found = written(as_features(shapes, polygons(labels, top, FUSION.vertices), F.format_string("fused_struct_%d", F.col("rank")), F.lit(STRUCTURE), px.fusion_confidence(F.col("db")), properties, size, bounds), "structures")
+    found = steps.written(as_features(shapes, polygons(labels, top, FUSION.vertices), F.format_string("fused_struct_%d", F.col("rank")), F.lit(STRUCTURE), px.fusion_confidence(F.col("db")), properties, size, bounds), "structures", "step_cross_modal_fusion")
     stats = radar_stats(radar)
     own = found.groupBy("scene_id").agg(F.count(F.lit(1)).alias("fused_structures_count"), F.bround(F.avg(F.get_json_object("properties", "$.mean_sar_backscatter_db").cast("double")), 2).alias("mean_structural_backscatter_db"))
     metrics = stats.join(own, "scene_id", "left").fillna(0, ["fused_structures_count"])
