@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import store
 from .functions import intent
 from .functions import pixels as px
-from .operators import bands, change, features, indices, masks, neighbours, radar, render
+from .operators import bands, change, features, indices, masks, neighbours, pyramid, radar, render
 from .operators.components import components, largest, numbered, sizes
 from .operators.overlay import overlapping
 from .operators.resample import resample
@@ -703,6 +703,20 @@ def mask_overlay(spark, d):
     return render.mask_layer(_vegetation(spark, d), "vegetation").drop("scene_id")
 
 
+#: Levels of tiles of 32 by 32: each from the one below, while a side is longer than a tile.
+_LEVELS = 24
+_MEAN = ", ".join(f"CASE WHEN sum(a) > 0 THEN (2 * sum({c} * a) + sum(a)) // (2 * sum(a)) ELSE 0 END AS {c}" for c in "rgb")
+_ABOVE = ", ".join(f"p{k + 1} AS (SELECT y // 2 AS y, x // 2 AS x, {_MEAN}, (2 * sum(a) + count(*)) // (2 * count(*)) AS a FROM p{k} WHERE (SELECT side FROM ext) > {32 << k} GROUP BY y // 2, x // 2)" for k in range(_LEVELS))
+_LAYER = _RDYLGN.replace(" SELECT y, x, CAST", ", p0 AS (SELECT y, x, CAST", 1) + "), ext AS (SELECT greatest(max(y), max(x)) + 1 AS side FROM p0)"
+_EVERY = " UNION ALL ".join(f"SELECT {k} AS level, y, x, r, g, b, a FROM p{k} WHERE a > 0" for k in range(_LEVELS + 1))
+
+
+@query("picture_pyramid", f"{_LAYER}, {_ABOVE} SELECT level, y, x, " + ", ".join(f"CAST({c} AS INTEGER) AS {c}" for c in "rgba") + f" FROM ({_EVERY})")
+def picture_pyramid(spark, d):
+    layer = render.ndvi_layer(indices.with_index(bands.normalise(t1(spark, d), few=True)))
+    return pyramid.as_pixels(pyramid.levels(layer, tile=32, few=True), 32).drop("scene_id")
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
