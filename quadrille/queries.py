@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import store
 from .functions import intent
 from .functions import pixels as px
-from .operators import bands, change, features, indices, masks, neighbours, pyramid, radar, render
+from .operators import bands, change, features, indices, masks, neighbours, pieces, pyramid, radar, render
 from .operators.components import components, largest, numbered, sizes
 from .operators.overlay import overlapping
 from .operators.resample import resample
@@ -413,6 +413,15 @@ def component_bbox(spark, d):
     return sizes(_labels(spark, d)).drop("scene_id")
 
 
+@query("component_boxes", f"{_LABELS} SELECT label, pixels, ymin, ymax, xmin, xmax FROM sz")
+def component_boxes(spark, d):
+    """By the SQL function, in tiles that the components cross."""
+    pieces.register(spark)
+    places = neighbours.cleaned(_vegetation(spark, d)).filter("mask").select(*KEY)
+    found = spark.sql("SELECT * FROM tile_components(TABLE(SELECT scene_id, y, x FROM {places}) PARTITION BY (scene_id, y div 16, x div 16), 16)", places=places)
+    return pieces.boxes(found, 16).drop("scene_id")
+
+
 @query("topk_components", f"{_LABELS} SELECT rank, label, pixels FROM tk")
 def topk_components(spark, d):
     return _top(spark, d)[1].select(F.col("rank").cast("long").alias("rank"), "label", "pixels")
