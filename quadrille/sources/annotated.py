@@ -2,9 +2,9 @@
 
 ``spark.read.format(name).load(root)`` has the declared columns, and no rows where the root is not mounted. Documents
 are read as streams, an entry at a time, so their size is no bound on a task's memory; patches of land cover are read by
-folders, some hundred to a split, and conditions on patch_id leave out folders before they are opened. Files are opened
-through pyarrow, in local folders and the object stores that it knows; elsewhere the functions of ``datasets`` read whole
-documents through Spark.
+folders, some hundred to a split, and the option ``patches`` (a JSON list of names) leaves the others unopened; blocks.py
+says why filters do not. Files are opened through pyarrow, in local folders and the object stores that it knows; elsewhere
+the functions of ``datasets`` read whole documents through Spark.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from typing import Any
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from . import datasets
@@ -207,22 +207,14 @@ class Patches(Reader):
 
     def __init__(self, options: dict[str, str]) -> None:
         super().__init__(options)
-        self.wanted: set[str] | None = None
+        self.wanted = set(json.loads(options["patches"])) if options.get("patches") else None
         self.size = int(options.get("splitpatches", SPLIT_PATCHES))
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            if isinstance(f, (EqualTo, In)) and f.attribute == ("patch_id",):
-                own = {f.value} if isinstance(f, EqualTo) else set(f.value)
-                self.wanted = own if self.wanted is None else self.wanted & own
-            else:
-                yield f
-
     def partitions(self) -> list[Split]:
         """Folders asked for by name are looked up; otherwise the root is listed, but no folder in it."""
         store, root = self.opened()
         if self.wanted is not None:
-            names = sorted(w for w in self.wanted if isinstance(w, str) and w and "/" not in w)
+            names = sorted(w for w in self.wanted if w and "/" not in w)
             found = store.get_file_info([f"{root}/{w}" for w in names]) if names else []
         else:
             found = store.get_file_info(fs.FileSelector(root, allow_not_found=True))
@@ -298,10 +290,9 @@ class LandCover(Collection):
 
 
 def register(spark: SparkSession) -> None:
-    """Make the four formats known to a session, and conditions pushed down to them."""
+    """Make the four formats known to a session."""
     for source in (Rsvqa, Cdvqa, Vrsbench, LandCover):
         spark.dataSource.register(source)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
 def questions(spark: SparkSession, root: str) -> DataFrame:

@@ -2,13 +2,17 @@
 
 ``spark.read.format("raster").load(path)`` has rows (scene_id, frame, y, x, samples). A large file is cut into splits
 of whole strips or tiles, whose places are read from its directory alone; small files are put together into splits.
-Conditions on scene_id, frame, y and x leave out files, frames and blocks before a byte of theirs is read; option
+Options for scenes, frames, rows and columns leave out files, frames and blocks before a byte of theirs is read; option
 ``bands`` leaves out the planes of other channels where a file keeps them apart. Files are opened by byte range through
 pyarrow, in local folders and the object stores that it knows; elsewhere raster.files() reads whole files through Spark.
+
+What is read is named by options and not taken from filters: Spark 4.1 keeps the plan of the last pushed filter with the
+loaded DataFrame and uses it for all others made of it, so that a union of two filters would read one of them twice.
 """
 
 from __future__ import annotations
 
+import json
 import operator
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from . import raster
@@ -81,11 +85,19 @@ WHOLE = [Part(-1, None)]
 
 
 def _overlaps(bounds: dict, name: str, low: int, high: int) -> bool:
-    """Whether a place from ``low`` to ``high`` (inclusive) may meet the conditions on a column."""
+    """Whether a place from ``low`` to ``high`` (inclusive) meets what is wanted of a column."""
     least, most = bounds.get(name, (None, None))
     return (least is None or high >= least) and (most is None or low <= most)
 
 
+def _stretch(told: str) -> tuple[int | None, int | None]:
+    """First and last of ``from:to``, of which ``to`` is left out; either may be missing."""
+    low, colon, high = told.partition(":")
+    if not colon:
+        raise ValueError(f"{told!r} is no stretch from:to")
+    return int(low) if low.strip() else None, int(high) - 1 if high.strip() else None
+
+
 class Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         if not options.get("path"):
@@ -93,25 +105,8 @@ class Reader(DataSourceReader):
         self.root = options["path"]
         self.split_bytes = int(options.get("splitbytes", SPLIT_BYTES))
         self.bands = [int(b) for b in options["bands"].split(",")] if options.get("bands") else None
-        self.bounds: dict[str, tuple[int | None, int | None]] = {}
-        self.scenes: set[str] | None = None
-
-    # --- what need not be read ---
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Narrow what is read; every condition is also given back, as blocks are coarser than rows."""
-        for f in filters:
-            name = f.attribute[0] if hasattr(f, "attribute") else None
-            if name in ("y", "x", "frame") and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)):
-                low = {EqualTo: f.value, GreaterThan: f.value + 1, GreaterThanOrEqual: f.value}.get(type(f))
-                high = {EqualTo: f.value, LessThan: f.value - 1, LessThanOrEqual: f.value}.get(type(f))
-                least, most = self.bounds.get(name, (None, None))
-                pick = lambda a, b, best: a if b is None else b if a is None else best(a, b)
-                self.bounds[name] = (pick(least, low, max), pick(most, high, min))
-            elif name == "scene_id" and isinstance(f, (EqualTo, In)):
-                own = {f.value} if isinstance(f, EqualTo) else set(f.value)
-                self.scenes = own if self.scenes is None else self.scenes & own
-            yield f
+        self.bounds = {name: _stretch(options[o]) for name, o in (("frame", "frames"), ("y", "rows"), ("x", "columns")) if options.get(o)}
+        self.scenes = set(json.loads(options["scenes"])) if options.get("scenes") else None
 
     # --- splits ---
 
@@ -206,19 +201,25 @@ class Reader(DataSourceReader):
         store, root = fs.FileSystem.from_uri(self.root) if "://" in self.root or self.root.startswith("file:") else (fs.LocalFileSystem(), self.root)
         return store, (root.rsplit("/", 1)[0] if store.get_file_info(root).type == fs.FileType.File else root.rstrip("/"))
 
+    def _within(self, name: str, places: np.ndarray) -> np.ndarray:
+        least, most = self.bounds.get(name, (None, None))
+        return (places >= (0 if least is None else least)) & (True if most is None else places <= most)
+
     def _rows(self, scene: str, frame: int, y0: int, x0: int, samples: np.ndarray) -> Iterator[pa.RecordBatch]:
         h, w, c = samples.shape
         flat = samples.reshape(h * w, c)
         for at in range(0, h * w, BATCH_ROWS):
-            cut = flat[at : at + BATCH_ROWS].astype(np.float64)
-            n = np.arange(at, at + len(cut))
+            n = np.arange(at, min(at + BATCH_ROWS, h * w))
+            n = n[self._within("y", n // w + y0) & self._within("x", n % w + x0)]
+            cut = flat[n].astype(np.float64)
             values = pa.ListArray.from_arrays(pa.array(np.arange(0, len(cut) * c + 1, c, dtype=np.int32)), pa.array(cut.ravel()))
             columns = [pa.array([scene] * len(cut)), pa.array(np.full(len(cut), frame, np.int32)), pa.array(n // w + y0), pa.array(n % w + x0), values]
             yield pa.RecordBatch.from_arrays(columns, ["scene_id", "frame", "y", "x", "samples"])
 
 
 class RasterSource(DataSource):
-    """Registered as ``raster``; options path, splitBytes and bands (numbers from 0, comma-separated)."""
+    """Registered as ``raster``; options path, splitBytes, bands (numbers from 0, comma-separated), frames, rows and columns
+    (``from:to``) and scenes (a JSON list of names)."""
 
     @classmethod
     def name(cls) -> str:
@@ -231,9 +232,11 @@ class RasterSource(DataSource):
         return Reader({k.lower(): v for k, v in self.options.items()})
 
 
-def scan(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, bands: list[int] | None = None) -> DataFrame:
-    """Rows (scene_id, frame, y, x, samples) of the TIFF and PNG files at or below ``path``; filters are pushed down."""
+def scan(
+    spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, bands: list[int] | None = None, rows: str | None = None, columns: str | None = None, frames: str | None = None, scenes: list[str] | None = None
+) -> DataFrame:
+    """Rows (scene_id, frame, y, x, samples) of the TIFF and PNG files at or below ``path``; of stretches (``"0:512"``) and
+    scenes that are named, and of no others."""
     spark.dataSource.register(RasterSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    reader = spark.read.format("raster").option("splitBytes", split_bytes)
-    return (reader.option("bands", ",".join(map(str, bands))) if bands else reader).load(path)
+    told = {"splitBytes": split_bytes, "bands": ",".join(map(str, bands)) if bands else None, "rows": rows, "columns": columns, "frames": frames, "scenes": None if scenes is None else json.dumps(scenes)}
+    return spark.read.format("raster").options(**{k: v for k, v in told.items() if v is not None}).load(path)

@@ -109,9 +109,18 @@ def test_patches_asked_for_are_the_only_ones_opened(spark, tmp_path):
     for name in ("good", "damaged"):
         (tmp_path / name).mkdir()
         (tmp_path / name / f"{name}_labels_metadata.json").write_text('{"labels": ["Airports"]}' if name == "good" else "{")
-    df = spark.read.format("landcover").load(str(tmp_path))
-    assert df.filter("patch_id = 'good'").first()["labels"] == ["Airports"]
-    assert df.filter(F.col("patch_id").isin("good", "absent")).count() == 1
-    assert df.filter("patch_id = '../good'").count() == 0 and df.filter("patch_id = 'good' AND patch_id = 'damaged'").count() == 0
+    read = lambda *names: spark.read.format("landcover").option("patches", json.dumps(names)).load(str(tmp_path))
+    assert read("good").first()["labels"] == ["Airports"]
+    assert read("good", "absent").count() == 1 and read("../good", "").count() == 0
     with pytest.raises(Exception, match="damaged_labels_metadata.json"):
-        df.collect()
+        spark.read.format("landcover").load(str(tmp_path)).collect()
+
+
+def test_filters_of_one_table_do_not_meet(spark, tmp_path):
+    annotated.register(spark)
+    for name in "abc":
+        (tmp_path / name).mkdir()
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    df = spark.read.format("landcover").load(str(tmp_path))
+    a, b = (df.filter(F.col("patch_id") == x) for x in "ab")
+    assert a.count() == 1 and df.count() == 3 and sorted(r["patch_id"] for r in a.union(b).collect()) == ["a", "b"]
