@@ -122,7 +122,8 @@ def deltas(before: DataFrame, after: DataFrame, few: bool | None = None, regrid:
     a, b = dated(before, few), dated(after, few)
     on_grid = aligned(b.view, after, before, [*VISIBLE, "index"]) if regrid else b.view
     if on_grid is not b.view:
-        b = Dated(on_grid.withColumns({c: F.round(F.col(c) * 255) / 255.0 for c in VISIBLE}), None)
+        # Halves go up, those that the order of a sum leaves a little short too.
+        b = Dated(on_grid.withColumns({c: F.floor(F.col(c) * 255 + (0.5 + 1e-9)) / 255.0 for c in VISIBLE}), None)
     known = [moments(d.view) if d.moments is None else d.moments for d in (a, b)]
     both = a.view.alias("a").join(brought(b.view, *known, few=few).alias("b"), [c for c in key_of(a.view.columns) if c in b.view.columns])
     return both.select(*KEY, magnitude().alias("magnitude"), (F.col("b.index") - F.col("a.index")).alias("delta_index"), (brightness("b") - brightness("a")).alias("delta_brightness"))
@@ -213,6 +214,10 @@ def detect(before: DataFrame, after: DataFrame, query: str = "", size: float = P
     return {"pixels": pixels, "labels": labels, "features": found, "metrics": change_metrics(pixels, judged, bar, extent, size), "limitation": None if nir_of(before) and nir_of(after) else NO_NIR}
 
 
+#: How the confidence of change came about, around the separability (fixed values).
+METHOD = ("Dynamic Otsu separability criterion (η=", ") with morphological cluster coherence")
+
+
 def change_metrics(pixels: DataFrame, clusters: DataFrame, bar: DataFrame, extent: DataFrame, size: float = PIXEL_SIZE) -> DataFrame:
     """A6."""
     n = F.col("height") * F.col("width")
@@ -223,4 +228,5 @@ def change_metrics(pixels: DataFrame, clusters: DataFrame, bar: DataFrame, exten
         "scene_id", share(F.col("mask"), n).alias("total_change_pct"), share(F.col("loss"), n).alias("vegetation_loss_pct"), share(F.col("built"), n).alias("builtup_expansion_pct"), share(F.col("water"), n).alias("water_fluctuation_pct"),
         F.col("transitions").alias("compound_transitions_count"), px.hectares(F.col("converted"), size).alias("compound_converted_hectares"), share(F.col("converted"), n).alias("compound_converted_pct"),
         px.hectares(F.col("mask"), size).alias("total_changed_hectares"), F.col("clusters").alias("clusters_count"), F.bround("mean_magnitude", 4).alias("mean_cva_magnitude"), F.bround("threshold", 4).alias("threshold_used"), F.bround("eta", 4).alias("otsu_separability_eta"),
+        F.concat(F.lit(METHOD[0]), F.bround("eta", 4).cast("string"), F.lit(METHOD[1])).alias("confidence_method"),
     )

@@ -33,6 +33,7 @@ def regimes(db: Column) -> dict[str, Column]:
 STRUCTURE = "Reinforced Structure / Facility"
 MECHANISM = "Dihedral / Corner Double-Bounce Reflection"
 CORRELATION = "High visible geometric contrast"
+METHOD = "Cross-modal correlation between optical edge variance and Lee-filtered radar backscatter (dB)"
 
 
 def radar_stats(df: DataFrame, k: int = WINDOW) -> DataFrame:
@@ -78,7 +79,7 @@ def fuse(optical: DataFrame, radar_raw: DataFrame, size: float = PIXEL_SIZE, few
     found = steps.written(as_features(shapes, polygons(labels, top, FUSION.vertices), F.format_string("fused_struct_%d", F.col("rank")), F.lit(STRUCTURE), px.fusion_confidence(F.col("db")), properties, size, bounds), "structures", "step_cross_modal_fusion")
     stats = radar_stats(radar)
     own = found.groupBy("scene_id").agg(F.count(F.lit(1)).alias("fused_structures_count"), F.bround(F.avg(F.get_json_object("properties", "$.mean_sar_backscatter_db").cast("double")), 2).alias("mean_structural_backscatter_db"))
-    metrics = stats.join(own, "scene_id", "left").fillna(0, ["fused_structures_count"])
+    metrics = stats.join(own, "scene_id", "left").fillna(0, ["fused_structures_count"]).withColumn("confidence_method", F.lit(METHOD))
     return {"radar": radar, "pixels": pixels, "labels": labels, "features": found, "metrics": metrics, "insights": insights(metrics)}
 
 

@@ -18,7 +18,8 @@ from ..operators.features import response_confidence
 from ..operators.scenes import extents, few_scenes
 from ..operators.steps import Steps
 from ..schema import FEATURE, METADATA, PIXEL_SIZE, RESULT, STEP
-from .registry import ground, provider
+from .providers import Clients, active, worded
+from .registry import ground
 from .report import answer
 
 #: The tool of each step (fixed values).
@@ -61,24 +62,25 @@ def _metadata(pixels: DataFrame, extent: DataFrame, modality: str) -> DataFrame:
     return extent.select("scene_id", F.struct(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in METADATA]).alias("metadata"))
 
 
-def _result(kind: str, prefix: str, scenes: DataFrame, parsed: dict, task: str, metrics: DataFrame, features: DataFrame, confidence: DataFrame, limitation: str | None, done: set[str], insights: DataFrame | None, started: float, took: Steps) -> DataFrame:
+def _result(kind: str, prefix: str, scenes: DataFrame, parsed: dict, task: str, metrics: DataFrame, features: DataFrame, confidence: DataFrame, limitation: str | None, done: set[str], insights: DataFrame | None, started: float, took: Steps, clients: Clients | None) -> DataFrame:
     rows = scenes.join(metrics.select("scene_id", F.to_json(F.struct(*[c for c in metrics.columns if c != "scene_id"])).alias("metrics")), "scene_id", "left")
     rows = rows.join(_gathered(features), "scene_id", "left").join(confidence, "scene_id", "left")
     rows = rows.join(insights, "scene_id", "left") if insights is not None else rows.withColumn("insights", F.lit(None).cast("array<string>"))
     empty = F.array().cast(f"array<{FEATURE.simpleString()}>")
-    rows = rows.withColumns({"features": F.coalesce("features", empty), "limitations": F.lit(limitation).cast("string"), "metrics": F.coalesce("metrics", F.lit("{}"))})
+    rows = rows.withColumns({"features": F.coalesce("features", empty), "limitations": F.lit(limitation).cast("string"), "metrics": F.coalesce("metrics", F.lit("{}")), "query": F.lit(parsed["query"]), "task_type": F.lit(task)})
+    rows = worded(rows, lambda: answer(F.lit(task)), active(rows.sparkSession, clients), clients)
     ms = round((time.time() - started) * 1000, 1)
     steps = parsed["steps"]
     made = {
-        "analysis_id": F.concat(F.lit(prefix), F.substring(F.sha2(F.concat(F.col("scene_id"), F.lit(uuid.uuid4().hex)), 256), 1, 8)), "kind": F.lit(kind), "query": F.lit(parsed["query"]), "answer": answer(F.lit(task)), "task_type": F.lit(task),
-        "confidence": F.col("confidence"), "confidence_method": F.when(F.col("confidence").isNotNull(), METHODS[kind]), "provider": F.lit(provider()),
+        "analysis_id": F.concat(F.lit(prefix), F.substring(F.sha2(F.concat(F.col("scene_id"), F.lit(uuid.uuid4().hex)), 256), 1, 8)), "kind": F.lit(kind), "query": F.col("query"), "answer": F.col("answer"), "task_type": F.col("task_type"),
+        "confidence": F.col("confidence"), "confidence_method": F.when(F.col("confidence").isNotNull(), METHODS[kind]), "provider": F.col("provider"),
         "tools_planned": F.array(*[F.lit(TOOLS[s]) for s in steps]), "tools_used": F.array(*[F.lit(TOOLS[s]) for s in TOOLS if s in done]), "features": F.col("features"), "trace": _trace(steps, done, took),
         "metrics": F.col("metrics"), "insights": F.col("insights"), "limitations": F.col("limitations"), "execution_time_ms": F.lit(ms), "created_at": F.lit(time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())),
     }
     return rows.select("scene_id", *[made[f.name].cast(f.dataType).alias(f.name) for f in RESULT])
 
 
-def analyze(spark: SparkSession, pixels: DataFrame, query: str, task_hint: str | None = None, size: float = PIXEL_SIZE, modality: str = "OPTICAL", strict: bool = True) -> DataFrame:
+def analyze(spark: SparkSession, pixels: DataFrame, query: str, task_hint: str | None = None, size: float = PIXEL_SIZE, modality: str = "OPTICAL", strict: bool = True, clients: Clients | None = None) -> DataFrame:
     """3.1: a result for each scene of ``pixels`` (raw bands). The vegetation index is measured for greenery, spectra and
     scenes; water if asked for; the first target is always looked for, salient places where none is named."""
     started, took = time.time(), Steps()
@@ -108,10 +110,10 @@ def analyze(spark: SparkSession, pixels: DataFrame, query: str, task_hint: str |
     features = took.written(found["features"], "features", "step_spatial_ground")
     limitation = " ".join(dict.fromkeys(x for x in limits if x)) or None
     scenes = _metadata(pixels, extents(pixels), modality)
-    return _result("analysis", "ans_", scenes, p, p["primary_intent"], metrics, features, response_confidence(features), limitation, done, None, started, took)
+    return _result("analysis", "ans_", scenes, p, p["primary_intent"], metrics, features, response_confidence(features), limitation, done, None, started, took, clients)
 
 
-def detect_change(spark: SparkSession, before: DataFrame, after: DataFrame, query: str = "What changed between the two images?", size: float = PIXEL_SIZE) -> DataFrame:
+def detect_change(spark: SparkSession, before: DataFrame, after: DataFrame, query: str = "What changed between the two images?", size: float = PIXEL_SIZE, clients: Clients | None = None) -> DataFrame:
     """3.2: a result for each scene that both dates have; the confidence is Otsu's separability."""
     started, took = time.time(), Steps()
     with took.timed("step_query_parse"):
@@ -123,10 +125,10 @@ def detect_change(spark: SparkSession, before: DataFrame, after: DataFrame, quer
     metrics = took.written(got["metrics"], "metrics", "step_change_grounding", "step_spatial_intersection")
     confidence = metrics.select("scene_id", F.bround("otsu_separability_eta", 2).alias("confidence"))
     scenes = _metadata(before, extents(before), "OPTICAL")
-    return _result("change", "chg_", scenes, p, "CHANGE_DETECTION", metrics, got["features"], confidence, got["limitation"], set(p["steps"]), None, started, took)
+    return _result("change", "chg_", scenes, p, "CHANGE_DETECTION", metrics, got["features"], confidence, got["limitation"], set(p["steps"]), None, started, took, clients)
 
 
-def fuse(spark: SparkSession, optical: DataFrame, radar_raw: DataFrame, query: str = "Compare the optical and the radar image.", size: float = PIXEL_SIZE) -> DataFrame:
+def fuse(spark: SparkSession, optical: DataFrame, radar_raw: DataFrame, query: str = "Compare the optical and the radar image.", size: float = PIXEL_SIZE, clients: Clients | None = None) -> DataFrame:
     """3.3: a result for each scene that both sensors have."""
     started, took = time.time(), Steps()
     with took.timed("step_query_parse"):
@@ -136,4 +138,4 @@ def fuse(spark: SparkSession, optical: DataFrame, radar_raw: DataFrame, query: s
         few = few_scenes(optical)
     got = radar.fuse(optical, radar_raw, size, few, steps=took)
     scenes = _metadata(optical, extents(optical), "SAR")
-    return _result("fusion", "sar_", scenes, p, "OPTICAL_SAR", got["metrics"], got["features"], response_confidence(got["features"]), None, set(p["steps"]), got["insights"], started, took)
+    return _result("fusion", "sar_", scenes, p, "OPTICAL_SAR", got["metrics"], got["features"], response_confidence(got["features"]), None, set(p["steps"]), got["insights"], started, took, clients)

@@ -1,4 +1,4 @@
-"""The tools by name (2.10): functions over DataFrames, described and looked up, and the text providers."""
+"""The tools by name (2.10): functions over DataFrames, described and looked up, and the state of the whole."""
 
 from __future__ import annotations
 
@@ -15,6 +15,7 @@ from ..operators.resample import resample
 from ..operators.scenes import extents
 from ..operators.storage import written
 from ..sources import raster
+from .providers import Clients, active, mode
 from .report import answer
 
 OPTICAL, ALL = ["OPTICAL", "MULTISPECTRAL"], ["OPTICAL", "MULTISPECTRAL", "SAR"]
@@ -91,13 +92,7 @@ def standard() -> Registry:
     return r
 
 
-#: Providers in the order in which they would be asked; all but the last are services outside and have no client
-#: here, so the local one always answers.
-PROVIDERS = ["groq", "anthropic", "gemini", "openai", "local"]
-
-
-def provider(preferred: str | None = None, available: tuple[str, ...] = ("local",)) -> str:
-    if preferred in available:
-        return preferred
-    return next((p for p in PROVIDERS if p in available), "local")
-
+def health(spark: SparkSession, clients: Clients | None = None) -> DataFrame:
+    """One row of what answers and which tools there are."""
+    now, tools = active(spark, clients), list(standard().tools)
+    return spark.createDataFrame([("online", now, mode(now), len(tools), tools)], "status string, provider string, mode string, tool_count int, tools array<string>")
