@@ -1,15 +1,17 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Five transducers, for negation, reported speech, targets, insults and threats, are composed into one that reads the
-classes of a clause's words. It writes where an insult or a threat is complete, and whether it is negated, reported
-or aimed at someone. A clause counts once for the plainest match of each kind, and a text's score is the sum of the
+Seven transducers, for negation, reported speech, targets, insults, insults that need a target, threats and contests
+that only sound like threats, are composed into one that reads the classes of a clause's words. It writes where an
+insult or a threat is complete, and whether it is negated, reported or aimed at someone. A clause counts once for the plainest match of each kind, and a text's score is the sum of the
 arcs that its clauses took. Insulting words are a short list and what labels teach besides; labels teach the weights
 too, within bounds that keep a negated or reported match below a plain one, and that below one aimed at someone.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
+import operator
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,18 +39,22 @@ RATIO = 40.0
 SURPRISE = 4.0
 CLAUSE_ENDS = byte_class(b".!?;\n")
 
-OTHER, INSULT, VIOLENCE, INTENT, PERSON, TARGET, NEGATION, REPORT = SYMBOLS = range(8)
-#: Words of the grammar, by class (fixed values). A target may be addressed or be what a verb is done to.
+OTHER, INSULT, VIOLENCE, INTENT, PERSON, TARGET, NEGATION, REPORT, LOOSE, CONTEST, GOAL = SYMBOLS = range(11)
+#: Words of the grammar, by class (fixed values). A target may be addressed or be what a verb is done to; a loose insult
+#: is one only of someone, as there are clown fish; and who beats another to or at something threatens nobody.
 WORDS = {
-    INSULT: "idiot idiots moron morons stupid loser losers scum trash pathetic worthless disgusting clown dumb fool imbecile jerk dummkopf blöd blöde dumm abschaum versager erbärmlich wertlos connard crétin imbécile stupide minable déchet idiota estúpido estúpida imbécil escoria basura patético",
-    VIOLENCE: "kill hurt destroy beat shoot stab strangle murder töten schlagen umbringen tuer frapper détruire matar golpear destruir",
+    INSULT: "idiot idiots moron morons stupid loser losers scum pathetic worthless disgusting imbecile jerk dummkopf blöd blöde dumm abschaum versager erbärmlich wertlos connard crétin imbécile stupide minable idiota estúpido estúpida imbécil escoria patético",
+    LOOSE: "clown clowns trash dumb fool fools déchet basura",
+    CONTEST: "beat",
+    GOAL: "to at",
+    VIOLENCE: "kill hurt destroy shoot stab strangle murder töten schlagen umbringen tuer frapper détruire matar golpear destruir",
     INTENT: "will going gonna shall ll werde werden wird vais va allons voy vamos va",
     PERSON: "he she they ihr sie du tu él ella ellos",
     TARGET: "you your yours yourself him her them dich dir dein euch ihn ihnen te toi ton vous votre usted tú ti",
     NEGATION: "not no never neither nor nicht kein keine nie niemals ne pas jamais aucun nunca jamás ningún",
     REPORT: "said says say wrote writes quoted quote called claims claimed reported according sagte sagt schrieb dit écrit dijo dice escribió",
 }
-NEGATED, REPORTED, AIMED, INSULTED, THREATENED = 1, 2, 4, 8, 16
+NEGATED, REPORTED, AIMED, INSULTED, THREATENED, WITHDRAWN = 1, 2, 4, 8, 16, 32
 
 
 # --- the grammar -------------------------------------------------------------------------------------------------
@@ -80,6 +86,32 @@ def insult(reach: int = 2) -> Transducer:
     return Transducer(tuple(map(tuple, moves)), tuple(tuple(INSULTED * (a == INSULT and s == 0) for a in SYMBOLS) for s in range(reach + 1)))
 
 
+def loose(reach: int = 3) -> Transducer:
+    """A loose insult is a match with someone at most ``reach`` words before or behind it; it is one once."""
+    who = (PERSON, TARGET)
+    states = [(None, 0)] + [(part, left) for part in (PERSON, LOOSE) for left in range(1, reach + 1)]
+    place = {s: i for i, s in enumerate(states)}
+    moves, writes = [], []
+    for part, left in states:
+        row, out = [], []
+        for a in SYMBOLS:
+            now = PERSON if a in who else LOOSE if a == LOOSE else None
+            done = now is not None and part not in (None, now)
+            fades = (part, left - 1) if left > 1 else (None, 0)
+            row.append(place[(PERSON, reach) if done or now == PERSON else (LOOSE, reach) if now else fades])
+            out.append(INSULTED * done)
+        moves.append(tuple(row))
+        writes.append(tuple(out))
+    return Transducer(tuple(moves), tuple(writes))
+
+
+def contest() -> Transducer:
+    """A verb of contest, its target and a goal, one right after the other, take back the threat that they made."""
+    moves = [[int(a == CONTEST) for a in SYMBOLS] for _ in range(3)]
+    moves[1][TARGET] = 2
+    return Transducer(tuple(map(tuple, moves)), tuple(tuple(WITHDRAWN * (s == 2 and a == GOAL) for a in SYMBOLS) for s in range(3)))
+
+
 def threat(reach: int = 4) -> Transducer:
     """A match is complete with the last of intent, violence and target, in any order, none farther than ``reach``
     words from the one before. Any of them alone, or two, are none."""
@@ -89,7 +121,8 @@ def threat(reach: int = 4) -> Transducer:
     moves, writes = [], []
     for seen, left in states:
         row, out = [], []
-        for a in SYMBOLS:
+        for symbol in SYMBOLS:
+            a = VIOLENCE if symbol == CONTEST else symbol
             now = seen | {a} if a in parts else seen
             done = len(now) == len(parts)
             after = (frozenset(), 0) if done or (a not in parts and left <= 1) else (now, reach if a in parts else left - 1)
@@ -101,15 +134,23 @@ def threat(reach: int = 4) -> Transducer:
 
 
 def compose(*parts: Transducer) -> Transducer:
-    """The product: it moves in all parts at once and writes what any of them writes."""
-    states = list(itertools.product(*(range(len(p.moves)) for p in parts)))
-    place = {s: i for i, s in enumerate(states)}
-    moves = tuple(tuple(place[tuple(p.moves[x][a] for p, x in zip(parts, s, strict=True))] for a in SYMBOLS) for s in states)
-    writes = tuple(tuple(sum(p.writes[x][a] for p, x in zip(parts, s, strict=True)) for a in SYMBOLS) for s in states)
-    return Transducer(moves, writes)
+    """The product: it moves in all parts at once and writes what any of them writes. Only states that can be reached
+    from the first are made."""
+    states = [(0,) * len(parts)]
+    place, moves, writes = {states[0]: 0}, [], []
+    for s in states:
+        row = [tuple(p.moves[x][a] for p, x in zip(parts, s, strict=True)) for a in SYMBOLS]
+        for to in row:
+            if to not in place:
+                place[to] = len(states)
+                states.append(to)
+        moves.append(tuple(place[to] for to in row))
+        # Two parts may write the same mark, so marks are joined, not added.
+        writes.append(tuple(functools.reduce(operator.or_, (p.writes[x][a] for p, x in zip(parts, s, strict=True))) for a in SYMBOLS))
+    return Transducer(tuple(moves), tuple(writes))
 
 
-GRAMMAR = compose(negation(), latch({REPORT}, REPORTED), latch({PERSON, TARGET}, AIMED), insult(), threat())
+GRAMMAR = compose(negation(), latch({REPORT}, REPORTED), latch({PERSON, TARGET}, AIMED), insult(), loose(), threat(), contest())
 #: Words of no class after which every part is where it began, or latched.
 REST = 4
 #: For insults, then threats: clauses with a match, and those whose match is aimed, negated or reported; then the
@@ -129,6 +170,8 @@ def clause(symbols: list[tuple[int, int]]) -> tuple[int, int]:
         for _ in range(min(place - last - 1, REST)):
             state = GRAMMAR.moves[state][OTHER]
         marks = GRAMMAR.writes[state][symbol]
+        if marks & WITHDRAWN and found[THREATENED]:
+            found[THREATENED].pop()
         state, last, aimed = GRAMMAR.moves[state][symbol], place, aimed | marks & AIMED
         for kind, held in found.items():
             if marks & kind:
@@ -185,7 +228,7 @@ def features(m: Model, texts: pa.Array) -> np.ndarray:
     new = np.concatenate(([True], (ends[1:] != ends[:-1]) | (text_of[1:] != text_of[:-1])))
     number = np.cumsum(new) - 1
     may = np.zeros(number[-1] + 1, bool)
-    may[number[(symbol == INSULT) | (symbol == VIOLENCE)]] = True
+    may[number[np.isin(symbol, (INSULT, LOOSE, VIOLENCE, CONTEST))]] = True
     begin = np.flatnonzero(new)
     at = np.flatnonzero((symbol != OTHER) & may[number])
     matched = np.zeros(len(texts))

@@ -2,6 +2,8 @@
 
 import numpy as np
 import pyarrow as pa
+from hypothesis import example, given, settings
+from hypothesis import strategies as st
 
 from quadrille.llm import toxicity as tox
 from quadrille.llm.language import fit, identify, op5_language_id
@@ -38,6 +40,54 @@ def test_grammar():
     assert tox.clause([(0, tox.VIOLENCE)]) == tox.clause([]) == (0, 0)
 
 
+def plainly(words):
+    """The marks of a clause read without automata: places are compared with places."""
+    near = lambda i, kind, reach: any(words[j] == kind for j in range(max(0, i - reach), i))
+    marks = lambda i: tox.NEGATED * near(i, tox.NEGATION, 3) | tox.REPORTED * (tox.REPORT in words[: i + 1])
+    insults = {i for i, w in enumerate(words) if w == tox.INSULT and not near(i, tox.INSULT, 2)}
+    threats, waiting, parts, since = [], None, set(), None
+    for i, w in enumerate(words):
+        kind = "who" if w in (tox.PERSON, tox.TARGET) else "what" if w == tox.LOOSE else None
+        if kind:
+            if waiting and waiting[0] != kind and i - waiting[1] <= 3:
+                insults.add(i)
+                kind = "who"
+            waiting = (kind, i)
+        part = tox.VIOLENCE if w == tox.CONTEST else w
+        if part in (tox.INTENT, tox.VIOLENCE, tox.TARGET):
+            if since is not None and i - since > 4:
+                parts = set()
+            parts, since = parts | {part}, i
+            if len(parts) == 3:
+                threats.append(i)
+                parts = set()
+        if words[max(0, i - 2) : i + 1] == [tox.CONTEST, tox.TARGET, tox.GOAL] and threats:
+            threats.pop()
+    aimed = tox.AIMED * any(w in (tox.PERSON, tox.TARGET) for w in words)
+    best = lambda places: min((marks(i) for i in places), key=lambda m: (m.bit_count(), m))
+    return tuple(kind | best(places) | aimed if places else 0 for kind, places in ((tox.INSULTED, insults), (tox.THREATENED, threats)))
+
+
+@settings(max_examples=3000, deadline=None)
+@given(st.lists(st.sampled_from([tox.OTHER] * 4 + list(tox.SYMBOLS)), max_size=24))
+@example([tox.PERSON, tox.INTENT, tox.CONTEST, tox.TARGET, tox.GOAL])
+@example([tox.TARGET, tox.OTHER, tox.OTHER, tox.LOOSE, tox.LOOSE])
+def test_grammar_equals_a_plain_reader(words):
+    assert tox.clause(list(enumerate(words))) == plainly(words)
+    # Words of no class need not be told.
+    last = len(words) - 1
+    assert tox.clause([(i, w) for i, w in enumerate(words) if w != tox.OTHER or i == last]) == plainly(words)
+
+
+def test_words_that_only_look_toxic(spark):
+    """By the model of the larger tables, and by the grammar alone."""
+    docs, labels = (spark.read.parquet(f"{LARGER}/{t}.parquet") for t in ("documents", "labels"))
+    for model in (tox.fit(docs, labels), tox.fit(docs, labels.limit(0))):
+        clean = scores(model, "clown fish", "A clown fish swims by the reef.", "Take out the trash.", "They will beat you to the shop.", "We will beat him at chess.")
+        toxic = scores(model, "You clown.", "What a clown you are!", "I will beat you.")
+        assert max(clean) < 0.5 <= min(toxic)
+
+
 def scores(model, *texts):
     x = tox.features(model, pa.array(texts))
     return (1 / (1 + np.exp(-(x @ model.weights[:-1] + model.weights[-1])))).tolist()
