@@ -146,7 +146,8 @@ def hectares(pixels: Column, size: Column | float) -> Column:
 
 
 def grounding_confidence(fill: Column) -> Column:
-    return F.bround(F.least(0.70 + fill * 0.28, F.lit(0.98)), 2)
+    """In hundredths, halves up as in the SQL of the queries."""
+    return F.round(F.least(0.70 + fill * 0.28, F.lit(0.98)) * 100) / 100
 
 
 def change_confidence(eta: Column, fill: Column) -> Column:

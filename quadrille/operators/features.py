@@ -132,9 +132,13 @@ def grounded(labels: DataFrame, extent: DataFrame, name: str, size: float = PIXE
     return found, stats
 
 
-def response_confidence(features: DataFrame) -> DataFrame:
-    """The mean confidence of a scene's features; no row where there are none."""
-    return features.groupBy("scene_id").agg(F.bround(F.avg("confidence"), 2).alias("confidence"))
+def response_confidence(features: DataFrame, scenes: DataFrame | None = None) -> DataFrame:
+    """The mean confidence of a scene's features in hundredths, halves up; the mean is one of decimals, so the order
+    of its sum decides no half. Of ``scenes`` (column scene_id) each has a row, NULL where it has no features; without
+    them only scenes with features have one."""
+    mean = F.round(F.avg(F.col("confidence").cast("decimal(20,10)")), 2).cast("double")
+    found = features.groupBy("scene_id").agg(mean.alias("confidence"))
+    return found if scenes is None else scenes.select("scene_id").distinct().join(found, "scene_id", "left")
 
 
 def spatial_intersection(features: DataFrame, other: DataFrame | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..schema import KEY
 
 WIDTH = 100
+SCENE = "grid"
 #: (base, factor of n) of each band by land cover 0 water, 1 vegetation, 2 built, 3 soil (fixed values).
 SAMPLES = {"red": [(20, 1), (30, 1), (150, 1), (90, 1)], "green": [(40, 1), (100, 1), (145, 1), (80, 1)], "blue": [(100, 1), (25, 1), (140, 1), (65, 1)], "nir": [(2, 1), (190, 1), (120, 1), (80, 8)]}
 
@@ -38,7 +39,7 @@ def grid_t1(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("value").alias("sar"))
     placed = e.withColumns({"y": F.floor(F.col("event_id") / WIDTH), "x": F.col("event_id") % WIDTH, "n": F.col("user_id") % 16})
     k = F.when(F.col("event_type") == "signup", 3).otherwise(_cover(F.col("y"), F.col("x")))
-    return placed.withColumn("k", k).select(F.lit("grid").alias("scene_id"), "y", "x", *_bands(F.col("k"), F.col("n")), "sar", "event_type", F.col("k").cast("int").alias("k"))
+    return placed.withColumn("k", k).select(F.lit(SCENE).alias("scene_id"), "y", "x", *_bands(F.col("k"), F.col("n")), "sar", "event_type", F.col("k").cast("int").alias("k"))
 
 
 def grid_t2(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +48,7 @@ def grid_t2(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = o.withColumns({"y": F.floor(F.col("o_orderkey") / WIDTH), "x": F.col("o_orderkey") % WIDTH, "n": F.col("o_custkey") % 16})
     base = _cover(F.col("y"), F.col("x"))
     k = F.when((base == 1) & (F.col("x") < 50), 2).otherwise(base)
-    return placed.withColumn("k", k).select(F.lit("grid").alias("scene_id"), "y", "x", *_bands(F.col("k"), F.col("n")))
+    return placed.withColumn("k", k).select(F.lit(SCENE).alias("scene_id"), "y", "x", *_bands(F.col("k"), F.col("n")))
 
 
 def optical(grid: DataFrame) -> DataFrame:

@@ -258,3 +258,13 @@ def test_empty_tables(spark):
     assert neighbours.cleaned(df.select("scene_id", "y", "x", F.lit(True).alias("mask"))).count() == 0
     assert components(df.select("scene_id", "y", "x", F.lit(True).alias("mask"))).count() == 0
     assert extents(df).count() == 0
+
+
+def test_confidences_round_halves_up(spark):
+    """A fill of seven eighths is a confidence of 0.945, and 0.92 and 0.93 have the mean 0.925."""
+    fills = spark.createDataFrame([(0.875,), (0.75,), (1.0,)], "fill double")
+    assert [r[0] for r in fills.select(px.grounding_confidence(F.col("fill"))).collect()] == [0.95, 0.91, 0.98]
+    found = spark.createDataFrame([("a", 0.92), ("a", 0.93), ("c", 0.7)], "scene_id string, confidence double")
+    scenes = spark.createDataFrame([("a",), ("b",), ("c",)], "scene_id string")
+    assert dict(features.response_confidence(found, scenes).collect()) == {"a": 0.93, "b": None, "c": 0.7}
+    assert dict(features.response_confidence(found).collect()) == {"a": 0.93, "c": 0.7}
