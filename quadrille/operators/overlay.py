@@ -68,12 +68,17 @@ def overlap(p: np.ndarray, q: np.ndarray) -> bool:
 
 
 def overlapping(a: DataFrame, b: DataFrame, cells: int = CELLS) -> DataFrame:
-    """meeting_boxes() whose polygons (arrays of x, y) overlap as well; a shape without one is its box."""
+    """meeting_boxes() whose polygons (arrays of x, y) overlap as well; a shape without one is its box. Two boxes that
+    meet overlap, so where neither table has polygons, the join is all, and no pair goes through Python."""
     pairs = meeting_boxes(a, b, cells)
+    if "polygon" not in a.columns and "polygon" not in b.columns:
+        return pairs
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rings = [[ring(s.get("polygon"), tuple(s[k] for k in BOX)) for s in part[side]] for side in ("a", "b")]
-            yield part[[overlap(p, q) for p, q in zip(*rings, strict=True)]]
+            yield part[[not (shaped(p) or shaped(q)) or overlap(ring_of(p), ring_of(q)) for p, q in zip(part["a"], part["b"], strict=True)]]
+
+    shaped = lambda s: s.get("polygon") is not None and len(s["polygon"]) >= 3
+    ring_of = lambda s: ring(s.get("polygon"), tuple(s[k] for k in BOX))
 
     return pairs.mapInPandas(run, pairs.schema)

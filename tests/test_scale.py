@@ -290,6 +290,19 @@ def test_shapes_without_a_place_or_a_polygon(spark):
     assert overlay.overlapping(a.limit(0), b).collect() == []
 
 
+def test_boxes_alone_are_decided_by_the_join(spark):
+    """Tables without polygons need no Python, tables with some get the same pairs of the shapes that have none."""
+    r = random.Random(5)
+    sides = [[(f"s{i % 2}", f"{i}", y, x, y + r.randint(0, 9) / 100, x + r.randint(0, 9) / 100) for i in range(300) for y, x in [(r.randint(0, 95) / 100, r.randint(0, 95) / 100)]] for _ in "ab"]
+    want = sorted((p[1], q[1]) for p in sides[0] for q in sides[1] if p[0] == q[0] and all(p[k] <= q[k + 2] and q[k] <= p[k + 2] for k in (2, 3)))
+    a, b = (spark.createDataFrame(rows, "scene_id string, id string, ymin double, xmin double, ymax double, xmax double") for rows in sides)
+    bare = overlay.overlapping(a, b)
+    assert "InPandas" not in bare._jdf.queryExecution().executedPlan().toString()
+    with_none = b.withColumn("polygon", F.lit(None).cast("array<struct<x:double,y:double>>"))
+    for made in (bare, overlay.overlapping(a, with_none)):
+        assert sorted((x["a"]["id"], x["b"]["id"]) for x in made.collect()) == want
+
+
 def test_grids_are_whole_numbers(spark):
     """The queries' bands go through the histogram."""
     g = grids.optical(grids.grid_t1(spark, "/root/testdata/sf0.001"))
