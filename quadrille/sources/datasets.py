@@ -7,6 +7,8 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.storage import written
+
 QUESTIONS = "questions array<struct<id:string,image_id:string,type:string,question:string>>"
 ANSWERS = "answers array<struct<id:string,answer:string>>"
 
@@ -126,35 +128,35 @@ def land_cover(spark: SparkSession, root: str, classes: list[str] | None = None)
 # --- scenes ------------------------------------------------------------------------------------------------------
 
 
-def grams(text: Column, size: int) -> Column:
-    """The distinct stretches of ``size`` characters; none of a shorter text."""
-    whole = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (size - 1), F.lit(1))), lambda i: F.substring(text, i, size))
-    return F.when(F.length(text) >= size, F.array_distinct(whole)).otherwise(F.array().cast("array<string>"))
+#: Identifiers up to which they are sent to the names.
+FEW = 200_000
 
 
-def postings(scenes: DataFrame) -> DataFrame:
-    """Rows (gram, source, name): by which one, two and three characters in a row a scene's name is found."""
-    listed = F.concat(*[grams(F.col("name"), n) for n in (1, 2, 3)])
-    return scenes.select(F.explode(listed).alias("gram"), "source", "name")
+def stretches(names: DataFrame, sizes: list[int]) -> DataFrame:
+    """The rows of ``names`` with each stretch of ``sizes`` characters of the name, as column identifier."""
+    longs = names.withColumn("size", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>"))).filter(F.length("name") >= F.col("size"))
+    placed = longs.withColumn("at", F.explode(F.sequence(F.lit(1), F.length("name") - F.col("size") + 1)))
+    return placed.select(*names.columns, F.substring("name", F.col("at"), F.col("size")).alias("identifier"))
 
 
-def resolve(scenes: DataFrame, wanted: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
+def resolve(scenes: DataFrame, wanted: DataFrame, aliases: dict[str, str] | None = None, few: int = FEW) -> DataFrame:
     """For each ``identifier`` of ``wanted`` the scene whose name contains it, samples before uploads, then by name;
-    an alias where none does. ``scenes`` has name and source (0 sample, 1 upload). Empty identifiers match nothing.
+    an alias where none does. ``scenes`` has name and source (0 sample, 1 upload; last where it is null). Empty identifiers match nothing.
 
-    Names are found by an index of their trigrams: an identifier meets the names that share its rarest one, and those
-    are then asked whether they contain all of it. An identifier of one or two characters is a gram itself. So the
-    join has a key, and neither side need be small.
+    A name contains an identifier if it is one of the name's stretches of that length; so they meet by equality, and
+    the first name of each stretch is found before a shuffle and after it. A stretch that all names have (a common
+    extension, say) thus brings a row from each task, and the work grows with the names' letters and the number of
+    different lengths alone. Up to ``few`` identifiers are sent to the names; more meet their first names by a shuffle.
     """
-    asked = wanted.select("identifier").filter("identifier <> ''").distinct()
-    index = postings(scenes)
-    own = asked.select("identifier", F.explode(F.when(F.length("identifier") < 3, F.array("identifier")).otherwise(grams(F.col("identifier"), 3))).alias("gram"))
-    often = index.join(own.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("names"))
-    # A gram that no name has is the rarest, and ends the search.
-    rarest = own.join(often, "gram", "left").groupBy("identifier").agg(F.min(F.struct(F.coalesce("names", F.lit(0)).alias("names"), "gram")).alias("r")).select("identifier", F.col("r.gram").alias("gram"))
-    hits = index.join(rarest, "gram").filter(F.contains(F.col("name"), F.col("identifier")))
-    best = hits.groupBy("identifier").agg(F.min(F.struct("source", "name")).alias("b")).select("identifier", F.col("b.name").alias("name"))
-    out = asked.join(best, "identifier", "left")
+    asked = written(wanted.select("identifier").filter("identifier <> ''").distinct(), "identifiers")
+    sizes = [r[0] for r in asked.select(F.length("identifier")).distinct().collect()]
+    # A name that stands there often counts once.
+    named = scenes.groupBy("name").agg(F.min("source").alias("source"))
+    parts = stretches(named, sizes)
+    if sent := asked.limit(few + 1).count() <= few:
+        parts = parts.join(F.broadcast(asked), "identifier")
+    best = parts.groupBy("identifier").agg(F.min(F.struct(F.isnull("source").alias("unknown"), "source", "name")).alias("b")).select("identifier", F.col("b.name").alias("name"))
+    out = asked.join(best if sent else best.hint("merge"), "identifier", "left")
     if aliases:
         told = F.create_map(*[F.lit(x) for p in aliases.items() for x in p])
         out = out.withColumn("name", F.coalesce("name", F.element_at(told, F.col("identifier"))))

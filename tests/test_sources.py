@@ -340,6 +340,18 @@ def test_names_are_found_by_trigrams(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_names_meet_identifiers_by_equality(spark, few):
+    """Letters that all names share cost no meeting of each name with each identifier."""
+    names = [(f"Customer#{i % 700:09d}", None if i % 3 == 0 else i % 2) for i in range(2000)]
+    wanted = [*(f"{i:04d}" for i in range(0, 1200, 7)), *(f"{i:02d}" for i in range(100)), "er#0", "Customer#000000123", "ü"]
+    df = datasets.resolve(spark.createDataFrame(names, "name string, source int"), spark.createDataFrame([(w,) for w in wanted], "identifier string"), few=few)
+    want = {w: min(((s is None, s or 0, n) for n, s in names if w in n), default=(0, 0, None))[2] for w in wanted}
+    assert dict(df.collect()) == want
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Contains(" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_uploads_of_a_stream_can_be_decoded(spark, tmp_path):
     """Arrive, be judged, be kept, and be read as pixels."""
     from quadrille.streaming.ingest import ingest
