@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .setjoin import PERCENT, WORDS, buckets, live, passes, suffix_passes, verified
 from .shared import saved, sized, table
-from .textkernel import SPACES, sequence_keys, shingles, slices, words
+from .textkernel import SHINGLED_BYTES, SPACES, sequence_keys, shingles, slices, words
 
 #: Cells of the table of shingle counts that orders shingles, whatever the corpus; it decides cost, never results.
 CELLS = 1 << 20
@@ -34,7 +34,7 @@ def keyed(docs: DataFrame, words_per: int = WORDS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, np.int64)
-        for part, texts in slices(batches, "text"):
+        for part, texts in slices(batches, "text", SHINGLED_BYTES):
             w = words(texts, SPACES)
             sets = list(shingles(w, words_per))
             if sets:
@@ -72,7 +72,7 @@ def cell_counts(rows: DataFrame) -> np.ndarray:
 def _prefixes(batches: Iterator[pa.RecordBatch], counts: np.ndarray, words_per: int, percent: int) -> Iterator[tuple]:
     """Key, sorted set and rare-first prefix of each content, once per task, in lists by slice."""
     seen: set[int] = set()
-    for _, texts in slices(batches, "text"):
+    for _, texts in slices(batches, "text", SHINGLED_BYTES):
         w = words(texts, SPACES)
         keys, _ = sequence_keys(w)
         found: tuple[list, list, list] = ([], [], [])
@@ -122,7 +122,7 @@ def sets_of(docs: DataFrame, words_per: int = WORDS) -> DataFrame:
     """c, c2 and the shingles (items) of each row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in slices(batches, "text"):
+        for _, texts in slices(batches, "text", SHINGLED_BYTES):
             w = words(texts, SPACES)
             first, second = sequence_keys(w)
             sets = list(shingles(w, words_per))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import fold, fresh, saved, table
-from .textkernel import U, mix, slices
+from .textkernel import SHINGLED_BYTES, U, mix, slices
 
 #: Hash buckets of character bigrams and trigrams together.
 DIMS = 4096
@@ -96,7 +96,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seen = np.zeros(DIMS, np.int64), 0
-        for part, texts in slices(batches, "text", rows=ROWS_AT_ONCE):
+        for part, texts in slices(batches, "text", SHINGLED_BYTES, ROWS_AT_ONCE):
             total += (counts(texts) > 0).sum(axis=0)
             seen += part.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIMS + 1)), pa.array(np.append(total, seen))], ["bucket", "n"])
@@ -113,7 +113,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     sample = rows.join(F.broadcast(shares), "lang").filter(drawn).select("text", "lang").dropDuplicates(["lang", "text"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches, "text", rows=ROWS_AT_ONCE):
+        for part, texts in slices(batches, "text", SHINGLED_BYTES, ROWS_AT_ONCE):
             made = counts(texts)
             yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("key"), pa.array([r.tobytes() for r in made], pa.binary())], ["lang", "key", "counts"])
 
@@ -173,7 +173,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", lang: str = "lang_
     model_sent = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches, hidden, rows=ROWS_AT_ONCE):
+        for part, texts in slices(batches, hidden, SHINGLED_BYTES, ROWS_AT_ONCE):
             found, sure, out = predict(model_sent.value, texts)
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(found, pa.string()), pa.array(sure, pa.float64()), pa.array(out, pa.bool_())], [*kept, lang, score, rejected])
 

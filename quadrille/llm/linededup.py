@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .setjoin import PERCENT, WORDS, overlap, passes
 from .shared import saved, sized, table
-from .textkernel import SPACES, U, Words, grams, sequence_keys, slices, words
+from .textkernel import SHINGLED_BYTES, SPACES, U, Words, grams, sequence_keys, slices, words
 
 #: Cells of the table of token counts that says how rare a token is; it decides cost, never results.
 CELLS = 1 << 16
@@ -79,7 +79,7 @@ def ranks(docs: DataFrame, size: int = WORDS) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(CELLS, np.int64)
-        for _, texts in slices(batches, "x"):
+        for _, texts in slices(batches, "x", SHINGLED_BYTES):
             g, _ = _tokens(words(_lines(texts)[0], SPACES), size)
             counts += np.bincount((g >> U(HASH_BITS)).astype(np.int64), minlength=CELLS)
         used = np.flatnonzero(counts)
@@ -99,7 +99,7 @@ def prefixes(docs: DataFrame, rank: np.ndarray, size: int = WORDS, percent: int
     sent = docs.sparkSession.sparkContext.broadcast(rank)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches, "x"):
+        for part, texts in slices(batches, "x", SHINGLED_BYTES):
             lines, text_of, number = _lines(texts)
             w = words(lines, SPACES)
             g, line = _tokens(w, size)
@@ -122,7 +122,7 @@ def sets_of(lines: DataFrame, size: int = WORDS) -> DataFrame:
     """c, c2 and the whole hashes s of the tokens of each line of column x."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in slices(batches, "x"):
+        for _, texts in slices(batches, "x", SHINGLED_BYTES):
             w = words(texts, SPACES)
             c, c2 = sequence_keys(w)
             yield pa.RecordBatch.from_arrays([_long(c), _long(c2), _listed(*_ordered(*_tokens(w, size), len(texts)))], ["c", "c2", "s"])

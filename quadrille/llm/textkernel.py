@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 U = np.uint64
 #: Text bytes that are worked on at once; a single longer text is one slice by itself.
 SLICE_BYTES = 2 << 20
+#: The same where words are hashed and ordered, which takes up to a hundred times the bytes.
+SHINGLED_BYTES = 1 << 19
 
 _rng = np.random.Generator(np.random.PCG64(7))
 #: A random 64-bit value per byte, and an odd multiplier with its inverse modulo 2**64.
@@ -198,7 +200,8 @@ def sequence_keys(w: Words) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES, rows: int = 1 << 31) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Cut batches so that their texts hold at most ``limit`` bytes together, a longer text being a slice by itself, and
-    are at most ``rows``; null texts come as empty."""
+    are at most ``rows``; null texts come as empty. At the end what Arrow keeps unused is given back, as the worker
+    stays for other stages."""
     for batch in batches:
         sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
         at = 0
@@ -208,3 +211,4 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             part = batch.slice(at, to - at)
             yield part, pc.fill_null(part.column(text), "")
             at = to
+    pa.default_memory_pool().release_unused()

@@ -65,6 +65,37 @@ def test_memory_of_formatting_and_slices():
     assert sum(len(t) for _, t in cut) == len(texts) and max(len(t) for _, t in cut) == 256 and max(t.nbytes for _, t in cut) < 3 << 20
 
 
+class Applied:
+    """A table of which one knows what mapInArrow would do with its batches."""
+
+    sparkSession = sparkContext = property(lambda self: self)
+
+    def broadcast(self, value):
+        self.value = value
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_memory_of_lines_in_a_worker():
+    """Python workers share an executor's memory with a heap that they cannot shrink."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from quadrille.llm.linededup import CELLS, prefixes
+
+    texts = pa.array([" ".join(f"w{(i * 7919 + j * j) % 50_000}" for j in range(400)) for i in range(4_000)])
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(range(len(texts))), texts], ["k", "t", "x"])
+    run = prefixes(Applied(), np.zeros(CELLS, np.uint64))
+    tracemalloc.start()
+    made = sum(b.num_rows for b in run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made == len(texts) and peak < 80 << 20, peak
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     from tokenizers import Tokenizer
