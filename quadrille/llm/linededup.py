@@ -1,10 +1,10 @@
-"""Line dedup: an exact set-similarity join of lines that removes the later matches.
+"""Line dedup: an exact set-similarity join of lines that removes the later matches, in SQL expressions alone.
 
-A line's tokens are its distinct word shingles. They are ordered rare first, so that two similar lines share a token
-of their prefixes; lines that do meet the earliest line of the bucket first, and only those that match it nowhere
-meet the rest of it. Words are hashed and ordered by numpy on Arrow batches; in SQL expressions alone, arrays of a
-line's tokens are worked out one by one in interpreted code, at more CPU time than was to be had. All joins and
-aggregates are Spark's.
+A line's tokens are its distinct word shingles. They are listed rare first, so that two similar lines share a token
+of their lists; those whose lists have too few tokens in common are not compared. Lines that share a token with many
+meet the earliest of these first, and only those that match it nowhere meet the rest of them.
+
+prefixes() lists tokens by numpy on Arrow batches, for callers whose executors have room for Python workers.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from .textkernel import SHINGLED_BYTES, SPACES, U, Words, grams, sequence_keys,
 CELLS = 1 << 16
 #: Bits of a token below its rank.
 HASH_BITS = 48
-#: Shared tokens ahead of a token that are remembered with it.
-AHEAD = 8
+#: Lines in a bucket up to which all of them may meet; it decides cost, never results.
+BUSY = 64
 #: Rows of keys and line numbers, and lines to go, that may be broadcast.
 FEW = 200_000
 MANY = 2_000_000
@@ -118,38 +118,116 @@ def prefixes(docs: DataFrame, rank: np.ndarray, size: int = WORDS, percent: int
     return docs.mapInArrow(run, "k long, t long, line_no int, c long, c2 long, n int, tokens array<bigint>")
 
 
-def sets_of(lines: DataFrame, size: int = WORDS) -> DataFrame:
-    """c, c2 and the whole hashes s of the tokens of each line of column x."""
+def lines_of(docs: DataFrame) -> DataFrame:
+    """A row for each line of read() rows: k, t, line_no and the line as x."""
+    return docs.select("k", "t", F.posexplode(F.split("x", "\n")).alias("line_no", "x"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in slices(batches, "x", SHINGLED_BYTES):
-            w = words(texts, SPACES)
-            c, c2 = sequence_keys(w)
-            yield pa.RecordBatch.from_arrays([_long(c), _long(c2), _listed(*_ordered(*_tokens(w, size), len(texts)))], ["c", "c2", "s"])
 
-    return lines.select("x").mapInArrow(run, "c long, c2 long, s array<bigint>")
+def words_of(line: Column) -> Column:
+    """Runs of other than white space, with A-Z folded. Blanks part words; other white space, rare, becomes blanks.
+    ASCII lines, in which lower() folds nothing but A-Z, take it; the others the slower translate()."""
+    odd = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\f")) | F.contains(line, F.lit("\x0b"))
+    plain = ~odd & (F.length(line) == F.octet_length(line))
+    folded = F.when(plain, F.lower(line)).otherwise(F.translate(line, f"{UPPER}\t\r\f\x0b", f"{LOWER}    "))
+    return F.array_remove(F.split(folded, " "), "")
+
+
+def shingled(lines: DataFrame, size: int = WORDS) -> DataFrame:
+    """Lines with, in place of x, two keys c and c2 of their words, the number n of their shingles (no words: 0) and the
+    distinct hashes s of those of ``size`` words. A line of fewer words is one shingle by itself, which only an equal line
+    could share, so it is not listed. Words are hashed first: numbers are cheaper to combine."""
+    made = lines.withColumn("w", words_of(F.col("x")))
+    made = made.withColumn("x", F.transform("w", lambda x: F.xxhash64(x)))
+    begins = F.slice("x", F.lit(1), F.greatest(F.size("x") - (size - 1), F.lit(0)))
+    many = F.transform(begins, lambda x, i: F.xxhash64(x, *[F.get("x", i + j) for j in range(1, size)]))
+    made = made.select(*[c for c in lines.columns if c != "x"], F.xxhash64("w").alias("c"), F.xxhash64(F.lit(1), "w").alias("c2"), F.least(F.size("w"), F.lit(1)).alias("some"), F.array_distinct(many).alias("s"))
+    return made.withColumn("n", F.greatest(F.size("s"), F.col("some"))).drop("some")
+
+
+def counts_of(texts: DataFrame, size: int = WORDS) -> Column:
+    """What stands above HASH_BITS bits of a token of each cell, as a constant array: CELLS numbers, whatever the corpus,
+    by how often the tokens of a cell occur in all texts. Shingles across two lines are counted too, letters other than
+    A-Z folded and rare white space left, which is faster and only moves counts."""
+    # Words beside those that follow them, as columns: so every step is compiled. One-token lines need no order.
+    w, names = F.col("w"), [f"w{j}" for j in range(size)]
+    beside = F.arrays_zip(*[F.slice(w, F.lit(j + 1), F.greatest(F.size(w) - (size - 1), F.lit(0))) for j in range(size)])
+    rows = texts.select(F.split(F.lower(F.replace("x", F.lit("\n"), F.lit(" "))), " ").alias("w")).select(F.inline(beside)).toDF(*names)
+    cells = rows.select(_cell(F.xxhash64(*[F.xxhash64(n) for n in names])).alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    counts = {r["cell"]: r["n"] for r in cells.collect()}
+    # Only the order of the counts matters; one literal instead of CELLS.
+    place = {n: min(i, 0x7FFE) << HASH_BITS for i, n in enumerate(sorted({0, *counts.values()}))}
+    return F.split(F.lit(",".join(str(place[counts.get(c, 0)]) for c in range(CELLS))), ",").cast("array<bigint>")
+
 
+def _cell(h: Column) -> Column:
+    return F.shiftrightunsigned(h, HASH_BITS).cast("int")
 
-def entries_of(contents: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Rows (h, c, n, pos, before) of tokens by which a content could meet another, given the sizes of those that have
-    them; ``before`` lists the last such tokens ahead of it, by which two contents are told to have met already. Both sides of the join are dealt by token. The shared tokens, which are distinct and so dealt evenly, are hashed,
-    and the index need not be sorted."""
+
+def length(n: Column, percent: int = PERCENT) -> Column:
+    """How many of n tokens, in an order that all sets share, are enough to meet each similar set by one of them."""
+    return n - F.ceil(n * percent / F.lit(100.0) - F.lit(1e-9)).cast("int") + 1
+
+
+def indexed(lines: DataFrame, counts: Column, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Rows (k, t, line_no, c, c2, n, tokens) of all lines, with the rarest of their tokens: their place by counts_of()
+    above HASH_BITS bits of their hash. Save them before you filter: a filter would be pushed below the arrays and work
+    them out twice."""
+    placed = F.transform("s", lambda h: F.get(counts, _cell(h)).bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1))))
+    return shingled(lines, size).select("k", "t", "line_no", "c", "c2", "n", F.slice(F.sort_array(placed), F.lit(1), length(F.col("n"), percent)).alias("tokens"))
+
+
+def entries_of(contents: DataFrame) -> DataFrame:
+    """Rows (h, c, n, pos) of the listed tokens that another content lists too. Both sides of the join have the same
+    columns in use, so they are one shuffle; a large bucket may be split, as a row looks for one other alone."""
     index = contents.select("c", "n", F.posexplode("tokens").alias("pos", "h"))
-    shared = saved(index.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("n").alias("least")).filter("low <> high").select("h", "least"), "shared")
-    least = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / F.lit(100.0) - F.lit(1e-9)).cast("int"))
-    live = index.join(shared.hint("shuffle_hash"), "h").filter(F.col("n") - F.col("pos") >= overlap(F.col("n"), least, percent))
-    ahead = W.partitionBy("c").orderBy("pos").rowsBetween(-AHEAD, -1)
-    return live.select("h", "c", "n", "pos", F.collect_list("h").over(ahead).alias("before"))
-
-
-def verified(docs: DataFrame, pairs: DataFrame, contents: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """Of pairs (c, b) of contents those that are similar, as (c, c2) of the first; judged by whole hashes of the
-    shingles, which are read again from the first line of each content."""
-    ends = pairs.select("c").union(pairs.select(F.col("b"))).distinct()
-    wanted = saved(contents.select("c", "c2", "f").join(ends, "c", "left_semi").select("c", "c2", "f.*"), "wanted")
-    lines = read(docs, key, text).select("k", "t", F.posexplode(F.split("x", "\n")).alias("line_no", "x"))
-    sets = saved(sets_of(lines.join(sized(wanted, FEW), ["k", "t", "line_no"]), size).distinct(), "sets")
-    both = pairs.join(sets, "c").join(sets.select(F.col("c").alias("b"), F.col("s").alias("z")), "b")
+    other = (F.col("x.h") == F.col("y.h")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.n") + F.col("y.n") + F.col("y.pos") > 0)
+    return index.alias("x").join(index.alias("y").hint("merge"), other, "left_semi").select("x.h", "x.c", "x.n", "x.pos")
+
+
+def met(x: DataFrame, y: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Distinct pairs (c, b) of contents of the entries x and earlier ones of the entries y that share a token."""
+    x, y = x.alias("x"), y.alias("y")
+    meet = (F.col("x.h") == F.col("y.h")) & (F.col("y.f") < F.col("x.f"))
+    pairs = x.join(y, meet & passes(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent))
+    return pairs.select(F.col("x.c").alias("c"), F.col("y.c").alias("b")).distinct()
+
+
+def enough(x: str, y: str, percent: int = PERCENT) -> Column:
+    """How many tokens the lists of similar sets with x and y tokens have in common at least. Of the two lists, that which
+    ends first has length(n) tokens, which the other lists too if it has them; but n less the least overlap may differ."""
+    n, m = F.col(x), F.col(y)
+    most = F.greatest(n, m)
+    return overlap(n, m, percent) + length(most, percent) - most
+
+
+def counted(entries: DataFrame, crowded: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (c, b) of contents and earlier ones whose lists have enough tokens in common; ``entries`` lacks ``more`` of
+    those of ``crowded``."""
+    x, y = entries.alias("x"), entries.alias("y")
+    meet = (F.col("x.h") == F.col("y.h")) & (F.col("y.f") < F.col("x.f")) & (F.least("x.seen", "y.seen") >= enough("x.n", "y.n", percent))
+    pairs = x.join(y, meet & passes(F.col("x.n"), F.lit(0), F.col("y.n"), F.lit(0), percent))
+    pairs = pairs.groupBy(F.col("x.c").alias("c"), F.col("y.c").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m")).agg(F.count(F.lit(1)).alias("common"), F.max("x.pos").alias("i"), F.max("y.pos").alias("j"))
+    crowded = sized(crowded, FEW)
+    pairs = pairs.join(crowded.withColumnRenamed("more", "more_c"), "c", "left").join(crowded.select(F.col("c").alias("b"), F.col("more").alias("more_b")), "b", "left")
+    more = F.least(F.coalesce("more_c", F.lit(0)), F.coalesce("more_b", F.lit(0)))
+    common, least = F.col("common") + more, overlap(F.col("n"), F.col("m"), percent)
+    # Up to their last common token, neither list has more others than its whole set may have.
+    few = (F.col("i") + 1 - common <= F.col("n") - least) & (F.col("j") + 1 - common <= F.col("m") - least)
+    return pairs.filter(few & (common >= enough("n", "m", percent))).select("c", "b")
+
+
+def rare_first(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Entries (h, c, n, pos, f) of whole sets (c, f, s), by the order of how many of them have a token."""
+    rows = sets.select("c", F.explode("s").alias("h"))
+    counts = rows.groupBy("h").agg(F.count(F.lit(1)).alias("times"))
+    listed = rows.join(counts, "h").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("times", "h"))).alias("s"))
+    listed = listed.select("c", F.size("s").alias("n"), F.slice("s.h", F.lit(1), length(F.size("s"), percent)).alias("tokens"))
+    return listed.join(sets.select("c", "f"), "c").select("c", "n", "f", F.posexplode("tokens").alias("pos", "h"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Of pairs (c, b) of contents those that are similar, as (c, c2) of the first; judged by all their shingles."""
+    both = pairs.join(sets.select("c", "c2", "s"), "c").join(sets.select(F.col("c").alias("b"), F.col("s").alias("z")), "b")
     common, total = F.size(F.array_intersect("s", "z")), F.size("s") + F.size("z")
     return both.withColumn("common", common).filter(F.col("common") * 100 >= (total - F.col("common")) * percent).select("c", "c2").distinct()
 
@@ -161,34 +239,39 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     of their distinct shingles; under ``words_per`` words the whole line is the one shingle. A line goes if any
     earlier one is similar, whether that one goes or stays. Equal rows are one row: none of them is earlier.
 
-    Each text is shingled twice: for the counts and for the prefixes. Equal lines, told apart from others by two keys
-    of 64 bits, are then one content with the place of its first line, however many they are; aggregates combine
-    before the shuffle, and joins may be split, so no bucket has to meet in one task.
+    Each text is shingled twice, for the counts and for the index, and lines that share tokens are again. Equal lines, told apart
+    from others by two keys of 64 bits, are one content with the place of its first line, however many they are.
     """
     texts = read(docs, key, text)
-    index = saved(prefixes(texts, ranks(texts, words_per), words_per, percent), "index")
+    lines = lines_of(texts)
+    index = saved(indexed(lines, counts_of(texts, words_per), words_per, percent), "index").filter("n > 0")
     place = F.struct("k", "t", "line_no")
     first = F.min(F.struct("k", "t", "line_no", "n", "tokens")).alias("first")
     contents = index.groupBy("c", "c2").agg(first, F.count(F.lit(1)).alias("times"))
     contents = saved(contents.select("c", "c2", "times", F.struct("first.k", "first.t", "first.line_no").alias("f"), "first.n", "first.tokens"), "contents")
-    entries = saved(entries_of(contents, percent).join(contents.select("c", "f"), "c"), "entries")
-
-    # Everything in a bucket meets its earliest line.
-    hubs = entries.groupBy("h").agg(F.min(F.struct("f", "c", "n", "pos")).alias("hub"))
-    pairs = entries.join(hubs, "h").filter(F.col("c") != F.col("hub.c"))
-    pairs = pairs.filter(passes(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos"), percent))
-    pairs = saved(pairs.select("c", F.col("hub.c").alias("b")).distinct(), "pairs")
-    gone = saved(verified(docs, pairs, contents, key, text, words_per, percent), "gone")
-
-    # What matched no earliest line meets the other earlier ones.
-    x = entries.join(gone, "c", "left_anti").alias("x")
-    y = entries.alias("y")
-    meet = (F.col("x.h") == F.col("y.h")) & (F.col("y.f") < F.col("x.f"))
-    # Of two lines that share several tokens, at the first one; where many tokens lie between, at more than one.
-    meet = meet & ~F.arrays_overlap("x.before", "y.before")
-    rest = x.join(y, meet & passes(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent))
-    rest = saved(rest.select(F.col("x.c").alias("c"), F.col("y.c").alias("b")).distinct().join(pairs, ["c", "b"], "left_anti"), "rest")
-    gone = gone.union(verified(docs, rest, contents, key, text, words_per, percent)).distinct()
+    entries = entries_of(contents).join(contents.select("c", "f"), "c")
+    entries = saved(entries.withColumn("seen", F.count(F.lit(1)).over(W.partitionBy("c"))), "entries")
+    entries = saved(entries.join(entries.groupBy("h").agg(F.count(F.lit(1)).alias("many")), "h"), "buckets")
+
+    # All of a bucket of bounded size meet. In a larger one, everything meets the earliest.
+    small, large = entries.filter(F.col("many") <= BUSY), entries.filter(F.col("many") > BUSY)
+    crowded = saved(large.groupBy("c").agg(F.count(F.lit(1)).alias("more")), "crowded")
+    hubs = large.groupBy("h").agg(F.min(F.struct("f", "c", "n", "pos", "seen")).alias("hub"))
+    first = large.join(hubs, "h").filter(F.col("c") != F.col("hub.c")).filter(F.least("seen", "hub.seen") >= enough("n", "hub.n", percent)).filter(passes(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos"), percent))
+    pairs = saved(counted(small, crowded, percent).union(first.select("c", F.col("hub.c").alias("b"))).distinct(), "pairs")
+
+    # All shingles of what is or may be compared, from the first line of each content.
+    ends = pairs.select("c").union(pairs.select("b")).union(crowded.select("c")).distinct()
+    wanted = saved(contents.join(ends, "c", "left_semi").select("f.*").distinct(), "wanted")
+    sets = shingled(lines.join(sized(wanted, FEW), ["k", "t", "line_no"]), words_per)
+    sets = saved(sets.select("c", "c2", "s", place.alias("f")), "sets")
+    gone = saved(verified(pairs, sets, percent), "gone")
+
+    # What shares tokens of larger buckets, and matched nothing yet, meets the others that do by the rarest of all tokens.
+    if not crowded.join(gone, "c", "left_anti").isEmpty():
+        listed = saved(rare_first(sets.join(crowded, "c", "left_semi"), percent), "rare")
+        rest = saved(met(listed.join(gone, "c", "left_anti"), listed, percent).join(pairs, ["c", "b"], "left_anti"), "rest")
+        gone = gone.union(verified(rest, sets, percent)).distinct()
 
     # Contents that go with all their lines, and those that go with all but the first.
     again = contents.filter("times > 1").select("c", "c2", "f")

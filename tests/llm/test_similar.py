@@ -151,6 +151,28 @@ def test_lines_with_common_passages(make):
     assert {r["doc_id"]: r["text"] for r in line_dedup(make(docs)).collect()} == plain_lines(docs)
 
 
+@pytest.mark.parametrize("busy", [2, 5])
+def test_lines_of_large_families(make, monkeypatch, busy):
+    """Lines of families that are alike to all degrees, and buckets beyond those of which all meet, without Python."""
+    from pyspark.sql import DataFrame
+
+    from quadrille.llm import linededup
+
+    monkeypatch.setattr(linededup, "BUSY", busy)
+    monkeypatch.setattr(DataFrame, "mapInArrow", None)
+    r = random.Random(11)
+    docs = []
+    for family in range(6):
+        base = [f"f{family}w{i}" for i in range(r.choice([8, 20, 45]))]
+        for _ in range(20):
+            w = list(base)
+            for _ in range(r.choice([0, 1, 1, 2, 5])):
+                w[r.randrange(len(w))] = f"e{r.randrange(9999)}"
+            docs.append((len(docs), " ".join(w[r.choice([0, 0, 1, 3]) :] + w[:5] * (r.random() < 0.3))))
+    r.shuffle(docs)
+    assert {x["doc_id"]: x["text"] for x in line_dedup(make(docs)).collect()} == plain_lines(docs)
+
+
 def test_line_query(spark):
     import duckdb
 
