@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,6 +24,8 @@ BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 SHINGLE_FACTORS = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * U(2) + U(1)
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+
 _powers = {1: np.ones(1, U), -1: np.ones(1, U)}
 
 
@@ -198,10 +202,17 @@ def sequence_keys(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return keys[0], keys[1]
 
 
+def give_back() -> None:
+    """Return to the system what Arrow and, by glibc, numpy have freed: a worker stays for other stages, beside a heap that
+    cannot shrink."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES, rows: int = 1 << 31) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Cut batches so that their texts hold at most ``limit`` bytes together, a longer text being a slice by itself, and
-    are at most ``rows``; null texts come as empty. At the end what Arrow keeps unused is given back, as the worker
-    stays for other stages."""
+    are at most ``rows``; null texts come as empty. At the end unused memory is given back."""
     for batch in batches:
         sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
         at = 0
@@ -211,4 +222,4 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             part = batch.slice(at, to - at)
             yield part, pc.fill_null(part.column(text), "")
             at = to
-    pa.default_memory_pool().release_unused()
+    give_back()

@@ -1,6 +1,7 @@
 """Chat formatting and packing: exact round trips."""
 
 import hashlib
+import sys
 import zlib
 from collections import defaultdict
 
@@ -96,6 +97,29 @@ def test_memory_of_lines_in_a_worker():
     assert made == len(texts) and peak < 80 << 20, peak
 
 
+FREED = """
+import numpy as np, pyarrow as pa
+from quadrille.llm.textkernel import slices
+anon = lambda: int(next(x for x in open("/proc/self/smaps_rollup") if x.startswith("Pss_Anon")).split()[1]) >> 10
+batch = pa.record_batch([pa.array(["a"])], ["x"])
+list(slices(iter([batch]), "x"))
+before = anon()
+kept = [np.ones(4096) for _ in range(6000)]
+top = kept.pop()
+del kept
+list(slices(iter([batch]), "x"))
+assert anon() < before + 40, (before, anon())
+"""
+
+
+@pytest.mark.skipif(sys.platform != "linux", reason="reads /proc")
+def test_memory_that_a_task_freed_is_given_back():
+    import subprocess
+
+    done = subprocess.run([sys.executable, "-c", FREED], capture_output=True, text=True, timeout=100)
+    assert done.returncode == 0, done.stderr
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     from tokenizers import Tokenizer
