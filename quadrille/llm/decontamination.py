@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import fresh, table
-from .textkernel import NOT_ALNUM, U, Words, coded, grams, mix, slices, table_of, words
+from .textkernel import NOT_ALNUM, SHINGLED_BYTES, U, Words, coded, grams, mix, slices, table_of, words
 
 #: Share of an item's words that may be inserted, deleted or replaced.
 EDITS = 0.2
@@ -297,7 +297,7 @@ def scan(df: DataFrame, items: DataFrame, text: str = "text", leaks: str = "leak
         sent = df.sparkSession.sparkContext.broadcast(index([tuple(r) for r in sorted(own, key=str)], edits))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for part, texts in slices(batches, hidden):
+            for part, texts in slices(batches, hidden, SHINGLED_BYTES):
                 column = part.schema.get_field_index(leaks)
                 struct = part.schema.field(column).type.value_type
                 before = part.column(column).to_pylist()

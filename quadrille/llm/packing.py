@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import ranked, saved, table
-from .textkernel import byte_class, slices, words
+from .textkernel import SHINGLED_BYTES, byte_class, slices, words
 
 CAPACITY = 2048
 #: Lengths of at least this share of the capacity are large; the smaller ones fill what they leave.
@@ -359,7 +359,7 @@ def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0, key
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_of(path)
-        for part, texts in slices(batches, "text"):
+        for part, texts in slices(batches, "text", SHINGLED_BYTES):
             ids, bounds = coder.encode(texts)
             rows, number, start, length, crc = [], [], [], [], []
             for d in range(part.num_rows):
